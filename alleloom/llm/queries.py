@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 from alleloom.llm.common import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alleloom.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alleloom.llm.url_filter import filtered
+
+    return filtered(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alleloom.llm.bpe import round_trips
 
@@ -31,8 +43,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_byte_bpe": op9_byte_bpe, "op10_media": op10_media}
+    own = (op1_packing, op5_url_filter, op9_byte_bpe, op10_media)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from alleloom.llm import url_filter
+
+    return {"op5_url_filter": url_filter.SQL}
