@@ -23,6 +23,18 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alleloom.llm.langid import identified
+
+    return identified(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alleloom.llm.quality import judged
+
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alleloom.llm.bpe import round_trips
 
@@ -43,7 +55,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op5_url_filter, op9_byte_bpe, op10_media)
+    own = (op1_packing, op5_url_filter, op6_language_id, op7_quality, op9_byte_bpe, op10_media)
     return {f.__name__: f for f in own}
 
 
