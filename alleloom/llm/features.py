@@ -54,7 +54,9 @@ def grams(points: np.ndarray, sizes: tuple[int, ...], slots: int, fold: bool = T
     return out
 
 
-def word_slots(data: np.ndarray, offsets: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, slot) of every word."""
+def word_slots(data: np.ndarray, offsets: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, whether it repeats the word before it) of every word."""
     row, _, _, h = words(data, offsets)
-    return row, (mix(h) & np.uint64(slots - 1)).astype(np.uint32)
+    again = np.zeros(len(h), bool)
+    again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+    return row, (mix(h) & np.uint64(slots - 1)).astype(np.uint32), again

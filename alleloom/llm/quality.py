@@ -1,6 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word and every character 3- and 4-gram is hashed to a learned vector; a document is their average, and a softmax
+Every word and every character 3- and 4-gram is hashed to a learned vector, and a word that repeats the one before it
+adds the vector of a mark of its own; a document is their average, and a softmax
 over it gives the label. Vectors and softmax are trained together by stochastic gradient descent in numpy, on a bounded
 sample of labelled rows (`sample` of each label at most, the smallest by hash). A document's score depends on its vectors
 only through their inner products with the softmax rows, so scoring sums one number for each word and n-gram.
@@ -23,6 +24,9 @@ from alleloom.llm.common import text_slices
 from alleloom.llm.features import characters, grams, word_slots
 
 SLOTS = 1 << 16  # of words, and as many of character n-grams
+#: The slot of the mark, and the number of all slots.
+AGAIN = 2 * SLOTS
+ALL = 2 * SLOTS + 1
 SIZES = (3, 4)
 DIMENSION = 12
 SAMPLE = 1500
@@ -31,37 +35,38 @@ THRESHOLD = 0.3
 
 @dataclass
 class Model:
-    slot_score: np.ndarray  # 2 * SLOTS
+    slot_score: np.ndarray  # ALL
     bias: float
     prior: float
 
 
-def _features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
-    """Slices as (first row, number of features by row, ...): (row, slot) arrays of words and n-grams."""
+def _features(texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+    """Slices as (first row, rows, parts); a part has its slots, and where each row's begin and end in them."""
     for first, data, offsets in text_slices(texts):
         rows = len(offsets) - 1
-        row, slot = word_slots(data, offsets, SLOTS)
+        row, slot, again = word_slots(data, offsets, SLOTS)
         points, at = characters(data, offsets)
-        parts = [(np.searchsorted(row, np.arange(rows + 1), "left"), slot)]
+        each = np.arange(rows + 1)
+        marks = row[again]
+        parts = []
+        for of, slots in ((row, slot), (marks, np.full(len(marks), AGAIN, np.uint32))):
+            edge = np.searchsorted(of, each, "left")
+            parts.append((slots, edge[:-1], edge[1:]))
         for n, g in zip(SIZES, grams(points, SIZES, SLOTS, fold=False), strict=True):
-            parts.append((np.minimum(at, len(g)), g + np.uint32(SLOTS)))
-            parts[-1] = (parts[-1][0], parts[-1][1], np.minimum(np.maximum(at[:-1], at[1:] - n + 1), len(g)))
+            lo = np.minimum(at[:-1], len(g))
+            parts.append((g + np.uint32(SLOTS), lo, np.minimum(np.maximum(lo, at[1:] - n + 1), len(g))))
         yield first, rows, parts
 
 
 def _bag(parts, i: int) -> np.ndarray:
     """All slots of row i of a slice."""
-    out = []
-    for p in parts:
-        lo, hi = p[0][i], p[2][i] if len(p) == 3 else p[0][i + 1]
-        out.append(p[1][lo : max(lo, hi)])
-    return np.concatenate(out)
+    return np.concatenate([slots[lo[i] : max(lo[i], hi[i])] for slots, lo, hi in parts])
 
 
 def sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 8, rate: float = 1.0, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors (2 * SLOTS x DIMENSION) and softmax rows (DIMENSION + 1 x 2) from (slots, shares) bags."""
+    """Vectors (ALL x DIMENSION) and softmax rows (DIMENSION + 1 x 2) from (slots, shares) bags."""
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (2 * SLOTS, DIMENSION))
+    vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (ALL, DIMENSION))
     out = np.zeros((DIMENSION + 1, 2))
     steps, done = epochs * max(len(bags), 1), 0
     for _ in range(epochs):
@@ -104,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     got = sorted((r["y"], bytes(r["at"]), bytes(r["n"])) for r in texts.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(bags, "y int, at binary, n binary").collect())
     if not got or share is None:
-        return Model(np.zeros(2 * SLOTS), 0.0, 0.5)
+        return Model(np.zeros(ALL), 0.0, 0.5)
     y = np.array([r[0] for r in got])
     vectors, out = sgd([(np.frombuffer(a, "<i4"), np.frombuffer(n, "<f4").astype(float)) for _, a, n in got], y)
     way = out[:, 1] - out[:, 0]
@@ -127,13 +132,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             out = np.full(b.num_rows, prior)
             for first, rows, parts in _features(b.column(b.schema.get_field_index(text))):
                 total, count = np.zeros(rows), np.zeros(rows)
-                for p in parts:
-                    lo = p[0][:-1]
-                    hi = p[2] if len(p) == 3 else p[0][1:]
-                    run_sum = np.concatenate([[0.0], np.cumsum(value[p[1]])])
-                    hi = np.maximum(lo, hi)
-                    total += run_sum[hi] - run_sum[lo]
-                    count += hi - lo
+                for slots, lo, hi in parts:
+                    run_sum = np.concatenate([[0.0], np.cumsum(value[slots])])
+                    total += run_sum[np.maximum(lo, hi)] - run_sum[lo]
+                    count += np.maximum(lo, hi) - lo
                 has = count > 0
                 s = np.clip(total[has] / count[has] + bias, -30, 30)
                 out[first : first + rows][has] = 1 / (1 + np.exp(-s))
