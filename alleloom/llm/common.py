@@ -125,7 +125,7 @@ def windows(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    acc = np.full(m, np.uint64(n) * _M1)
+    acc = np.full(m, np.uint64(n * int(_M1) & 0xFFFFFFFFFFFFFFFF))
     for k in range(n):
         acc = (acc ^ h[k : k + m]) * _M2
         acc ^= acc >> np.uint64(32)

@@ -17,6 +17,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alleloom.llm.substrings import digests
+
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alleloom.llm.url_filter import filtered
 
@@ -55,7 +61,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op5_url_filter, op6_language_id, op7_quality, op9_byte_bpe, op10_media)
+    own = (op1_packing, op3_substrings, op5_url_filter, op6_language_id, op7_quality, op9_byte_bpe, op10_media)
     return {f.__name__: f for f in own}
 
 
