@@ -23,6 +23,12 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alleloom.llm.jaccard import joined
+
+    return joined(table(spark, sf_dir, "documents").select("doc_id", "text"), 4, 85)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alleloom.llm.url_filter import filtered
 
@@ -61,7 +67,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op3_substrings, op5_url_filter, op6_language_id, op7_quality, op9_byte_bpe, op10_media)
+    own = (op1_packing, op3_substrings, op4_jaccard, op5_url_filter, op6_language_id, op7_quality, op9_byte_bpe, op10_media)
     return {f.__name__: f for f in own}
 
 
