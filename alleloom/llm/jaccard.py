@@ -135,7 +135,7 @@ _POP = np.array([bin(i).count("1") for i in range(256)], np.uint16)
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
-    return _POP[x].sum(-1)
+    return _POP[x].sum(-1, dtype=np.int64)
 
 
 class Tree:
