@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -46,9 +47,11 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of plans that are no longer referenced; its cleaner follows the collections."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
