@@ -47,6 +47,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alleloom.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alleloom.llm.bpe import round_trips
 
@@ -67,7 +73,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op3_substrings, op4_jaccard, op5_url_filter, op6_language_id, op7_quality, op9_byte_bpe, op10_media)
+    own = (op1_packing, op3_substrings, op4_jaccard, op5_url_filter, op6_language_id, op7_quality, op8_embeddings, op9_byte_bpe, op10_media)
     return {f.__name__: f for f in own}
 
 
