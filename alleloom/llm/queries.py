@@ -17,6 +17,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: The queries' key; a corpus in use has a secret of its own.
+PII_KEY = b"surrogates of the test corpus"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alleloom.llm.pii import pseudonymised
+
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alleloom.llm.substrings import digests
 
@@ -73,7 +83,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op3_substrings, op4_jaccard, op5_url_filter, op6_language_id, op7_quality, op8_embeddings, op9_byte_bpe, op10_media)
+    own = (op1_packing, op2_pii, op3_substrings, op4_jaccard, op5_url_filter, op6_language_id, op7_quality, op8_embeddings, op9_byte_bpe, op10_media)
     return {f.__name__: f for f in own}
 
 
