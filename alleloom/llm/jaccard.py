@@ -318,10 +318,11 @@ def links(docs: DataFrame, sets: DataFrame, shingle: int, percent: int, block: i
                 if len(x):
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), b.column(2).slice(i, 1), binaries(x, np.array([len(x)]))], names=["cluster", "hub", "doc", "set"])
 
-    whole = written(docs.join(member, "doc").select("cluster", "hub", "doc", "text").mapInArrow(take, "cluster long, hub long, doc long, set binary"), "sets")
+    # texts and sets meet by sort and merge at every size, so what is moved grows with the input
+    whole = written(docs.join(member.hint("merge"), "doc").select("cluster", "hub", "doc", "text").mapInArrow(take, "cluster long, hub long, doc long, set binary"), "sets")
     free_shuffles(docs.sparkSession)
     hubs = whole.where("doc = hub").select("cluster", F.col("set").alias("hub_set")).dropDuplicates(["cluster"])
-    near = whole.where("doc <> hub").select("cluster", "doc", "set").join(hubs, "cluster").mapInArrow(_compare_with_hub(percent), "cluster long, doc long, near boolean, far double")
+    near = whole.where("doc <> hub").select("cluster", "doc", "set").join(hubs.hint("merge"), "cluster").mapInArrow(_compare_with_hub(percent), "cluster long, doc long, near boolean, far double")
     near = written(near, "near")
     to_hub = near.where("near").select(F.col("doc").alias("a"), F.col("cluster").alias("cluster")).join(size.select("cluster", F.col("hub").alias("b")), "cluster").select("a", "b")
     # what the hub leaves over, and which linked sets are in its reach
@@ -338,7 +339,7 @@ def links(docs: DataFrame, sets: DataFrame, shingle: int, percent: int, block: i
     odds = F.when(F.col("p1") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("p1") - 1, F.lit(0))), lambda x: x * 2 + 1)).otherwise(F.array().cast("array<int>"))
     met = dealt.withColumn("other", F.explode(F.when(F.col("side") == 0, F.concat(evens, odds)).otherwise(evens)))
     met = met.select("cluster", "doc", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    with_sets = met.join(whole.select("doc", "set"), "doc").select("cluster", "i", "j", "block", "doc", "set")
+    with_sets = met.hint("merge").join(whole.select("doc", "set"), "doc").select("cluster", "i", "j", "block", "doc", "set")
     found = with_sets.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc").mapInArrow(_join_blocks(percent), "a long, b long")
     return equal.unionByName(to_hub).unionByName(found).where("a <> b")
 
@@ -354,5 +355,6 @@ def joined(docs: DataFrame, shingle: int = 4, percent: int = 85, key: str = "doc
 
 def kept(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs' rows of the smallest id in each component (rows without id stay); rows of one id are one document."""
-    gone = joined(docs, shingle, percent, key, text).where("component_id <> doc_id" if key == "doc_id" else f"component_id <> {key}").select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    found = joined(docs.select(key, text), shingle, percent, key, text)
+    gone = written(found.where(F.col("component_id") != F.col(key)).select(key).distinct(), "gone")
+    return docs.join(gone.hint("merge"), key, "left_anti")
