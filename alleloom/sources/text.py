@@ -72,7 +72,7 @@ def read_vcf(spark: SparkSession, paths: list[str], contigs: DataFrame) -> DataF
     w = F.split("line", "\t")
     rows = t.where("not startswith(line, '#') and line <> ''").select("ord", w.alias("w"))
     one = F.when(F.size("w") != 10, F.raise_error(F.lit("exactly one sample is expected"))).otherwise(F.split(F.get("w", 9), ":")[0])
-    g = rows.select("ord", F.get("w", 0).alias("name"), F.get("w", 1).cast("int").alias("pos"), F.get("w", 3).alias("ref"), F.when(F.get("w", 4) == ".", F.array().cast("array<string>")).otherwise(F.split(F.get("w", 4), ",")).alias("alts"), F.coalesce(one.cast("string"), F.lit(".")).alias("gt"))
+    g = rows.select("ord", F.get("w", 0).alias("name"), F.expr("try_cast(get(w, 1) as int)").alias("pos"), F.get("w", 3).alias("ref"), F.when(F.get("w", 4) == ".", F.array().cast("array<string>")).otherwise(F.split(F.get("w", 4), ",")).alias("alts"), F.coalesce(one.cast("string"), F.lit(".")).alias("gt"))
     return _named(_genotyped(g), contigs)
 
 
