@@ -71,64 +71,87 @@ def _seeds(window: int):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by seed and document: runs of windows that a smaller document has."""
-    held: tuple[int, np.ndarray, np.ndarray] | None = None  # seed, hashes seen under it, their smallest documents
-    for b in batches:
-        if not b.num_rows:
-            continue
-        seed, doc, tag, start = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        bin_ = b.column(4).cast(pa.large_binary())
-        off = np.frombuffer(bin_.buffers()[1], np.int64)[bin_.offset : bin_.offset + len(bin_) + 1]
-        flat = np.frombuffer(bin_.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.uint32)
-        count = np.diff(off) // 4
-        goes_on = held is not None and held[0] == seed[0]
-        alone = np.ones(len(seed), bool)
-        alone[1:] &= seed[1:] != seed[:-1]
-        alone[:-1] &= seed[:-1] != seed[1:]
-        alone[-1] = False
-        if goes_on:
-            alone[0] = False
-        rows = np.flatnonzero(~alone)
-        of = np.repeat(rows, count[rows])
-        place = np.arange(len(of)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
-        w = flat[((off[:-1] - off[0]) // 4)[of] + place]
-        s, d = seed[of], doc[of]
-        if goes_on:
-            k = len(held[1])
-            w, s, d = np.concatenate([held[1], w]), np.concatenate([np.full(k, held[0]), s]), np.concatenate([held[2], d])
-            of, place = np.concatenate([np.full(k, -1), of]), np.concatenate([np.zeros(k, np.int64), place])
-        order = np.lexsort((d, w, s))
-        w, s, d, of, place = w[order], s[order], d[order], of[order], place[order]
-        head = np.ones(len(w), bool)
-        head[1:] = (w[1:] != w[:-1]) | (s[1:] != s[:-1])
-        least = d[head][np.cumsum(head) - 1]
-        end = head & (s == seed[-1])
-        held = (seed[-1], w[end], d[end])
-        found = np.flatnonzero((d > least) & (of >= 0))
-        if not len(found):
-            continue
-        of, place = of[found], place[found]
-        order = np.lexsort((place, of))
-        of, place = of[order], place[order]
-        new = np.flatnonzero((np.diff(of, prepend=-2) != 0) | (np.diff(place, prepend=-2) != 1))
-        n = np.diff(np.append(new, len(of)))
-        r = of[new]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(tag[r]), pa.array((start[r] + place[new]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["_doc", "_tag", "start", "n"])
+def _repeated(with_first: bool):
+    """From rows sorted by seed and document: runs of windows that a smaller document has.
+
+    with_first: also the windows of the smallest document that a greater one has, marked `first`; they may come twice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # the seed at hand, and (hash, document, tag, start) of the smallest document's windows under it
+        for b in batches:
+            if not b.num_rows:
+                continue
+            seed, doc, tag, start = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            bin_ = b.column(4).cast(pa.large_binary())
+            off = np.frombuffer(bin_.buffers()[1], np.int64)[bin_.offset : bin_.offset + len(bin_) + 1]
+            flat = np.frombuffer(bin_.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.uint32)
+            count = np.diff(off) // 4
+            goes_on = held is not None and held[0] == seed[0]
+            alone = np.ones(len(seed), bool)
+            alone[1:] &= seed[1:] != seed[:-1]
+            alone[:-1] &= seed[:-1] != seed[1:]
+            alone[-1] = False
+            if goes_on:
+                alone[0] = False
+            rows = np.flatnonzero(~alone)
+            of = np.repeat(rows, count[rows])
+            place = np.arange(len(of)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
+            w = flat[((off[:-1] - off[0]) // 4)[of] + place]
+            s, d, t, at = seed[of], doc[of], tag[of], start[of] + place
+            if goes_on:
+                w, d, t, at = (np.concatenate([x, y]) for x, y in zip(held[1:], (w, d, t, at), strict=True))
+                s = np.concatenate([np.full(len(w) - len(s), held[0]), s])
+            new = np.arange(len(w)) >= len(w) - len(of)
+            order = np.lexsort((d, w, s))
+            w, s, d, t, at, new = w[order], s[order], d[order], t[order], at[order], new[order]
+            head = np.ones(len(w), bool)
+            head[1:] = (w[1:] != w[:-1]) | (s[1:] != s[:-1])
+            group = np.cumsum(head) - 1
+            least = d[head][group]
+            end = (s == seed[-1]) & ((d == least) if with_first else head)
+            held = (seed[-1], w[end], d[end], t[end], at[end])
+            later = (d > least) & new
+            yield from _runs(d[later], t[later], at[later], False if with_first else None)
+            if with_first:
+                shared = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
+                shared[group[later]] = True
+                own = shared[group] & (d == least) if len(group) else np.zeros(0, bool)
+                yield from _runs(d[own], t[own], at[own], True)
+
+    return run
+
+
+def _runs(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, first: bool | None) -> Iterator[pa.RecordBatch]:
+    """Windows as runs of consecutive ones."""
+    if not len(doc):
+        return
+    order = np.lexsort((at, tag, doc))
+    doc, tag, at = doc[order], tag[order], at[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] > at[:-1] + 1)
+    i = np.flatnonzero(new)
+    end = at[np.append(i[1:], len(at)) - 1] + 1
+    columns = [pa.array(doc[i]), pa.array(tag[i].astype(np.int32)), pa.array(at[i].astype(np.int32)), pa.array((end - at[i]).astype(np.int32))]
+    names = ["_doc", "_tag", "start", "n"]
+    if first is not None:
+        columns.append(pa.array(np.full(len(i), first)))
+        names.append("first")
+    yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 _SEEDS = "seed long, _doc long, _tag int, start int, hashes binary"
 _RUNS = "_doc long, _tag int, start int, n int"
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    return rows.repartition("seed").sortWithinPartitions("seed", "_doc", "_tag", "start").mapInArrow(_repeated, _RUNS)
+def _met(rows: DataFrame, with_first: bool = False) -> DataFrame:
+    return rows.repartition("seed").sortWithinPartitions("seed", "_doc", "_tag", "start").mapInArrow(_repeated(with_first), _RUNS + (", first boolean" if with_first else ""))
 
 
-def repeated_windows(docs: DataFrame, window: int, text: str = "text") -> DataFrame:
-    """Runs (_doc, _tag, start, n): the n windows from word `start` on are repeated. docs has been `keyed`."""
+def repeated_windows(docs: DataFrame, window: int, text: str = "text", with_first: bool = False) -> DataFrame:
+    """Runs (_doc, _tag, start, n[, first]): the n windows from word `start` on are repeated. docs has been `keyed`."""
     rows = docs.select("_doc", "_tag", text).mapInArrow(_seeds(window), _SEEDS)
-    runs = written(_met(rows), "runs")
+    runs = written(_met(rows, with_first), "runs")
     free_shuffles(docs.sparkSession)
     return runs
 
@@ -200,15 +223,15 @@ def digests(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str =
 def passages(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(_doc, _tag, start, n, length): repeated windows of window, 2 * window, 4 * window, ... words, level by level."""
     known = keyed(docs, key, text)
-    runs, length = repeated_windows(known, window, text), window
-    out = runs.withColumn("length", F.lit(length))
+    runs, length = repeated_windows(known, window, text, True), window
+    out = runs.where("not first").drop("first").withColumn("length", F.lit(length))
     while True:
         half, length = length, 2 * length
         state = known.select("_doc", "_tag", text).join(_by_document(runs), ["_doc", "_tag"])
-        runs = written(_met(state.mapInArrow(_extended(half), _SEEDS)), "runs")
+        runs = written(_met(state.mapInArrow(_extended(half), _SEEDS), True), "runs")
         if runs.isEmpty():
             return out
-        out = out.unionByName(runs.withColumn("length", F.lit(length)))
+        out = out.unionByName(runs.where("not first").drop("first").withColumn("length", F.lit(length)))
 
 
 def _extended(half: int):
