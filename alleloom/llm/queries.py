@@ -88,6 +88,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from alleloom.llm import url_filter
+    from alleloom.llm import jaccard, substrings, url_filter
 
-    return {"op5_url_filter": url_filter.SQL}
+    return {"op3_substrings": substrings.SQL, "op4_jaccard": jaccard.SQL, "op5_url_filter": url_filter.SQL}

@@ -253,3 +253,16 @@ def _extended(half: int):
                         yield pa.RecordBatch.from_arrays([pa.array(signed(a[g])), pa.array(np.full(len(g), doc[first + i])), pa.array(np.full(len(g), tag[first + i], np.int32)), pa.array(at.astype(np.int32)), binaries((w[g] >> np.uint64(32)).astype(np.uint32), np.ones(len(g), np.int64))], names=["seed", "_doc", "_tag", "start", "hashes"])
 
     return run
+
+
+#: digests() with 13 words in DuckDB.
+SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+x as (select doc_id, unnest(range(1, len(w) - 11)) p, w from d where len(w) >= 13),
+k as (select doc_id, p, array_to_string(list_slice(w, p, p + 12), ' ') s from x),
+f as (select s, min(doc_id) m from k group by 1),
+c as (select distinct doc_id, unnest(range(p, p + 13)) i from k join f using (s) where m < doc_id),
+e as (select doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) i from d),
+g as (select e.doc_id, count(*) n_words, count(c.i) n_removed, coalesce(string_agg(case when c.i is null then e.word end, ' ' order by e.i), '') kept from e left join c on c.doc_id = e.doc_id and c.i = e.i group by 1)
+select d.doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join g using (doc_id)
+"""
