@@ -130,7 +130,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     n, df = document_frequencies(usable)
     idf = np.log((1 + n) / (1 + df)) + 1
     # the sample's features are made where the texts are; the driver gets `sample` sparse vectors at most
-    chosen = usable.select("id", "lang", F.xxhash64("id").alias("h"), "text").orderBy("h", "id").limit(sample)
+    # which rows is settled without their texts, so no task gathers more than `sample` small rows from each other task
+    known = usable.withColumn("h", F.xxhash64("id")).withColumn("th", F.xxhash64("text"))
+    ids = known.select("h", "id", "th").orderBy("h", "id", "th").limit(sample).select("id", "th").distinct()
+    chosen = known.join(F.broadcast(ids), ["id", "th"]).dropDuplicates(["id", "th"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
