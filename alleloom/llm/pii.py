@@ -244,7 +244,8 @@ def pseudonymised(docs: DataFrame, key: bytes, id_column: str = "doc_id", text:
     named = written(named, "named")
     free_shuffles(docs.sparkSession)
     listed = named.groupBy("_doc", "_tag").agg(F.sort_array(F.collect_list(F.struct("start", "end", "surrogate"))).alias("_new"))
-    joined = known.join(listed, ["_doc", "_tag"], "left").select(*(F.col(f"`{c}`") for c in keep), "_new")
+    # by sort and merge at every size, so what is moved grows with the input
+    joined = known.join(listed.hint("merge"), ["_doc", "_tag"], "left").select(*(F.col(f"`{c}`") for c in keep), "_new")
     schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add("n_entities", T.IntegerType())
     where = keep.index(text)
 
