@@ -143,7 +143,7 @@ def bitmap(x: np.ndarray, width: int) -> np.ndarray:
     """The token bitmap of a set, in 64-bit words; OR of its halves is the bitmap of half the width."""
     out = np.zeros(width // 64, np.uint64)
     slot = mix(x) & np.uint64(width - 1)
-    np.bitwise_or.at(out, (slot & np.uint64(width // 64 - 1)).astype(np.int64), np.uint64(1) << (slot >> np.uint64((width // 64).bit_length() - 1)))
+    np.bitwise_or.at(out, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
     return out
 
 

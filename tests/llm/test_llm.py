@@ -261,6 +261,12 @@ def test_trees_find_a_spanning_forest():
         assert parts((a, half + b) for a, b in across) == parts((a, b) for a, b in true if a < half <= b)
 
 
+def test_folded_bitmaps_are_those_of_less_width():
+    x = np.random.default_rng(4).integers(0, 1 << 63, 500, dtype=np.uint64)
+    for width in (256, 512, 1024):
+        assert (jaccard.folded(jaccard.bitmap(x, 4096), width // 64) == jaccard.bitmap(x, width)).all()
+
+
 def test_block_pairs(spark):
     """A chain of near copies longer than a block, of which the hub links only the first ones."""
     w = [f"w{i}" for i in range(400)]
