@@ -8,7 +8,10 @@ dealt into chunks, each with all its own neighbours, so no row set grows with th
 
 A list is saturated when all its entries reach the threshold. Lists are then enlarged as far as they can matter: every
 group that the threshold edges connect is compared in whole, block by block in tasks of their own, which yields counts of
-links, not pairs. An audit compares a fixed sample of nodes with all vectors; while the recall of their links is below
+links, not pairs, so members of a node's own group need no more places in its list. A node gets `k` further places for
+nodes outside its group; these start from projections in which each group takes part with a few members, and are refined
+like the rest. Groups that a link is found between become one, and their nodes' outside places are free again, until no
+link leaves a group and no list of outside nodes is saturated. An audit compares a fixed sample of nodes with all vectors; while the recall of their links is below
 `recall`, further projections and rounds follow, up to `audits` times. Only edges at or over the threshold count.
 
 Defined results: a vector that is null, empty, zero, or holds null or non-finite components links with nothing, nor do
@@ -21,16 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alleloom.llm.common import components, runs_of, written
+from alleloom.llm.common import components, mix, runs_of, written
 
 BLOCK = 512
 CHUNK = 32
+#: Members of a group in one projection that looks for neighbours outside the groups.
+FEW = 8
 RUN = 128
 AUDIT = 512
-_GRAPH = "id long, nbr long, sim double"
+_GRAPH = "id long, nbr long, sim double, out boolean"
 
 
 def _unit(vecs: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -72,17 +77,20 @@ def _near_in_order(k: int):
         def compared(t: pa.Table) -> Iterator[pa.RecordBatch]:
             for lo in range(0, t.num_rows, RUN):
                 for part in _uniform(t.slice(lo, RUN)):
-                    ids, x = part.column("id").to_numpy(), _unit(part.column("vec"))
+                    ids, g, x = part.column("id").to_numpy(), part.column("g").to_numpy(), _unit(part.column("vec"))
                     s = x @ x.T
                     s[ids[:, None] == ids[None, :]] = -2
-                    top = np.argsort(-s, 1, kind="stable")[:, :k]
-                    r, c = np.arange(len(ids)).repeat(top.shape[1]), top.ravel()
-                    good = s[r, c] > -2
-                    r, c = r[good], c[good]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(ids[c]), pa.array(np.minimum(s[r, c], 1.0))], names=["id", "nbr", "sim"])
+                    apart = g[:, None] != g[None, :]
+                    for out in (False, True):
+                        sims = np.where(apart == out, s, -2)
+                        top = np.argsort(-sims, 1, kind="stable")[:, :k]
+                        r, c = np.arange(len(ids)).repeat(top.shape[1]), top.ravel()
+                        good = sims[r, c] > -2
+                        r, c = r[good], c[good]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(ids[c]), pa.array(np.minimum(s[r, c], 1.0)), pa.array(np.full(len(r), out))], names=["id", "nbr", "sim", "out"])
 
         for b in batches:
-            held.append(b.select(["id", "vec"]) if hasattr(b, "select") else b)
+            held.append(b.select(["id", "g", "vec"]) if hasattr(b, "select") else b)
             size += b.num_rows
             if size >= 4 * RUN:
                 yield from compared(pa.Table.from_batches(held))
@@ -94,7 +102,8 @@ def _near_in_order(k: int):
 
 
 def projected(nodes_: DataFrame, count: int, k: int, trees: int, seed: int) -> DataFrame:
-    """Starting neighbours (id, nbr, sim): the best k in runs of nodes that random projections put side by side."""
+    """Starting neighbours (id, nbr, sim, out): the best k within and the best k outside the group of a node (id, g, parts, vec)
+    in runs that random projections put side by side. Of a group, one member in `parts` takes part in a projection."""
     bits = max(1, min(62, int(np.ceil(np.log2(max(count, 2) / 16)))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,59 +111,67 @@ def projected(nodes_: DataFrame, count: int, k: int, trees: int, seed: int) -> D
             if not b.num_rows:
                 continue
             for t in _uniform(pa.Table.from_batches([b])):
-                x = _unit(t.column("vec"))
+                every = _unit(t.column("vec"))
+                ids, parts = t.column("id").to_numpy(), t.column("parts").to_numpy()
                 for tree in range(trees):
+                    here = np.flatnonzero(mix(ids.astype(np.uint64) ^ np.uint64((seed << 32) + tree + 1)) % parts.astype(np.uint64) == 0)
+                    x = every[here]
                     planes = np.random.default_rng((seed, tree)).normal(size=(x.shape[1], bits + 1))
                     p = x @ planes
                     c = ((p[:, :bits] > 0) << np.arange(bits)[::-1]).sum(1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), tree, np.int32)), pa.array(c), pa.array(p[:, bits]), *(t.column(k).combine_chunks() for k in ("id", "vec"))], names=["tree", "code", "p", "id", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), tree, np.int32)), pa.array(c), pa.array(p[:, bits]), *(t.column(k).combine_chunks().take(pa.array(here)) for k in ("id", "g", "vec"))], names=["tree", "code", "p", "id", "g", "vec"])
 
-    coded = nodes_.select("id", "vec").mapInArrow(code, "tree int, code long, p double, id long, vec binary")
+    coded = nodes_.select("id", "g", "parts", "vec").mapInArrow(code, "tree int, code long, p double, id long, g long, vec binary")
     order = ["tree", "code", "p", "id"]
     parts = int(nodes_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "vec").mapInArrow(_near_in_order(k), _GRAPH)
+    return coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "g", "vec").mapInArrow(_near_in_order(k), _GRAPH)
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
-    """The best k of (id, nbr, sim, new); a pair that was in a list before isn't new."""
-    one = rows.groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-    return one.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "nbr"))).where(F.col("r") <= k).drop("r")
+    """The best k of (id, nbr, sim, out, new) within and outside the group; a pair that was in a list before isn't new."""
+    one = rows.groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.max("out").alias("out"), F.min("new").alias("new"))
+    return one.withColumn("r", F.row_number().over(Window.partitionBy("id", "out").orderBy(F.desc("sim"), "nbr"))).where(F.col("r") <= k).drop("r")
 
 
 def _local_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in runs_of(batches, ["v", "c"]):
         v, c = t.column("v").to_numpy(), t.column("c").to_numpy()
         vecs = t.column("vec").combine_chunks()
-        u, least, new = t.column("u").to_numpy(), t.column("least").to_numpy(), t.column("new").to_numpy()
+        u, near, far, g, new = (t.column(k).to_numpy() for k in ("u", "near", "far", "g", "new"))
         edge = np.flatnonzero(np.append(True, (np.diff(v) != 0) | (np.diff(c) != 0)))
-        a, b, s = [], [], []
+        a, b, s, o = [], [], [], []
         sizes = {len(x.as_buffer()) for x in vecs}
         for lo, hi in zip(edge, np.append(edge[1:], len(v)), strict=True):
             if hi - lo < 2 or not new[lo:hi].any() or len(sizes) > 1 and len({len(vecs[i].as_buffer()) for i in range(lo, hi)}) > 1:
                 continue
             x = _unit(vecs[lo:hi])
-            g = x @ x.T
-            who, kth, fresh = u[lo:hi], least[lo:hi], new[lo:hi]
-            want = (g > kth[:, None]) & (fresh[:, None] | fresh[None, :]) & (who[:, None] != who[None, :])
+            sim = x @ x.T
+            who, group, fresh = u[lo:hi], g[lo:hi], new[lo:hi]
+            apart = group[:, None] != group[None, :]
+            want = (sim > np.where(apart, far[lo:hi, None], near[lo:hi, None])) & (fresh[:, None] | fresh[None, :]) & (who[:, None] != who[None, :])
             i, j = np.nonzero(want)
-            a.append(who[i]), b.append(who[j]), s.append(np.minimum(g[i, j], 1.0))
+            a.append(who[i]), b.append(who[j]), s.append(np.minimum(sim[i, j], 1.0)), o.append(apart[i, j])
         if a:
-            a, b, s = np.concatenate(a), np.concatenate(b), np.concatenate(s)
+            a, b, s, o = np.concatenate(a), np.concatenate(b), np.concatenate(s), np.concatenate(o)
             if len(a):
                 _, at = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(s[at])], names=["id", "nbr", "sim"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(s[at]), pa.array(o[at])], names=["id", "nbr", "sim", "out"])
 
 
 def refined(graph: DataFrame, nodes_: DataFrame, k: int) -> DataFrame:
-    """One round: graph (id, nbr, sim, new) with what the neighbours' neighbours add."""
-    kth = graph.groupBy("id").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("least"))
+    """One round: graph (id, nbr, sim, out, new) with what the neighbours' neighbours add; nodes have a group g."""
+
+    def least(rows: Column) -> Column:
+        return F.when(F.count(F.when(rows, 1)) >= k, F.min(F.when(rows, F.col("sim")))).otherwise(F.lit(-2.0))
+
+    kth = graph.groupBy("id").agg(least(~F.col("out")).alias("near"), least(F.col("out")).alias("far"))
     back = graph.select(F.col("nbr").alias("v"), F.col("id").alias("u"), "new")
     long = back.groupBy("v").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     back = back.join(long, "v").withColumn("c", F.pmod(F.xxhash64("u"), F.col("chunks")).cast("int"))
     ahead = graph.select(F.col("id").alias("v"), F.col("nbr").alias("u"), "new").join(long, "v", "left").withColumn("c", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
     met = ahead.select("v", "c", "u", "new").unionByName(back.select("v", "c", "u", "new")).groupBy("v", "c", "u").agg(F.max("new").alias("new"))
-    info = nodes_.select(F.col("id").alias("u"), "vec").join(kth.withColumnRenamed("id", "u"), "u", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
-    rows = met.join(info, "u").select("v", "c", "u", "new", "least", "vec")
+    info = nodes_.select(F.col("id").alias("u"), "g", "vec").join(kth.withColumnRenamed("id", "u"), "u", "left").withColumn("near", F.coalesce("near", F.lit(-2.0))).withColumn("far", F.coalesce("far", F.lit(-2.0)))
+    rows = met.join(info, "u").select("v", "c", "u", "new", "near", "far", "g", "vec")
     found = rows.repartition("v", "c").sortWithinPartitions("v", "c").mapInArrow(_local_joins, _GRAPH)
     return written(_best(graph.withColumn("new", F.lit(False)).unionByName(found.withColumn("new", F.lit(True))), k), "graph")
 
@@ -218,25 +235,59 @@ def audited(nodes_: DataFrame, found: DataFrame, threshold: float, sample: int =
     return 1.0 if not total else sum(min(mine.get(i, 0), n) for i, n in there.items()) / total
 
 
+def grouped(nodes_: DataFrame, groups: DataFrame | None, few: bool = False) -> DataFrame:
+    """nodes_ with their group g, which is the node itself if it is in none, and parts: 1, or with few, as many as leave FEW of a group."""
+    if groups is None:
+        return nodes_.withColumn("g", F.col("id")).withColumn("parts", F.lit(1))
+    size = groups.groupBy("g").agg(F.ceil(F.count("*") / FEW).cast("int").alias("parts"))
+    known = groups.join(size, "g") if few else groups.withColumn("parts", F.lit(1))
+    return nodes_.join(known, "id", "left").withColumn("g", F.coalesce("g", "id")).withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
+def regrouped(graph: DataFrame, groups: DataFrame) -> DataFrame:
+    """graph, both ways, with `out` as of these groups."""
+    both = graph.select("id", "nbr", "sim").unionByName(graph.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "sim"))
+    own, other = groups.select("id", F.col("g").alias("own")), groups.select(F.col("id").alias("nbr"), F.col("g").alias("other"))
+    marked = both.join(own, "id", "left").join(other, "nbr", "left")
+    return marked.select("id", "nbr", "sim", (F.coalesce("own", "id") != F.coalesce("other", "nbr")).alias("out"), F.lit(True).alias("new"))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, trees: int = 6, rounds: int = 4, recall: float = 0.99, audits: int = 3, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept, saturated) for every row with an id, and null links' results for the rest."""
     node, member = nodes(vectors, key, vector)
     count = node.count()
-    graph, lists = None, k
-    groups = found = None
+    graph = groups = found = None
     for go in range(audits):
-        start = projected(node, count, k, trees, seed=17 + go).withColumn("new", F.lit(True))
-        graph = written(_best(start if graph is None else graph.unionByName(start), lists), "graph")
-        for _ in range(rounds):
-            graph = refined(graph, node, lists)
-            if graph.where("new").count() <= 0.02 * lists * count:
+        known = grouped(node, groups)
+        start = projected(known, count, k, trees, seed=17 + go).withColumn("new", F.lit(True))
+        graph = written(_best(start if graph is None else graph.unionByName(start), k), "graph")
+        step = 0
+        while True:
+            for _ in range(rounds):
+                graph = refined(graph, known, k)
+                if graph.where("new").count() <= 0.02 * k * count:
+                    break
+            links = graph.where(F.col("out") & (F.col("sim") >= threshold))
+            crossed = not links.isEmpty()
+            full = crossed and not links.groupBy("id").count().where(F.col("count") >= k).isEmpty()
+            edges = links.select(F.col("id").alias("a"), F.col("nbr").alias("b"))
+            if groups is not None:
+                edges = edges.unionByName(groups.select(F.col("id").alias("a"), F.col("g").alias("b")))
+            if groups is None or crossed:
+                groups = written(components(edges).select("id", F.col("component").alias("g")), "groups")
+            # links fill the places outside, or led on from groups that were full: look outside the groups that are now
+            if not (full or step and crossed):
                 break
-        edges = graph.where(F.col("sim") >= threshold).select(F.col("id").alias("a"), F.col("nbr").alias("b"))
-        groups = written(components(edges).select("id", F.col("component").alias("g")), "groups")
+            step += 1
+            known = grouped(node, groups)
+            start = projected(grouped(node, groups, few=True), count, k, trees, seed=1000 * (go + 1) + step).withColumn("new", F.lit(True))
+            graph = written(_best(regrouped(graph, groups).unionByName(start), k), "graph")
+        graph = written(_best(regrouped(graph, groups), k), "graph")
         found = written(counted(groups, node, threshold), "links")
         if audited(node, found, threshold) >= recall:
             break
-    full = graph.groupBy("id").agg((F.min("sim") >= threshold).alias("saturated"))
+    best = graph.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "nbr"))).where(F.col("r") <= k)
+    full = best.groupBy("id").agg((F.min("sim") >= threshold).alias("saturated"))
     per = node.select("id", "m").join(groups, "id", "left").join(found, "id", "left").join(full, "id", "left")
     per = per.select("id", F.coalesce("g", "id").alias("g"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("saturated", F.lit(False)).alias("saturated"))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"))

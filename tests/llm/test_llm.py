@@ -393,6 +393,29 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_bridged_groups(spark):
+    """Two dense groups of which every node's nearest neighbours are of its own group, with links between them."""
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v)
+    x = []
+    for size in (15, 40, 300):
+        a = unit(rng.normal(size=64))
+        off = rng.normal(size=64)
+        across = unit(off - (off @ a) * a)
+        for centre in (a, 0.965 * a + np.sqrt(1 - 0.965**2) * across):
+            for _ in range(size):
+                own = rng.normal(size=64)
+                x.append(np.sqrt(0.95) * centre + np.sqrt(0.05) * unit(own - (own @ a) * a - (own @ across) * across))
+    x = np.array([*x, *rng.normal(size=(300, 64))], np.float32)
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    got = embeddings.near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(link.sum(1).tolist()))
+    assert {r["component_id"] for r in got if r["vec_id"] < 710} == {0, 30, 110}
+
+
 # --- op 9 -----------------------------------------------------------------------------------
 
 
