@@ -7,7 +7,7 @@ is repeated at one length is looked at at twice that length:
 * first level, ceil(window / 2) words: every window holds several such seeds; it is filed under the seed with the least
   hash, so equal windows are filed under equal seeds, and one row per seed carries the windows filed under it. Seeds are
   brought together by hash; a seed of one row ends there.
-* next level: the windows under a repeated seed are compared by hash (32 bits, and the seed's 64), and those of a document
+* next level: the windows under a repeated seed are compared by hash (64 bits, and the seed's 64), and those of a document
   above the smallest that has them are repeated.
 * `passages` goes on: a window of twice the length is a candidate where two repeated windows lie end to end; levels end
   when no candidate survives.
@@ -59,14 +59,13 @@ def _seeds(window: int):
                     least[better] = x[better]
                     at[better] = k
                 begins = np.flatnonzero(ok)
-                short = (whole >> np.uint64(32)).astype(np.uint32)
                 under = begins + at[begins]
                 new = np.flatnonzero(np.diff(under, prepend=-1))
                 count = np.diff(np.append(new, len(under)))
                 head = begins[new]
                 r = row[head]
                 start = head - np.searchsorted(row, r, "left")
-                yield pa.RecordBatch.from_arrays([pa.array(signed(small[under[new]])), pa.array(doc[first + r]), pa.array(tag[first + r].astype(np.int32)), pa.array(start.astype(np.int32)), binaries(short[begins], count)], names=["seed", "_doc", "_tag", "start", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(small[under[new]])), pa.array(doc[first + r]), pa.array(tag[first + r].astype(np.int32)), pa.array(start.astype(np.int32)), binaries(whole[begins], count)], names=["seed", "_doc", "_tag", "start", "hashes"])
 
     return run
 
@@ -85,8 +84,8 @@ def _repeated(with_first: bool):
             seed, doc, tag, start = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             bin_ = b.column(4).cast(pa.large_binary())
             off = np.frombuffer(bin_.buffers()[1], np.int64)[bin_.offset : bin_.offset + len(bin_) + 1]
-            flat = np.frombuffer(bin_.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.uint32)
-            count = np.diff(off) // 4
+            flat = np.frombuffer(bin_.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.uint64)
+            count = np.diff(off) // 8
             goes_on = held is not None and held[0] == seed[0]
             alone = np.ones(len(seed), bool)
             alone[1:] &= seed[1:] != seed[:-1]
@@ -97,7 +96,7 @@ def _repeated(with_first: bool):
             rows = np.flatnonzero(~alone)
             of = np.repeat(rows, count[rows])
             place = np.arange(len(of)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
-            w = flat[((off[:-1] - off[0]) // 4)[of] + place]
+            w = flat[((off[:-1] - off[0]) // 8)[of] + place]
             s, d, t, at = seed[of], doc[of], tag[of], start[of] + place
             if goes_on:
                 w, d, t, at = (np.concatenate([x, y]) for x, y in zip(held[1:], (w, d, t, at), strict=True))
@@ -250,7 +249,7 @@ def _extended(half: int):
                     at = at[ok[lo[i] + at]] if len(at) else at
                     if len(at):
                         g = lo[i] + at
-                        yield pa.RecordBatch.from_arrays([pa.array(signed(a[g])), pa.array(np.full(len(g), doc[first + i])), pa.array(np.full(len(g), tag[first + i], np.int32)), pa.array(at.astype(np.int32)), binaries((w[g] >> np.uint64(32)).astype(np.uint32), np.ones(len(g), np.int64))], names=["seed", "_doc", "_tag", "start", "hashes"])
+                        yield pa.RecordBatch.from_arrays([pa.array(signed(a[g])), pa.array(np.full(len(g), doc[first + i])), pa.array(np.full(len(g), tag[first + i], np.int32)), pa.array(at.astype(np.int32)), binaries(w[g], np.ones(len(g), np.int64))], names=["seed", "_doc", "_tag", "start", "hashes"])
 
     return run
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from alleloom.llm import bpe, embeddings, jaccard, langid, media, packing, pii, quality, substrings, url_filter
@@ -180,6 +181,23 @@ def test_substrings(spark, window):
     assert substrings.digests(frame(spark, []), window).count() == 0
 
 
+@pytest.mark.parametrize("low", [False, True])
+def test_windows_are_told_apart_by_64_bits(monkeypatch, low):
+    """Unlike windows under one seed, whose hashes differ in one half only, are not repeated; equal ones are."""
+    whole = substrings.windows
+
+    def half(row, h, n):
+        w, ok = whole(row, h, n)
+        return (w & np.uint64(0xFFFFFFFF) if low else w >> np.uint64(32) << np.uint64(32)) if n == 4 else w, ok
+
+    monkeypatch.setattr(substrings, "windows", half)
+    texts = [*(f"a b c x{i}" for i in range(60)), "a b c x7"]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(61), pa.int64()), pa.array([0] * 61, pa.int32()), pa.array(texts)], names=["_doc", "_tag", "text"])
+    rows = pa.Table.from_batches(substrings._seeds(4)(iter([docs]))).sort_by([("seed", "ascending"), ("_doc", "ascending")])
+    got = [r for b in substrings._repeated(False)(iter(rows.combine_chunks().to_batches())) for r in b.to_pylist()]
+    assert [(r["_doc"], r["start"], r["n"]) for r in got] == [(60, 0, 1)]
+
+
 def test_passages(spark):
     docs = [(i, t) for i, t in corpus(4) if i is not None]
     rows = substrings.passages(frame(spark, docs), 8).collect()
