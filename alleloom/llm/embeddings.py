@@ -11,8 +11,12 @@ group that the threshold edges connect is compared in whole, block by block in t
 links, not pairs, so members of a node's own group need no more places in its list. A node gets `k` further places for
 nodes outside its group; these start from projections in which each group takes part with a few members, and are refined
 like the rest. Groups that a link is found between become one, and their nodes' outside places are free again, until no
-link leaves a group and no list of outside nodes is saturated. An audit compares a fixed sample of nodes with all vectors; while the recall of their links is below
-`recall`, further projections and rounds follow, up to `audits` times. Only edges at or over the threshold count.
+link leaves a group and no list of outside nodes is saturated. Only edges at or over the threshold count.
+
+The number of projections grows with that of nodes, so that a lone pair at the threshold shares a run as often in a large
+table. An audit compares nodes, drawn by hash, with all vectors, and goes on until `LINKED` of them have links or all
+have been asked. While the recall of links, over all and on average over these nodes, is below `recall`, twice as many
+further projections and their rounds follow; when these would compare as many pairs as there are, all are compared.
 
 Defined results: a vector that is null, empty, zero, or holds null or non-finite components links with nothing, nor do
 vectors of different lengths with each other; rows of one id are one vertex; rows without id link with nothing.
@@ -35,6 +39,10 @@ CHUNK = 32
 FEW = 8
 RUN = 128
 AUDIT = 512
+#: Nodes with links that an audit must have seen.
+LINKED = 200
+#: Nodes in a block when all pairs are compared.
+WHOLE = 2048
 _GRAPH = "id long, nbr long, sim double, out boolean"
 
 
@@ -176,6 +184,43 @@ def refined(graph: DataFrame, nodes_: DataFrame, k: int) -> DataFrame:
     return written(_best(graph.withColumn("new", F.lit(False)).unionByName(found.withColumn("new", F.lit(True))), k), "graph")
 
 
+def _forest(link: np.ndarray) -> np.ndarray:
+    """The smallest position of each row's component in a symmetric matrix of links."""
+    label = np.arange(len(link))
+    while True:
+        low = np.minimum(label, np.where(link, label[None, :], len(link)).min(1, initial=len(link)))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _compared(threshold: float):
+    """_counted(), and edges (id, nbr) that connect what links connect in the two blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs_of(batches, ["g", "i", "j"]):
+            for n in _counted(threshold)(iter(t.combine_chunks().to_batches())):
+                yield pa.RecordBatch.from_arrays([n.column(0), n.column(1), pa.nulls(n.num_rows, pa.int64())], names=["id", "n", "nbr"])
+            g, i, j, ids = (t.column(k).to_numpy() for k in ("g", "i", "j", "id"))
+            vecs = t.column("vec").combine_chunks()
+            edge = np.flatnonzero(np.append(True, (np.diff(g) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)))
+            for lo, hi in zip(edge, np.append(edge[1:], len(g)), strict=True):
+                x, own = _unit(vecs[lo:hi]), ids[lo:hi]
+                label = _forest(x @ x.T >= threshold)
+                at = np.flatnonzero(label != np.arange(len(label)))
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(np.zeros(len(at), np.int64)), pa.array(own[label[at]])], names=["id", "n", "nbr"])
+
+    return run
+
+
+def compared(nodes_: DataFrame, threshold: float, block: int = WHOLE) -> tuple[DataFrame, DataFrame]:
+    """Groups (id, g) and links (id, n) from all pairs of nodes with vectors of one length."""
+    rows = written(_block_pairs(nodes_.select("id", F.octet_length("vec").cast("long").alias("g")), nodes_, block).mapInArrow(_compared(threshold), "id long, n long, nbr long"), "compared")
+    groups = written(components(rows.where("nbr is not null").select(F.col("id").alias("a"), F.col("nbr").alias("b"))).select("id", F.col("component").alias("g")), "groups")
+    return groups, written(rows.where("nbr is null").groupBy("id").agg(F.sum("n").alias("n")), "links")
+
+
 def _counted(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_of(batches, ["g", "i", "j"]):
@@ -198,41 +243,61 @@ def _counted(threshold: float):
     return run
 
 
-def counted(groups: DataFrame, nodes_: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(id, n): links of each node within its group (id, g), weighted by multiplicity."""
+def _block_pairs(groups: DataFrame, nodes_: DataFrame, block: int) -> DataFrame:
+    """Nodes of every pair (i, j) of their group's blocks, pair by pair."""
     size = groups.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     dealt = groups.join(size, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("g", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = met.join(nodes_, "id").select("g", "i", "j", "block", "id", "m", "vec").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "id")
-    return rows.mapInArrow(_counted(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def audited(nodes_: DataFrame, found: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Recall of links of a fixed sample of nodes, against all vectors, in blocks."""
-    asked = nodes_.orderBy(F.xxhash64("id"), "id").limit(sample).collect()  # `sample` vectors at most
-    if not asked:
-        return 1.0
-    ids = np.array([r["id"] for r in asked])
-    size = [len(r["vec"]) for r in asked]
-    same = max(set(size), key=size.count)
-    ids = ids[np.array(size) == same]
-    q = np.stack([np.frombuffer(bytes(r["vec"]), "<f4") for r in asked if len(r["vec"]) == same]).astype(float)
-    q /= np.sqrt((q * q).sum(1))[:, None]
+    return met.join(nodes_, "id").select("g", "i", "j", "block", "id", "m", "vec").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "id")
+
+
+def counted(groups: DataFrame, nodes_: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(id, n): links of each node within its group (id, g), weighted by multiplicity."""
+    return _block_pairs(groups, nodes_, block).mapInArrow(_counted(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def _asked(nodes_: DataFrame, asked: list, threshold: float) -> dict[int, int]:
+    """Links of the asked nodes, against all vectors, in blocks."""
+    of_length: dict[int, list] = {}
+    for r in asked:
+        of_length.setdefault(len(r["vec"]), []).append(r)
+    ids = {n: np.array([r["id"] for r in rs]) for n, rs in of_length.items()}
+    unit = {n: _unit(pa.array([bytes(r["vec"]) for r in rs], pa.binary())) for n, rs in of_length.items()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(ids), np.int64)
+        n = {size: np.zeros(len(x), np.int64) for size, x in ids.items()}
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
                 for t in _uniform(pa.Table.from_batches([b.slice(lo, 2048)])):
-                    if len(t.column("vec")[0].as_buffer()) == same:
-                        hit = (q @ _unit(t.column("vec")).T >= threshold) & (ids[:, None] != t.column("id").to_numpy()[None, :])
-                        n += hit @ t.column("m").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "n"])
+                    size = len(t.column("vec")[0].as_buffer())
+                    if size in ids:
+                        hit = (unit[size] @ _unit(t.column("vec")).T >= threshold) & (ids[size][:, None] != t.column("id").to_numpy()[None, :])
+                        n[size] += hit @ t.column("m").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(ids.values()))), pa.array(np.concatenate(list(n.values())))], names=["id", "n"])
+
+    return {r["id"]: r["n"] for r in nodes_.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+
 
-    there = {r["id"]: r["n"] for r in nodes_.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    mine = {r["id"]: r["n"] for r in found.where(F.col("id").isin([int(i) for i in ids])).collect()}
-    total = sum(there.values())
-    return 1.0 if not total else sum(min(mine.get(i, 0), n) for i, n in there.items()) / total
+def audited(nodes_: DataFrame, count: int, found: DataFrame, threshold: float, sample: int = AUDIT, linked: int = LINKED) -> float:
+    """Recall of links, over all and by node (the lower), of nodes drawn by hash until `linked` have links or all are asked."""
+    total, got, each, lo = 0, 0, [], 0.0
+    while lo < 1 and len(each) < linked:
+        hi = lo + sample / max(count, 1)
+        draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
+        asked = nodes_.where((draw >= lo) & (draw < hi)).collect()  # about `sample` vectors
+        there = {i: n for i, n in _asked(nodes_, asked, threshold).items() if n} if asked else {}
+        mine = {r["id"]: r["n"] for r in found.where(F.col("id").isin(list(there))).collect()} if there else {}
+        total += sum(there.values())
+        got += sum(min(mine.get(i, 0), n) for i, n in there.items())
+        each += [min(mine.get(i, 0), n) / n for i, n in there.items()]
+        lo, sample = hi, min(2 * sample, 4096)
+    return min(got / total, float(np.mean(each))) if each else 1.0
+
+
+def enough(count: int, trees: int) -> int:
+    """Projections, `trees` at least, that bring five of six lone pairs at a cosine of 0.9 into one run."""
+    share = 0.856 ** max(0.0, np.log2(max(count, 1) / RUN))
+    return trees if share > 0.99 else max(trees, int(np.ceil(np.log(1 / 6) / np.log(1 - share))))
 
 
 def grouped(nodes_: DataFrame, groups: DataFrame | None, few: bool = False) -> DataFrame:
@@ -252,12 +317,13 @@ def regrouped(graph: DataFrame, groups: DataFrame) -> DataFrame:
     return marked.select("id", "nbr", "sim", (F.coalesce("own", "id") != F.coalesce("other", "nbr")).alias("out"), F.lit(True).alias("new"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, trees: int = 6, rounds: int = 4, recall: float = 0.99, audits: int = 3, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, trees: int = 6, rounds: int = 4, recall: float = 0.99, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept, saturated) for every row with an id, and null links' results for the rest."""
     node, member = nodes(vectors, key, vector)
     count = node.count()
     graph = groups = found = None
-    for go in range(audits):
+    trees, go, done = enough(count, trees), 0, 0
+    while True:
         known = grouped(node, groups)
         start = projected(known, count, k, trees, seed=17 + go).withColumn("new", F.lit(True))
         graph = written(_best(start if graph is None else graph.unionByName(start), k), "graph")
@@ -284,7 +350,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, tre
             graph = written(_best(regrouped(graph, groups).unionByName(start), k), "graph")
         graph = written(_best(regrouped(graph, groups), k), "graph")
         found = written(counted(groups, node, threshold), "links")
-        if audited(node, found, threshold) >= recall:
+        if audited(node, count, found, threshold) >= recall:
+            break
+        go, done, trees = go + 1, done + trees, 2 * trees
+        if (done + trees) * RUN >= count:
+            groups, found = compared(node, threshold)
             break
     best = graph.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "nbr"))).where(F.col("r") <= k)
     full = best.groupBy("id").agg((F.min("sim") >= threshold).alias("saturated"))

@@ -434,6 +434,23 @@ def test_embeddings_of_bridged_groups(spark):
     assert {r["component_id"] for r in got if r["vec_id"] < 710} == {0, 30, 110}
 
 
+def test_embeddings_go_on_until_links_are_found(spark, monkeypatch):
+    """Rare pairs that the projections miss: an audit that sees them, and all pairs in the end."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x[2980:] = x[:20] + 0.02 * rng.normal(size=(20, 16))
+    x[2000], x[2001] = x[2980] + 0.02 * rng.normal(size=16), x[0]
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    link = u @ u.T >= 0.99
+    np.fill_diagonal(link, False)
+    monkeypatch.setattr(embeddings, "projected", lambda nodes_, *_, **__: spark.createDataFrame([], embeddings._GRAPH))
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>"), 0.99).collect()}
+    assert [got[i]["n_links"] for i in range(3000)] == link.sum(1).tolist()
+    assert [got[i]["component_id"] for i in (0, 2000, 2001, *range(2980, 3000))] == [0, 0, 0, *range(20)]
+    assert embeddings.enough(51_000, 6) == 6 and embeddings.enough(3_000_000, 6) > 12
+
+
 # --- op 9 -----------------------------------------------------------------------------------
 
 
