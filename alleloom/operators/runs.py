@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alleloom import schema as S
@@ -10,6 +16,8 @@ from alleloom.functions import scalars as X
 
 KEY = ("sample_ix", "chrom_ix")
 _JOINABLE = (*S.STRETCHES, *S.INDELS)
+#: Letters in a piece of a text.
+CHUNK = 65536
 
 
 def normalize(runs: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -106,34 +114,80 @@ def detect_density(raw: DataFrame, ref_bases: DataFrame, sample: int = 2048, den
     return "sparse" if before else None
 
 
-def diff(sample: DataFrame, reference: DataFrame) -> DataFrame:
+def cut_texts(texts: DataFrame, size: int = CHUNK, seq: str = "seq") -> DataFrame:
+    """Rows with a text as rows of pieces of `size` letters: the other columns, start, seq."""
+    keys = [c for c in texts.columns if c != seq]
+    schema = texts.select(*keys).schema.add("start", "integer").add("seq", "string")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for row in f[[*keys, seq]].itertuples(index=False):
+                for at in range(0, len(row[-1] or ""), size):
+                    yield pd.DataFrame([(*row[:-1], at, row[-1][at : at + size])], columns=[*keys, "start", "seq"])
+
+    return texts.mapInPandas(run, schema)
+
+
+def diff(sample: DataFrame, reference: DataFrame, size: int = CHUNK) -> DataFrame:
     """Runs of a sample's text against the reference text, per chromosome: (sample_ix, chrom_ix, seq) and (chrom_ix, seq).
 
     White space and control characters are skipped. N and - are uncalled, Q and the reference's own base match it,
     two-base letters are heterozygous, any base is uncalled where the reference is N. The shorter text ends the run.
     """
-    sep = r"[\x00-\x20]"
-    at = lambda df, c: df.withColumn("seq", F.regexp_replace("seq", sep, "")).select(*[k for k in df.columns if k != "seq"], F.posexplode(F.split("seq", "")).alias("pos", c)).where(F.col(c) != "")
-    both = at(sample, "q").join(at(reference, "r"), ["chrom_ix", "pos"])
-    return normalize(both.select("sample_ix", "chrom_ix", F.col("pos").alias("run_start"), (F.col("pos") + 1).alias("run_end"), diff_code(F.col("r"), F.col("q")).alias("code")))
+    plain = lambda df: cut_texts(df.withColumn("seq", F.regexp_replace("seq", r"[\x00-\x20]", "")), size)
+    return diff_chunks(plain(sample), plain(reference))
+
+
+def diff_chunks(sample: DataFrame, reference: DataFrame) -> DataFrame:
+    """diff() of texts that are already in chunks: (sample_ix, chrom_ix, start, seq) and (chrom_ix, start, seq)."""
+    both = sample.withColumnRenamed("seq", "smp_seq").join(reference.select("chrom_ix", "start", F.col("seq").alias("ref_seq")), ["chrom_ix", "start"])
+    return normalize(coded(both.select("sample_ix", "chrom_ix", "start", "ref_seq", "smp_seq")))
 
 
-def diff_code(ref: Column, letter: Column) -> Column:
-    """The run code of an ambiguity letter at a reference letter; an error for letters without meaning."""
-    r, q = F.upper(ref), F.upper(letter)
-    rc = X.base_code(r)
-    het = F.coalesce(*(F.when(q == k, X.code_from(rc, F.lit(S.BASES.index(v[0])), F.lit(S.BASES.index(v[1])))) for k, v in S.IUPAC.items()))
-    known = F.when(het.isNull(), F.raise_error(F.concat(F.lit("unexpected letter "), letter))).otherwise(het)
-    return F.when(q.isin("N", "-"), S.NS).when((q == "Q") | (q == r), F.when(rc.isNull(), S.NS).otherwise(S.EQS2)).when(rc.isNull(), S.NS).otherwise(known).cast("int")
+_BAD = -9
+
+
+@lru_cache(maxsize=1)
+def letter_codes() -> np.ndarray:
+    """The run code of every (reference byte, sample byte); _BAD where a letter has no meaning."""
+    out = np.full((256, 256), _BAD, np.int32)
+    bases = {ord(c): i for i, b in enumerate(S.BASES) for c in (b, b.lower())}
+    pairs = {ord(c): [S.BASES.index(x) for x in v] for k, v in S.IUPAC.items() for c in (k, k.lower())}
+    for r in range(256):
+        ref = bases.get(r)
+        out[r, [ord(c) for c in "Nn-"]] = S.NS
+        if ref is None:
+            out[r] = S.NS
+            continue
+        for q, alleles in pairs.items():
+            out[r, q] = S.code_of(ref, *alleles)
+        out[r, [ord("Q"), ord("q")]] = S.EQS2
+    return out
+
+
+def coded(pairs: DataFrame) -> DataFrame:
+    """Runs of (sample_ix, chrom_ix, start, ref_seq, smp_seq): texts side by side from position start on.
+
+    A letter without meaning at a known reference base is an error. Each pair is looked up as a whole, so it gives a row
+    for every run, not for every base; runs that go on in the next pair are left to normalize().
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = letter_codes()
+        for b in batches:
+            for sample, chrom, start, ref, smp in zip(*(b.column(i) for i in range(5)), strict=True):
+                r, q = (np.frombuffer((x.as_py() or "").encode("latin-1", "replace"), np.uint8) for x in (ref, smp))
+                n = min(len(r), len(q))
+                code = table[r[:n], q[:n]]
+                if (code == _BAD).any():
+                    raise ValueError(f"unexpected letter {chr(q[int(np.argmax(code == _BAD))])}")
+                new = np.ones(n, bool)
+                new[1:] = (code[1:] != code[:-1]) | ~np.isin(code[1:], S.STRETCHES)
+                at = np.flatnonzero(new)
+                s = start.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), sample.as_py(), np.int32)), pa.array(np.full(len(at), chrom.as_py(), np.int32)), pa.array((s + at).astype(np.int32)), pa.array((s + np.append(at[1:], n)[: len(at)]).astype(np.int32)), pa.array(code[at])], names=["sample_ix", "chrom_ix", "run_start", "run_end", "code"])
 
-def consensus(blocks: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
-    """One text per key, N where the rows differ; texts of unequal length are an error."""
-    at = blocks.select(*key, F.posexplode(F.split(seq, "")).alias("i", "c"), F.length(seq).alias("n"))
-    col = at.groupBy(*key, "i").agg(F.when(F.min("c") == F.max("c"), F.min("c")).otherwise("N").alias("c"), F.max("n").alias("hi"), F.min("n").alias("lo"))
-    out = col.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("x"), F.max("hi").alias("hi"), F.min("lo").alias("lo"))
-    text = F.array_join(F.transform("x", lambda x: x["c"]), "")
-    return out.select(*key, F.when(F.col("hi") == F.col("lo"), text).otherwise(F.raise_error(F.lit("texts of unequal length"))).alias(seq))
+    return pairs.mapInArrow(run, S.RUNS)
 
 
 def block_overlaps(blocks: DataFrame) -> DataFrame:
@@ -152,16 +206,17 @@ def assemble(blocks: DataFrame, contigs: DataFrame) -> DataFrame:
     Which blocks are kept depends on those kept before, so each chromosome's starts are folded in order.
     """
     kept = block_overlaps(blocks)
+    kind = blocks.schema["ord"].dataType.simpleString()
     folded = kept.groupBy("chrom_ix").agg(F.array_sort(F.collect_list(F.struct("start", "len", "ord"))).alias("b"))
-    start = F.struct(F.lit(0).cast("int").alias("at"), F.expr("cast(array() as array<struct<start:int,len:int,ord:long>>)").alias("kept"))
-    fold = F.aggregate("b", start, lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(F.struct((x["start"] + x["len"]).cast("int").alias("at"), F.concat(acc["kept"], F.array(F.struct(x["start"].cast("int").alias("start"), x["len"].cast("int").alias("len"), x["ord"].cast("long").alias("ord")))).alias("kept"))), lambda acc: acc["kept"])
+    start = F.struct(F.lit(0).cast("int").alias("at"), F.expr(f"cast(array() as array<struct<start:int,len:int,ord:{kind}>>)").alias("kept"))
+    fold = F.aggregate("b", start, lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(F.struct((x["start"] + x["len"]).cast("int").alias("at"), F.concat(acc["kept"], F.array(F.struct(x["start"].cast("int").alias("start"), x["len"].cast("int").alias("len"), x["ord"].alias("ord")))).alias("kept"))), lambda acc: acc["kept"])
     used = folded.select("chrom_ix", F.explode(fold).alias("x")).select("chrom_ix", F.col("x.start").alias("run_start"), (F.col("x.start") + F.col("x.len")).alias("run_end"), F.col("x.ord").alias("ord"))
     w = Window.partitionBy("chrom_ix").orderBy("run_start")
     ends = used.join(contigs.select("chrom_ix", "length"), "chrom_ix")
     after = ends.select("chrom_ix", F.col("run_end").alias("run_start"), F.coalesce(F.lead("run_start").over(w), F.col("length")).alias("run_end"))
     first = used.groupBy("chrom_ix").agg(F.min("run_start").alias("run_end")).select("chrom_ix", F.lit(0).alias("run_start"), "run_end")
     bare = contigs.join(used.select("chrom_ix").distinct(), "chrom_ix", "left_anti").select("chrom_ix", F.lit(0).alias("run_start"), F.col("length").alias("run_end"))
-    gaps = after.unionByName(first).unionByName(bare).where("run_end > run_start").withColumn("ord", F.lit(None).cast("long"))
+    gaps = after.unionByName(first).unionByName(bare).where("run_end > run_start").withColumn("ord", F.lit(None).cast(kind))
     return used.unionByName(gaps)
 
 

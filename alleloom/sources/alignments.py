@@ -11,21 +11,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alleloom.functions import scalars as X
-from alleloom.sources.files import decompressed, lines
+from alleloom.sources.files import decompressed, lines, opened
 
-BLOCKS = "block long, chrom string, start int, ref_seq string, smp_seq string"
+#: A block's place: file, path, line or block in the file, and which of several sample lines.
+PLACE = "struct<file:int,path:string,line:long,other:long>"
+BLOCKS = f"ord {PLACE}, block long, chrom string, start int, ref_seq string, smp_seq string"
 
 
 # --- MAF ------------------------------------------------------------------------------------
 
 
 def read_maf(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, block, species, chrom, start, size, strand, src_size, text): the s lines; a block runs from an a line to an empty one."""
+    """(file, path, ord, block, name, start, size, strand, src_size, text): the s lines; a block runs from an a line to an empty one."""
     t = lines(spark, paths)
-    w = Window.partitionBy("path").orderBy("ord")
+    w = Window.partitionBy("file", "path").orderBy("ord")
     t = t.withColumn("block", F.sum(F.col("line").rlike(r"^a(\s|$)").cast("int")).over(w)).where(F.col("line").rlike(r"^s\s"))
     p = F.split("line", r"\s+")
-    return t.select("path", "block", F.regexp_extract(p[1], r"^([^.]*)", 1).alias("species"), F.regexp_extract(p[1], r"^[^.]*\.(.*)$", 1).alias("chrom"), p[2].cast("int").alias("start"), p[3].cast("int").alias("size"), p[4].alias("strand"), p[5].cast("int").alias("src_size"), p[6].alias("text"))
+    return t.select("file", "path", "ord", "block", p[1].alias("name"), p[2].cast("int").alias("start"), p[3].cast("int").alias("size"), p[4].alias("strand"), p[5].cast("int").alias("src_size"), p[6].alias("text"))
 
 
 def chrom_index(df: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -39,19 +41,23 @@ def chrom_index(df: DataFrame, contigs: DataFrame) -> DataFrame:
 
 
 def maf_blocks(maf: DataFrame, ref_species: str, sample_species: str, contigs: DataFrame, reverse_from_end: bool = True) -> DataFrame:
-    """(block, chrom_ix, start, len, ref_seq, smp_seq) on the forward strand, without columns where the reference has a gap.
+    """(ord, chrom_ix, start, len, ref_seq, smp_seq) on the forward strand, without columns where the reference has a gap.
 
+    Every reference line of a block meets every sample line of it; ord is their place in the input.
     reverse_from_end: starts on the reverse strand count from the sequence's end, as the format says; False: the start is
     the position itself, less the length, plus one.
     """
-    ref, smp = maf.where(F.col("species") == ref_species), maf.where(F.col("species") == sample_species)
-    both = ref.join(smp.select("path", "block", F.col("text").alias("q")), ["path", "block"])
+    of = lambda species: maf.where((F.col("name") == species) | F.startswith("name", F.lit(species + ".")))
+    ref = of(ref_species).withColumn("chrom", F.substr("name", F.lit(len(ref_species) + 2)))
+    smp = of(sample_species).select("file", "path", "block", F.col("ord").alias("other"), F.col("text").alias("q"))
+    both = ref.join(smp, ["file", "path", "block"])
     pairs = F.filter(F.arrays_zip(F.split("text", "").alias("r"), F.split("q", "").alias("q")), lambda x: (x["r"] != "-") & (x["r"] != ""))
     both = both.withColumn("x", pairs)
     r, q = F.array_join(F.transform("x", lambda x: x["r"]), ""), F.array_join(F.transform("x", lambda x: x["q"]), "")
     back = F.col("strand") == "-"
     turned = F.col("src_size") - F.col("start") - F.col("size") if reverse_from_end else F.col("start") - F.col("size") + 1
-    out = both.select("path", "block", "chrom", F.when(back, turned).otherwise(F.col("start")).alias("start"), F.when(back, X.revcomp(r)).otherwise(r).alias("ref_seq"), F.when(back, X.revcomp(q)).otherwise(q).alias("smp_seq"))
+    place = F.struct("file", "path", F.col("ord").alias("line"), "other")
+    out = both.select(place.alias("ord"), "chrom", F.when(back, turned).otherwise(F.col("start")).alias("start"), F.when(back, X.revcomp(r)).otherwise(r).alias("ref_seq"), F.when(back, X.revcomp(q)).otherwise(q).alias("smp_seq"))
     return chrom_index(out, contigs).withColumn("len", F.length("ref_seq"))
 
 
@@ -167,14 +173,14 @@ _COMPLEMENT = str.maketrans("ACGTacgt", "TGCAtgca")
 
 
 def read_emf(spark: SparkSession, paths: list[str] | str, ref_species: tuple[str, str] = ("homo", "sapiens"), sample: tuple[str, str] | None = None, ancestor_of: tuple[str, str] | None = ("pan", "troglodytes"), contigs: DataFrame | None = None) -> DataFrame:
-    """Blocks (block, chrom, start, ref_seq, smp_seq[, chrom_ix, len]) of a sample species, or of the common ancestor with one.
+    """Blocks (ord, block, chrom, start, ref_seq, smp_seq[, chrom_ix, len]) of a sample species, or of the common ancestor with one.
 
     A folder stands for all its *.emf.gz files. Columns where the reference has a gap are removed.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for content in f["content"]:
+            for file, path, content in zip(f["file"], f["path"], f["content"], strict=True):
                 out, n = [], 0
                 for labels, tree, seqs in parse_emf(decompressed(bytes(content)).decode()):
                     root = parse_tree(tree, labels)
@@ -183,28 +189,29 @@ def read_emf(spark: SparkSession, paths: list[str] | str, ref_species: tuple[str
                         a, b = "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
                         if r.reverse:
                             a, b = a[::-1].translate(_COMPLEMENT), b[::-1].translate(_COMPLEMENT)
-                        out.append((n, r.chrom, r.start, a, b))
+                        out.append(((file, path, n, 0), n, r.chrom, r.start, a, b))
                         n += 1
-                yield pd.DataFrame(out, columns=["block", "chrom", "start", "ref_seq", "smp_seq"])
+                yield pd.DataFrame(out, columns=["ord", "block", "chrom", "start", "ref_seq", "smp_seq"])
 
-    reader = spark.read.format("binaryFile")
-    if isinstance(paths, str) and not paths.endswith((".emf", ".gz")):
-        reader, paths = reader.option("pathGlobFilter", "*.emf.gz"), [paths]
-    blocks = reader.load(paths).select("content").mapInPandas(run, BLOCKS)
+    folder = isinstance(paths, str) and not paths.endswith((".emf", ".gz"))
+    files = opened(spark, [paths] if isinstance(paths, str) else paths, "*.emf.gz" if folder else None)
+    blocks = files.mapInPandas(run, BLOCKS)
     return blocks if contigs is None else chrom_index(blocks, contigs).withColumn("len", F.length("ref_seq"))
 
 
 def import_blocks(blocks: DataFrame, contigs: DataFrame, sample_ix: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(runs, blocks with overlap warnings) of alignment blocks (chrom_ix, start, len, ref_seq, smp_seq)."""
+    """(runs, blocks with overlap warnings) of alignment blocks (ord, chrom_ix, start, len, ref_seq, smp_seq).
+
+    ord is the blocks' place in the input, any sortable value that two evaluations give alike and no two blocks share; of
+    blocks of one start the last counts.
+    """
     from alleloom import schema as S
     from alleloom.operators import runs as R
 
-    b = blocks.withColumn("ord", F.monotonically_increasing_id()) if "ord" not in blocks.columns else blocks
-    warned = R.block_overlaps(b.select("chrom_ix", "start", "len", "ord"))
-    placed = R.assemble(b.select("chrom_ix", "start", "len", "ord"), contigs)
-    kept = placed.where("ord is not null").select("chrom_ix", F.col("run_start").alias("start"), "ord").join(b.select("ord", "ref_seq", "smp_seq"), "ord")
-    at = kept.select("chrom_ix", "start", F.posexplode(F.arrays_zip(F.split("ref_seq", "").alias("r"), F.split("smp_seq", "").alias("q"))).alias("i", "x")).where("x.r <> '' and x.q <> ''")
-    pos = F.col("start") + F.col("i")
-    runs = at.select(F.lit(sample_ix).alias("sample_ix"), "chrom_ix", pos.alias("run_start"), (pos + 1).alias("run_end"), R.diff_code(F.col("x.r"), F.col("x.q")).alias("code"))
+    extent = blocks.select("chrom_ix", "start", "len", "ord")
+    warned = R.block_overlaps(extent)
+    placed = R.assemble(extent, contigs)
+    kept = placed.where("ord is not null").select("ord").join(blocks.select("ord", "chrom_ix", "start", "ref_seq", "smp_seq"), "ord")
+    runs = R.coded(kept.select(F.lit(sample_ix).alias("sample_ix"), "chrom_ix", "start", "ref_seq", "smp_seq"))
     gaps = placed.where("ord is null").select(F.lit(sample_ix).alias("sample_ix"), "chrom_ix", "run_start", "run_end", F.lit(S.NS).alias("code"))
     return R.normalize(runs.unionByName(gaps)), warned

@@ -25,8 +25,20 @@ def decompressed(data: bytes) -> bytes:
     return decompressed(b"".join(out))
 
 
+def opened(spark: SparkSession, paths: list[str], glob: str | None = None) -> DataFrame:
+    """(file, path, content): whole files; file is the place of its path among those given."""
+    reader = spark.read.format("binaryFile")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    files = [reader.load(p).select(F.lit(i).alias("file"), "path", "content") for i, p in enumerate(paths)]
+    out = files[0]
+    for f in files[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, ord, line) of text files, compressed or not, in the order of paths and lines.
+    """(file, path, ord, line) of text files, compressed or not; (file, path, ord) is the order of paths and lines.
 
     A file is one row of the scan and one task reads it: a compressed file can't be split.
     """
@@ -35,15 +47,10 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         import pandas as pd
 
         for f in frames:
-            for path, content in zip(f["path"], f["content"], strict=True):
+            for file, path, content in zip(f["file"], f["path"], f["content"], strict=True):
                 text = decompressed(bytes(content)).decode("utf-8", "replace").splitlines()
                 for i in range(0, len(text), 50_000):
                     part = text[i : i + 50_000]
-                    yield pd.DataFrame({"path": path, "ord": range(i, i + len(part)), "line": part})
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "path string, ord long, line string")
-
+                    yield pd.DataFrame({"file": file, "path": path, "ord": range(i, i + len(part)), "line": part})
 
-def plain_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line) of uncompressed text, scanned in splits; order is not kept."""
-    return spark.read.text(path).select(F.col("value").alias("line"))
+    return opened(spark, paths).mapInPandas(run, "file int, path string, ord long, line string")

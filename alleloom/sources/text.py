@@ -52,13 +52,14 @@ def chunks_of(fasta: DataFrame, contigs: DataFrame, size: int = 65536) -> DataFr
 def import_hetfa(fasta: DataFrame, contigs: DataFrame, chunks: DataFrame, sample_ix: int = 0) -> DataFrame:
     """Runs of a sample given as FASTA with ambiguity letters. Unknown names are ignored, of a repeated name the last counts,
     chromosomes without a record stay uncalled; a file without any known name is an error."""
-    from alleloom.operators.runs import diff
+    from alleloom.operators.runs import cut_texts, diff_chunks
 
     last = fasta.groupBy("name").agg(F.max_by("seq", "rec").alias("seq")).join(contigs.select("name", "chrom_ix"), "name")
     if last.isEmpty():
         raise ValueError("no sequence of the reference's names was found")
-    whole = chunks.groupBy("chrom_ix").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "seq"))), lambda x: x["seq"]), "").alias("seq"))
-    return diff(last.select(F.lit(sample_ix).alias("sample_ix"), "chrom_ix", "seq"), whole)
+    size = chunks.agg(F.max(F.length("seq"))).first()[0]  # chunks are of one size but for the last of a chromosome
+    texts = last.select(F.lit(sample_ix).alias("sample_ix"), "chrom_ix", F.regexp_replace("seq", r"[\x00-\x20]", "").alias("seq"))
+    return diff_chunks(cut_texts(texts, size), chunks)
 
 
 def read_vcf(spark: SparkSession, paths: list[str], contigs: DataFrame) -> DataFrame:
@@ -67,8 +68,7 @@ def read_vcf(spark: SparkSession, paths: list[str], contigs: DataFrame) -> DataF
     The genotype is the first field of the sample column; -1 is a missing allele, a null a2 a haploid call. Files with
     another number of samples are an error.
     """
-    order = F.coalesce(*(F.when(F.endswith("path", F.lit(p.split(":", 1)[-1].lstrip("/"))), i) for i, p in enumerate(paths)), F.lit(0))
-    t = lines(spark, paths).withColumn("ord", order * F.lit(1 << 40) + F.col("ord"))
+    t = lines(spark, paths).withColumn("ord", F.col("file") * F.lit(1 << 40) + F.col("ord"))
     w = F.split("line", "\t")
     rows = t.where("not startswith(line, '#') and line <> ''").select("ord", w.alias("w"))
     one = F.when(F.size("w") != 10, F.raise_error(F.lit("exactly one sample is expected"))).otherwise(F.split(F.get("w", 9), ":")[0])

@@ -1,6 +1,7 @@
 """The worked example, the formats, and properties of runs and merges."""
 
 import gzip
+import random
 import struct
 
 import pytest
@@ -205,6 +206,31 @@ def test_maf(spark, tmp_path):
     assert (0, 5, 6, S.TRANS2) in {tuple(r)[1:] for r in runs.collect()}
 
 
+def test_many_blocks_lie_where_they_belong(spark, tmp_path):
+    """Two files of many blocks, some of one start: a later block replaces an earlier one, the same in every evaluation."""
+    rng = random.Random(3)
+    contigs = spark.createDataFrame([(0, "1", 4000), (1, "X", 4000)], S.CONTIGS)
+    files, want = [], {}
+    for f in range(2):
+        text = ""
+        for _ in range(150):
+            chrom, start = rng.choice("1X"), rng.randrange(200) * 20
+            ref = "".join(rng.choice("TCAG") for _ in range(20))
+            smp = "".join(rng.choice("TCAG") for _ in range(20))
+            text += f"a\ns hg.chr{chrom} {start} 20 + 4000 {ref}\ns pt.z 0 20 + 20 {smp}\n\n"
+            want[chrom, start] = ref, smp
+        files.append(str(tmp_path / f"{9 - f}.maf"))
+        (tmp_path / f"{9 - f}.maf").write_text(text)
+    points = {(0 if c == "1" else 1, s + i, S.code_of(S.BASES.index(a), S.BASES.index(b), S.BASES.index(b))) for (c, s), (r, q) in want.items() for i, (a, b) in enumerate(zip(r, q, strict=True)) if a != b}
+    blocks = alignments.maf_blocks(alignments.read_maf(spark, files), "hg", "pt", contigs).repartition(7)
+    for _ in range(3):
+        rows = alignments.import_blocks(blocks, contigs)[0].collect()
+        assert {(r["chrom_ix"], r["run_start"], r["code"]) for r in rows if r["code"] not in S.STRETCHES} == points
+        for c in (0, 1):
+            spans = sorted((r["run_start"], r["run_end"]) for r in rows if r["chrom_ix"] == c)
+            assert spans[0][0] == 0 and spans[-1][1] == 4000 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_emf(spark, tmp_path):
     text = (
         "##c\nSEQ homo_sapiens 1 3 6 1 (chr)\nSEQ pan_troglodytes 1 11 14 1 (chr)\nSEQ ancestral_sequences Anc 1 4 1 (chr)\n"
