@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,35 +28,60 @@ SLICE_BYTES = 1 << 21
 # --- shared storage -------------------------------------------------------------------------
 
 
+#: Spark's own setting by which the shuffle files of a query go when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only if that is unset) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, it is a local one if Spark runs in one
+    process, as in tests; on a cluster it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+@contextmanager
+def _cleaned_up(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and a lost executor costs no recomputation."""
+    """df as a Parquet table in the shared folder: lineage ends here, and a lost executor costs no recomputation.
+
+    What the query that fills the table has shuffled is not needed once the table is there, so Spark drops it then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _cleaned_up(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that are no longer referenced; its cleaner follows the collections."""
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The place of rows without id in the order of documents.
+LAST = (1 << 63) - 1
+
+
+def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with a row's place in the order (_doc) and a digest of its text (_tag), which tells apart rows of one id."""
+    return docs.withColumn("_doc", F.coalesce(F.col(key).cast("long"), F.lit(LAST))).withColumn("_tag", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+
+
 # --- words ----------------------------------------------------------------------------------
 
 
@@ -85,14 +109,12 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ([^\\x20\\x09-\\x0D]+ within a row) as (row, start, end, 64-bit hash of the bytes)."""
-    if lower:
-        data = _LOWER[data]
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words ([^\\x20\\x09-\\x0D]+ within a row) as (row, start, end)."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(np.uint64)
+        return z, z, z
     word = ~_SPACE[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -103,7 +125,16 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     ends = edges[edges > 0] - 1
     last[ends] = word[ends]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    row = np.searchsorted(offsets, start, "right") - 1
+    return np.searchsorted(offsets, start, "right") - 1, start, end
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words as (row, start, end, 64-bit hash of the bytes)."""
+    if lower:
+        data = _LOWER[data]
+    row, start, end = spans(data, offsets)
+    if not len(row):
+        return row, start, end, np.zeros(0, np.uint64)
     length = end - start
     h = mix(length.astype(np.uint64) * _M1)
     live = np.flatnonzero(length <= _LONG_WORD)
@@ -190,10 +221,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = written(e, "edges")
     before = None
-    for _ in range(200):
+    for step in range(201):
         sums = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
         if sums == before or not sums[0]:
             break
+        if step == 200:  # a depth that falls geometrically is gone long before
+            raise RuntimeError("components are not settled after 200 rounds")
         before = sums
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alleloom.llm.common import binaries, components, free_shuffles, mix, runs_of, signed, text_slices, windows, words, written
+from alleloom.llm.common import binaries, components, mix, runs_of, signed, text_slices, windows, words, written
 
 BLOCK = 256
 #: Sets in a block of the traversal of bitmaps alone, which are small.
@@ -295,7 +295,6 @@ def _clusters(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     filed = docs.mapInArrow(file, "key long, doc long")
     stars = filed.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_stars, "a long, b long")
     stars = written(stars.distinct(), "stars")
-    free_shuffles(docs.sparkSession)
     return stars.select(F.col("b").alias("cluster"), F.col("a").alias("doc")).unionByName(stars.select(F.col("b").alias("cluster"), F.col("b").alias("doc")).distinct())
 
 
@@ -396,11 +395,9 @@ def links(docs: DataFrame, sets: DataFrame, shingle: int, percent: int, block: i
     # texts and sets meet by sort and merge at every size, so what is moved grows with the input
     wanted = member.select("doc").distinct()
     whole = written(docs.join(wanted.hint("merge"), "doc").select("doc", "text").mapInArrow(take, "doc long, n long, bits binary, set binary"), "sets")
-    free_shuffles(docs.sparkSession)
     sketches = _dealt(member, SKETCH_BLOCK).hint("merge").join(whole.select("doc", "n", "bits"), "doc").select("cluster", "i", "j", "block", "doc", "n", "bits")
     alike = sketches.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc").mapInArrow(_pairs_of_blocks(_sketch_join(percent), "bits"), _EDGES)
     groups = written(components(alike).select(F.col("id").alias("doc"), F.col("component").alias("cluster")), "groups")
-    free_shuffles(docs.sparkSession)
     size = groups.groupBy("cluster").agg(F.min("doc").alias("hub"))
     whole = whole.select("doc", "n", "set").join(groups.hint("merge"), "doc").join(size, "cluster")
     whole = written(whole, "grouped")

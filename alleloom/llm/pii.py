@@ -28,8 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alleloom.llm.common import free_shuffles, written
-from alleloom.llm.substrings import keyed
+from alleloom.llm.common import keyed, written
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NAME = r"[^\W\d_a-zß-öø-ÿа-яёα-ω][^\W\d_]*(?:[-'’][^\W\d_]+)*"
@@ -242,7 +241,6 @@ def pseudonymised(docs: DataFrame, key: bytes, id_column: str = "doc_id", text:
     # spans of one entity may be a third of all: a plain join, whose skewed side Spark splits
     named = spans.join(mapping, ["kind", "entity"]).select("_doc", "_tag", "start", "end", "surrogate")
     named = written(named, "named")
-    free_shuffles(docs.sparkSession)
     listed = named.groupBy("_doc", "_tag").agg(F.sort_array(F.collect_list(F.struct("start", "end", "surrogate"))).alias("_new"))
     # by sort and merge at every size, so what is moved grows with the input
     joined = known.join(listed.hint("merge"), ["_doc", "_tag"], "left").select(*(F.col(f"`{c}`") for c in keep), "_new")

@@ -1,19 +1,18 @@
 """Substring deduplication by level-wise doubling.
 
 A window is `window` consecutive words of one document. It is repeated if its words also start in a document with a
-smaller id. Levels run from half the window to the window (and on to twice, four times, ... it in `passages`); only what
-is repeated at one length is looked at at twice that length:
+smaller id. Levels run from short windows to `window` words (13: 7, 13; 50: 7, 13, 25, 50), and in `passages` on to twice,
+four times, ... that: a level's window is two windows of the level before, end to end or (odd lengths) sharing a word, and
+it is looked at only where both of these are repeated. Levels end at `window`, in `passages` when no candidate survives.
 
-* first level, ceil(window / 2) words: every window holds several such seeds; it is filed under the seed with the least
-  hash, so equal windows are filed under equal seeds, and one row per seed carries the windows filed under it. Seeds are
-  brought together by hash; a seed of one row ends there.
-* next level: the windows under a repeated seed are compared by hash (64 bits, and the seed's 64), and those of a document
-  above the smallest that has them are repeated.
-* `passages` goes on: a window of twice the length is a candidate where two repeated windows lie end to end; levels end
-  when no candidate survives.
+A level in Spark: texts are dealt by hash into shards of about `SHARD_BYTES`, whose words are numbered, so a window's place
+is one number. A shard sorts the hashes of its candidate windows. What it can settle alone, it settles: of equal windows
+of several documents only those of the shard's smallest one are still asked about. Questions go by hash to buckets of
+about `BUCKET` windows, one row per bucket and shard, and so do not grow with the number of documents that share a window:
+a passage that a third of all documents have is one question of each shard. A bucket answers with places, by shard.
 
-Rows of a seed come sorted by document, so a task keeps just the windows already seen of the seed at hand, however many
-rows share it.
+Short levels only have to lose nothing: their questions are 32 bits within a bucket, and the number of buckets grows with
+the number of words. From `window` words on, windows are told apart by 128 bits.
 
 Defined results: null is a text without words; shorter texts than a window lose nothing; a null id comes after all
 others, so it is never the smaller one; rows of one id do not remove each other's words; repeated rows give repeated rows.
@@ -21,7 +20,7 @@ others, so it is never the smaller one; rows of one id do not remove each other'
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,229 +28,386 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alleloom.llm.common import binaries, free_shuffles, signed, text_slices, windows, words, written
+from alleloom.llm.common import LAST, mix, runs_of, spans, text_slices, windows, words, written
 
-LAST = (1 << 63) - 1
+#: Bytes of text in a shard, windows in a bucket, and the fewest words of a first level.
+SHARD_BYTES = 16 << 20
+BUCKET = 1 << 22
+LEAST = 7
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
-def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with a row's place in the order (_doc) and a digest of its text (_tag), which tells apart rows of one id."""
-    return docs.withColumn("_doc", F.coalesce(F.col(key).cast("long"), F.lit(LAST))).withColumn("_tag", F.hash(F.coalesce(F.col(text), F.lit(""))))
+def levels(window: int, least: int = LEAST) -> list[int]:
+    """Window lengths, each at most twice the one before, up to `window`."""
+    out = [window]
+    while (half := -(-out[0] // 2)) >= least:
+        out.insert(0, half)
+    return out
 
 
-def _seeds(window: int):
-    seed = -(-window // 2)
+# --- numbers in few bytes ---------------------------------------------------------------------
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte: all first bytes, all second ones, ...; equal bytes in a row cost a shuffle little."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _numbers(data: pa.BinaryScalar, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(data.as_buffer(), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).ravel()
+
+
+def _rising(x: np.ndarray, kind: str) -> bytes:
+    x = x.astype(kind)
+    return _planes(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _risen(data: pa.BinaryScalar, kind: str) -> np.ndarray:
+    return np.cumsum(_numbers(data, kind), dtype=kind)
+
+
+# --- shards -----------------------------------------------------------------------------------
+
+_TEXTS = "shard int, kind int, _doc long, _tag long, block binary"
+#: What a level says of a shard's windows: places that are repeated; `later`: by a document above the smallest.
+_MARKS = "shard int, later boolean, block binary"
+
+
+class Shards:
+    """Texts dealt into shards, and how many buckets there are."""
+
+    def __init__(self, docs: DataFrame, window: int, key: str, text: str, shard_bytes: int, bucket: int):
+        size = F.octet_length(text)
+        total = docs.agg(F.sum(size)).first()[0] or 0
+        self.shards = max(1, -(-total // shard_bytes))
+        # a word and the space after it take two bytes at least; most take more, so buckets are rather small than large
+        self.buckets = max(1, -(-total // (4 * bucket)))
+        long = F.coalesce(size >= 2 * window - 1, F.lit(False))
+        doc, tag = F.coalesce(F.col(key).cast("long"), F.lit(LAST)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+        known = docs.select(doc.alias("_doc"), tag.alias("_tag"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), long.alias("long"))
+        self.long, self.short = known.where("long"), known.where("not long")
+
+    def rows(self, marks: DataFrame | None, whole: bool = False) -> DataFrame:
+        """(shard, kind, _doc, _tag, block, text[, row]), shard by shard: the marks, then the texts by document."""
+        keep = ["text", "row"] if whole else ["text"]
+        at = F.pmod(F.xxhash64("_doc", "_tag"), F.lit(self.shards)).cast("int").alias("shard")
+        out = self.long.select(at, F.lit(1).alias("kind"), "_doc", "_tag", F.lit(None).cast("binary").alias("block"), *keep)
+        if marks is not None:
+            later = F.when(F.col("later"), 1).otherwise(0).cast("long").alias("_doc")
+            out = out.unionByName(marks.select("shard", F.lit(0).alias("kind"), later, F.lit(None).cast("long").alias("_tag"), "block"), allowMissingColumns=True)
+        return out.repartition("shard").sortWithinPartitions("shard", "kind", "_doc", "_tag")
+
+    def rest(self) -> DataFrame:
+        """rows() of the texts that are too short for a window."""
+        return self.short.select(F.lit(0).alias("shard"), F.lit(1).alias("kind"), "_doc", "_tag", F.lit(None).cast("binary").alias("block"), "text", "row")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """Pieces of batches sorted by shard and kind: (shard, whether they are texts, rows)."""
+    for b in batches:
+        if b.num_rows:
+            shard, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+            at = np.flatnonzero((np.diff(shard) != 0) | (np.diff(kind) != 0)) + 1
+            for lo, hi in itertools.pairwise([0, *at.tolist(), b.num_rows]):
+                yield int(shard[lo]), bool(kind[lo]), b.slice(lo, hi - lo)
+
+
+def _fresh(b: pa.RecordBatch, before: tuple[int, int] | None) -> tuple[np.ndarray, tuple[int, int]]:
+    """Which rows are not the same document and text as the row before them."""
+    doc, tag = b.column(2).to_numpy(), b.column(3).to_numpy()
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+    new[0] = (doc[0], tag[0]) != before
+    return new, (doc[-1], tag[-1])
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """(shard, marked places, documents of its texts, text of each word, hash of each word); a repeated row counts once."""
+    for shard, parts in itertools.groupby(_parts(batches), key=lambda p: p[0]):
+        marks, docs, row, hashes, n, before = [], [], [], [], 0, None
+        for _, texts, b in parts:
+            if not texts:
+                marks += [_risen(x, "<u4") for x in b.column(4)]
+                continue
+            new, before = _fresh(b, before)
+            docs.append(b.column(2).to_numpy()[new])
+            for first, data, offsets in text_slices(b.column(5).filter(pa.array(new))):
+                r, _, _, h = words(data, offsets)
+                row.append(r + (n + first))
+                hashes.append(h)
+            n += int(new.sum())
+        if n:
+            yield shard, marks, np.concatenate(docs), np.concatenate(row), np.concatenate(hashes)
+
+
+# --- a level ------------------------------------------------------------------------------------
+
+#: Questions of a shard to a bucket (to >= 0), or what a shard settles itself (to < 0).
+_ASKED = "to long, shard int, later boolean, block binary, h binary, h2 binary, doc binary, known binary"
+_ARROW = pa.schema([("to", pa.int64()), ("shard", pa.int32()), ("later", pa.bool_()), ("block", pa.binary()), ("h", pa.binary()), ("h2", pa.binary()), ("doc", pa.binary()), ("known", pa.binary())])
+
+
+def _row(to: int, shard: int, later: bool, *binaries: bytes | None) -> pa.RecordBatch:
+    values = [to, shard, later, *binaries, *[None] * (5 - len(binaries))]
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _ARROW, strict=True)], schema=_ARROW)
+
+
+def _candidates(marks: list[np.ndarray], n: int, step: int) -> np.ndarray | slice:
+    """Windows of which both halves, `step` words apart, are marked."""
+    marked = np.zeros(n + step, bool)
+    for m in marks:
+        marked[m] = True
+    return np.flatnonzero(marked[:n] & marked[step : n + step])
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of groups of equal sorted keys, and each one's group."""
+    head = np.zeros(len(keys[0]), bool)
+    head[:1] = True
+    for k in keys:
+        head[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(head), np.cumsum(head) - 1
+
+
+def _questions(length: int, before: int | None, buckets: int, exact: bool, firsts: bool):
+    """What the shards settle and ask about windows of `length` words; before: the length of the level before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            doc, tag = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            for first, data, offsets in text_slices(b.column(2)):
-                row, _, _, h = words(data, offsets)
-                whole, ok = windows(row, h, window)
-                if not ok.any():
-                    continue
-                small, _ = windows(row, h, seed)
-                n = len(whole)
-                least, at = small[:n].copy(), np.zeros(n, np.int64)
-                for k in range(1, window - seed + 1):
-                    x = small[k : k + n]
-                    better = x < least
-                    least[better] = x[better]
-                    at[better] = k
-                begins = np.flatnonzero(ok)
-                under = begins + at[begins]
-                new = np.flatnonzero(np.diff(under, prepend=-1))
-                count = np.diff(np.append(new, len(under)))
-                head = begins[new]
-                r = row[head]
-                start = head - np.searchsorted(row, r, "left")
-                yield pa.RecordBatch.from_arrays([pa.array(signed(small[under[new]])), pa.array(doc[first + r]), pa.array(tag[first + r].astype(np.int32)), pa.array(start.astype(np.int32)), binaries(whole[begins], count)], names=["seed", "_doc", "_tag", "start", "hashes"])
+        for shard, marks, docs, row, hashes in _shards(batches):
+            h, ok = windows(row, hashes, length)
+            at = np.flatnonzero(ok)
+            if before is not None:
+                c = _candidates(marks, len(h), length - before)
+                at = c[ok[c]]
+            if not len(at):
+                continue
+            h = h[at]
+            if exact:
+                h2 = windows(row, mix(hashes ^ _OTHER), length)[0][at]
+                order = np.lexsort((h2, h))
+                h, h2, at = h[order], h2[order], at[order]
+                begin, group = _groups(h, h2)
+            else:
+                order = np.argsort(h, kind="stable")
+                h, at = h[order], at[order]
+                begin, group = _groups(h)
+            # within a group places rise, and so do documents
+            doc = docs[row[at]]
+            least = doc[begin][group]
+            shared = (doc[np.append(begin[1:], len(doc)) - 1] != doc[begin])[group]
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            edge = np.append(_groups(bucket)[0], len(bucket))
+            if not exact:
+                if shared.any():
+                    yield _row(-1 - shard, shard, False, _rising(np.sort(at[shared]), "<u4"))
+                known = np.zeros(len(at), bool)
+                known[begin] = shared[begin]
+                for lo, hi in itertools.pairwise(edge.tolist()):
+                    part = slice(lo, hi)
+                    ask, low = ~shared[part], h[part].astype("<u4")
+                    yield _row(int(bucket[lo]), shard, False, _planes(at[part][ask].astype("<u4")), _rising(low[ask], "<u4"), None, None, _rising(low[known[part]], "<u4"))
+                continue
+            later = doc > least
+            if later.any():
+                yield _row(-1 - shard, shard, True, _rising(np.sort(at[later]), "<u4"))
+            if firsts and (own := shared & ~later).any():
+                yield _row(-1 - shard, shard, False, _rising(np.sort(at[own]), "<u4"))
+            for lo, hi in itertools.pairwise(edge.tolist()):
+                part = lo + np.flatnonzero(~later[lo:hi])
+                yield _row(int(bucket[lo]), shard, False, _planes(at[part].astype("<u4")), _rising(h[part], "<u8"), _planes(h2[part]), _planes(doc[part]))
 
     return run
 
 
-def _repeated(with_first: bool):
-    """From rows sorted by seed and document: runs of windows that a smaller document has.
+def _answers(exact: bool, firsts: bool):
+    """Answers to the questions of all shards, bucket by bucket; what shards settled passes through."""
 
-    with_first: also the windows of the smallest document that a greater one has, marked `first`; they may come twice.
-    """
+    def said(shard: np.ndarray, at: np.ndarray, later: bool) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((at, shard))
+        shard, at = shard[order], at[order]
+        begin, _ = _groups(shard)
+        blocks = [_rising(at[lo:hi], "<u4") for lo, hi in itertools.pairwise([*begin.tolist(), len(at)])]
+        yield pa.RecordBatch.from_arrays([pa.array(shard[begin].astype(np.int32)), pa.array([later] * len(begin), pa.bool_()), pa.array(blocks, pa.binary())], names=["shard", "later", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the seed at hand, and (hash, document, tag, start) of the smallest document's windows under it
-        for b in batches:
-            if not b.num_rows:
-                continue
-            seed, doc, tag, start = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            bin_ = b.column(4).cast(pa.large_binary())
-            off = np.frombuffer(bin_.buffers()[1], np.int64)[bin_.offset : bin_.offset + len(bin_) + 1]
-            flat = np.frombuffer(bin_.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.uint64)
-            count = np.diff(off) // 8
-            goes_on = held is not None and held[0] == seed[0]
-            alone = np.ones(len(seed), bool)
-            alone[1:] &= seed[1:] != seed[:-1]
-            alone[:-1] &= seed[:-1] != seed[1:]
-            alone[-1] = False
-            if goes_on:
-                alone[0] = False
-            rows = np.flatnonzero(~alone)
-            of = np.repeat(rows, count[rows])
-            place = np.arange(len(of)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
-            w = flat[((off[:-1] - off[0]) // 8)[of] + place]
-            s, d, t, at = seed[of], doc[of], tag[of], start[of] + place
-            if goes_on:
-                w, d, t, at = (np.concatenate([x, y]) for x, y in zip(held[1:], (w, d, t, at), strict=True))
-                s = np.concatenate([np.full(len(w) - len(s), held[0]), s])
-            new = np.arange(len(w)) >= len(w) - len(of)
-            order = np.lexsort((d, w, s))
-            w, s, d, t, at, new = w[order], s[order], d[order], t[order], at[order], new[order]
-            head = np.ones(len(w), bool)
-            head[1:] = (w[1:] != w[:-1]) | (s[1:] != s[:-1])
-            group = np.cumsum(head) - 1
-            least = d[head][group]
-            end = (s == seed[-1]) & ((d == least) if with_first else head)
-            held = (seed[-1], w[end], d[end], t[end], at[end])
-            later = (d > least) & new
-            yield from _runs(d[later], t[later], at[later], False if with_first else None)
-            if with_first:
-                shared = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
-                shared[group[later]] = True
-                own = shared[group] & (d == least) if len(group) else np.zeros(0, bool)
-                yield from _runs(d[own], t[own], at[own], True)
+        for t in runs_of(batches, ["to"]):
+            t = t.combine_chunks()
+            own = t.filter(pa.array(t.column("to").to_numpy() < 0)).select(["shard", "later", "block"])
+            yield from own.to_batches()
+            to = t.column("to").to_numpy()
+            begin, _ = _groups(to)
+            for lo, hi in itertools.pairwise([*begin.tolist(), len(to)]):
+                if to[lo] < 0:
+                    continue
+                part = t.slice(lo, hi - lo)
+                column = lambda name, read, kind: [read(x, kind) for x in part.column(name) if x.is_valid]  # noqa: B023, E731
+                places = column("block", _numbers, "<u4")
+                shard = np.repeat(part.column("shard").to_numpy(), [len(x) for x in places])
+                at = np.concatenate(places)
+                if exact:
+                    h, h2, doc = np.concatenate(column("h", _risen, "<u8")), np.concatenate(column("h2", _numbers, "<u8")), np.concatenate(column("doc", _numbers, "<i8"))
+                    order = np.lexsort((doc, h2, h))
+                    h, h2, doc, shard, at = h[order], h2[order], doc[order], shard[order], at[order]
+                    start, group = _groups(h, h2)
+                    later = doc > doc[start][group]
+                    yield from said(shard[later], at[later], True)
+                    if firsts:
+                        several = (doc[np.append(start[1:], len(doc)) - 1] != doc[start])[group] & ~later
+                        yield from said(shard[several], at[several], False)
+                else:
+                    known = column("known", _risen, "<u4")
+                    of = np.repeat(part.column("shard").to_numpy(), [len(x) for x in known])
+                    # windows that were settled at home take part, without a place
+                    h = np.concatenate([*column("h", _risen, "<u4"), *known])
+                    shard, at = np.concatenate([shard, of]), np.concatenate([at.astype(np.int64), np.full(len(of), -1)])
+                    order = np.lexsort((shard, h))
+                    h, shard, at = h[order], shard[order], at[order]
+                    start, group = _groups(h)
+                    hit = (shard[np.append(start[1:], len(h)) - 1] != shard[start])[group] & (at >= 0)
+                    yield from said(shard[hit], at[hit], False)
 
     return run
 
 
-def _runs(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, first: bool | None) -> Iterator[pa.RecordBatch]:
-    """Windows as runs of consecutive ones."""
-    if not len(doc):
-        return
-    order = np.lexsort((at, tag, doc))
-    doc, tag, at = doc[order], tag[order], at[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] > at[:-1] + 1)
-    i = np.flatnonzero(new)
-    end = at[np.append(i[1:], len(at)) - 1] + 1
-    columns = [pa.array(doc[i]), pa.array(tag[i].astype(np.int32)), pa.array(at[i].astype(np.int32)), pa.array((end - at[i]).astype(np.int32))]
-    names = ["_doc", "_tag", "start", "n"]
-    if first is not None:
-        columns.append(pa.array(np.full(len(i), first)))
-        names.append("first")
-    yield pa.RecordBatch.from_arrays(columns, names=names)
-
-
-_SEEDS = "seed long, _doc long, _tag int, start int, hashes binary"
-_RUNS = "_doc long, _tag int, start int, n int"
-
-
-def _met(rows: DataFrame, with_first: bool = False) -> DataFrame:
-    return rows.repartition("seed").sortWithinPartitions("seed", "_doc", "_tag", "start").mapInArrow(_repeated(with_first), _RUNS + (", first boolean" if with_first else ""))
-
-
-def repeated_windows(docs: DataFrame, window: int, text: str = "text", with_first: bool = False) -> DataFrame:
-    """Runs (_doc, _tag, start, n[, first]): the n windows from word `start` on are repeated. docs has been `keyed`."""
-    rows = docs.select("_doc", "_tag", text).mapInArrow(_seeds(window), _SEEDS)
-    runs = written(_met(rows, with_first), "runs")
-    free_shuffles(docs.sparkSession)
-    return runs
-
-
-def _by_document(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("_doc", "_tag").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
-
-
-def _mask(runs, count: int, reach: int) -> np.ndarray:
-    """Which of count words a run of windows of that reach covers; reach 1 marks the windows' starts."""
-    step = np.zeros(count + 1, np.int64)
-    if runs.is_valid:
-        v = runs.values
-        at, n = v.field(0).to_numpy(zero_copy_only=False), v.field(1).to_numpy(zero_copy_only=False)
-        np.add.at(step, at, 1)
-        np.add.at(step, np.minimum(at + n + reach - 1, count), -1)
-    return np.cumsum(step[:-1]) > 0
-
-
-def deduplicated(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with n_words, n_removed, kept_words (joined by a space) and kept_text (layout kept), without what repeats."""
-    known = keyed(docs, key, text)
-    runs = _by_document(repeated_windows(known, window, text))
-    joined = known.join(runs, ["_doc", "_tag"], "left")
-    keep = list(docs.columns)
-    new = [c for c in ("n_words", "n_removed", "kept_words", "kept_text")]
-    schema = docs.select([F.col(f"`{c}`") for c in keep if c not in new]).schema
-    keep = [c for c in keep if c not in new]
-    for c, kind in zip(new, ("long", "long", "string", "string"), strict=True):
-        schema = schema.add(c, kind)
-    at_text = text
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, runs_ = b.column(b.schema.get_field_index(at_text)), b.column(b.schema.get_field_index("_runs"))
-            got: list[list] = [[], [], [], []]
-            for t, r in zip(texts, runs_, strict=True):
-                raw = (t.as_py() or "").encode()
-                parts = raw.split()
-                if not r.is_valid:
-                    got[0].append(len(parts)), got[1].append(0), got[2].append(b" ".join(parts)), got[3].append(raw)
+def _level(texts: Shards, marks: DataFrame | None, length: int, before: int | None, exact: bool, firsts: bool = False) -> DataFrame:
+    """Marks of the windows of `length` words; exact: repeated by a smaller document (and, with firsts, what these repeat)."""
+    asked = texts.rows(marks).mapInArrow(_questions(length, before, texts.buckets, exact, firsts), _ASKED)
+    return written(asked.repartition("to").sortWithinPartitions("to", "shard").mapInArrow(_answers(exact, firsts), _MARKS), f"windows-{length}")
+
+
+def repeated(texts: Shards, window: int, least: int = LEAST, firsts: bool = False) -> DataFrame:
+    """Marks of the windows that a smaller document has too, reached level by level."""
+    marks, before = None, None
+    for length in levels(window, least):
+        marks = _level(texts, marks, length, before, length == window, firsts)
+        before = length
+    return marks
+
+
+# --- results ------------------------------------------------------------------------------------
+
+
+def deduplicated(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", least: int = LEAST, new: tuple[str, ...] = ("n_words", "n_removed", "kept_words", "kept_text"), shard_bytes: int = SHARD_BYTES, bucket: int = BUCKET) -> DataFrame:
+    """docs with `new`, some of n_words, n_removed, kept_words (joined by a space) and kept_text (layout kept): what is left
+    without repeated windows. Columns of docs of these names are replaced."""
+    texts = Shards(docs, window, key, text, shard_bytes, bucket)
+    keep = [c for c in docs.columns if c not in new]
+    schema = docs.select([F.col(f"`{c}`") for c in keep]).schema
+    for c in new:
+        schema = schema.add(c, "long" if c[:2] == "n_" else "string")
+    cut = _cut(window, keep, new)
+    return texts.rows(repeated(texts, window, least), True).mapInArrow(cut, schema).unionByName(texts.rest().mapInArrow(cut, schema))
+
+
+def _cut(window: int, keep: list[str], new: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in itertools.groupby(_parts(batches), key=lambda p: p[0]):
+            blocks, marks, n, start, before = [], None, 0, 0, None
+            for _, is_text, b in parts:
+                if not is_text:
+                    later = b.column(2).to_numpy() > 0
+                    blocks += [_risen(x, "<u4") for x, y in zip(b.column(4), later, strict=True) if y]
                     continue
-                gone = _mask(r, len(parts), window)
-                kept = [p for p, g in zip(parts, gone.tolist(), strict=True) if not g]
-                got[0].append(len(parts)), got[1].append(int(gone.sum())), got[2].append(b" ".join(kept)), got[3].append(_layout(raw, gone))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in keep), pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.binary()).cast(pa.string()), pa.array(got[3], pa.binary()).cast(pa.string())], names=[*keep, *new])
+                if marks is None:
+                    marks = np.unique(np.concatenate(blocks)).astype(np.int64) if blocks else np.zeros(0, np.int64)
+                fresh, before = _fresh(b, before)
+                got: dict[str, list] = {c: [] for c in new}
+                for first, data, offsets in text_slices(b.column(5)):
+                    row, begin, _ = spans(data, offsets)
+                    edge = np.searchsorted(row, np.arange(len(offsets)), "left")
+                    for i in range(len(offsets) - 1):
+                        count = int(edge[i + 1] - edge[i])
+                        if fresh[first + i]:
+                            start, n = n, n + count
+                        lo, hi = np.searchsorted(marks, [start, start + count])
+                        raw = data[offsets[i] : offsets[i + 1]].tobytes()
+                        stays = None
+                        if hi > lo:
+                            step = np.zeros(count + 1, np.int64)
+                            at = marks[lo:hi] - start
+                            step[at] += 1
+                            np.add.at(step, np.minimum(at + window, count), -1)
+                            stays = np.cumsum(step[:-1]) == 0
+                        _left(got, raw, count, stays, begin[edge[i] : edge[i + 1]] - offsets[i])
+                cols = [b.column(6).field(k) for k in keep]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(got[c], pa.int64()) if c[:2] == "n_" else pa.array(got[c], pa.binary()).cast(pa.string()) for c in new)], names=[*keep, *new])
+
+    return run
 
-    return joined.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])), "_runs").mapInArrow(cut, schema)
 
+def _left(got: dict[str, list], raw: bytes, count: int, stays: np.ndarray | None, begin: np.ndarray) -> None:
+    """Adds what is left of a text to the columns that are wanted."""
+    if "n_words" in got:
+        got["n_words"].append(count)
+    if "n_removed" in got:
+        got["n_removed"].append(0 if stays is None else count - int(stays.sum()))
+    if "kept_words" in got:
+        parts = raw.split()
+        got["kept_words"].append(b" ".join(parts if stays is None else itertools.compress(parts, stays.tolist())))
+    if "kept_text" in got:
+        got["kept_text"].append(raw if stays is None else _layout(raw, stays, begin))
 
-def _layout(raw: bytes, gone: np.ndarray) -> bytes:
-    """raw without the words that are gone and the white space after each."""
-    data = np.frombuffer(raw, np.uint8)
-    _, start, _, _ = words(data, np.array([0, len(data)]))
-    edge = np.append(start, len(raw))
+
+def _layout(raw: bytes, stays: np.ndarray, begin: np.ndarray) -> bytes:
+    """raw without the words that go and the white space after each."""
+    edge = np.append(begin, len(raw))
     out = [raw[: edge[0]]]
-    flip = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=1, append=1))
+    flip = np.flatnonzero(np.diff(stays.astype(np.int8), prepend=0, append=0))
     for a, z in zip(flip[::2], flip[1::2], strict=True):
         out.append(raw[edge[a] : edge[z]])
     return b"".join(out).strip()
 
 
-def digests(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
     """deduplicated() with kept_words as its digest only."""
-    out = deduplicated(docs, window, key, text)
+    out = deduplicated(docs.select(key, text), window, key, text, new=("n_words", "n_removed", "kept_words"), **sizes)
     return out.select(key, "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
 
 
-def passages(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_doc, _tag, start, n, length): repeated windows of window, 2 * window, 4 * window, ... words, level by level."""
-    known = keyed(docs, key, text)
-    runs, length = repeated_windows(known, window, text, True), window
-    out = runs.where("not first").drop("first").withColumn("length", F.lit(length))
-    while True:
-        half, length = length, 2 * length
-        state = known.select("_doc", "_tag", text).join(_by_document(runs), ["_doc", "_tag"])
-        runs = written(_met(state.mapInArrow(_extended(half), _SEEDS), True), "runs")
-        if runs.isEmpty():
-            return out
-        out = out.unionByName(runs.where("not first").drop("first").withColumn("length", F.lit(length)))
-
-
-def _extended(half: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            doc, tag = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            for first, data, offsets in text_slices(b.column(2)):
-                row, _, _, h = words(data, offsets)
-                a, _ = windows(row, h, half)
-                w, ok = windows(row, h, 2 * half)
-                lo = np.searchsorted(row, np.arange(len(offsets)), "left")
+def passages(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", least: int = LEAST, shard_bytes: int = SHARD_BYTES, bucket: int = BUCKET) -> DataFrame:
+    """(_doc, _tag, start, n, length): runs of n repeated windows of window, 2 * window, 4 * window, ... words, from word
+    `start` on; lengths double until no candidate survives."""
+    texts = Shards(docs, window, key, text, shard_bytes, bucket)
+    marks, length, found = repeated(texts, window, least, True), window, []
+    while not marks.isEmpty():
+        runs = texts.rows(marks).mapInArrow(_runs, "_doc long, _tag long, start int, n int")
+        found.append(runs.withColumn("length", F.lit(length)))
+        marks, length = _level(texts, marks, 2 * length, length, True, True), 2 * length
+    if not found:
+        return docs.sparkSession.createDataFrame([], "_doc long, _tag long, start int, n int, length int")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows marked as later ones, as runs of places within their texts."""
+    for _, parts in itertools.groupby(_parts(batches), key=lambda p: p[0]):
+        blocks, marks, n, start, before = [], None, 0, 0, None
+        for _, is_text, b in parts:
+            if not is_text:
+                later = b.column(2).to_numpy() > 0
+                blocks += [_risen(x, "<u4") for x, y in zip(b.column(4), later, strict=True) if y]
+                continue
+            if marks is None:
+                marks = np.unique(np.concatenate(blocks)).astype(np.int64) if blocks else np.zeros(0, np.int64)
+            fresh, before = _fresh(b, before)
+            doc, tag, out = b.column(2).to_numpy(), b.column(3).to_numpy(), []
+            for first, data, offsets in text_slices(b.column(5)):
+                edge = np.searchsorted(spans(data, offsets)[0], np.arange(len(offsets)), "left")
                 for i in range(len(offsets) - 1):
-                    n = lo[i + 1] - lo[i]
-                    marked = _mask(b.column(3)[first + i], n, 1)
-                    at = np.flatnonzero(marked[: max(0, n - half)] & marked[half:]) if n > half else np.zeros(0, np.int64)
-                    at = at[ok[lo[i] + at]] if len(at) else at
+                    if fresh[first + i]:
+                        start, n = n, n + int(edge[i + 1] - edge[i])
+                    lo, hi = np.searchsorted(marks, [start, start + edge[i + 1] - edge[i]])
+                    at = marks[lo:hi] - start
                     if len(at):
-                        g = lo[i] + at
-                        yield pa.RecordBatch.from_arrays([pa.array(signed(a[g])), pa.array(np.full(len(g), doc[first + i])), pa.array(np.full(len(g), tag[first + i], np.int32)), pa.array(at.astype(np.int32)), binaries(w[g], np.ones(len(g), np.int64))], names=["seed", "_doc", "_tag", "start", "hashes"])
-
-    return run
+                        new = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+                        out += [(doc[first + i], tag[first + i], a, z) for a, z in zip(at[new], np.diff(np.append(new, len(at))), strict=True)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["_doc", "_tag", "start", "n"])
 
 
 #: digests() with 13 words in DuckDB.

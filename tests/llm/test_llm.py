@@ -174,28 +174,35 @@ def test_substrings(spark, window):
             if first[tuple(w[p : p + window])] < order(d):
                 gone[p : p + window] = [True] * window
         want.append((d, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
-    got = [tuple(r) for r in substrings.digests(frame(spark, docs), window).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+    for sizes in ({}, {"shard_bytes": 5000, "bucket": 500}):
+        got = [tuple(r) for r in substrings.digests(frame(spark, docs), window, **sizes).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
     for r in substrings.deduplicated(frame(spark, docs), window).collect():
         assert r["kept_text"].split() == r["kept_words"].split()
     assert substrings.digests(frame(spark, []), window).count() == 0
 
 
-@pytest.mark.parametrize("low", [False, True])
-def test_windows_are_told_apart_by_64_bits(monkeypatch, low):
-    """Unlike windows under one seed, whose hashes differ in one half only, are not repeated; equal ones are."""
-    whole = substrings.windows
-
-    def half(row, h, n):
-        w, ok = whole(row, h, n)
-        return (w & np.uint64(0xFFFFFFFF) if low else w >> np.uint64(32) << np.uint64(32)) if n == 4 else w, ok
-
-    monkeypatch.setattr(substrings, "windows", half)
-    texts = [*(f"a b c x{i}" for i in range(60)), "a b c x7"]
-    docs = pa.RecordBatch.from_arrays([pa.array(range(61), pa.int64()), pa.array([0] * 61, pa.int32()), pa.array(texts)], names=["_doc", "_tag", "text"])
-    rows = pa.Table.from_batches(substrings._seeds(4)(iter([docs]))).sort_by([("seed", "ascending"), ("_doc", "ascending")])
-    got = [r for b in substrings._repeated(False)(iter(rows.combine_chunks().to_batches())) for r in b.to_pylist()]
-    assert [(r["_doc"], r["start"], r["n"]) for r in got] == [(60, 0, 1)]
+def test_windows_grow_only_where_repeated(spark):
+    """Unlike windows round a passage that all documents share lose nothing, over many shards and buckets; a level asks only
+    about windows whose halves are repeated."""
+    same = "a b c d e f g"
+    docs = [(i, f"x{i} y{i} z{i} {same} u{i} v{i} w{i}") for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    sizes = {"shard_bytes": 4000, "bucket": 300}
+    assert substrings.digests(df, 13, **sizes).agg({"n_removed": "sum"}).first()[0] == 0
+    assert substrings.levels(13) == [7, 13] and substrings.levels(50) == [7, 13, 25, 50] and substrings.levels(4) == [4]
+    texts = substrings.Shards(df, 13, "doc_id", "text", **sizes)
+    marks = substrings._level(texts, None, 7, None, False)
+    assert sum(len(substrings._risen(pa.scalar(bytes(r["block"])), "<u4")) for r in marks.collect()) == 3000
+    assert substrings._level(texts, marks, 13, 7, True).isEmpty()
+    rows = substrings.passages(df, 7, least=4, **sizes).collect()
+    assert sorted((r["_doc"], r["start"], r["n"], r["length"]) for r in rows) == [(i, 3, 1, 7) for i in range(1, 3000)]
+
+
+def test_unlike_rows_without_id(spark):
+    docs = [(None, f"n{i} " + " ".join(f"w{k}" for k in range(20))) for i in range(40)] + [(5, " ".join(f"w{k}" for k in range(20)))] * 3
+    got = substrings.digests(spark.createDataFrame(docs, "doc_id long, text string"), 13, shard_bytes=500, bucket=50).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 20)] * 40 + [(5, 0)] * 3
 
 
 def test_passages(spark):
