@@ -6,6 +6,9 @@ shard is packed best-fit decreasing: a piece goes to the open bin that it leaves
 a bin of the capacity with the least cost for each word it is expected to hold is opened (what is left in the shard and
 fits bounds that expectation). At the end each bin shrinks to the least permitted capacity that holds its contents.
 
+Rows are numbered when their lengths are written down; the numbers, not the ids, tell rows apart and deal pieces to shards,
+so a null or repeated id that a third of all rows have is dealt like any other.
+
 Defined results: a document without words (null, empty, white space) gets one piece of length 0 without bin; repeated
 rows are separate documents; an empty table gives an empty result; piece numbers and offsets count from 0.
 """
@@ -27,7 +30,7 @@ CAPACITIES = (256, 512, 1024, 2048)
 OVERHEAD = 32
 SHARD_PIECES = 25_000
 WORD = r"[^\x20\x09-\x0D]+"
-OUT = "doc_id long, piece int, start long, length int, bin_id string, capacity int, position int"
+OUT = "doc_id long, row long, piece int, start long, length int, bin_id string, capacity int, position int"
 
 
 def pack(lengths: np.ndarray, capacities: Sequence[int] = CAPACITIES, overhead: float = OVERHEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,32 +86,32 @@ def pack(lengths: np.ndarray, capacities: Sequence[int] = CAPACITIES, overhead:
 
 
 def pieces(docs: DataFrame, capacity: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, piece, start, length): documents cut where they exceed the capacity."""
+    """(doc_id, row, piece, start, length): documents cut where they exceed the capacity."""
     n = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    counted = written(docs.select(F.col(key).cast("long").alias("doc_id"), n.alias("n")), "lengths")
+    counted = written(docs.select(F.col(key).cast("long").alias("doc_id"), n.alias("n"), F.monotonically_increasing_id().alias("row")), "lengths")
     last = F.greatest((F.col("n") + capacity - 1).cast("long") / capacity, F.lit(1)).cast("int") - 1
-    cut = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    cut = counted.select("doc_id", "row", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = F.col("piece").cast("long") * capacity
-    return cut.select("doc_id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(capacity)).cast("int").alias("length"))
+    return cut.select("doc_id", "row", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(capacity)).cast("int").alias("length"))
 
 
 def packed(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: float = OVERHEAD, shard_pieces: int = SHARD_PIECES, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per piece: its document, words [start, start + length), bin, the bin's capacity and the piece's place in it."""
+    """One row per piece: its document and that one's number, words [start, start + length), bin, the bin's capacity and the piece's place in it."""
     top = max(capacities)
     all_pieces = pieces(docs, top, text, key)
     whole = all_pieces.where(F.col("length") == top)
     none = all_pieces.where("length = 0")
     rest = all_pieces.where((F.col("length") > 0) & (F.col("length") < top))
     shards = max(1, -(-rest.count() // shard_pieces))
-    rest = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)).cast("int"))
+    rest = rest.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("int"))
     caps, cost = tuple(capacities), overhead
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "row", "piece"], ascending=[False, True, True], kind="stable")
         where, offset, size = pack(pdf["length"].to_numpy(), caps, cost)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "piece": pdf["piece"], "start": pdf["start"], "length": pdf["length"], "bin_id": [f"{s}-{b}" for s, b in zip(pdf["shard"], where, strict=True)], "capacity": size[where] if len(where) else [], "position": offset})
+        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "row": pdf["row"], "piece": pdf["piece"], "start": pdf["start"], "length": pdf["length"], "bin_id": [f"{s}-{b}" for s, b in zip(pdf["shard"], where, strict=True)], "capacity": size[where] if len(where) else [], "position": offset})
 
     got = rest.groupBy("shard").applyInPandas(shard, OUT)
-    alone = whole.select("doc_id", "piece", "start", "length", F.concat(F.lit("w"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.col("piece").cast("string")).alias("bin_id"), F.lit(top).alias("capacity"), F.lit(0).alias("position"))
-    empty = none.select("doc_id", "piece", "start", "length", F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("int").alias("capacity"), F.lit(None).cast("int").alias("position"))
+    alone = whole.select("doc_id", "row", "piece", "start", "length", F.concat(F.lit("w"), F.col("row").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("bin_id"), F.lit(top).alias("capacity"), F.lit(0).alias("position"))
+    empty = none.select("doc_id", "row", "piece", "start", "length", F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("int").alias("capacity"), F.lit(None).cast("int").alias("position"))
     return got.unionByName(alone).unionByName(empty)
