@@ -8,7 +8,7 @@ The most specific match decides: prefix before host before domain, longer patter
 
 Defined results: a null or host-less URL, or a null fetch time, matches nothing and is not blocked; entries with null
 kind, pattern or date are ignored; of entries of one pattern at one time the last by (seq) counts; a repeated capture
-gives a repeated row; an empty list blocks nothing.
+gives a repeated row; an empty list blocks nothing; patterns and hosts are compared without regard to case.
 """
 
 from __future__ import annotations
@@ -37,19 +37,20 @@ def validity(entries: DataFrame) -> DataFrame:
     e = entries.where("kind is not null and pattern is not null and effective is not null").select(
         F.concat_ws(":", "kind", F.lower("pattern")).alias("key"), "kind", "pattern", "verdict", "action", "effective", "seq"
     )
-    last = e.groupBy("key", "kind", "pattern", "effective").agg(F.max(F.struct("seq", "action", "verdict")).alias("x"))
+    # spellings of one pattern are one key, so they are settled together
+    last = e.groupBy("key", "kind", "effective").agg(F.max(F.struct("seq", "action", "verdict", F.length(F.lower("pattern")).alias("n"))).alias("x"))
     w = Window.partitionBy("key").orderBy("effective")
-    spans = last.select("key", "kind", F.length("pattern").alias("n"), F.col("x.action").alias("action"), F.col("x.verdict").alias("verdict"), F.col("effective").alias("valid_from"), F.coalesce(F.lead("effective").over(w), F.to_timestamp(F.lit(FOREVER))).alias("valid_to"))
+    spans = last.select("key", "kind", F.col("x.n").alias("n"), F.col("x.action").alias("action"), F.col("x.verdict").alias("verdict"), F.col("effective").alias("valid_from"), F.coalesce(F.lead("effective").over(w), F.to_timestamp(F.lit(FOREVER))).alias("valid_to"))
     rank = F.coalesce(*(F.when(F.col("kind") == k, r) for k, r in _RANK.items()), F.lit(0))
     return spans.where("action = 'add'").select("key", "verdict", (rank * 100000 + F.col("n")).cast("int").alias("rank"), "valid_from", "valid_to")
 
 
-def keys_of(url: Column) -> Column:
-    """All keys that an entry could match this URL by."""
+def keys_of(url: Column, deepest: int) -> Column:
+    """All keys that an entry could match this URL by; no entry has a prefix of more than `deepest` segments."""
     host, seg = host_of(url), segments_of(url)
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(seg), F.lit(1))), lambda i: F.concat(F.lit("prefix:"), host, F.lit("/"), F.lower(F.array_join(F.slice(seg, F.lit(1), i), "/"))))
+    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.greatest(F.size(seg), F.lit(1)), F.lit(max(1, deepest)))), lambda i: F.concat(F.lit("prefix:"), host, F.lit("/"), F.lower(F.array_join(F.slice(seg, F.lit(1), i), "/"))))
     return F.when(host != "", F.concat(F.array(F.concat(F.lit("host:"), host)), domains, prefixes)).otherwise(F.array().cast("array<string>"))
 
 
@@ -59,8 +60,10 @@ def evaluate(captures: DataFrame, intervals: DataFrame, key: str = "page_id", ur
     Captures meet the intervals on a hashed key; a host with a third of all captures is a skewed join side, which
     Spark splits, as the intervals are a table of their own and few to a key.
     """
+    # a path deeper than any entry's needs no keys below that, so its keys stay in proportion to the URL
+    deepest = intervals.where(F.startswith("key", F.lit("prefix:"))).agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
     one = captures.groupBy(F.col(key).alias("k"), F.col(url).alias("u"), F.col(fetched).alias("t")).agg(F.count("*").cast("int").alias("copies"))
-    probe = one.select("k", "u", "t", "copies", F.explode_outer(F.array_distinct(keys_of(F.col("u")))).alias("key"))
+    probe = one.select("k", "u", "t", "copies", F.explode_outer(F.array_distinct(keys_of(F.col("u"), deepest))).alias("key"))
     spans = intervals.select("key", "verdict", "rank", "valid_from", "valid_to")
     met = probe.join(spans, (probe["key"] == spans["key"]) & (probe["t"] >= spans["valid_from"]) & (probe["t"] < spans["valid_to"]), "left")
     best = F.max(F.when(F.col("rank").isNotNull(), F.struct("rank", (F.col("verdict") == "allow").alias("allow"), spans["key"].alias("key"))))
