@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from alleloom.llm.common import mix, words
+from alleloom.llm.common import mix, windows, words
 
 _FOLD = np.arange(0x10000, dtype=np.uint32)
 for _i in range(0x10000):
@@ -54,9 +54,9 @@ def grams(points: np.ndarray, sizes: tuple[int, ...], slots: int, fold: bool = T
     return out
 
 
-def word_slots(data: np.ndarray, offsets: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, slot, whether it repeats the word before it) of every word."""
+def word_slots(data: np.ndarray, offsets: np.ndarray, slots: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row, slot) of every word, and of every two words in a row of a text."""
     row, _, _, h = words(data, offsets)
-    again = np.zeros(len(h), bool)
-    again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
-    return row, (mix(h) & np.uint64(slots - 1)).astype(np.uint32), again
+    two, ok = windows(row, h, 2)
+    slot = lambda x: (mix(x) & np.uint64(slots - 1)).astype(np.uint32)
+    return [(row, slot(h)), (row[: len(ok)][ok], slot(two[ok]))]

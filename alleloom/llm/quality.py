@@ -1,10 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word and every character 3- and 4-gram is hashed to a learned vector, and a word that repeats the one before it
-adds the vector of a mark of its own; a document is their average, and a softmax
-over it gives the label. Vectors and softmax are trained together by stochastic gradient descent in numpy, on a bounded
-sample of labelled rows (`sample` of each label at most, the smallest by hash). A document's score depends on its vectors
-only through their inner products with the softmax rows, so scoring sums one number for each word and n-gram.
+Every word, every two words in a row and every character 3- and 4-gram is hashed to a learned vector; a document is their
+average, and a softmax over it gives the label. Vectors and softmax are trained together by stochastic gradient descent in
+numpy, each with a rate of its own (an average hands each vector a small share of the gradient, so vectors take larger
+steps), on a bounded sample of labelled rows (`sample` of each label at most, the smallest by hash). A document's score
+depends on its vectors only through their inner products with the softmax rows, so scoring sums one number for each word
+and n-gram; the numbers are whole multiples of 1 / UNIT, so sums are exact and equal texts have equal scores.
 
 Defined results: null and empty texts have no vectors and get the prior share of label 1 in the sample; without any
 labels every score is 0.5; of several labels of a document the smallest counts.
@@ -23,10 +24,9 @@ from pyspark.sql import functions as F
 from alleloom.llm.common import text_slices
 from alleloom.llm.features import characters, grams, word_slots
 
-SLOTS = 1 << 16  # of words, and as many of character n-grams
-#: The slot of the mark, and the number of all slots.
-AGAIN = 2 * SLOTS
-ALL = 2 * SLOTS + 1
+SLOTS = 1 << 16  # of words, and as many of pairs of words and of character n-grams
+ALL = 3 * SLOTS
+UNIT = 1 << 30
 SIZES = (3, 4)
 DIMENSION = 12
 SAMPLE = 1500
@@ -35,7 +35,7 @@ THRESHOLD = 0.3
 
 @dataclass
 class Model:
-    slot_score: np.ndarray  # ALL
+    slot_score: np.ndarray  # ALL, in units of 1 / UNIT
     bias: float
     prior: float
 
@@ -44,14 +44,11 @@ def _features(texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray
     """Slices as (first row, rows, parts); a part has its slots, and where each row's begin and end in them."""
     for first, data, offsets in text_slices(texts):
         rows = len(offsets) - 1
-        row, slot, again = word_slots(data, offsets, SLOTS)
         points, at = characters(data, offsets)
-        each = np.arange(rows + 1)
-        marks = row[again]
         parts = []
-        for of, slots in ((row, slot), (marks, np.full(len(marks), AGAIN, np.uint32))):
-            edge = np.searchsorted(of, each, "left")
-            parts.append((slots, edge[:-1], edge[1:]))
+        for k, (of, slots) in enumerate(word_slots(data, offsets, SLOTS)):
+            edge = np.searchsorted(of, np.arange(rows + 1), "left")
+            parts.append((slots + np.uint32(2 * k * SLOTS), edge[:-1], edge[1:]))
         for n, g in zip(SIZES, grams(points, SIZES, SLOTS, fold=False), strict=True):
             lo = np.minimum(at[:-1], len(g))
             parts.append((g + np.uint32(SLOTS), lo, np.minimum(np.maximum(lo, at[1:] - n + 1), len(g))))
@@ -63,8 +60,8 @@ def _bag(parts, i: int) -> np.ndarray:
     return np.concatenate([slots[lo[i] : max(lo[i], hi[i])] for slots, lo, hi in parts])
 
 
-def sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 8, rate: float = 1.0, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors (ALL x DIMENSION) and softmax rows (DIMENSION + 1 x 2) from (slots, shares) bags."""
+def sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 10, rate: float = 0.5, vector_rate: float = 300.0, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors (ALL x DIMENSION) and softmax rows (DIMENSION + 1 x 2) from (slots, shares) bags; rates fall to zero."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (ALL, DIMENSION))
     out = np.zeros((DIMENSION + 1, 2))
@@ -72,17 +69,17 @@ def sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int =
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
             at, share = bags[i]
-            lr = rate * (1 - done / steps)
+            left = 1 - done / steps
             done += 1
             x = share @ vectors[at]
             s = x @ out[:-1] + out[-1]
             p = np.exp(s - s.max())
             p /= p.sum()
-            p[y[i]] -= 1
+            p[y[i]] -= 1  # the gradient of the loss by the logits
             back = out[:-1] @ p
-            out[:-1] -= lr * x[:, None] * p[None, :]
-            out[-1] -= lr * 0.1 * p
-            vectors[at] -= (lr * share * len(at))[:, None].clip(0, lr) * back[None, :]
+            out[:-1] -= rate * left * x[:, None] * p[None, :]
+            out[-1] -= rate * left * p
+            vectors[at] -= vector_rate * left * share[:, None] * back[None, :]
     return vectors, out
 
 
@@ -109,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     got = sorted((r["y"], bytes(r["at"]), bytes(r["n"])) for r in texts.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(bags, "y int, at binary, n binary").collect())
     if not got or share is None:
-        return Model(np.zeros(ALL), 0.0, 0.5)
+        return Model(np.zeros(ALL, np.int64), 0.0, 0.5)
     y = np.array([r[0] for r in got])
     vectors, out = sgd([(np.frombuffer(a, "<i4"), np.frombuffer(n, "<f4").astype(float)) for _, a, n in got], y)
     way = out[:, 1] - out[:, 0]
@@ -117,27 +114,27 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     prior = min(max(float(share), 1e-3), 1 - 1e-3)
     mine = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
     bias = float(way[-1]) + np.log(prior / (1 - prior)) - np.log(mine / (1 - mine))
-    return Model(vectors @ way[:-1], bias, prior)
+    return Model(np.rint(vectors @ way[:-1] * UNIT).astype(np.int64), bias, prior)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with `score`, the probability of label 1."""
     keep = [c for c in docs.columns if c != "score"]
     schema = docs.select([F.col(f"`{c}`") for c in keep]).schema.add("score", "double")
-    sent = docs.sparkSession.sparkContext.broadcast((model.slot_score.astype(np.float64), model.bias, model.prior))
+    sent = docs.sparkSession.sparkContext.broadcast((model.slot_score, model.bias, model.prior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, bias, prior = sent.value
         for b in batches:
             out = np.full(b.num_rows, prior)
             for first, rows, parts in _features(b.column(b.schema.get_field_index(text))):
-                total, count = np.zeros(rows), np.zeros(rows)
+                total, count = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
                 for slots, lo, hi in parts:
-                    run_sum = np.concatenate([[0.0], np.cumsum(value[slots])])
+                    run_sum = np.concatenate([[0], np.cumsum(value[slots])])
                     total += run_sum[np.maximum(lo, hi)] - run_sum[lo]
                     count += np.maximum(lo, hi) - lo
                 has = count > 0
-                s = np.clip(total[has] / count[has] + bias, -30, 30)
+                s = np.clip(total[has] / UNIT / count[has] + bias, -30, 30)
                 out[first : first + rows][has] = 1 / (1 + np.exp(-s))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in keep), pa.array(out)], names=[*keep, "score"])
 
