@@ -1,16 +1,17 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-A node of the tree is the token sequence of a span of text. `encode` halves a text recursively down to leaves, encodes
-the leaves, and joins neighbours. A join keeps the left tokens up to a pre-token boundary that the text to its right
-cannot move, re-encodes a window from there over the cut, and widens the window until it ends on a boundary that the
-right half also has; tokens outside the window then provably stay:
+A node of the tree is the token sequence of a span of text, kept by pre-token. `encode` halves a text recursively down to
+leaves of at most `leaf` characters, encodes the leaves, and joins neighbours. A join keeps the left tokens up to a
+pre-token boundary that the text to its right cannot move, re-encodes a window from there over the cut, and widens the
+window until it ends on a boundary that the right half also has; tokens outside the window then provably stay:
 
 * a pre-token match depends only on the text from its start on, so two scans that share a boundary agree after it;
 * the left half's pre-tokens before its last `_GUARD` ones end before the cut with a full look-ahead, so they stay.
 
-A single pre-token longer than a leaf is encoded by the same tree over its bytes; there a window of tokens around the
-cut is re-encoded, and grows until its outermost tokens come out unchanged on both sides: BPE sequences whose adjacent
-pairs are each their own encoding are the encoding of their concatenation.
+A single pre-token of more than `_LEAF_BYTES` is encoded by the same tree over its bytes; there a window of tokens around
+the cut is re-encoded, and grows until its outermost tokens come out unchanged on both sides: BPE sequences whose adjacent
+pairs are each their own encoding are the encoding of their concatenation. Bytes of a leaf are merged by rank, the lowest
+and leftmost pair first; the merges of short pre-tokens are remembered, up to `_REMEMBERED` of them.
 
 Decoding concatenates the bytes of halves up the tree.
 
@@ -21,121 +22,152 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LEAF_CHARS = 1 << 14
+#: Characters in a leaf; all but the shortest texts have several.
+LEAF_CHARS = 256
+_LEAF_BYTES = 64
+_LEAF_IDS = 256
 _GUARD = 2
 _WINDOW = 8
+_REMEMBERED = 400_000
+_NEVER = 1 << 60
+
+#: A span's pre-tokens and the ids of each.
+Span = tuple[list[str], list[tuple[int, ...]]]
 
 
 class TreeBPE:
-    """ranks: bytes -> rank; pattern: the pre-token pattern."""
+    """ranks: bytes -> rank; pattern: the pre-token pattern, which leaves no character out."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF_CHARS):
-        self.ranks, self.leaf = ranks, leaf
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF_CHARS, leaf_bytes: int = _LEAF_BYTES):
+        self.ranks, self.leaf, self.leaf_bytes = ranks, leaf, leaf_bytes
         self.split = regex.compile(pattern)
-        self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.of_byte = [ranks[bytes([i])] for i in range(256)]
+        # what two tokens make, by (first << 32 | second)
+        self.made = {ranks[b[:i]] << 32 | ranks[b[i:]]: r for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     # tokens of whole pre-tokens ------------------------------------------------------------
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= self.leaf:
-            return self.core.encode_ordinary(text)
-        return self._tree(text, 0, len(text))[0]
-
-    def _leaf(self, text: str, lo: int, hi: int) -> tuple[list[int], list[int], list[int]]:
-        """Tokens of text[lo:hi], and its pre-tokens' starts and how many tokens come before each."""
-        part = text[lo:hi]
-        if self._long(part):
-            ids, starts, counts = [], [], []
-            for m in self.split.finditer(part):
-                starts.append(lo + m.start())
-                counts.append(len(ids))
-                ids += self._piece(m[0].encode())
-            return ids, starts, counts
-        ids = self.core.encode_ordinary(part)
-        starts = [lo + m.start() for m in self.split.finditer(part)]
-        # token counts follow from byte lengths: a pre-token starts where a token does
-        ends = np.cumsum([len(self.bytes_of[i]) for i in ids]) if ids else np.zeros(0, int)
-        cuts = [0]
-        for a, b in zip(starts, starts[1:], strict=False):
-            cuts.append(cuts[-1] + len(text[a:b].encode()))
-        counts = np.searchsorted(ends, np.array(cuts[: len(starts)]), "right").tolist()
-        return ids, starts, counts
-
-    def _long(self, part: str) -> bool:
-        return len(part) > self.leaf
-
-    def _tree(self, text: str, lo: int, hi: int) -> tuple[list[int], list[int], list[int]]:
+        return list(chain.from_iterable(self._tree(text, 0, len(text))[1])) if text else []
+
+    def _tree(self, text: str, lo: int, hi: int) -> Span:
         if hi - lo <= self.leaf:
-            return self._leaf(text, lo, hi)
+            pieces = self.split.findall(text[lo:hi])
+            return pieces, [self._ids(p) for p in pieces]
         mid = (lo + hi) // 2
-        return self._join(text, lo, mid, hi, self._tree(text, lo, mid), self._tree(text, mid, hi))
-
-    def _join(self, text, lo, mid, hi, left, right):
-        ids_l, starts_l, counts_l = left
-        ids_r, starts_r, counts_r = right
-        keep = max(0, len(starts_l) - _GUARD)
-        at = starts_l[keep] if starts_l else lo
-        known = {s: k for k, s in enumerate(starts_r)}
-        ids, starts, counts = ids_l[: counts_l[keep] if starts_l else 0], starts_l[:keep], counts_l[:keep]
+        return self._join(text, mid, hi, self._tree(text, lo, mid), self._tree(text, mid, hi))
+
+    def _join(self, text: str, mid: int, hi: int, left: Span, right: Span) -> Span:
+        pieces, codes = left
+        at = mid - sum(map(len, pieces[-_GUARD:]))
+        del pieces[-_GUARD:], codes[-_GUARD:]
+        k, start = 0, mid  # the right half's next pre-token, and where it starts
         while at < hi:
-            if at >= mid and at in known:  # the scans meet: the rest of the right half stays
-                k = known[at]
-                base, gone = len(ids), counts_r[k]
-                starts += starts_r[k:]
-                counts += [c - gone + base for c in counts_r[k:]]
-                ids += ids_r[gone:]
-                return ids, starts, counts
+            while start < at:
+                start += len(right[0][k])
+                k += 1
+            if start == at:  # the scans meet: the rest of the right half stays
+                pieces += right[0][k:]
+                codes += right[1][k:]
+                break
             m = self.split.match(text, at, hi)
-            starts.append(at)
-            counts.append(len(ids))
-            piece = m[0].encode()
-            ids += self._piece(piece)
+            pieces.append(m[0])
+            codes.append(self._ids(m[0]))
             at = m.end()
-        return ids, starts, counts
+        return pieces, codes
 
     # tokens within one pre-token -----------------------------------------------------------
 
-    def _single(self, piece: bytes) -> list[int]:
-        rank = self.ranks.get(piece)
-        return [rank] if rank is not None else self.core._encode_single_piece(piece)
+    def _ids(self, piece: str) -> tuple[int, ...]:
+        got = self.known.get(piece)
+        if got is None:
+            got = tuple(self._piece(piece.encode()))
+            if len(piece) <= self.leaf_bytes:
+                if len(self.known) >= _REMEMBERED:
+                    self.known.clear()
+                self.known[piece] = got
+        return got
 
     def _piece(self, piece: bytes) -> list[int]:
-        if len(piece) <= self.leaf:
-            return self._single(piece)
+        if len(piece) <= self.leaf_bytes:
+            return self._merged(piece)
         mid = len(piece) // 2
         return self._weld(self._piece(piece[:mid]), self._piece(piece[mid:]))
 
+    def _merged(self, piece: bytes) -> list[int]:
+        """The ids of bytes, pairs merged by rank."""
+        ranks = self.ranks
+        if (whole := ranks.get(piece)) is not None:
+            return [whole]
+        if len(piece) > 2 * self.leaf_bytes:
+            return self._merged_by_heap(piece)
+        made = self.made.get
+        ids = [self.of_byte[x] for x in piece]
+        pair = [made(a << 32 | b, _NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        while pair and (low := min(pair)) != _NEVER:
+            i = pair.index(low)
+            ids[i] = low
+            del ids[i + 1], pair[i]
+            if i < len(pair):
+                pair[i] = made(low << 32 | ids[i + 1], _NEVER)
+            if i:
+                pair[i - 1] = made(ids[i - 1] << 32 | low, _NEVER)
+        return ids
+
+    def _merged_by_heap(self, piece: bytes) -> list[int]:
+        ranks, n = self.ranks, len(piece)
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # of the part that starts here: its end; the part before it
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        heapq.heapify(heap)
+
+        def offer(i: int) -> None:
+            if i >= 0 and end[i] < n and (r := ranks.get(piece[i : end[end[i]]])) is not None:
+                heapq.heappush(heap, (r, i, end[end[i]]))
+
+        while heap:
+            _, i, to = heapq.heappop(heap)
+            if end[i] < 0 or end[i] >= n or end[end[i]] != to:
+                continue  # one of the two has been merged otherwise since
+            gone = end[i]
+            end[i] = to
+            end[gone] = -1
+            before[to] = i
+            offer(before[i])
+            offer(i)
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[piece[i : end[i]]])
+            i = end[i]
+        return out
+
     def _weld(self, left: list[int], right: list[int]) -> list[int]:
         k = _WINDOW
         while True:
             a, b = left[-k:], right[:k]
-            mid = self._single(b"".join(self.bytes_of[i] for i in (*a, *b)))
-            whole_l, whole_r = k >= len(left), k >= len(right)
-            if (whole_l or self._same_head(mid, a)) and (whole_r or mid[-1] == b[-1]):
-                return (left if whole_l else left)[: max(0, len(left) - k)] + mid + right[k:]
+            mid = self._merged(b"".join(self.bytes_of[i] for i in (*a, *b)))
+            if (k >= len(left) or mid[0] == a[0]) and (k >= len(right) or mid[-1] == b[-1]):
+                return left[: max(0, len(left) - k)] + mid + right[k:]
             k *= 2
 
-    @staticmethod
-    def _same_head(mid: list[int], a: list[int]) -> bool:
-        return mid[0] == a[0]
-
     # back --------------------------------------------------------------------------------
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= self.leaf:
-            return self.core.decode_bytes(ids)
+        if len(ids) <= _LEAF_IDS:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
         mid = len(ids) // 2
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
