@@ -81,9 +81,12 @@ class Shards:
     def __init__(self, docs: DataFrame, window: int, key: str, text: str, shard_bytes: int, bucket: int):
         size = F.octet_length(text)
         total = docs.agg(F.sum(size)).first()[0] or 0
-        self.shards = max(1, -(-total // shard_bytes))
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = lambda size: -(-total // size)
+        # of tables smaller than that, as many parts as tasks can take, if there is anything to do for each
+        self.shards = max(1, parts(shard_bytes), min(tasks, parts(shard_bytes >> 6)))
         # a word and the space after it take two bytes at least; most take more, so buckets are rather small than large
-        self.buckets = max(1, -(-total // (4 * bucket)))
+        self.buckets = max(1, parts(4 * bucket), min(tasks, parts(bucket >> 2)))
         long = F.coalesce(size >= 2 * window - 1, F.lit(False))
         doc, tag = F.coalesce(F.col(key).cast("long"), F.lit(LAST)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
         known = docs.select(doc.alias("_doc"), tag.alias("_tag"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), long.alias("long"))
