@@ -1,15 +1,18 @@
 """Personal data: surrogate generation.
 
-Entities are found in whole texts (mail and network addresses, phone, card, account and social security numbers, secrets,
-names after a title). Each distinct entity, in canonical form, gets one surrogate for the whole corpus, made from a keyed
-digest of (kind, entity, attempt), so equal entities stay equal (coreference, across formats and case) and nothing can be
-undone without the key. A surrogate has its entity's kind, length, script and format: digits for digits, letters of the
-script for letters, valid check digits where the entity has them, a given name of the title's gender, reserved network
+Entities are found in whole texts: mail and network addresses, phone numbers, card and account numbers with valid check
+digits, social security numbers in use, secrets, names after a title. Each distinct entity, in canonical form, gets one
+surrogate for the whole corpus, made from a keyed digest of (kind, entity, attempt), so equal entities stay equal
+(coreference, across layouts and, but for secrets, case) and nothing can be undone without the key. A surrogate has its
+entity's kind, script and format: digits of the script for digits, letters of the script for letters, in a secret upper
+case for upper case, valid check digits, a name of the title's gender where the script's names tell it, reserved network
 ranges and mail domains. An occurrence is rewritten in its own layout and case.
 
-Collision checks keep distinct entities distinct: a surrogate that another entity has, or that is itself an entity of the
-corpus, is refused, and the entity draws again with the next attempt, in rounds, until none is left. Given and family
-names are entities of their own, so "Mrs. Anna Berg" and "Mrs. Berg" stay one family.
+Collision checks keep distinct entities distinct, over all kinds and without regard to case: a surrogate that another entity
+has, or that is itself an entity of the corpus, is refused, and the entity draws again with the next attempt, in rounds,
+until none is left. Later attempts draw from larger spaces (longer names and mail addresses, all digits), so rounds are few;
+if a kind has more entities than surrogates, `ATTEMPTS` rounds end in an error. Given and family names are entities of
+their own, so "Mrs. Anna Berg" and "Mrs. Berg" stay one family.
 
 Defined results: null stays null, empty stays empty; texts without entities are unchanged; of overlapping finds the
 first in the order of KINDS counts; rows of one id and one text are rewritten alike; extra columns go along.
@@ -21,6 +24,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +35,9 @@ from pyspark.sql import types as T
 from alleloom.llm.common import keyed, written
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_NAME = r"[^\W\d_a-zß-öø-ÿа-яёα-ω][^\W\d_]*(?:[-'’][^\W\d_]+)*"
+#: Marks that stand on letters and are no letters themselves.
+_MARK = "\u0300-\u036f\u0591-\u05bd\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0981-\u0983\u09bc-\u09cd\u0bbe-\u0bcd\u0e31-\u0e4e"
+_NAME = rf"[^\W\d_a-zß-öø-ÿа-яёα-ω](?:[^\W\d_]|[{_MARK}])*(?:[-'’](?:[^\W\d_]|[{_MARK}])+)*"
 #: Titles and the gender that they tell.
 TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Господин": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "Srta": "f", "Госпожа": "f", "Dr": "n", "Prof": "n"}
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
@@ -47,16 +53,22 @@ KINDS: tuple[tuple[str, re.Pattern], ...] = (
 )
 _HINT = {"secret": re.compile(r"(?i)token|key|secret|passw"), "mail": re.compile("@"), "name": re.compile(rf"\b(?:{_TITLE})\b")}
 _DIGIT = re.compile(r"\d\d|\d\.\d")
-#: Syllables of made-up names.
+#: Syllables of made-up names, and endings that tell a gender, or a family name.
 SYLLABLES = {"latin": "ba be bo da de do fa fe fi ga go ha he jo ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe po ra re ri ro sa se si so ta te ti to va ve vi vo wa we za ze".split(), "cyrillic": "ба бе бо ва ве во га го да де до за зе ка ко ла ле ло ма ме ми мо на не ни но па пе по ра ре ро са се со та те то".split(), "greek": "βα βε βο γα γε δα δε δο κα κε κο λα λε λι λο μα με μι μο να νε νι νο πα πε πο ρα ρε ρο σα σε τα τε το".split()}
-ENDINGS = {"latin": {"m": "n", "f": "a", "n": "l", "family": "rd"}, "cyrillic": {"m": "н", "f": "я", "n": "ль", "family": "нко"}, "greek": {"m": "ς", "f": "η", "n": "ν", "family": "δης"}}
+ENDINGS = {"latin": {"m": "n", "f": "a", "n": "l", "family": "rd"}, "cyrillic": {"m": "н", "f": "я", "n": "ль", "family": "нко"}, "greek": {"m": "ς", "f": "η", "n": "ν", "family": "δης"}, "arabic": {"f": "ة"}, "hebrew": {"f": "ה"}, "han": {"m": "伟", "f": "丽"}}
+#: First and last letter from which a script's surrogates draw; a script begins where its first block does.
+LETTERS = {"latin": "az", "greek": "αω", "cyrillic": "ая", "armenian": "աֆ", "hebrew": "את", "arabic": "بغ", "devanagari": "कह", "bengali": "কন", "tamil": "யஹ", "thai": "กฮ", "georgian": "აჰ", "hangul": "가힣", "hiragana": "かの", "katakana": "カノ", "han": "一龠"}
+_BLOCKS = ((0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "bengali"), (0xB80, "tamil"), (0xE00, "thai"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "latin"), (0x1F00, "greek"), (0x2000, "latin"), (0x3040, "hiragana"), (0x30A0, "katakana"), (0x3130, "hangul"), (0x3190, "han"), (0xA000, "latin"), (0xAC00, "hangul"), (0xD7B0, "latin"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE20, "latin"), (0x20000, "han"))
+_STARTS = [at for at, _ in _BLOCKS]
+#: Draws after which the surrogates of a kind count as used up.
+ATTEMPTS = 300
 
 
 def script_of(text: str) -> str:
+    """The script of the first letter."""
     for c in text:
         if c.isalpha():
-            name = unicodedata.name(c, "")
-            return "cyrillic" if name.startswith("CYRILLIC") else "greek" if name.startswith("GREEK") else "latin"
+            return _BLOCKS[max(0, bisect_right(_STARTS, ord(c)) - 1)][1]
     return "latin"
 
 
@@ -64,6 +76,23 @@ def _solid(text: str) -> str:
     return "".join(c for c in text if c.isalnum())
 
 
+def luhn(digits: str) -> bool:
+    total = sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits))))
+    return total % 10 == 0
+
+
+def _iban_number(text: str) -> int:
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4]))
+
+
+def _in_use(ssn: str) -> bool:
+    return ssn[:3] not in ("000", "666") and ssn[0] != "9" and ssn[3:5] != "00" and ssn[5:] != "0000"
+
+
+#: What a find of a kind must fulfil besides its pattern.
+CHECKED = {"card": luhn, "iban": lambda x: _iban_number(x) % 97 == 1, "ssn": _in_use}
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical entity), in order and without overlap."""
     got: list[tuple[int, int, str, str]] = []
@@ -72,8 +101,10 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         if not (_HINT[kind].search(text) if kind in _HINT else digits):
             continue
         for m in pattern.finditer(text):
+            if kind in CHECKED and not CHECKED[kind](_solid(m[0])):
+                continue
             if kind == "secret":
-                got.append((*m.span(1), kind, m[1].lower()))
+                got.append((*m.span(1), kind, m[1]))
             elif kind == "mail":
                 got.append((*m.span(), kind, m[0].casefold()))
             elif kind == "name":
@@ -108,85 +139,89 @@ def _numbers(key: bytes, *of) -> Iterator[int]:
         n += 1
 
 
+def _letter(script: str, r: Iterator[int]) -> str:
+    first, last = map(ord, LETTERS[script])
+    while True:
+        c = chr(first + (next(r) * 256 + next(r)) % (last - first + 1))
+        if c.isalpha():
+            return c
+
+
 def _shape(text: str, r: Iterator[int]) -> str:
-    """Digits for digits, letters of the script for letters, the rest as it is."""
+    """Digits for digits, letters for letters, each of its script, the rest as it is."""
     out = []
     for c in text:
-        if c.isdigit():
-            out.append(str(next(r) % 10))
+        if c.isdecimal():
+            out.append(chr(ord(c) - unicodedata.decimal(c) + next(r) % 10))
         elif c.isalpha():
-            s = script_of(c)
-            new = chr(ord({"latin": "a", "cyrillic": "а", "greek": "α"}[s]) + next(r) % {"latin": 26, "cyrillic": 32, "greek": 17}[s])
+            new = _letter(script_of(c), r)
             out.append(new.upper() if c.isupper() else new)
         else:
             out.append(c)
     return "".join(out)
 
 
-def luhn(digits: str) -> bool:
-    total = sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits))))
-    return total % 10 == 0
-
-
-def _iban_number(text: str) -> int:
-    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4]))
-
-
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """The attempt-th surrogate of an entity, in canonical form."""
     r = _numbers(key, kind, entity, attempt)
+    more = attempt // 2  # letters or syllables beyond the entity's own, once draws have collided
     if kind == "mail":
         local, _, domain = entity.partition("@")
         labels = domain.split(".")
         head = labels[:-2] if len(labels) > 2 else labels[:1]
-        return f"{_shape(local, r)}@{'.'.join(_shape(x, r) for x in head)}.example.{('com', 'net', 'org')[next(r) % 3]}"
+        longer = "".join(_letter("latin", r) for _ in range(more))
+        return f"{_shape(local, r)}{longer}@{'.'.join(_shape(x, r) for x in head)}.example.{('com', 'net', 'org')[next(r) % 3]}"
     if kind == "ip":  # the reserved range; all of the space once that has been tried often
         return ".".join(str(x) for x in (240 + next(r) % 16 if attempt < 16 else next(r), next(r), next(r), next(r)))
-    if kind == "secret" and re.fullmatch(r"[0-9a-f]+", entity):
-        return "".join("0123456789abcdef"[next(r) % 16] for _ in entity)
+    if kind == "secret":
+        for digits in ("0123456789abcdef", "0123456789ABCDEF"):
+            if set(entity) <= set(digits):
+                return "".join(digits[next(r) % 16] for _ in entity)
+        return _shape(entity, r)
     if kind == "card":
-        out = _shape(entity, r)
-        if luhn(entity):
-            out = next(x for x in (out[:-1] + str(d) for d in range(10)) if luhn(x))
-        return out
-    if kind == "ssn":
-        return "9" + _shape(entity[1:], r)
+        out, zero = _shape(entity, r), ord(entity[-1]) - unicodedata.decimal(entity[-1])
+        return next(x for x in (out[:-1] + chr(zero + d) for d in range(10)) if luhn(x))
+    if kind == "ssn":  # no number in use begins with 9; all digits once these have been tried often
+        return ("9" if attempt < 16 else "") + _shape(entity[attempt < 16 :], r)
     if kind == "phone":
         keep = max(0, len(entity) - 10)
         return entity[:keep] + _shape(entity[keep:], r)
     if kind == "iban":
         out = entity[:2] + "00" + _shape(entity[4:], r)
-        if _iban_number(entity) % 97 == 1:
-            out = f"{out[:2]}{98 - _iban_number(out) % 97:02d}{out[4:]}"
-        else:
-            out = out[:2] + _shape(entity[2:4], r) + out[4:]
-        return out
-    if kind.startswith(("given", "family")):
-        role, script = kind.split("-")[0], kind.rsplit("-", 1)[1]
+        return f"{out[:2]}{98 - _iban_number(out) % 97:02d}{out[4:]}"
+    role, script = kind.split("-")[0], kind.rsplit("-", 1)[1]
+    end = ENDINGS.get(script, {}).get("family" if role == "family" else kind.split("-")[1], "")
+    if script in SYLLABLES:
         syllables = SYLLABLES[script]
-        end = ENDINGS[script]["family" if role == "family" else kind.split("-")[1]]
-        return "".join(syllables[(next(r) * 256 + next(r)) % len(syllables)] for _ in range(3 + attempt // 4)) + end
-    return _shape(entity, r)
+        return "".join(syllables[(next(r) * 256 + next(r)) % len(syllables)] for _ in range(3 + more // 2)) + end
+    return "".join(_letter(script, r) for _ in range(max(1, len(entity) - len(end)) + more)) + end
+
+
+def _cased(new: str, old: str) -> str:
+    """new in upper case where old, letter by letter, is."""
+    if old.isupper():
+        return new.upper()
+    return "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for n, o in zip(new, old, strict=False)) + new[len(old) :]
 
 
 def rendered(new: str, old: str) -> str:
     """A canonical surrogate in the layout and case of an occurrence."""
-    if new.isalnum() and len(new) == len(_solid(old)) != len(old):
+    if "@" in new and "@" in old:
+        return "@".join(_cased(n, o) for n, o in zip(new.rsplit("@", 1), old.rsplit("@", 1), strict=True))
+    if len(new) == len(_solid(old)) != len(old) and new.isalnum():
         it = iter(new)
         return "".join(next(it) if c.isalnum() else c for c in old)
+    if any(c.isdecimal() for c in old) or len(new) == len(old) and new != new.lower():
+        return new  # numbers, and secrets, which have their entity's case
     letters = [c for c in old if c.isalpha()]
-    if letters and all(c.isupper() for c in letters):
+    if len(letters) > 1 and all(c.isupper() for c in letters):
         return new.upper()
-    if old[:1].isupper() and "@" not in old and len(new) != len(old):
-        return new.capitalize()
-    if old[:1].isupper() and old[1:].islower():
-        return new.capitalize()
-    return new
+    return new.capitalize() if old[:1].isupper() else new
 
 
 # --- the corpus -----------------------------------------------------------------------------
 
-_SPANS = "_doc long, _tag int, start int, end int, kind string, entity string"
+_SPANS = "_doc long, _tag long, start int, end int, kind string, entity string"
 
 
 def detected(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -194,12 +229,14 @@ def detected(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got: list[list] = [[], [], [], [], [], []]
+            rows, found = [], []
             for i, t in enumerate(b.column(2)):
-                for found in find(t.as_py() or ""):
-                    for c, v in zip(got, (b.column(0)[i].as_py(), b.column(1)[i].as_py(), *found), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(got, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["_doc", "_tag", "start", "end", "kind", "entity"])
+                here = find(t.as_py() or "")
+                rows += [i] * len(here)
+                found += here
+            start, end, kind, entity = zip(*found, strict=True) if found else ([], [], [], [])
+            of = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(kind, pa.string()), pa.array(entity, pa.string())], names=["_doc", "_tag", "start", "end", "kind", "entity"])
 
     return docs.select("_doc", "_tag", text).mapInArrow(run, _SPANS)
 
@@ -212,24 +249,25 @@ def assigned(entities: DataFrame, key: bytes) -> DataFrame:
             new = [surrogate(key, k.as_py(), e.as_py(), a.as_py()) for k, e, a in zip(*b.columns[:3], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(new, pa.string())], names=["kind", "entity", "attempt", "surrogate"])
 
-    real = entities.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("is_real"))
+    # over all kinds, and without regard to case
+    real = entities.select(F.lower("entity").alias("low"), F.lit(True).alias("is_real")).distinct()
     done: DataFrame | None = None
     left = entities.withColumn("attempt", F.lit(0))
-    while True:
-        drawn = left.select("kind", "entity", "attempt").mapInArrow(draw, "kind string, entity string, attempt int, surrogate string")
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("entity").alias("winner"))
-        judged = drawn.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
+    for _ in range(ATTEMPTS):
+        drawn = left.select("kind", "entity", "attempt").mapInArrow(draw, "kind string, entity string, attempt int, surrogate string").withColumn("low", F.lower("surrogate"))
+        first = drawn.groupBy("low").agg(F.min(F.struct("kind", "entity")).alias("winner"))
+        judged = drawn.join(first, "low").join(real, "low", "left")
+        taken = F.lit(True)
         if done is not None:
-            judged = judged.join(done.select("kind", "surrogate", F.lit(True).alias("is_taken")), ["kind", "surrogate"], "left")
+            judged = judged.join(done.select(F.lower("surrogate").alias("low"), F.lit(True).alias("is_taken")), "low", "left")
             taken = F.col("is_taken").isNull()
-        else:
-            taken = F.lit(True)
-        judged = written(judged.select("kind", "entity", "attempt", "surrogate", ((F.col("winner") == F.col("entity")) & F.col("is_real").isNull() & taken).alias("ok")), "surrogates")
+        judged = written(judged.select("kind", "entity", "attempt", "surrogate", ((F.col("winner") == F.struct("kind", "entity")) & F.col("is_real").isNull() & taken).alias("ok")), "surrogates")
         fine = judged.where("ok").select("kind", "entity", "surrogate")
         done = fine if done is None else done.unionByName(fine)
         left = judged.where("not ok").select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
         if left.isEmpty():
             return done
+    raise ValueError(f"there are not enough surrogates for {left.select('kind').distinct().collect()}")
 
 
 def pseudonymised(docs: DataFrame, key: bytes, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -191,6 +191,62 @@ def test_surrogates(spark):
     assert pii.pseudonymised(df.limit(0), b"k").count() == 0
 
 
+def test_surrogates_have_their_format():
+    k = b"k"
+    for kind, entity in (("secret", "AbCdEfGhIjKlMnOp"), ("secret", "0a1b2c3d4e5f0a1b"), ("secret", "0A1B2C3D4E5F0A1B"), ("secret", "ключ-Ключ-12345")):
+        new = pii.surrogate(k, kind, entity, 0)
+        shape = lambda x: ["U" if c.isupper() else "l" if c.isalpha() else "d" if c.isdigit() else c for c in x]
+        assert new != entity and (set(entity) <= set("0123456789abcdefABCDEF-") or shape(new) == shape(entity)) and pii.rendered(new, entity) == new
+    assert pii.find("token=AbCdEfGhIjKlMnOp")[0][3] != pii.find("token=aBcDeFgHiJkLmNoP")[0][3]
+    for name, script in (("王小明", "han"), ("محمد", "arabic"), ("Петров", "cyrillic"), ("דוד", "hebrew"), ("김철수", "hangul"), ("Παππάς", "greek"), ("राम", "devanagari"), ("Ångström", "latin")):
+        (_, _, kind, entity), *_ = pii.find(f"Dr. {name} left")
+        new = pii.surrogate(k, kind, entity, 0)
+        assert kind == f"family-{script}" and {pii.script_of(c) for c in new if c.isalpha()} == {script} and new != entity
+    phone = pii._shape("٠١٢٣", pii._numbers(k, "x"))
+    assert len(phone) == 4 and all(0x660 <= ord(c) <= 0x669 for c in phone)
+    # sixteen digits are a card by their check digit only; accounts and social security numbers are checked as well
+    assert not pii.find("order 1234567812345678, 000-12-3456, DE00370400440532013000") and pii.find("4111111111111111")[0][2] == "card"
+    assert pii.rendered("xy.z@abc.example.org", "Jo.D@MAIL.COM") == "Xy.Z@ABC.EXAMPLE.ORG" and pii.rendered("xyz@abc.example.org", "JO@mail.com") == "XYZ@abc.example.org"
+
+
+def test_texts_against_brute_force(spark):
+    """One surrogate an entity in all texts, distinct ones for distinct entities, and nothing else touched."""
+    rng = random.Random(8)
+    people = ["Mr. Anna", "Frau Berg", "Dr. Иван Петров", "Mrs Berg", "Prof. 王小明"]
+    things = [f"{a}@{b}.co" for a in "abcd" for b in "xyz"] + ["4111 1111 1111 1111", "10.0.0.1", "+1 (415) 555-0101", "token=Abcdefghijkl", "token=abcdefghijkL", *people]
+    docs = [(i % 90, " ".join(rng.choice(things) if rng.random() < 0.4 else "word\n" for _ in range(rng.randrange(0, 30)))) for i in range(100)]
+    docs += [(None, None), (None, "Mr. Anna"), (None, "")]
+    entities = {(k, e) for _, t in docs for _, _, k, e in pii.find(t or "")}
+    real, done, attempt, left = {e.lower() for _, e in entities}, {}, 0, sorted(entities)
+    while left:
+        drawn = {x: pii.surrogate(b"k", *x, attempt) for x in left}
+        for x in left:
+            low = drawn[x].lower()
+            if low not in real and low not in {v.lower() for v in done.values()} and all(drawn[y].lower() != low for y in left if y < x):
+                done[x] = drawn[x]
+        left, attempt = [x for x in left if x not in done], attempt + 1
+    assert len({v.lower() for v in done.values()}) == len(entities) and not {v.lower() for v in done.values()} & real
+
+    def rewritten(t):
+        out, at = "", 0
+        for a, b, kind, entity in pii.find(t):
+            out, at = out + t[at:a] + pii.rendered(done[kind, entity], t[a:b]), b
+        return out + t[at:]
+
+    rows = pii.pseudonymised(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), b"k").collect()
+    want = [(d, t and rewritten(t), len(pii.find(t or ""))) for d, t in docs]
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want))
+
+
+def test_many_short_mails_stay_distinct(spark):
+    """More entities than surrogates of their own length."""
+    mails = [f"{a}@{b}{c}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmn" for c in "abcdefghijklmn"]
+    small = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    entities = [("mail", m) for m in [*mails, *small]][:5000] + [("mail", m) for m in small] + [("family-latin", "berg"), ("given-m-latin", "berg")]
+    got = pii.assigned(spark.createDataFrame(sorted(set(entities)), "kind string, entity string"), b"k").collect()
+    assert len(got) == len(set(entities)) == len({r["surrogate"] for r in got}) and not {r["surrogate"] for r in got} & {e for _, e in entities}
+
+
 def test_collisions_are_resolved(spark, monkeypatch):
     entities = spark.createDataFrame([("ssn", f"{i:09d}") for i in range(40)], "kind string, entity string")
     narrow = pii.surrogate
