@@ -1,10 +1,10 @@
 """Media columns: interleaved document sequences.
 
 `sequences` parses HTML into an ordered array of structs: text segments and media references, each with its position and
-a media reference with its caption. A reference names its payload by digest (`media:<sha256>`). `stored` makes the media
-table: digest -> stored form, a portable graymap of 8-bit samples, 64 to a row, so its height is the payload's length
-over 64. `features` reads stored bytes back and describes them. `resolved` joins references to described payloads by
-digest; the join carries only digests and descriptions, positions and captions stay in the sequence.
+a media reference with its caption. A reference names its payload by digest (`media:<sha256>`). `saved` writes the media
+table: digest and stored form, a portable graymap of 8-bit samples, 64 to a row, so its height is the payload's length
+over 64. `described` reads the stored bytes back from that table and describes them. `resolved` joins references to
+described payloads by digest; the join carries only digests and descriptions, positions and captions stay in the sequence.
 
 Defined results: null and empty HTML give an empty sequence; null text is an empty payload (64 zero bytes); a reference
 without a payload keeps its place with null description; equal payloads have one digest and equal descriptions.
@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from alleloom.llm.common import written
+
 ROW = 64
 SEQUENCE = "array<struct<position:int,kind:string,text:string,media:string,caption:string>>"
 _ARROW_SEQUENCE = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("media", pa.string()), ("caption", pa.string())]))
@@ -157,13 +159,9 @@ def stored(docs: DataFrame, text: str = "text") -> DataFrame:
     return _mapped(docs, text, row, [("n_bytes", "long", pa.int64()), ("digest", "string", pa.string()), ("media", "binary", pa.binary())])
 
 
-def digests(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs' rows with n_bytes (unpadded) and the digest of the payload, without the payload."""
-
-    def row(t):
-        return {"n_bytes": len((t or "").encode()), "digest": hashlib.sha256(padded(t)).hexdigest()}
-
-    return _mapped(docs, text, row, [("n_bytes", "long", pa.int64()), ("digest", "string", pa.string())]).drop(text)
+def saved(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The media table of docs' texts, written in the shared folder and read from there; it has stored()'s columns without the text."""
+    return written(stored(docs, text).drop(text), "media")
 
 
 def described(media: DataFrame, column: str = "media") -> DataFrame:
@@ -183,19 +181,18 @@ def described(media: DataFrame, column: str = "media") -> DataFrame:
     return _mapped(media, column, row, names).drop(column)
 
 
-def resolved(seqs: DataFrame, media: DataFrame, key: str, digest: str = "payload_sha256", sequence: str = "sequence") -> DataFrame:
-    """One row per media reference of seqs: key, position, kind, caption, digest and the payload's description.
+def resolved(seqs: DataFrame, media: DataFrame, keys: list[str], digest: str = "payload_sha256", sequence: str = "sequence") -> DataFrame:
+    """One row per media reference of seqs: keys, position, kind, caption, digest and the payload's description.
 
-    media may repeat digests; equal digests have equal descriptions, of which one is taken before the join.
+    media may repeat digests; equal digests have equal descriptions, of which one is taken before the join. The description
+    holds the digest as read back.
     """
-    cols = [c for c in media.columns if c != digest]
     # one row per digest: map-side combine on the digest, so a payload used by a third of all rows is one small row
-    one = media.groupBy(digest).agg(F.min(F.struct(*cols)).alias("payload")).withColumnRenamed(digest, "ref_digest")
-    refs = seqs.select(F.col(key).alias("ref_key"), F.explode(sequence).alias("r")).where("r.media like 'media:%'").select("ref_key", F.col("r.position").alias("position"), F.col("r.kind").alias("kind"), F.col("r.caption").alias("caption"), F.expr("substring(r.media, 7)").alias("ref_digest"))
-    return refs.join(one, "ref_digest", "left").select(F.col("ref_key").alias(key), "position", "kind", "caption", F.col("ref_digest").alias("digest"), "payload")
+    one = media.groupBy(F.col(digest).alias("ref_digest")).agg(F.min(F.struct(*media.columns)).alias("payload"))
+    refs = seqs.select(F.struct(*(F.col(f"`{k}`") for k in keys)).alias("of"), F.explode(sequence).alias("r")).where("r.media like 'media:%'").select("of", F.col("r.position").alias("position"), F.col("r.kind").alias("kind"), F.col("r.caption").alias("caption"), F.expr("substring(r.media, 7)").alias("ref_digest"))
+    return refs.join(one, "ref_digest", "left").select(*(F.col("of").getField(k).alias(k) for k in keys), "position", "kind", "caption", F.col("ref_digest").alias("digest"), "payload")
 
 
 def page_of(digest: Column, caption: Column) -> Column:
     """A page that shows the payload of that digest in a figure with that caption (plain text, without markup)."""
     return F.concat(F.lit("<article><p>Document</p><figure><img src='media:"), digest, F.lit("'><figcaption>"), caption, F.lit("</figcaption></figure></article>"))
-

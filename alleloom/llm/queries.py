@@ -73,13 +73,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alleloom.llm import media
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    described = media.described(media.stored(docs).drop("text"))
-    caption = F.concat(F.lit("bytes "), F.col("n_bytes").cast("string"))
-    pages = media.digests(docs).select("doc_id", media.page_of(F.col("digest"), caption).alias("html"))
-    seqs = media.sequences(pages).drop("html")
-    found = media.resolved(seqs, described.drop("doc_id", "n_bytes", "digest"), "doc_id")
-    return found.select("doc_id", F.regexp_extract("caption", r"bytes (\d+)", 1).cast("long").alias("n_bytes"), "payload.payload_bytes", F.col("digest").alias("payload_sha256"), "payload.tail_crc32", "payload.media_bytes", "payload.media_sha256", "payload.feature", "position")
+    store = media.saved(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    caption = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("without id")))
+    seqs = media.sequences(store.select("doc_id", "n_bytes", media.page_of(F.col("digest"), caption).alias("html")))
+    found = media.resolved(seqs, media.described(store.select("media")), ["doc_id", "n_bytes"])
+    return found.select("doc_id", "n_bytes", *(F.col("payload").getField(c).alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")), "position", "caption")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
