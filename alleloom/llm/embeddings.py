@@ -19,7 +19,9 @@ have been asked. While the recall of links, over all and on average over these n
 further projections and their rounds follow; when these would compare as many pairs as there are, all are compared.
 
 Defined results: a vector that is null, empty, zero, or holds null or non-finite components links with nothing, nor do
-vectors of different lengths with each other; rows of one id are one vertex; rows without id link with nothing.
+vectors of different lengths with each other; a row is a vector, so rows of one id each have their own links, and equal
+rows link with each other; component_id is the smallest id of the rows reached; rows without id link with nothing. Doubles
+are compared as doubles, and vectors of any length in the range of doubles.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 
 from alleloom.llm.common import components, mix, runs_of, written
 
-BLOCK = 512
+#: Nodes in a block of a group that is compared in whole, and rows of a block compared at once.
+BLOCK = 2048
+STRIP = 512
 CHUNK = 32
 #: Members of a group in one projection that looks for neighbours outside the groups.
 FEW = 8
@@ -47,8 +51,9 @@ _GRAPH = "id long, nbr long, sim double, out boolean"
 
 
 def _unit(vecs: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Rows of 32-bit components as unit vectors in double precision."""
-    x = np.stack([np.frombuffer(v.as_buffer(), "<f4") for v in vecs]).astype(np.float64)
+    """Rows as unit vectors in double precision; 32-bit components, or 64-bit ones, which have a byte more in front."""
+    x = np.stack([np.frombuffer(d, "<f8", offset=1) if (d := v.as_buffer()).size % 4 else np.frombuffer(d, "<f4") for v in vecs]).astype(np.float64)
+    x /= np.abs(x).max(1)[:, None]  # no square over- or underflows
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -62,19 +67,29 @@ def _uniform(t: pa.Table, column: str = "vec") -> Iterator[pa.Table]:
         yield t.filter(pa.array(n == k))
 
 
-def nodes(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
-    """(id, m, vec) of distinct usable vectors; (vec_id, id) of their rows."""
-    ok = F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(vector, lambda v: v != 0)
+def packed(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(vec_id, d, vec) of every row: the components as bytes and their digest, both null if the row links with nothing."""
+    double = vectors.schema[vector].dataType.elementType.typeName() == "double"
+    usable = (F.size(vector) > 0) & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(vector, lambda v: v != 0)
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.when(F.col(key).isNotNull() & F.coalesce(usable, F.lit(False)), F.col(vector).cast("array<double>" if double else "array<float>")).alias("v"))
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(v.values, "<f4").__add__(0).tobytes() for v in b.column(1)], pa.binary())], names=["vec_id", "vec"])
+            ok = b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False) + 0  # -0 is 0
+            flat = flat.astype("<f8" if double else "<f4")
+            end = np.cumsum(np.where(ok, b.column(1).value_lengths().fill_null(0).to_numpy(), 0))
+            head = b"\0" if double else b""
+            data = [head + flat[lo:hi].tobytes() if good else None for lo, hi, good in zip([0, *end[:-1]], end, ok, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], names=["vec_id", "vec"])
+
+    return rows.mapInArrow(run, "vec_id long, vec binary").select("vec_id", F.sha2("vec", 256).alias("d"), "vec")
+
 
-    rows = vectors.where(F.col(key).isNotNull() & F.coalesce(ok, F.lit(False))).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(packed, "vec_id long, vec binary")
-    rows = rows.withColumn("d", F.sha2("vec", 256))
-    one = written(rows.groupBy("d").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("m"), F.min("vec").alias("vec")), "nodes")
-    member = written(rows.select("vec_id", "d").distinct().join(one.select("d", "id"), "d").select("vec_id", "id"), "members")
-    return one.select("id", "m", "vec"), member
+def nodes(rows: DataFrame) -> DataFrame:
+    """(id, d, m, low, vec) of distinct usable vectors: a number, the digest, how many rows have it, their smallest id."""
+    one = rows.where("d is not null").groupBy("d").agg(F.count("*").alias("m"), F.min("vec_id").alias("low"), F.min("vec").alias("vec"))
+    return written(one.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
 
 def _near_in_order(k: int):
@@ -230,14 +245,17 @@ def _counted(threshold: float):
             out_id, out_n = [], []
             for lo, hi in zip(edge, np.append(edge[1:], len(g)), strict=True):
                 x, own, times = _unit(vecs[lo:hi]), ids[lo:hi], m[lo:hi]
-                if i[lo] == j[lo]:
-                    s = (x @ x.T >= threshold) & (own[:, None] != own[None, :])
-                    out_id.append(own), out_n.append(s @ times)
-                else:
-                    left, right = np.flatnonzero(block[lo:hi] == i[lo]), np.flatnonzero(block[lo:hi] == j[lo])
-                    s = x[left] @ x[right].T >= threshold
-                    out_id += [own[left], own[right]]
-                    out_n += [s @ times[right], s.T @ times[left]]
+                one = i[lo] == j[lo]
+                left, right = (np.flatnonzero(block[lo:hi] == k) for k in (i[lo], j[lo]))
+                there = np.zeros(len(right), np.int64)
+                for k in range(0, len(left), STRIP):
+                    part = left[k : k + STRIP]
+                    s = (x[part] @ x[right].T >= threshold) & (own[part][:, None] != own[right][None, :])
+                    out_id.append(own[part]), out_n.append(s @ times[right])
+                    if not one:
+                        there += s.T @ times[part]
+                if not one:
+                    out_id.append(own[right]), out_n.append(there)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_n).astype(np.int64))], names=["id", "n"])
 
     return run
@@ -318,8 +336,9 @@ def regrouped(graph: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, trees: int = 6, rounds: int = 4, recall: float = 0.99, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept, saturated) for every row with an id, and null links' results for the rest."""
-    node, member = nodes(vectors, key, vector)
+    """(vec_id, n_links, component_id, kept, saturated) for every row."""
+    whole = nodes(packed(vectors, key, vector))
+    node = whole.select("id", "m", "vec")
     count = node.count()
     graph = groups = found = None
     trees, go, done = enough(count, trees), 0, 0
@@ -358,11 +377,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, tre
             break
     best = graph.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "nbr"))).where(F.col("r") <= k)
     full = best.groupBy("id").agg((F.min("sim") >= threshold).alias("saturated"))
-    per = node.select("id", "m").join(groups, "id", "left").join(found, "id", "left").join(full, "id", "left")
-    per = per.select("id", F.coalesce("g", "id").alias("g"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("saturated", F.lit(False)).alias("saturated"))
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"))
-    # one id with several vectors is one vertex: its links add up, its component is the smallest
-    own = member.join(per, "id").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("g").alias("component_id"), F.max("saturated").alias("saturated"))
-    out = rows.join(own, "vec_id", "left")
+    per = whole.select("id", "d", "m", "low").join(groups, "id", "left").join(found, "id", "left").join(full, "id", "left")
+    per = per.select("d", "low", F.coalesce("g", "id").alias("g"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("saturated", F.lit(False)).alias("saturated"))
+    least = per.groupBy("g").agg(F.min("low").alias("component_id"))
+    own = per.join(least, "g").select("d", "n_links", "component_id", "saturated")
+    out = packed(vectors, key, vector).select("vec_id", "d").join(own, "d", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(F.col("vec_id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"), F.coalesce("saturated", F.lit(False)).alias("saturated"))

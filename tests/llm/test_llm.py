@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from alleloom.llm import bpe, embeddings, jaccard, langid, media, packing, pii, quality, substrings, url_filter
 from alleloom.llm.common import components
@@ -534,6 +535,13 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_repeated_ids_and_doubles(spark):
+    """Rows of one id have links of their own; doubles far outside the range of floats are compared as they are."""
+    rows = [(5, [1.0, 0.0, 0.0, 0.1]), (5, [0.0, 1.0, 0.0, 0.1]), (1, [1.0, 0.05, 0.0, 0.1]), (9, [0.0, 1.0, 0.05, 0.1]), (12, [0.0, 0.0, 1e200, 1e199]), (11, [0.0, 0.0, 1e-200, 1e-201]), (13, [0.0, 0.0, 1.0, 0.1]), (13, [0.0, 0.0, 1.0, 0.1]), (20, [-1.0, 0.0, -0.0, 0.0]), (None, [1.0, 0.0, 0.0, 0.1])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str) == sorted([(1, 1, 1, True), (5, 1, 1, False), (5, 1, 5, True), (9, 1, 5, False), (11, 3, 11, True), (12, 3, 11, False), (13, 3, 11, False), (13, 3, 11, False), (20, 0, 20, True), (None, 0, None, True)], key=str)
+
+
 def test_embeddings_of_bridged_groups(spark):
     """Two dense groups of which every node's nearest neighbours are of its own group, with links between them."""
     rng = np.random.default_rng(11)
@@ -635,18 +643,25 @@ def test_media(spark, tmp_path):
         p = t + bytes(max(64, -(-len(t) // 64) * 64) - len(t))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         assert r["media_sha256"] == hashlib.sha256(media.encode(p)).hexdigest() and media.decode(media.encode(p)) == p
+        assert (r["position"], r["caption"]) == (1, f"document {r['doc_id'] or 'without id'}")
+    store = media.saved(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    assert store.inputFiles() and {media.decode(r["media"]).rstrip(b"\0").decode() for r in store.collect()} == {t or "" for _, t in docs}
+    (tmp_path / "none").mkdir()
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert queries.op10_media(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_sequences(spark):
     page = "<html><head><title>no</title></head><body>One<p>two <b>bold</b></p><figure><img src='media:aa' alt='alt'><figcaption>Cap</figcaption></figure><script>x()</script>tail<img src='media:bb'></body>"
-    df = spark.createDataFrame([(1, page, 0), (2, None, 0), (3, "", 0), (4, "<p>unclosed <img src=media:zz", 0)], "page_id long, html string, sequence int")
+    df = spark.createDataFrame([(1, page, 0), (2, None, 0), (3, "", 0), (4, "<p>unclosed <img src=media:zz", 0)], "page_id long, html string, sequence int").withColumn("payload", F.lit("x"))
     rows = {r["page_id"]: r["sequence"] for r in media.sequences(df).collect()}
     assert [(s["position"], s["kind"], s["text"], s["media"], s["caption"]) for s in rows[1]] == [
         (0, "text", "One", None, None), (1, "text", "two bold", None, None), (2, "image", None, "media:aa", "Cap"), (3, "text", "tail", None, None), (4, "image", None, "media:bb", None),
     ]
     assert rows[2] == [] and rows[3] == []
     store = spark.createDataFrame([("aa", 7), ("aa", 7), ("cc", 1)], "payload_sha256 string, size int")
-    got = media.resolved(media.sequences(df), store, "page_id").orderBy("position").collect()
+    got = media.resolved(media.sequences(df), store, ["page_id", "payload"]).orderBy("position").toDF("page_id", "own", "position", "kind", "caption", "digest", "payload").collect()
+    assert {r["own"] for r in got} == {"x"}
     assert [(r["position"], r["caption"], r["payload"] and r["payload"]["size"]) for r in got if r["page_id"] == 1] == [(2, "Cap", 7), (4, None, None)]
 
 
