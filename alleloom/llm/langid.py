@@ -1,12 +1,12 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies of hashed character 1- to 3-grams are counted over all documents that may be learned from. The
-model is trained on a bounded sample of them (`sample` rows, the smallest by hash) with the follow-the-regularised-leader
+model is trained on a bounded sample of them (`sample` rows, of the languages in turn the smallest by hash) with the follow-the-regularised-leader
 proximal update and an elastic-net penalty, one example at a time; a fifth of the sample is kept back, and on it a
 temperature is fitted that calibrates the scores. Prediction reads nothing but the text, whole.
 
 Defined results: null text and text without a letter are `und` with score 0; without any labelled rows every document
-is `und`; equal scores go to the language that sorts first.
+is `und`; equal scores go to the language that sorts first; a row without id is learned from like any other, a repeated row once.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alleloom.llm.common import text_slices
@@ -130,10 +130,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     n, df = document_frequencies(usable)
     idf = np.log((1 + n) / (1 + df)) + 1
     # the sample's features are made where the texts are; the driver gets `sample` sparse vectors at most
-    # which rows is settled without their texts, so no task gathers more than `sample` small rows from each other task
+    # which rows is settled without their texts, and language by language in turn, so rare languages are learned too
     known = usable.withColumn("h", F.xxhash64("id")).withColumn("th", F.xxhash64("text"))
-    ids = known.select("h", "id", "th").orderBy("h", "id", "th").limit(sample).select("id", "th").distinct()
-    chosen = known.join(F.broadcast(ids), ["id", "th"]).dropDuplicates(["id", "th"])
+    order = ["h", "id", "th"]
+    turn = known.select("lang", *order).distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= sample)
+    ids = turn.orderBy("r", *order, "lang").limit(sample).select("h", "th", "lang")
+    chosen = known.join(F.broadcast(ids), ["h", "th", "lang"]).dropDuplicates(["h", "th", "lang"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
