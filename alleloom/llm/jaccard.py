@@ -276,12 +276,19 @@ def document_sets(docs: DataFrame, shingle: int, key: str = "doc_id", text: str
 
 
 def _clusters(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(cluster, doc): documents that share a key with a smaller one, which is the cluster. Copies are filed once a task."""
+
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filed: dict[tuple, int] = {}  # the smallest document of a set so far, of those that this task reads
         for b in batches:
             doc = b.column(0).to_numpy(zero_copy_only=False)
             held, who, size = [], [], 0
             for i, x in sets_of(b.column(1), shingle):
                 if len(x):
+                    digest = len(x), int(x.sum()), int(mix(x).sum())
+                    if filed.get(digest, doc[i] + 1) <= doc[i]:
+                        continue  # only the smallest document of equal sets counts, and this is not it
+                    filed[digest] = doc[i]
                     k = keys_of(x, percent)
                     held.append(k)
                     who.append(np.full(len(k), doc[i]))
@@ -401,8 +408,10 @@ def links(docs: DataFrame, sets: DataFrame, shingle: int, percent: int, block: i
     size = groups.groupBy("cluster").agg(F.min("doc").alias("hub"))
     whole = whole.select("doc", "n", "set").join(groups.hint("merge"), "doc").join(size, "cluster")
     whole = written(whole, "grouped")
-    hubs = whole.where("doc = hub").select("cluster", F.col("set").alias("hub_set")).dropDuplicates(["cluster"])
-    near = whole.where("doc <> hub").select("cluster", "doc", "set").join(hubs.hint("merge"), "cluster").mapInArrow(_compare_with_hub(percent), "cluster long, doc long, near boolean, far double")
+    # the hub is one set; other sets of its id, in rows of other texts, are members like any other
+    hubs = whole.where("doc = hub").groupBy("cluster").agg(F.min("set").alias("hub_set"))
+    others = whole.select("cluster", "doc", "hub", "set").join(hubs.hint("merge"), "cluster").where("doc <> hub or set <> hub_set")
+    near = others.select("cluster", "doc", "set", "hub_set").mapInArrow(_compare_with_hub(percent), "cluster long, doc long, near boolean, far double")
     near = written(near, "near")
     to_hub = near.where("near").join(size, "cluster").select(F.col("doc").alias("a"), F.col("hub").alias("b"))
     # what the hub leaves over, and which linked sets are in its reach

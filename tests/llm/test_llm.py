@@ -405,6 +405,15 @@ def test_block_pairs(spark):
     assert set(got.values()) == {0}
 
 
+def test_the_smallest_id_may_have_several_texts(spark):
+    """The smallest id of a group comes in rows of unlike texts: each row's links count."""
+    a, b = [f"a{i}" for i in range(100)], [f"b{i}" for i in range(100)]
+    docs = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "x"])), (3, " ".join([*b[:-1], "y"])), (4, " ".join(["z", *b[1:]])), (5, "other words here now"), (None, " ".join(a)), (6, " ".join(a)), (7, " ".join(a))]
+    for order in (docs, docs[::-1]):
+        got = jaccard.joined(frame(spark, order).repartition(3), 4, 85).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, None: None, 6: 1, 7: 1} and len(got) == len(docs)
+
+
 def test_every_linked_pair_shares_a_key():
     rng = np.random.default_rng(3)
     for n in (1, 2, 6, 7, 9, 13, 20, 40, 90, 300):
@@ -462,6 +471,8 @@ def test_language_id(spark):
     held = [d for d in docs if d[0] is not None and d[2] and zlib.crc32(str(d[0]).encode()) % 4 == 2 and d[0] < 9000]
     assert all(rows[d[0]]["held_out"] for d in held) and np.mean([rows[d[0]]["lang_pred"] == d[2] for d in held]) > 0.97
     assert all(0 <= r["score"] <= 1 for r in rows.values())
+    rare = [*docs, *((20_000 + i, "λόγος και φως " * 3, "el") for i in range(4)), *docs[:50], (30_000, "ba ka", "aa"), (30_000, "ba ka", "bb")]
+    assert "el" in langid.train(spark.createDataFrame(rare, "doc_id long, text string, lang string"), sample=40).labels
     none = langid.identified(spark.createDataFrame([(1, "ab", None)], "doc_id long, text string, lang string")).first()
     assert none["lang_pred"] == "und"
     assert langid.identified(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
