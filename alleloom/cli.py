@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alleloom import schema as S
 from alleloom import ship
-from alleloom.functions.scalars import size_of
+from alleloom.functions.scalars import label_of, size_of
 from alleloom.operators import filters as Q
 from alleloom.operators import merge as M
 from alleloom.operators import pileup as U
@@ -22,6 +24,8 @@ from alleloom.sources import text as read
 
 CHUNK = 65536
 COMMANDS = ("hetfa", "maf", "emf", "bcfin", "vcfin", "bamin", "patch", "treemix", "eigenstrat", "vcfexport", "pseudo_ms", "kayvergence", "dstatistics", "f4statistics", "yaddayadda", "twobitinfo", "twobittofa", "fatotwobit", "dumplump", "dumppatch")
+#: Commands whose files are run files.
+MERGED = ("patch", "treemix", "eigenstrat", "vcfexport", "pseudo_ms", "kayvergence", "dstatistics", "f4statistics", "yaddayadda", "dumplump", "dumppatch")
 
 
 def command_of(name: str) -> str:
@@ -33,11 +37,21 @@ def command_of(name: str) -> str:
     return found[0]
 
 
+#: Numbers of genomes that each statistic takes from the front of its files, by option, and their defaults.
+COUNTED = {
+    "kayvergence": (("-n", "--numgood", "good", 1),),
+    "dstatistics": (("-n", "--numoutgroups", "nout", 1), ("-k", "--numrefpanel", "panel", 2)),
+    "f4statistics": (("-n", "--numoutgroups", "nout", 1), ("-k", "--numrefpanel", "panel", 2)),
+    "yaddayadda": (("-n", "--numoutgroups", "nout", 1), ("-k", "--numafricans", "africans", 1), ("-l", "--numneandertals", "panel", 2)),
+}
+
+
 def parser(command: str) -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog=f"alleloom {command}")
-    p.add_argument("files", nargs="*")
-    p.add_argument("-o", "--output", default="-")
-    p.add_argument("-r", "--reference")
+    p.add_argument("files", nargs="*", help="input files; - is standard input")
+    p.add_argument("-o", "--output", default="-", help="output file; a folder of parts if it ends in a slash")
+    p.add_argument("-r", "--reference", help="reference (2bit); else the first one that an input names and that exists")
+    p.add_argument("--no-check", action="store_true", help="take files that were written against another reference")
     if command in ("vcfin", "bcfin"):
         p.add_argument("-D", "--dense", action="store_const", const="dense", dest="gap")
         p.add_argument("-S", "--sparse", action="store_const", const="sparse", dest="gap")
@@ -54,24 +68,33 @@ def parser(command: str) -> argparse.ArgumentParser:
         p.add_argument("--deaminate", action="store_true")
         p.add_argument("--pick", choices=U.SCHEMES, default="ostrich")
         p.add_argument("--seed", type=int, default=0)
-    else:
-        p.add_argument("-n", "--noutgroups", type=int, default=1 if command in ("dstatistics", "f4statistics", "yaddayadda", "kayvergence") else 0)
-        p.add_argument("-k", "--nrefpanel", type=int, default=2)
-        p.add_argument("-f", "--nafricans", type=int, default=1)
+    elif command in COUNTED:
+        for short, long, dest, default in COUNTED[command]:
+            p.add_argument(short, long, dest=dest, type=int, default=default)
         p.add_argument("-J", "--blocksize", type=size_of, default=A.BLOCK)
         p.add_argument("-t", "--transversions", action="store_true")
-        p.add_argument("--ignore-cpg", action="store_true")
-        p.add_argument("-b", "--only-biallelic", action="store_true")
-        p.add_argument("-D", "--dense", action="store_true")
+        if command != "yaddayadda":
+            p.add_argument("--ignore-cpg", action="store_true")
         p.add_argument("-R", "--regions")
-        p.add_argument("-i", "--individuals")
-        p.add_argument("-c", "--chromosomes")
-        p.add_argument("-a", "--autosomes", action="store_const", const=Q.AUTOSOMES, dest="chromosomes")
-        p.add_argument("-x", "--x-chromosome", action="store_const", const=Q.X_CHROMOSOME, dest="chromosomes")
-        p.add_argument("-y", "--y-chromosome", action="store_const", const=Q.Y_CHROMOSOME, dest="chromosomes")
-        p.add_argument("-l", "--block-length", type=size_of)
-        p.add_argument("-m", "--min-informative", type=float, default=90.0)
+    elif command in ("patch", "twobittofa"):
         p.add_argument("-w", "--width", type=int, default=50)
+    elif command in ("treemix", "eigenstrat", "vcfexport", "pseudo_ms"):
+        p.add_argument("-n", "--numoutgroups", dest="nout", type=int, default=0)
+        p.add_argument("-R", "--regions")
+        if command == "treemix":
+            p.add_argument("-t", "--transversions", action="store_true")
+            p.add_argument("-i", "--individuals")
+            p.add_argument("-c", "--chromosomes")
+            for short, long, pattern in (("-a", "--autosomes", Q.AUTOSOMES), ("-x", "--x-chromosome", Q.X_CHROMOSOME), ("-y", "--y-chromosome", Q.Y_CHROMOSOME)):
+                p.add_argument(short, long, action="store_const", const=pattern, dest="chromosomes")
+        else:
+            p.add_argument("-t", "--only-transversions", action="store_true", dest="transversions")
+            p.add_argument("-b", "--only-biallelic", action="store_true")
+        if command in ("vcfexport", "pseudo_ms"):
+            p.add_argument("-D", "--dense", action="store_true")
+        if command == "pseudo_ms":
+            p.add_argument("-l", "--blocklength", type=size_of)
+            p.add_argument("-m", "--min-informative", type=float, default=90.0)
     return p
 
 
@@ -88,11 +111,40 @@ class Job:
 
     def __init__(self, spark: SparkSession, command: str, args: argparse.Namespace):
         self.spark, self.command, self.a = spark, command, args
-        if args.reference:
-            self.contigs, self.chunks = twobit.read(spark, args.reference, CHUNK)
+
+    @cached_property
+    def reference(self) -> tuple[str, DataFrame, DataFrame] | None:
+        """(path, contigs, chunks) of the reference asked for, or of the first that a run file names and that exists."""
+        named = [self.a.reference] if self.a.reference else []
+        if not named and self.command in MERGED:
+            named = list(dict.fromkeys(path for _, path, _ in runfile.headers(self.spark, self.a.files) if path))
+        self.looked = ", ".join(named)
+        for path in named:
+            try:
+                self.spark.read.format("binaryFile").load(path).select("path").first()
+            except AnalysisException:
+                if self.a.reference:
+                    raise
+                continue
+            return (path, *twobit.read(self.spark, path, CHUNK))
+        return None
+
+    def _needed(self) -> tuple[str, DataFrame, DataFrame]:
+        if self.reference is None:
+            raise SystemExit(f"No reference found. Looked for it at {self.looked}." if self.looked else "No reference found; name one with -r.")
+        return self.reference
+
+    @property
+    def contigs(self) -> DataFrame:
+        return self._needed()[1]
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self._needed()[2]
 
     def runs(self) -> DataFrame:
-        return runfile.read_runs(self.spark, self.a.files, check=False).where("run_end > run_start")
+        known = self.reference[1:] if self.reference else None
+        return runfile.read_runs(self.spark, self.a.files, known, check=not self.a.no_check).where("run_end > run_start")
 
     def variants(self, nout: int, dense: bool = False) -> DataFrame:
         n = len(self.a.files)
@@ -100,32 +152,53 @@ class Job:
 
     def filtered(self, v: DataFrame) -> DataFrame:
         """In the fixed order: biallelic sites, chromosomes, regions, transversions, CpG sites."""
-        a = self.a
-        if a.only_biallelic:
+        wants = lambda name: getattr(self.a, name, None)
+        if wants("only_biallelic"):
             v = Q.biallelic(v)
-        if a.chromosomes:
-            v = Q.select_chroms(v, self.contigs, a.chromosomes)
-        if a.regions:
-            v = Q.restrict_to_regions(v, read.read_bed(self.spark, [a.regions], self.contigs))
-        if a.transversions:
+        if wants("chromosomes"):
+            v = Q.select_chroms(v, self.contigs, self.a.chromosomes)
+        if wants("regions"):
+            v = Q.restrict_to_regions(v, read.read_bed(self.spark, [self.a.regions], self.contigs))
+        if wants("transversions"):
             v = Q.transversions(v)
-        if a.ignore_cpg:
-            v = Q.drop_cpg(v, M.bases_of(self.chunks))
+        if wants("ignore_cpg"):
+            v = Q.drop_cpg(v, self.chunks, CHUNK)
         return v
 
-    def statistic(self, combos, patterns, names, nout: int, dense: bool = False) -> None:
-        if not combos:
-            _emit("Nothing to do.\n", self.a.output)
-            return
-        v = self.filtered(self.variants(nout, dense))
-        blocks = A.block_sums(A.scores(v, [c for c, _ in combos], patterns), self.a.blocksize)
-        _emit(T.report_text(A.report(self.spark, blocks, combos, names), names) + "\n", self.a.output)
+    def statistic(self) -> None:
+        a, n, labels = self.a, len(self.a.files), self.labels()
+        match self.command:
+            case "kayvergence":
+                have = ((2, a.good, "good genomes"), (3, n, "genomes"))
+                combos, patterns, nout = A.kay_combos(a.good, labels), A.KAY, 0
+            case "yaddayadda":
+                have = ((1, a.nout, "apes"), (1, a.africans, "africans"), (2, a.panel, "neanderthals"), (1, n - a.nout - a.africans - a.panel, "samples"))
+                combos, patterns, nout = A.yadda_combos(a.nout, a.africans, a.panel, labels), A.YADDA, a.nout + a.africans
+            case _:
+                have = ((1, a.nout, "outgroups"), (2, a.panel, "members in reference panel"), (1, n - a.nout - a.panel, "samples"))
+                combos, patterns, nout = A.patterson_combos(a.nout, a.panel, labels), A.PATTERSON, a.nout
+        for want, got, what in have:
+            if got < want:
+                print(f"Need at least {want} {what}, got only {got}.\nNothing to do.", file=sys.stderr)
+                return
+        index = [c for c, _ in combos]
+        plain = not (a.regions or a.transversions or getattr(a, "ignore_cpg", False))
+        if self.command == "f4statistics" and plain:  # nothing looks at single sites between variants
+            runs = self.runs()
+            blocks = A.dense_blocks(M.merge_sparse(runs, n), runs, n, index, patterns, a.blocksize, M.WIDTH, grid=False)
+        else:
+            blocks = A.block_sums(self.filtered(self.variants(nout, self.command == "f4statistics")), index, patterns, a.blocksize)
+        _emit(T.report_text(A.report(self.spark, blocks, combos, A.NAMES[self.command]), self.command) + "\n", a.output)
 
     def labels(self) -> list[str]:
-        return [f.rsplit("/", 1)[-1].split(".", 1)[0] for f in self.a.files]
+        return [label_of(f) for f in self.a.files]
 
     def save(self, runs: DataFrame) -> None:
-        T.write_runfile(runs, self.a.output, self.a.reference or "", self.contigs)
+        """As a run file, or (a path that ends in .parquet) as the table that merges read best."""
+        if self.a.output.endswith(".parquet"):
+            T.write_runs(runs, self.a.output)
+        else:
+            T.write_runfile(runs, self.a.output, self._needed()[0], self.contigs)
 
     def run(self) -> None:
         a, spark, n, labels = self.a, self.spark, len(self.a.files), self.labels()
@@ -144,13 +217,17 @@ class Job:
                 if self.command == "maf":
                     blocks = alignments.maf_blocks(alignments.read_maf(spark, a.files), a.ref_species, a.sample_species, self.contigs)
                 else:
-                    blocks = alignments.read_emf(spark, a.files, two(a.ref_species), two(a.sample_species) if a.sample_species else None, two(a.ancestor_of), self.contigs)
+                    files = a.files[0] if n == 1 else a.files
+                    blocks = alignments.read_emf(spark, files, two(a.ref_species), two(a.sample_species) if a.sample_species else None, two(a.ancestor_of), self.contigs)
                 runs, warned = alignments.import_blocks(blocks, self.contigs)
-                for w in warned.where("overlaps_before or overlaps_after").limit(20).collect():
+                for w in warned.where("overlaps_before or overlaps_after").orderBy("chrom_ix", "start").toLocalIterator():
                     print(f"overlap at {w['chrom_ix']}:{w['start']}", file=sys.stderr)
                 self.save(runs)
             case "bamin":
-                piles = U.deaminate(U.collate(spark.read.parquet(*a.files), a.min_mapq, a.min_qual, a.snip, a.snap))
+                bases = U.known_contigs(spark.read.parquet(*a.files), self.contigs)
+                for name in bases.skipped:
+                    print(f"skipping {name}, which the reference doesn't have", file=sys.stderr)
+                piles = U.deaminate(U.collate(bases.reads, a.min_mapq, a.min_qual, a.snip, a.snap))
                 if not a.deaminate:
                     piles = piles.withColumns({"c": F.col("c") + F.col("u"), "gr": F.col("gr") + F.col("ur"), "u": F.lit(0), "ur": F.lit(0)})
                 picked = U.sample_base(U.pick_weights(M.add_ref(piles, self.chunks, CHUNK), a.pick), a.seed)
@@ -163,38 +240,35 @@ class Job:
                 if a.individuals:
                     who = spark.createDataFrame(list(enumerate(labels)), "sample_ix int, label string")
                     pops = [r["pop"] for r in Q.assign_populations(who, read.read_individuals(spark, [a.individuals])).orderBy("sample_ix").collect()]
-                v = Q.informative(self.filtered(self.variants(a.noutgroups)), a.noutgroups)
+                v = Q.informative(self.filtered(self.variants(a.nout)), a.nout)
                 T.ordered_lines(T.treemix_lines(Q.population_counts(v, pops)), ["chrom_ix", "pos", "alt"], a.output, T.treemix_header(pops), compress=True)
             case "eigenstrat":
-                v = Q.informative(self.filtered(M.add_ref(self.variants(a.noutgroups), self.chunks, CHUNK)), a.noutgroups)
+                v = Q.informative(self.filtered(M.add_ref(self.variants(a.nout), self.chunks, CHUNK)), a.nout)
                 for lines, end in zip(T.eigenstrat_lines(v), (".snp", ".geno"), strict=True):
                     T.ordered_lines(lines, ["chrom_ix", "pos", "alt"], a.output + end)
             case "vcfexport":
-                v = M.merge_ref(self.runs(), M.bases_of(self.chunks), n) if a.dense else M.add_ref(self.variants(a.noutgroups), self.chunks, CHUNK)
-                T.ordered_lines(T.vcf_lines(self.filtered(v), self.contigs), ["chrom_ix", "pos", "alt"], "/dev/stdout" if a.output == "-" else a.output, T.vcf_header(labels))
+                v = M.merge_ref(self.runs(), M.bases_of(self.chunks), n) if a.dense else M.add_ref(self.variants(a.nout), self.chunks, CHUNK)
+                T.ordered_lines(T.vcf_lines(self.filtered(v), self.contigs), ["chrom_ix", "pos", "alt"], a.output, T.vcf_header(labels))
             case "pseudo_ms":
-                v = self.filtered(M.add_ref(self.variants(a.noutgroups, a.dense), self.chunks, CHUNK))
-                T.ordered_lines(T.pseudo_ms_lines(v, n, a.block_length, a.min_informative), ["chrom_ix", "block", "ord"], "/dev/stdout" if a.output == "-" else a.output)
-            case "kayvergence":
-                self.statistic(A.kay_combos(a.noutgroups + 1 if a.noutgroups > 1 else 2, labels), A.KAY, ("reference", "sample", "outgroup"), 0)
-            case "dstatistics" | "f4statistics":
-                dense = self.command == "f4statistics"
-                self.statistic(A.patterson_combos(a.noutgroups, a.nrefpanel, labels), A.PATTERSON, ("sample", "outgroup", "panel_a", "panel_b"), a.noutgroups, dense)
-            case "yaddayadda":
-                self.statistic(A.yadda_combos(a.noutgroups, a.nafricans, a.nrefpanel, labels), A.YADDA, ("ape", "archaic_a", "archaic_b", "sample", "african"), a.noutgroups + a.nafricans)
+                v = self.filtered(M.add_ref(self.variants(a.nout, a.dense), self.chunks, CHUNK))
+                T.ordered_lines(T.pseudo_ms_lines(v, n, a.blocklength, a.min_informative), ["chrom_ix", "block", "ord"], a.output)
+            case "kayvergence" | "dstatistics" | "f4statistics" | "yaddayadda":
+                self.statistic()
             case "twobitinfo":
                 c, _ = twobit.read(spark, a.files[0])
                 _emit("".join(f"{r['name']}\t{r['length']}\n" for r in c.orderBy("chrom_ix").collect()), a.output)
             case "twobittofa":
-                c, ch = twobit.read(spark, a.files[0])
+                c, ch = twobit.read(spark, a.files[0], CHUNK)
                 for region in a.files[1:] or [None]:
-                    T.ordered_lines(twobit.fasta_lines(ch, c, region, a.width), ["chrom_ix", "ord"], "/dev/stdout" if a.output == "-" else a.output)
+                    T.ordered_lines(twobit.fasta_lines(ch, c, region, a.width), ["chrom_ix", "ord"], a.output)
             case "fatotwobit":
                 fa = read.read_fasta(spark, a.files)
                 c = read.contigs_of(fa)
                 T.write_twobit(read.chunks_of(fa, c), c, a.output)
             case "dumplump" | "dumppatch":
-                R.listing(self.runs()).orderBy("sample_ix", "chrom_ix", "run_start").show(1000, truncate=False)
+                l = R.listing(self.runs())
+                lines = l.withColumn("line", F.concat_ws("\t", *(F.col(x).cast("string") for x in l.columns)))
+                T.ordered_lines(lines, ["sample_ix", "chrom_ix", "run_start", "length"], a.output)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -44,9 +44,13 @@ def p_value(r: float | None, v: float | None, n: float | None) -> float | None:
     """P-value of a ratio r in 0..1 with variance v: a beta law centred at one half; NaN without data, null if undefined."""
     if not n:
         return math.nan
-    if r is None or v is None or math.isnan(v) or v >= 0.25:
+    if r is None:
         return None
-    if r >= 1 or r <= 0 or v <= 0:
+    if r >= 1 or r <= 0:  # whatever the variance
+        return 0.0
+    if v is None or math.isnan(v) or v >= 0.25:
+        return None
+    if v <= 0:
         return 0.0
     a = 1 / (8 * v) - 0.5
     return incomplete_beta(min(r, 1 - r), a, a)

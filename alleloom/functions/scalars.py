@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,7 +72,7 @@ def base_code(char: Column) -> Column:
 def alt_char(ref: Column, alt: Column) -> Column:
     """The alternative base; "." for a pseudo-variant; I, O, P, X by change where the reference is unknown."""
     known = ref.isNotNull() & (ref >= 0) & (ref < 4)
-    return F.when(alt > 4, ".").when(known, base_char(ref.bitwiseXOR(alt))).otherwise(F.substring(F.lit("IOPX"), alt + 1, F.lit(1)))
+    return F.when(alt > 4, ".").when(known, base_char(apply_change(ref, alt))).otherwise(F.substring(F.lit("IOPX"), alt + 1, F.lit(1)))
 
 
 def is_transversion(alt: Column) -> Column:
@@ -107,28 +109,19 @@ def vcf_gt(ref: Column, alt: Column) -> Column:
 
 def smashed(ref_base: Column, alt: Column, ref: Column, n_alt_: Column) -> tuple[Column, Column]:
     """The two haplotype bases of a call; N where it is missing."""
-    r, v = base_char(ref_base), base_char(ref_base.bitwiseXOR(alt))
+    r, v = base_char(ref_base), base_char(apply_change(ref_base, alt))
     none = (ref == 0) & (n_alt_ == 0)
     return F.when(none, "N").when(ref == 0, v).otherwise(r), F.when(none, "N").when(n_alt_ == 0, r).otherwise(v)
 
 
-def label_of(path: Column) -> Column:
-    """A file's base name without its extensions."""
-    return F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\..*$", "")
-
-
-def iupac_char(ref: Column, code: Column) -> Column:
-    """The letter of a point or stretch code at a reference base; N where uncalled."""
-    out = F.lit("N")
-    for r in range(4):
-        for c, alleles in S.ALLELES.items():
-            two = [S.BASES[r ^ a] for a in (alleles * 2)[:2]]
-            out = F.when((ref == r) & (code == c), S.LETTER_OF["".join(sorted(two))]).otherwise(out)
-    return out
+def label_of(path: str) -> str:
+    """A file's base name without its last extension."""
+    name = path.rsplit("/", 1)[-1]
+    return name.rsplit(".", 1)[0] if "." in name else name
 
 
 def patched_char(ref: Column, code: Column) -> Column:
-    """As iupac_char, by lookup in a string of 4 x 15 letters, and deletions as "-"."""
+    """The letter of a point or stretch code at a reference base, from a string of 4 x 15 letters; N where uncalled, deletions as "-"."""
     table = "".join(S.LETTER_OF["".join(sorted(S.BASES[r ^ a] for a in (S.ALLELES[c] * 2)[:2]))] if c in S.ALLELES else "N" for r in range(4) for c in range(15))
     inside = (ref >= 0) & (ref < 4) & (code >= 0) & (code < 15)
     return F.when(code.isin(S.DEL1, S.DEL2), "-").when(inside, F.substring(F.lit(table), ref * 15 + code + 1, F.lit(1))).otherwise(F.when(code == S.DELH, base_char(ref)).otherwise("N"))
@@ -145,8 +138,28 @@ def size_of(text: str) -> int:
     return int(t[:-1] if power else t) * 10**power
 
 
-def p_text(p: float | None) -> str:
-    """Three decimals from 0.002 on, one-digit exponent form below."""
-    if p is None or p != p:
+def fixed(x: float | None, digits: int) -> str:
+    """A number with that many decimals, halves away from zero."""
+    if x is None or x != x:
         return "NaN"
-    return f"{p:.3f}" if p >= 0.002 else f"{p:.1e}"
+    if x in (float("inf"), float("-inf")):
+        return "Infinity" if x > 0 else "-Infinity"
+    return f"{Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP):f}"
+
+
+def scientific(x: float | None, digits: int) -> str:
+    """A number as d.ddde-n, the exponent without padding."""
+    if x is None or x != x:
+        return "NaN"
+    if not x:
+        return f"0.{'0' * digits}e0"
+    power = Decimal(repr(float(x))).adjusted()
+    head = Decimal(repr(float(x))).scaleb(-power).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)
+    if abs(head) >= 10:
+        head, power = head / 10, power + 1
+    return f"{head:.{digits}f}e{power}"
+
+
+def p_text(p: float | None) -> str:
+    """Three decimals from 0.002 on, exponent form with one below."""
+    return fixed(p, 3) if p is None or not p < 0.002 else scientific(p, 1)

@@ -36,14 +36,19 @@ def informative(variants: DataFrame, nout: int = 0) -> DataFrame:
     return variants.where((total("n_ref") != 0) & (total("n_alt") != 0))
 
 
-def drop_cpg(variants: DataFrame, ref_bases: DataFrame) -> DataFrame:
-    """Without sites whose reference base is the C or the G of a CG; sites at chromosome ends and on N stay."""
-    # a base follows another if their positions do; only the bases themselves are shuffled, by chromosome and position
-    c = ref_bases.where("ref = 1").select("chrom_ix", "pos")
-    g = ref_bases.where("ref = 3").select("chrom_ix", (F.col("pos") - 1).alias("pos"))
-    pairs = c.join(g, ["chrom_ix", "pos"], "left_semi")
-    cpg = pairs.select("chrom_ix", F.explode(F.array(F.col("pos"), F.col("pos") + 1)).alias("pos"))
-    return variants.join(cpg, ["chrom_ix", "pos"], "left_anti")
+def drop_cpg(variants: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
+    """Without sites whose reference base is the C or the G of a CG; sites at chromosome ends and on N stay.
+
+    Sites look at their neighbours in the reference chunk (of `size` bases) that they lie in, which is lent a base from
+    each side. Sites beyond the reference stay.
+    """
+    own = chunks.select("chrom_ix", "start", "seq")
+    before = chunks.select("chrom_ix", (F.col("start") + size).alias("start"), F.expr(f"substring(seq, {size}, 1)").alias("last"))
+    after = chunks.select("chrom_ix", (F.col("start") - size).alias("start"), F.substring("seq", 1, 1).alias("first"))
+    lent = own.join(before, ["chrom_ix", "start"], "left").join(after, ["chrom_ix", "start"], "left")
+    wider = lent.select("chrom_ix", "start", F.upper(F.concat(F.coalesce("last", F.lit("N")), "seq", F.coalesce("first", F.lit("N")))).alias("seq"))
+    at = variants.withColumn("start", (F.floor(F.col("pos") / size) * size).cast("int")).join(wider, ["chrom_ix", "start"], "left")
+    return at.where(F.expr("seq is null or not contains(substring(seq, pos - start + 1, 3), 'CG')")).select(variants.columns)
 
 
 def select_chroms(df: DataFrame, contigs: DataFrame, pattern: str) -> DataFrame:

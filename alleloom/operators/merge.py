@@ -43,11 +43,23 @@ def sites_of(runs: DataFrame, nout: int = 0) -> DataFrame:
     return points.select("chrom_ix", F.col("run_start").alias("pos"), F.explode(alts).alias("alt")).distinct()
 
 
+#: Samples to a 64-bit number: two bits of each count.
+_PACK = 15
+
+
 def wide(met: DataFrame, n_samples: int, key: tuple[str, ...] = ("chrom_ix", "pos", "alt")) -> DataFrame:
-    """Joined rows (key, sample_ix, n_ref, n_alt) as `calls`; samples without a row are (0, 0)."""
-    # each sample's counts add up on their own, so the aggregation combines before the shuffle
-    pair = [F.struct(F.coalesce(F.max(F.when(F.col("sample_ix") == i, F.col("n_ref"))), F.lit(0)).cast("int").alias("n_ref"), F.coalesce(F.max(F.when(F.col("sample_ix") == i, F.col("n_alt"))), F.lit(0)).cast("int").alias("n_alt")) for i in range(n_samples)]
-    return met.groupBy(*key).agg(F.array(*pair).alias("calls"))
+    """Joined rows (key, sample_ix, n_ref, n_alt) as `calls`; samples without a row are (0, 0).
+
+    A sample has one row a key, so counts add up in bits of their own: the aggregation combines before the shuffle, and the
+    plan has one sum for every _PACK samples.
+    """
+    place = F.expr(f"shiftleft(cast(n_ref * 4 + n_alt as bigint), cast((sample_ix % {_PACK}) * 4 as int))")
+    parts = [F.sum(F.when(F.floor(F.col("sample_ix") / _PACK) == p, place)).alias(f"_p{p}") for p in range(-(-n_samples // _PACK))]
+    packed = met.groupBy(*key).agg(*parts)
+    bits = F.array(*(F.coalesce(F.col(f"_p{p}"), F.lit(0).cast("long")) for p in range(len(parts))))
+    one = lambda i, at: f"cast(shiftrightunsigned(_bits[cast({i} div {_PACK} as int)], cast(({i} % {_PACK}) * 4 + {at} as int)) & 3 as int)"
+    calls = F.expr(f"transform(sequence(0, {n_samples - 1}), i -> named_struct('n_ref', {one('i', 2)}, 'n_alt', {one('i', 0)}))")
+    return packed.select(*key, bits.alias("_bits")).select(*key, calls.alias("calls"))
 
 
 def long(variants: DataFrame) -> DataFrame:
@@ -63,29 +75,44 @@ def merge_sparse(runs: DataFrame, n_samples: int, nout: int = 0, width: int = WI
     return wide(met, n_samples)
 
 
-def _no_variant(runs: DataFrame) -> DataFrame:
-    """Every position of called runs as a pseudo-variant row of its sample."""
-    called = runs.where(F.col("code") != S.NS).where(F.col("code") < 15)
-    at = called.select("sample_ix", "chrom_ix", F.explode(F.sequence("run_start", F.col("run_end") - 1)).alias("pos"), "code")
-    return at.select("chrom_ix", "pos", F.lit(S.PSEUDO).alias("alt"), "sample_ix", X.n_ref(F.col("code"), 1).alias("n_ref"), F.lit(0).alias("n_alt"))
+def intervals(runs: DataFrame, n_samples: int, width: int = WIDTH, grid: int | None = None) -> DataFrame:
+    """(chrom_ix, s, e, calls) of stretches over which every sample's call stays the same, somebody is called, and nobody
+    differs; calls are reference counts. Stretches end with bins of `width` and, if given, windows of `grid`.
+
+    Runs are cut at bins, so the window that finds neighbouring borders sees one bin of a chromosome.
+    """
+    lo, hi = F.greatest("run_start", (F.col("bin") * width).cast("int")), F.least("run_end", ((F.col("bin") + 1) * width).cast("int"))
+    called = binned(runs.where((F.col("code") != S.NS) & (F.col("code") < 15)), width)
+    pieces = called.select("sample_ix", "chrom_ix", "bin", lo.alias("lo"), hi.alias("hi"), "code")
+    inner = F.expr(f"filter(sequence(cast((lo div {grid} + 1) * {grid} as int), cast(hi as int), {grid}), x -> x < hi)") if grid else None
+    if grid:
+        inner = F.when((F.floor(F.col("lo") / grid) + 1) * grid < F.col("hi"), inner).otherwise(F.array().cast("array<int>"))
+    edges = pieces.select("chrom_ix", "bin", F.explode(F.concat(F.array("lo", "hi"), inner) if grid else F.array("lo", "hi")).alias("s")).distinct()
+    spans = edges.withColumn("e", F.lead("s").over(Window.partitionBy("chrom_ix", "bin").orderBy("s"))).where("e is not null")
+    code = F.col("code")
+    met = spans.join(pieces, ["chrom_ix", "bin"]).where("lo <= s and s < hi").select("chrom_ix", "s", "e", "sample_ix", X.n_ref(code, 1).alias("n_ref"), F.greatest(*(X.n_alt(code, a) for a in (1, 2, 3))).alias("differs"))
+    # a sample that differs marks the stretch by an alternative allele, which only point calls have
+    seen = wide(met.withColumnRenamed("differs", "n_alt"), n_samples, ("chrom_ix", "s", "e"))
+    return seen.where(~F.exists("calls", lambda c: c["n_alt"] > 0))
+
+
+def _no_variant(runs: DataFrame, n_samples: int, width: int) -> DataFrame:
+    """Wide pseudo-variants at every position that is called in some sample and at which nobody differs."""
+    at = intervals(runs, n_samples, width).select("chrom_ix", F.explode(F.expr("sequence(s, e - 1)")).alias("pos"), "calls")
+    return at.select("chrom_ix", "pos", F.lit(S.PSEUDO).alias("alt"), "calls")
 
 
 def merge_dense(runs: DataFrame, n_samples: int, width: int = WIDTH) -> DataFrame:
     """All variants of any sample, and a pseudo-variant at every other position that is called in some sample."""
-    real = merge_sparse(runs, n_samples, 0, width)
-    pseudo = wide(_no_variant(runs), n_samples).join(real.select("chrom_ix", "pos").distinct(), ["chrom_ix", "pos"], "left_anti")
-    return real.unionByName(pseudo)
+    return merge_sparse(runs, n_samples, 0, width).unionByName(_no_variant(runs, n_samples, width))
 
 
 def merge_ref(runs: DataFrame, ref_bases: DataFrame, n_samples: int, width: int = WIDTH) -> DataFrame:
     """At least one record at every known reference base (chrom_ix, pos, ref), called or not, with the base."""
     known = ref_bases.where(X.is_known(F.col("ref")))
-    real = merge_sparse(runs, n_samples, 0, width).join(known, ["chrom_ix", "pos"])
-    free = known.join(real.select("chrom_ix", "pos").distinct(), ["chrom_ix", "pos"], "left_anti")
-    called = wide(_no_variant(runs), n_samples, ("chrom_ix", "pos"))
     none = F.transform(F.sequence(F.lit(1), F.lit(n_samples)), lambda _: F.struct(F.lit(0).alias("n_ref"), F.lit(0).alias("n_alt")))
-    pseudo = free.join(called, ["chrom_ix", "pos"], "left").select("chrom_ix", "pos", F.lit(S.PSEUDO).alias("alt"), F.coalesce("calls", none).alias("calls"), "ref")
-    return real.select("chrom_ix", "pos", "alt", "calls", "ref").unionByName(pseudo)
+    met = known.join(merge_dense(runs, n_samples, width), ["chrom_ix", "pos"], "left")
+    return met.select("chrom_ix", "pos", F.coalesce("alt", F.lit(S.PSEUDO)).alias("alt"), F.coalesce("calls", none).alias("calls"), "ref")
 
 
 def add_ref(variants: DataFrame, chunks: DataFrame, size: int) -> DataFrame:

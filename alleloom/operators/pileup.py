@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,23 @@ COUNTS = ("a", "c", "g", "t", "ar", "cr", "gr", "tr")
 SCHEMES = ("ostrich", "ignore_t", "ignore_a", "ignore_c", "ignore_g", "stranded", "udg", "kay", "mateja", "mateja2")
 
 
+class Known(NamedTuple):
+    reads: DataFrame
+    skipped: list[str]
+
+
+def known_contigs(reads: DataFrame, contigs: DataFrame) -> Known:
+    """Read bases with chrom_ix, by name if they have `chrom` instead; contigs that the reference lacks are skipped and
+    named, and if none is left that is an error."""
+    if "chrom" not in reads.columns:
+        return Known(reads, [])
+    names = reads.select("chrom").distinct().join(contigs.select(F.col("name").alias("chrom"), "chrom_ix"), "chrom", "left").collect()  # one row for each contig
+    if not any(r["chrom_ix"] is not None for r in names):
+        raise ValueError("none of the contigs is one of the reference's")
+    met = reads.join(contigs.select(F.col("name").alias("chrom"), "chrom_ix"), "chrom").drop("chrom")
+    return Known(met, sorted(str(r["chrom"]) for r in names if r["chrom_ix"] is None))
+
+
 def collate(reads: DataFrame, min_mapq: int = 0, min_baseq: int = 0, snip: int = 0, snap: int = 0) -> DataFrame:
     """Counts of bases by strand from (chrom_ix, pos, base, strand, baseq, mapq, read_pos).
 

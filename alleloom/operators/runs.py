@@ -80,6 +80,18 @@ def dedup(raw: DataFrame, key: tuple[str, ...] = ("chrom_ix", "pos")) -> DataFra
     return one.select(*key, "ord", *(F.col(f"_x.{c}").alias(c) for c in others)).select(raw.columns)
 
 
+def contiguous(raw: DataFrame) -> DataFrame:
+    """raw, if the records of every chromosome follow each other in input order (ord); a reappearing one is an error.
+
+    They do if the ranges of ord of no two chromosomes overlap: two numbers a chromosome are looked at.
+    """
+    spans = raw.where("chrom_ix >= 0").groupBy("chrom_ix").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).orderBy("lo").collect()
+    for a, b in zip(spans, spans[1:], strict=False):
+        if b["lo"] < a["hi"]:
+            raise ValueError(f"chromosome {a['chrom_ix']} reappears after another one; input must be sorted")
+    return raw
+
+
 def call_codes(raw: DataFrame) -> DataFrame:
     """(chrom_ix, pos 0-based, code) of raw records with ref, alts, a1, a2 (allele numbers, -1 missing, a2 null haploid).
 
@@ -203,14 +215,25 @@ def block_overlaps(blocks: DataFrame) -> DataFrame:
 def assemble(blocks: DataFrame, contigs: DataFrame) -> DataFrame:
     """Block extents on whole contigs: (chrom_ix, run_start, run_end, ord); a block that starts before the last kept end is skipped, gaps have a null ord.
 
-    Which blocks are kept depends on those kept before, so each chromosome's starts are folded in order.
+    Which blocks are kept depends on those kept before, so each chromosome's blocks are walked in order.
     """
-    kept = block_overlaps(blocks)
-    kind = blocks.schema["ord"].dataType.simpleString()
-    folded = kept.groupBy("chrom_ix").agg(F.array_sort(F.collect_list(F.struct("start", "len", "ord"))).alias("b"))
-    start = F.struct(F.lit(0).cast("int").alias("at"), F.expr(f"cast(array() as array<struct<start:int,len:int,ord:{kind}>>)").alias("kept"))
-    fold = F.aggregate("b", start, lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(F.struct((x["start"] + x["len"]).cast("int").alias("at"), F.concat(acc["kept"], F.array(F.struct(x["start"].cast("int").alias("start"), x["len"].cast("int").alias("len"), x["ord"].alias("ord")))).alias("kept"))), lambda acc: acc["kept"])
-    used = folded.select("chrom_ix", F.explode(fold).alias("x")).select("chrom_ix", F.col("x.start").alias("run_start"), (F.col("x.start") + F.col("x.len")).alias("run_end"), F.col("x.ord").alias("ord"))
+    kept = block_overlaps(blocks).select(F.col("chrom_ix").cast("int").alias("chrom_ix"), F.col("start").cast("int").alias("start"), F.col("len").cast("int").alias("len"), "ord")
+    kind = blocks.schema["ord"].dataType
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chrom, end = None, 0
+        for b in batches:
+            stays = []
+            for c, s, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if c != chrom:
+                    chrom, end = c, 0
+                stays.append(s >= end)
+                end = s + n if s >= end else end
+            yield b.filter(pa.array(stays, pa.bool_()))
+
+    # blocks stream through in order; a task keeps the last end only
+    fits = kept.repartition("chrom_ix").sortWithinPartitions("chrom_ix", "start").mapInArrow(fold, kept.schema)
+    used = fits.select("chrom_ix", F.col("start").alias("run_start"), (F.col("start") + F.col("len")).alias("run_end"), "ord")
     w = Window.partitionBy("chrom_ix").orderBy("run_start")
     ends = used.join(contigs.select("chrom_ix", "length"), "chrom_ix")
     after = ends.select("chrom_ix", F.col("run_end").alias("run_start"), F.coalesce(F.lead("run_start").over(w), F.col("length")).alias("run_end"))

@@ -2,17 +2,23 @@
 
 A statistic is a small table of sample index combinations. Scores are sums of products of allele counts over
 `calls`; every product of counts is a power of two, so the sums over variants are exact in any order.
+
+`summed` scores batches of variants as matrices, variants by combinations, and adds them up by block where they are read,
+so what is shuffled is blocks times combinations, not variants times combinations, and the plan doesn't grow with either.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alleloom.functions.beta import p_value_udf
+from alleloom.operators import merge as M
 
 #: Fixed value: the default block, in bases.
 BLOCK = 5_000_000
@@ -45,36 +51,88 @@ def yadda_combos(nape: int, nout: int, nnea: int, labels: Sequence[str]) -> list
 KAY = {"aa": ("ADD",), "bb": ("AAD",)}
 PATTERSON = {"aa": ("DADA",), "bb": ("ADDA",)}
 YADDA = {"aa": ("AADDA", "AADDD", "ADAAD"), "bb": ("AADAD", "ADADA", "ADADD")}
-
-
-def _ways(pattern: str, taxa: list[Column]) -> Column:
-    def product(states: str) -> Column:
-        out = None
-        for s, t in zip(states, taxa, strict=True):
-            x = t["n_ref" if s == "A" else "n_alt"]
-            out = x if out is None else out * x
-        return out
-
-    return product(pattern) + product(pattern.translate(str.maketrans("AD", "DA")))
-
-
-def _score(calls: Column, combo: tuple[int, ...], patterns: dict[str, tuple[str, ...]]) -> Column:
-    reference = F.struct(F.lit(1).alias("n_ref"), F.lit(0).alias("n_alt"))
-    taxa = [reference if i < 0 else calls[i] for i in combo]
-    total = lambda kind: sum((_ways(p, taxa) for p in patterns[kind][1:]), _ways(patterns[kind][0], taxa))
-    nn = None
-    for t in taxa:
-        x = t["n_ref"] + t["n_alt"]
-        nn = x if nn is None else nn * x
-    zero = F.struct(F.lit(0.0).alias("k"), F.lit(0.0).alias("n"), F.lit(0.0).alias("t"))
-    aa, bb = total("aa"), total("bb")
-    return F.when(nn > 0, F.struct((aa / nn).cast("double").alias("k"), ((aa + bb) / nn).cast("double").alias("n"), F.lit(1.0).alias("t"))).otherwise(zero)
-
-
-def scores(variants: DataFrame, combos: Sequence[tuple[int, ...]], patterns: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(chrom_ix, pos, combo, k, n, t): one row per variant and combination that scores."""
-    all_ = F.array(*(F.struct(F.lit(i).alias("combo"), _score(F.col("calls"), c, patterns).alias("s")) for i, c in enumerate(combos)))
-    return variants.select("chrom_ix", "pos", F.explode(all_).alias("x")).select("chrom_ix", "pos", "x.combo", "x.s.k", "x.s.n", "x.s.t")
+#: The taxa of a statistic's combinations.
+NAMES = {
+    "kayvergence": ("reference", "sample", "outgroup"),
+    "dstatistics": ("sample", "outgroup", "panel_a", "panel_b"),
+    "f4statistics": ("sample", "outgroup", "panel_a", "panel_b"),
+    "yaddayadda": ("ape", "archaic_a", "archaic_b", "sample", "african"),
+}
+
+
+#: Combinations scored at once, and sums held before they are handed on.
+_AT_ONCE, _HELD = 64, 1 << 21
+_SUMS = "chrom_ix int, block long, combo int, k double, n double, t double"
+
+
+def _scored(ref: np.ndarray, alt: np.ndarray, patterns: dict[str, tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(k, n, t) from counts by variant, combination and taxon."""
+
+    def ways(pattern: str) -> np.ndarray:
+        out = []
+        for states in (pattern, pattern.translate(str.maketrans("AD", "DA"))):
+            x = np.ones(ref.shape[:2])
+            for i, s in enumerate(states):
+                x *= (ref if s == "A" else alt)[:, :, i]
+            out.append(x)
+        return out[0] + out[1]
+
+    aa, bb = (sum(map(ways, patterns[kind])) for kind in ("aa", "bb"))
+    nn = (ref + alt).prod(2)
+    ok = nn > 0
+    nn = np.where(ok, nn, 1)
+    return np.where(ok, aa / nn, 0), np.where(ok, (aa + bb) / nn, 0), ok.astype(float)
+
+
+def _numbers(calls: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n_ref, n_alt) by variant and sample; the last column is the reference allele."""
+    flat = calls.flatten()
+    out = [flat.field(f).to_numpy(zero_copy_only=False).reshape(n, -1).astype(float) for f in ("n_ref", "n_alt")]
+    return np.concatenate([out[0], np.ones((n, 1))], 1), np.concatenate([out[1], np.zeros((n, 1))], 1)
+
+
+def summed(variants: DataFrame, combos: Sequence[tuple[int, ...]], patterns: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(chrom_ix, block, combo, k, n, t) of wide variants with `block` and, if there is one, `weight`."""
+    index = np.array(combos, int).reshape(len(combos), -1 if len(combos) else 0)
+    weighted = "weight" in variants.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                m = len(index)
+                chrom, block = (np.array([k[i] for k in held]).repeat(m) for i in (0, 1))
+                sums = np.concatenate(list(held.values()), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(chrom.astype(np.int32)), pa.array(block), pa.array(np.tile(np.arange(m, dtype=np.int32), len(held))), *map(pa.array, sums)], names=["chrom_ix", "block", "combo", "k", "n", "t"])
+                held.clear()
+
+        for b in batches:
+            if not b.num_rows or not len(index):
+                continue
+            chrom, block = b.column(0).to_numpy(), b.column(1).to_numpy()
+            ref, alt = _numbers(b.column(2), b.num_rows)
+            order = np.lexsort((block, chrom))
+            chrom, block, ref, alt = chrom[order], block[order], ref[order], alt[order]
+            weight = b.column(3).to_numpy()[order].astype(float) if weighted else np.ones(len(order))
+            new = np.ones(len(order), bool)
+            new[1:] = (chrom[1:] != chrom[:-1]) | (block[1:] != block[:-1])
+            at = np.flatnonzero(new)
+            sums = np.zeros((3, len(at), len(index)))
+            for i in range(0, len(index), _AT_ONCE):
+                c = index[i : i + _AT_ONCE]
+                for j, x in enumerate(_scored(ref[:, c], alt[:, c], patterns)):
+                    sums[j, :, i : i + _AT_ONCE] = np.add.reduceat(x * weight[:, None], at, 0)
+            for j, k in enumerate(at):
+                key = (int(chrom[k]), int(block[k]))
+                held[key] = held[key] + sums[:, j] if key in held else sums[:, j]
+            if len(held) * len(index) > _HELD:
+                yield from out()
+        yield from out()
+
+    columns = ["chrom_ix", F.col("block").cast("long").alias("block"), "calls", *(["weight"] if weighted else [])]
+    part = variants.select(*columns).mapInArrow(run, _SUMS)
+    return part.groupBy("chrom_ix", "block", "combo").agg(*(F.sum(c).alias(c) for c in ("k", "n", "t")))
 
 
 # --- blocks ---------------------------------------------------------------------------------
@@ -88,28 +146,50 @@ def grid_blocks(df: DataFrame, size: int) -> DataFrame:
 def greedy_starts(df: DataFrame, size: int) -> DataFrame:
     """(chrom_ix, block): starts of greedy blocks. A block starts at the first position left and takes what lies within size.
 
-    A block holds at most two windows of the grid, so of each window only its positions' order matters: positions are
-    first thinned to a sorted array per window, and the fold walks windows, skipping within them.
+    Each start depends on the one before, so a chromosome's positions are walked in order; they stream through, sorted by
+    Spark, and a task keeps the last start only.
     """
-    w = df.select("chrom_ix", "pos").distinct()
-    per = w.groupBy("chrom_ix").agg(F.array_sort(F.collect_list("pos")).alias("p"))
-    none = F.expr("cast(array() as array<int>)")
-    fold = F.aggregate("p", none, lambda acc, x: F.when((F.size(acc) == 0) | (x.cast("int") >= F.element_at(acc, -1) + size), F.concat(acc, F.array(x.cast("int")))).otherwise(acc))
-    return per.select("chrom_ix", F.explode(fold).alias("block"))
-
 
-def greedy_blocks(df: DataFrame, size: int) -> DataFrame:
-    """df with `block`, the start of its greedy block: an equi-join, as a start lies in the position's grid window or the one before."""
-    s = greedy_starts(df, size)
-    near = s.select("chrom_ix", F.col("block"), F.explode(F.array(F.floor(F.col("block") / size), F.floor(F.col("block") / size) + 1)).alias("w"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chrom, free = None, 0  # the chromosome at hand, and where its next block may start
+        for b in batches:
+            c, p = b.column(0).to_numpy(), b.column(1).to_numpy()
+            got: list[tuple[int, int]] = []
+            i = 0
+            while i < len(c):
+                if c[i] != chrom:
+                    chrom, free = c[i], p[i]
+                i += int(np.searchsorted(p[i : i + int(np.searchsorted(c[i:], chrom, "right"))], free, "left"))
+                if i < len(c) and c[i] == chrom:
+                    got.append((chrom, p[i]))
+                    free = p[i] + size
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got, strict=True), (pa.int32(), pa.int32()), strict=True)], names=["chrom_ix", "block"])
+
+    at = df.select(F.col("chrom_ix").cast("int").alias("chrom_ix"), F.col("pos").cast("int").alias("pos")).distinct()
+    return at.repartition("chrom_ix").sortWithinPartitions("chrom_ix", "pos").mapInArrow(run, "chrom_ix int, block int")
+
+
+def placed_in(df: DataFrame, starts: DataFrame, size: int) -> DataFrame:
+    """df with `block`, the start of its block: an equi-join, as a start lies in the position's grid window or the one before."""
+    near = starts.select("chrom_ix", F.col("block"), F.explode(F.array(F.floor(F.col("block") / size), F.floor(F.col("block") / size) + 1)).alias("w"))
     at = df.withColumn("w", F.floor(F.col("pos") / size))
     return at.join(near, ["chrom_ix", "w"]).where((F.col("block") <= F.col("pos")) & (F.col("pos") < F.col("block") + size)).drop("w")
 
 
-def block_sums(scored: DataFrame, size: int = BLOCK, grid: bool = False) -> DataFrame:
-    """(chrom_ix, block, combo, k, n, t). The grid variant is cheaper and gives other blocks."""
-    d = grid_blocks(scored, size) if grid else greedy_blocks(scored, size)
-    return d.groupBy("chrom_ix", "block", "combo").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+def greedy_blocks(df: DataFrame, size: int) -> DataFrame:
+    """df with `block`, the start of its greedy block."""
+    return placed_in(df, greedy_starts(df, size), size)
+
+
+def blocked(variants: DataFrame, size: int = BLOCK, grid: bool = False) -> DataFrame:
+    """variants with their `block`. The grid variant is cheaper and gives other blocks."""
+    return grid_blocks(variants, size) if grid else greedy_blocks(variants, size)
+
+
+def block_sums(variants: DataFrame, combos: Sequence[tuple[int, ...]], patterns: dict[str, tuple[str, ...]], size: int = BLOCK, grid: bool = False) -> DataFrame:
+    """(chrom_ix, block, combo, k, n, t) of wide variants."""
+    return summed(blocked(variants, size, grid), combos, patterns)
 
 
 def totals(blocks: DataFrame) -> DataFrame:
@@ -147,41 +227,48 @@ def report(spark, blocks: DataFrame, combos: Sequence[tuple[tuple[int, ...], tup
 # --- dense sites without a row for each base -------------------------------------------------
 
 
-def elementary_intervals(runs: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """(chrom_ix, s, e) between any two run boundaries next to each other; extra: more boundaries (chrom_ix, s)."""
-    edge = runs.select("chrom_ix", F.explode(F.array("run_start", "run_end")).alias("s"))
-    if extra is not None:
-        edge = edge.unionByName(extra)
-    w = Window.partitionBy("chrom_ix").orderBy("s")
-    return edge.distinct().withColumn("e", F.lead("s").over(w)).where("e is not null")
+def dense_starts(spans: DataFrame, size: int) -> DataFrame:
+    """(chrom_ix, block): greedy_starts() of all positions of stretches (chrom_ix, s, e), without a row for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chrom, free = None, 0
+        for b in batches:
+            starts, of = [], []
+            for c, s, e in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if c != chrom:
+                    chrom, free = c, s
+                if (at := max(s, free)) < e:
+                    mine = np.arange(at, e, size, dtype=np.int32)
+                    starts.append(mine)
+                    of.append(np.full(len(mine), c, np.int32))
+                    free = int(mine[-1]) + size
+            if starts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(of)), pa.array(np.concatenate(starts))], names=["chrom_ix", "block"])
+
+    return spans.select("chrom_ix", "s", "e").repartition("chrom_ix").sortWithinPartitions("chrom_ix", "s").mapInArrow(run, "chrom_ix int, block int")
 
 
-def dense_weights(runs: DataFrame, n_samples: int, combos: Sequence[tuple[int, ...]], size: int, width: int) -> DataFrame:
-    """(chrom_ix, block, combo, t): per grid block, how many positions without a variant score, by interval lengths.
+def dense_blocks(variants: DataFrame, runs: DataFrame, n_samples: int, combos: Sequence[tuple[int, ...]], patterns: dict[str, tuple[str, ...]], size: int, width: int, grid: bool = True) -> DataFrame:
+    """Block sums over dense sites: scores of real variants (merged without outgroups), plus those of the stretches between.
 
-    Pseudo-variants add nothing to k and n, so the dense statistic needs only their number.
+    Where nobody differs every position scores alike, so a stretch counts once, weighted by its length; greedy blocks cut
+    stretches where they start.
     """
-    from alleloom import schema as S
-    from alleloom.functions import scalars as X
-    from alleloom.operators.merge import covering
-
-    span = runs.groupBy("chrom_ix").agg(F.min("run_start").alias("lo"), F.max("run_end").alias("hi"))
-    grid = span.select("chrom_ix", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size) + 1)).alias("b")).select("chrom_ix", (F.col("b") * size).cast("int").alias("s"))
-    parts = elementary_intervals(runs, grid)
-    met = covering(parts.withColumnRenamed("s", "pos"), runs.where(F.col("code") != S.NS), width)
-    code = F.col("code")
-    alt = F.max((X.n_alt(code, 1) + X.n_alt(code, 2) + X.n_alt(code, 3) > 0).cast("int")).alias("alt")
-    has = [F.max(F.when((F.col("sample_ix") == i) & code.isin(S.EQS1, S.EQS2), 1).otherwise(0)).alias(f"h{i}") for i in range(n_samples)]
-    per = met.groupBy("chrom_ix", "pos", "e").agg(alt, *has).where("alt = 0")
-    scored = F.array(*(F.struct(F.lit(i).alias("combo"), (sum((F.col(f"h{j}") for j in c[1:]), F.col(f"h{c[0]}")) == F.lit(len(c))).alias("ok")) for i, c in enumerate(combos)))
-    x = per.select("chrom_ix", "pos", "e", F.explode(scored).alias("x"))
-    # positions that score nothing still make their block one of the statistic's blocks
-    weight = F.when(F.col("x.ok"), F.col("e") - F.col("pos")).otherwise(0)
-    return x.select("chrom_ix", F.floor(F.col("pos") / size).cast("long").alias("block"), "x.combo", weight.alias("n")).groupBy("chrom_ix", "block", "combo").agg(F.sum("n").cast("double").alias("t"))
-
-
-def dense_blocks(variants: DataFrame, runs: DataFrame, n_samples: int, combos: Sequence[tuple[int, ...]], patterns: dict[str, tuple[str, ...]], size: int, width: int) -> DataFrame:
-    """Grid block sums over dense sites: scores of real variants (merged without outgroups), plus the weights of the rest."""
-    real = block_sums(scores(variants, combos, patterns), size, grid=True)
-    free = dense_weights(runs, n_samples, combos, size, width).select("chrom_ix", "block", "combo", F.lit(0.0).alias("k"), F.lit(0.0).alias("n"), "t")
-    return real.unionByName(free).groupBy("chrom_ix", "block", "combo").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+    if grid:
+        rest = M.intervals(runs, n_samples, width, size)
+        placed = rest.withColumn("block", F.floor(F.col("s") / size).cast("long")).withColumn("weight", F.col("e") - F.col("s"))
+        return summed(grid_blocks(variants, size).withColumn("weight", F.lit(1)).unionByName(placed.drop("s", "e"), allowMissingColumns=True), combos, patterns)
+    rest = M.intervals(runs, n_samples, width)
+    sites = variants.select("chrom_ix", F.col("pos").alias("s"), (F.col("pos") + 1).alias("e")).distinct()
+    starts = dense_starts(rest.select("chrom_ix", "s", "e").unionByName(sites), size)
+    real = placed_in(variants, starts, size).withColumn("weight", F.lit(1))
+    # a stretch is cut at every block that starts in it; one that starts before it takes its beginning
+    near = starts.select("chrom_ix", F.col("block").alias("cut"), F.floor(F.col("block") / width).alias("bin"))
+    own = rest.withColumn("bin", F.floor(F.col("s") / width)).join(near, ["chrom_ix", "bin"], "left")
+    inside = F.array_sort(F.collect_list(F.when((F.col("cut") > F.col("s")) & (F.col("cut") < F.col("e")), F.col("cut"))))
+    cut = own.groupBy("chrom_ix", "s", "e").agg(F.first("calls").alias("calls"), inside.alias("cuts"))
+    ends = F.concat(F.array("s"), "cuts")
+    parts = F.arrays_zip(ends.alias("lo"), F.concat("cuts", F.array("e")).alias("hi"))
+    pieces = cut.select("chrom_ix", "calls", F.explode(parts).alias("x")).select("chrom_ix", "calls", F.col("x.lo").alias("pos"), (F.col("x.hi") - F.col("x.lo")).alias("weight"))
+    free = placed_in(pieces, starts, size)
+    return summed(real.select("chrom_ix", "block", "calls", "weight").unionByName(free.select("chrom_ix", "block", "calls", "weight")), combos, patterns)

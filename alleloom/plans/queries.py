@@ -155,7 +155,15 @@ def block_overlaps(spark, d):
     return R.block_overlaps(_blocks(spark, d))
 
 
-@query()
+@query(
+    f"""with recursive {_BLOCKS}, {P.CONTIG_SQL}, k as (select * from blk qualify row_number() over (partition by chrom_ix, start order by ord desc) = 1),
+st as (select chrom_ix, min({{'s': start, 'n': len, 'o': ord}}) m from k group by 1
+  union all select st.chrom_ix, (select min({{'s': start, 'n': len, 'o': ord}}) from k where k.chrom_ix = st.chrom_ix and k.start >= st.m.s + st.m.n) from st where st.m is not null),
+u as (select chrom_ix, m.s run_start, m.s + m.n run_end, m.o ord from st where m is not null),
+g as (select chrom_ix, run_end run_start, coalesce(lead(run_start) over (partition by chrom_ix order by run_start), length) run_end from u join ctg using (chrom_ix)
+  union all select chrom_ix, 0, min(run_start) from u group by 1 union all select chrom_ix, 0, length from ctg where chrom_ix not in (select chrom_ix from u))
+select * from u union all select chrom_ix, run_start, run_end, null from g where run_end > run_start"""
+)
 def assemble_blocks(spark, d):
     return R.assemble(_blocks(spark, d), P.contigs(spark, d))
 
@@ -188,7 +196,7 @@ def informative(spark, d):
 
 @query(f"with {P.R_SQL}, {P.sites_sql(1)}, {P.REF_SQL}, c as (select x.chrom_ix, x.pos from ref x join ref y on x.chrom_ix = y.chrom_ix and y.pos = x.pos + 1 where x.ref = 1 and y.ref = 3) select s.chrom_ix, s.pos, s.alt from sites s where not exists (select 1 from c where c.chrom_ix = s.chrom_ix and (c.pos = s.pos or c.pos + 1 = s.pos))")
 def drop_cpg(spark, d):
-    return Q.drop_cpg(M.sites_of(P.runs(spark, d), 1), M.bases_of(P.chunks(spark, d)))
+    return Q.drop_cpg(M.sites_of(P.runs(spark, d), 1), P.chunks(spark, d), P.CHUNK)
 
 
 @query(f"with {P.P_SQL}, {P.CONTIG_SQL} select sample_ix, chrom_ix, pos, code from p where chrom_ix in (select chrom_ix from ctg where regexp_matches(name, '^(chr)?[0-9]+[a-z]?$'))")
@@ -196,11 +204,14 @@ def chrom_select(spark, d):
     return Q.select_chroms(P.points(spark, d), P.contigs(spark, d), Q.AUTOSOMES)
 
 
-@query("select c_custkey sample_ix, 'c' || c_custkey || '.run' as label, (select 'pop' || c2.c_nationkey from customer c2 where c2.c_custkey < 100 and starts_with('c' || c.c_custkey || '.run', 'c' || c2.c_custkey) order by length('c' || c2.c_custkey) desc limit 1) pop from customer c")
+@query("""with c as (select c_custkey sample_ix, 'c' || c_custkey as name, 'c' || c_custkey || '.run' as label, 'pop' || c_nationkey pop from customer),
+p as (select sample_ix, label, unnest(range(1, length(label) + 1)) n from c),
+b as (select p.sample_ix, p.label, max(n) n from p join c on c.name = substr(p.label, 1, n) group by 1, 2)
+select b.sample_ix, b.label, c.pop from b join c on c.name = substr(b.label, 1, n)""")
 def population_lookup(spark, d):
     c = P.table(spark, d, "customer")
     name = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
-    individuals = c.where("c_custkey < 100").select(name.alias("name"), F.concat(F.lit("pop"), F.col("c_nationkey").cast("string")).alias("pop"))
+    individuals = c.select(name.alias("name"), F.concat(F.lit("pop"), F.col("c_nationkey").cast("string")).alias("pop"))
     return Q.assign_populations(c.select(F.col("c_custkey").alias("sample_ix"), F.concat(name, F.lit(".run")).alias("label")), individuals)
 
 
@@ -242,7 +253,7 @@ _Y = A.yadda_combos(1, 1, 2, LABELS)
 
 @query(_stat_sql(P.sparse_sql(1), "w", _D, A.PATTERSON, _GRID_SQL))
 def d_statistic(spark, d):
-    return _rounded(A.block_sums(A.scores(_sparse(spark, d), [c for c, _ in _D], A.PATTERSON), GRID, grid=True))
+    return _rounded(A.block_sums(_sparse(spark, d), [c for c, _ in _D], A.PATTERSON, GRID, grid=True))
 
 
 @query(_stat_sql(P.DENSE_SQL, "dw", _D, A.PATTERSON, _GRID_SQL))
@@ -252,12 +263,12 @@ def f4_statistic(spark, d):
 
 @query(_stat_sql(P.sparse_sql(0), "w", _K, A.KAY, _GRID_SQL))
 def kayvergence(spark, d):
-    return _rounded(A.block_sums(A.scores(_sparse(spark, d, 0), [c for c, _ in _K], A.KAY), GRID, grid=True))
+    return _rounded(A.block_sums(_sparse(spark, d, 0), [c for c, _ in _K], A.KAY, GRID, grid=True))
 
 
 @query(_stat_sql(P.sparse_sql(2), "w", _Y, A.YADDA, _GRID_SQL))
 def yadda(spark, d):
-    return _rounded(A.block_sums(A.scores(_sparse(spark, d, 2), [c for c, _ in _Y], A.YADDA), GRID, grid=True))
+    return _rounded(A.block_sums(_sparse(spark, d, 2), [c for c, _ in _Y], A.YADDA, GRID, grid=True))
 
 
 @query(
@@ -269,9 +280,24 @@ def jackknife_blocks_greedy(spark, d):
     return A.greedy_blocks(P.points(spark, d), GRID).groupBy("chrom_ix", "block").agg(F.count("*").alias("n"), F.countDistinct("pos").alias("n_pos"))
 
 
+_GREEDY_SQL = f"""u as (select distinct chrom_ix, pos from sc),
+st as (select chrom_ix, min(pos) blk from u group by 1 union all select st.chrom_ix, (select min(pos) from u where u.chrom_ix = st.chrom_ix and u.pos >= st.blk + {GRID}) from st where st.blk is not null),
+b as (select sc.chrom_ix, blk, combo, sum(k) k, sum(n) n, sum(t) t from sc join st on st.chrom_ix = sc.chrom_ix and sc.pos >= blk and sc.pos < blk + {GRID} group by 1, 2, 3)"""
+
+
+@query(_stat_sql(P.sparse_sql(1), "w", _D, A.PATTERSON, _GREEDY_SQL))
+def d_statistic_greedy(spark, d):
+    return _rounded(A.block_sums(_sparse(spark, d), [c for c, _ in _D], A.PATTERSON, GRID))
+
+
+@query(_stat_sql(P.DENSE_SQL, "dw", _D, A.PATTERSON, _GREEDY_SQL))
+def f4_statistic_greedy(spark, d):
+    return _rounded(A.dense_blocks(_sparse(spark, d, 0), P.runs(spark, d), P.N_SAMPLES, [c for c, _ in _D], A.PATTERSON, GRID, P.WIDTH, grid=False))
+
+
 @query()
 def d_pvalue(spark, d):
-    blocks = A.block_sums(A.scores(_sparse(spark, d), [c for c, _ in _D], A.PATTERSON), GRID)
+    blocks = A.block_sums(_sparse(spark, d), [c for c, _ in _D], A.PATTERSON, GRID)
     return A.report(spark, blocks, _D, ("sample", "outgroup", "panel_a", "panel_b"))
 
 
@@ -423,6 +449,74 @@ def patch_texts(spark, d):
     return M.patch(P.runs(spark, d), P.chunks(spark, d), P.CHUNK).select("sample_ix", "chrom_ix", "start", F.md5("seq").alias("digest"))
 
 
+# --- imports and texts ------------------------------------------------------------------------
+
+#: A sample's text: letters by position, of which every other matches the reference.
+_LETTERS = "TCAGSWMKRYN-QQQQQQQQQQQQQ"
+_TEXT_SQL = f"x as (select chrom_ix, pos, ref, substr('{_LETTERS}', cast((pos * 11 + pos // 7 + chrom_ix * 5) % {len(_LETTERS)} + 1 as int), 1) q from ref)"
+
+
+def _letter_sql() -> str:
+    whens = [f"when ref = {r} and q = '{q}' then {S.code_of(r, *(S.BASES.index(b) for b in v))}" for r in range(4) for q, v in S.IUPAC.items()]
+    return f"case when ref is null or q in ('N', '-') then {S.NS} when q = 'Q' then {S.EQS2} {' '.join(whens)} end"
+
+
+@query(
+    f"""with {P.REF_SQL}, {_TEXT_SQL}, c as (select chrom_ix, pos, {_letter_sql()} code from x),
+i as (select *, sum(case when code in ({S.NS}, {S.EQS2}) and code = before then 0 else 1 end) over (partition by chrom_ix order by pos) g from (select *, lag(code) over (partition by chrom_ix order by pos) before from c))
+select 0 sample_ix, chrom_ix, cast(min(pos) as int) run_start, cast(max(pos) + 1 as int) run_end, min(code) code from i group by chrom_ix, g"""
+)
+def diff_runs(spark, d):
+    chunks = P.chunks(spark, d)
+    at = lambda p: F.substring(F.lit(_LETTERS), ((p.cast("long") * 11 + F.floor(p / 7) + F.col("chrom_ix") * 5) % len(_LETTERS) + 1).cast("int"), F.lit(1))
+    text = F.array_join(F.transform(F.sequence(F.col("start"), F.col("start") + F.length("seq") - 1), at), "")
+    return R.diff_chunks(chunks.select(F.lit(0).alias("sample_ix"), "chrom_ix", "start", text.alias("seq")), chunks)
+
+
+def _pair_sql(ref: str, first: str, second: str) -> str:
+    whens = [f"when least(xor({ref}, {first}), xor({ref}, {second})) = {p} and greatest(xor({ref}, {first}), xor({ref}, {second})) = {q} then {S.CODE_OF[(p, q)]}" for p in range(4) for q in range(p, 4)]
+    return f"case {' '.join(whens)} end"
+
+
+@query(
+    f"""with g as (select cast(l_partkey % 3 as int) chrom_ix, cast(l_orderkey * 8 + l_linenumber as int) pos, cast(l_orderkey % 4 as int) ref, cast((l_orderkey + 1) % 4 as int) alt1, cast((l_orderkey + 3) % 4 as int) alt2,
+  cast(l_suppkey % 4 - 1 as int) a1, case when l_partkey % 5 = 4 then null else cast(l_partkey % 5 - 1 as int) end a2 from lineitem),
+h as (select *, case when a1 >= 0 then a1 else coalesce(a2, -1) end f, [ref, alt1, alt2] al from g)
+select chrom_ix, pos, case when f < 0 then {S.NS}
+  when a1 < 0 or coalesce(a2, -1) < 0 then case when f = 0 then {S.EQS2} else case xor(ref, al[f + 1]) when 1 then {S.TRANS1} when 2 then {S.COMPL1} when 3 then {S.TCOMPL1} end end
+  when a2 > 2 then {S.NS} else {_pair_sql('ref', 'al[a1 + 1]', 'al[a2 + 1]')} end code from h"""
+)
+def genotype_codes(spark, d):
+    r = P.table(spark, d, "lineitem")
+    letter = lambda k: F.substring(F.lit(S.BASES), ((F.col("l_orderkey") + k) % 4 + 1).cast("int"), F.lit(1))
+    a2 = F.when(F.col("l_partkey") % 5 != 4, (F.col("l_partkey") % 5 - 1).cast("int"))
+    raw = r.select((F.col("l_partkey") % 3).cast("int").alias("chrom_ix"), (F.col("l_orderkey") * 8 + F.col("l_linenumber") + 1).cast("int").alias("pos"), letter(0).alias("ref"), F.array(letter(1), letter(3)).alias("alts"), (F.col("l_suppkey") % 4 - 1).cast("int").alias("a1"), a2.alias("a2"))
+    return R.call_codes(raw)
+
+
+@query("""with r as (select cast(l_partkey % 3 as int) chrom_ix, cast(l_orderkey as int) pos, substr('acGT', cast(l_linenumber % 4 + 1 as int), 1) base, case when l_suppkey % 2 = 0 then '+' else '-' end strand, cast(l_quantity as int) baseq, cast(l_partkey % 60 as int) mapq, cast(l_suppkey % 40 - 20 as int) read_pos from lineitem),
+k as (select *, upper(base) || strand x from r where mapq >= 20 and baseq >= 10 and (case when read_pos >= 0 then read_pos >= 3 else read_pos < -4 end))
+select chrom_ix, pos, """ + ", ".join(f"cast(count(*) filter (x = '{b}{s}') as int) {b.lower()}{'r' if s == '-' else ''}" for s in "+-" for b in "ACGT") + " from k group by 1, 2")
+def collate_reads(spark, d):
+    t = P.table(spark, d, "lineitem")
+    reads = t.select((F.col("l_partkey") % 3).cast("int").alias("chrom_ix"), F.col("l_orderkey").cast("int").alias("pos"), F.substring(F.lit("acGT"), (F.col("l_linenumber") % 4 + 1).cast("int"), F.lit(1)).alias("base"), F.when(F.col("l_suppkey") % 2 == 0, "+").otherwise("-").alias("strand"), F.col("l_quantity").cast("int").alias("baseq"), (F.col("l_partkey") % 60).cast("int").alias("mapq"), (F.col("l_suppkey") % 40 - 20).cast("int").alias("read_pos"))
+    return U.collate(reads, 20, 10, 3, 4)
+
+
+@query(f"with {P.sparse_sql(1)}, {_INFORMATIVE} select chrom_ix, pos, alt, " + " || ".join(f"({' + '.join(f'nr[{i + 1}]' for i in ix)}) || ',' || ({' + '.join(f'na[{i + 1}]' for i in ix)}) || ' '" for ix in _POP_SUM.values()) + " line from i")
+def treemix_text(spark, d):
+    from alleloom.sinks.text import treemix_lines
+
+    return treemix_lines(Q.population_counts(Q.informative(_sparse(spark, d), 1), list(P.POPULATIONS)))
+
+
+@query(f"with {P.REF_SQL} select chrom_ix, cast(pos // 50 + 1 as int) ord, string_agg({P.base_sql('ref')}, '' order by pos) line from ref group by 1, 2 union all select chrom_ix, 0, '>' || name from ctg")
+def fasta_text(spark, d):
+    from alleloom.sinks.wrap import wrapped
+
+    return wrapped(P.chunks(spark, d).join(P.contigs(spark, d).select("chrom_ix", "name"), "chrom_ix"), ["chrom_ix"], 50).select("chrom_ix", "ord", "line")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

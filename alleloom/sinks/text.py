@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import gzip
+import sys
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -11,23 +13,26 @@ from pyspark.sql import functions as F
 
 from alleloom.functions import scalars as X
 from alleloom.operators.blocks import haplotypes, tumbling_blocks
+from alleloom.sinks.wrap import wrapped
 from alleloom.sources import runfile, twobit
 
 
 def ordered_lines(lines: DataFrame, order: Sequence[str], path: str, header: str = "", compress: bool = False) -> None:
-    """Writes column `line` of lines in order to one file on the driver; rows stream in partition by partition."""
-    rows = lines.orderBy(*order).select("line").toLocalIterator(prefetchPartitions=True)
-    with gzip.open(path, "wt") if compress else open(path, "w") as out:
+    """Writes column `line` of lines in order: to standard output (-), to a folder of ordered part files that the executors
+    write (a path that ends in a slash; its header, if any, is the file _header), or to one file on the driver, to which
+    rows stream partition by partition."""
+    rows = lines.orderBy(*order).select("line")
+    if path.endswith("/"):
+        rows.write.mode("overwrite").option("compression", "gzip" if compress else "none").text(path)
+        if header:
+            lines.sparkSession.createDataFrame([(header.rstrip("\n"),)], "line string").coalesce(1).write.mode("overwrite").text(f"{path}_header")
+        return
+    with contextlib.nullcontext(sys.stdout) if path == "-" else gzip.open(path, "wt") if compress else open(path, "w") as out:
         out.write(header)
-        for r in rows:
+        for r in rows.toLocalIterator(prefetchPartitions=True):
             out.write(r["line"] + "\n")
 
 
-def folder_of_lines(lines: DataFrame, order: Sequence[str], path: str, compress: bool = False) -> None:
-    """The same as a folder of ordered part files, written by the executors."""
-    lines.orderBy(*order).select("line").write.mode("overwrite").option("compression", "gzip" if compress else "none").text(path)
-
-
 def _per_call(calls: Column, one, sep: str) -> Column:
     return F.array_join(F.transform(calls, lambda c: one(c["n_ref"], c["n_alt"])), sep)
 
@@ -70,9 +75,7 @@ def pseudo_ms_lines(variants: DataFrame, n_samples: int, size: int | None, min_i
 
 def fasta_lines(patched: DataFrame, contigs: DataFrame, width: int = 50) -> DataFrame:
     """(sample_ix, chrom_ix, ord, line) of patched texts."""
-    whole = patched.groupBy("sample_ix", "chrom_ix").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "seq"))), lambda x: x["seq"]), "").alias("s")).join(contigs.select("chrom_ix", "name"), "chrom_ix")
-    cut = F.concat(F.array(F.concat(F.lit(">"), F.col("name"))), F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length("s") - 1) / width), F.lit(0))), lambda i: F.substring(F.col("s"), (i * width + 1).cast("int"), F.lit(width))))
-    return whole.select("sample_ix", "chrom_ix", F.posexplode(cut).alias("ord", "line"))
+    return wrapped(patched.join(contigs.select("chrom_ix", "name"), "chrom_ix"), ["sample_ix", "chrom_ix"], width)
 
 
 def write_runs(runs: DataFrame, path: str) -> None:
@@ -98,17 +101,31 @@ def write_twobit(chunks: DataFrame, contigs: DataFrame, path: str) -> None:
     Path(path).write_bytes(twobit.write([r["name"] for r in rows], [bytes(r["record"]) for r in rows]))
 
 
-def aligned(rows: Sequence[Sequence[str]], left: int = 1) -> str:
-    """A text table: the first `left` columns to the left, the others to the right, padded to the widest cell."""
-    width = [max(len(r[i]) for r in rows) for i in range(len(rows[0]))] if rows else []
-    return "\n".join("  ".join(c.ljust(w) if i < left else c.rjust(w) for i, (c, w) in enumerate(zip(r, width, strict=True))).rstrip() for r in rows)
+def aligned(rows: Sequence[Sequence[tuple[bool, str]]]) -> str:
+    """A text table of cells (whether to the right, text), padded to the widest of their column, without space between."""
+    width = [max(len(r[i][1]) for r in rows) for i in range(len(rows[0]))] if rows else []
+    return "".join("".join(c.rjust(w) if right else c.ljust(w) for (right, c), w in zip(r, width, strict=True)) + "\n" for r in rows)
+
+
+#: How the label columns of a statistic are put into words.
+FORMS = {
+    "kayvergence": (("Kiv( ", "reference", "; "), ("", "sample", "; "), ("", "outgroup", "")),
+    "dstatistics": (("D( ", "", ""), ("", "panel_a", ", "), ("", "panel_b", "; "), ("", "sample", ", "), ("", "outgroup", "")),
+    "f4statistics": (("F4( ", "", ""), ("", "panel_a", ", "), ("", "panel_b", "; "), ("", "sample", ", "), ("", "outgroup", "")),
+    "yaddayadda": (("Y( ", "", ""), ("", "ape", "; "), ("", "archaic_a", ", "), ("", "archaic_b", "; "), ("", "sample", ", "), ("", "african", "")),
+}
 
 
-def report_text(report: DataFrame, names: Sequence[str]) -> str:
-    """The aligned table of a statistic's report (one row per combination)."""
-    head = [*names, "k", "n", "r", "stderr", "p", "f4"]
-    rows = [head]
+def report_text(report: DataFrame, command: str) -> str:
+    """A statistic's report (one row per combination) as aligned text: its labels, k/n = r and standard error in percent,
+    and, but for kayvergence, p."""
+    rows = []
     for r in report.collect():
-        number = lambda x, f: "-" if x is None or x != x else format(x, f)
-        rows.append([*(r[n] for n in names), number(r["k"], ".2f"), number(r["n"], ".2f"), number(r["r"], ".4f"), number(None if r["var"] is None else r["var"] ** 0.5, ".4f"), X.p_text(r["p"]), number(r["f4"], ".6f")])
-    return aligned(rows, len(names))
+        error = None if r["var"] is None else 100 * r["var"] ** 0.5
+        cells = [(False, before + (r[name] if name else "") + after) for before, name, after in FORMS[command]] + [(False, " ) = ")]
+        if command == "f4statistics":
+            cells.append((True, X.scientific(r["f4"], 2) + ", D = "))
+        cells += [(True, X.fixed(r["k"], 0) + "/"), (True, X.fixed(r["n"], 0) + " = "), (True, X.fixed(None if r["r"] is None else 100 * r["r"], 2) + "% ± ")]
+        cells += [(True, X.fixed(error, 2) + "%")] if command == "kayvergence" else [(True, X.fixed(error, 2) + "%, p = "), (True, X.p_text(r["p"]))]
+        rows.append(cells)
+    return aligned(rows)

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from alleloom.sources.files import decompressed
+from alleloom.sources.files import decompressed, opened
 
 RAW = "ord long, chrom_ix int, pos int, ref string, alts array<string>, a1 int, a2 int, phased boolean"
 #: Fixed values of the format: bytes of integer types 1, 2 and 3, and the type of text.
@@ -74,17 +74,17 @@ def _key(data: bytes, at: int) -> int:
     return at + n * struct.calcsize(_INT[kind])
 
 
-def read_bcf(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
-    """Raw records, as read_vcf."""
+def read_bcf(spark: SparkSession, paths: str | list[str], contigs: DataFrame) -> DataFrame:
+    """Raw records, as read_vcf, in the order of paths."""
     names = {r["name"]: r["chrom_ix"] for r in contigs.select("name", "chrom_ix").collect()}  # one row per chromosome
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for content in f["content"]:
-                rows = [(i, *r) for i, r in enumerate(records(bytes(content), names))]
+            for file, content in zip(f["file"], f["content"], strict=True):
+                rows = [((file << 40) + i, *r) for i, r in enumerate(records(bytes(content), names))]
                 for k in range(0, len(rows), 50_000):
                     out = pd.DataFrame(rows[k : k + 50_000], columns=["ord", "chrom_ix", "pos", "ref", "alts", "a1", "a2", "phased"])
                     out["a2"] = out["a2"].astype("Int32")
                     yield out
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RAW)
+    return opened(spark, [paths] if isinstance(paths, str) else paths).mapInPandas(run, RAW)

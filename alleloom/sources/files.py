@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -26,11 +27,12 @@ def decompressed(data: bytes) -> bytes:
 
 
 def opened(spark: SparkSession, paths: list[str], glob: str | None = None) -> DataFrame:
-    """(file, path, content): whole files; file is the place of its path among those given."""
+    """(file, path, content): whole files; file is the place of its path among those given. The path - is standard input."""
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = [reader.load(p).select(F.lit(i).alias("file"), "path", "content") for i, p in enumerate(paths)]
+    stdin = lambda: spark.createDataFrame([("-", bytearray(sys.stdin.buffer.read()))], "path string, content binary")
+    files = [(stdin() if p == "-" else reader.load(p)).select(F.lit(i).alias("file"), "path", "content") for i, p in enumerate(paths)]
     out = files[0]
     for f in files[1:]:
         out = out.unionByName(f)

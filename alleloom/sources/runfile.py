@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alleloom import schema as S
-from alleloom.sources.files import decompressed
+from alleloom.sources.files import decompressed, opened
 
 Run = tuple[int, int, str | None]  # code, length, inserted bases
 #: The three kinds of stretches by their two high bits, and announced lengths from this one on.
@@ -147,25 +147,40 @@ def decode_old(data: bytes, haploid: bool, at: int = 0) -> Iterator[list[tuple[s
         yield items
 
 
-def modernised(items: list[tuple[str, int, str | None]], reference: str, haploid: bool, swap_ac: bool = False) -> list[Run]:
-    """Items of the older format as runs. swap_ac reads A as C and C as A, as files of some writers need."""
-    out: list[Run] = []
-    at = 0
-    swap = str.maketrans("ACac", "CAca")
+#: Codes of letters of the older format that still wait for their reference base: _WAITS less the letter.
+_WAITS = -1000
+
+
+def old_runs(items: list[tuple[str, int, str | None]], haploid: bool, swap_ac: bool = False) -> Iterator[tuple[int, int, int, str | None]]:
+    """Items of the older format as runs; letters become codes below _WAITS. swap_ac reads A as C and C as A, as files of
+    some writers need."""
+    swap, at = str.maketrans("ACac", "CAca"), 0
     for kind, n, letter in items:
+        code = S.NS if kind == "N" else S.EQS1 if haploid else S.EQS2
         if kind == "*":
-            if at >= len(reference):
-                continue
-            letter = letter.translate(swap) if swap_ac else letter
-            ref = S.BASES.find(reference[at].upper())
-            pair = S.IUPAC.get(letter.upper())
-            alleles = [S.BASES.index(x) for x in pair] if pair else []
-            code = S.code_of(ref, *(alleles[:1] if letter.islower() else alleles)) if ref >= 0 and alleles else S.NS
-            out.append((code, 1, None))
-        else:
-            out.append((S.NS if kind == "N" else S.EQS1 if haploid else S.EQS2, n, None))
+            code = _WAITS - ord(letter.translate(swap) if swap_ac else letter)
+        yield at, at + n, code, None
         at += n
-    return joined(out)
+
+
+def _old_code(ref: str, letter: str) -> int:
+    pair = S.IUPAC.get(letter.upper())
+    alleles = [S.BASES.index(x) for x in pair] if pair else []
+    return S.code_of(S.BASES.find(ref), *(alleles[:1] if letter.islower() else alleles)) if ref in S.BASES and alleles else S.NS
+
+
+def modernised(runs: DataFrame, contigs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """runs of old files with the codes that their letters have at the reference: a join on reference chunks."""
+    size = chunks.agg(F.max(F.length("seq"))).first()[0]
+    letters = "".join(dict.fromkeys(OLD_SYMBOLS + OLD_SYMBOLS[1:5].lower()))
+    table = F.create_map(*(F.lit(x) for r in S.BASES for q in letters for x in (r + q, _old_code(r, q))))
+    waits = runs.where(F.col("code") <= _WAITS).withColumn("start", (F.floor(F.col("run_start") / size) * size).cast("int"))
+    # letters beyond the reference have no row there
+    met = waits.join(chunks.select("chrom_ix", "start", "seq"), ["chrom_ix", "start"]).where("run_start - start < length(seq)")
+    ref = F.upper(F.expr("substring(seq, run_start - start + 1, 1)"))
+    code = F.coalesce(F.element_at(table, F.concat(ref, F.char(F.lit(_WAITS) - F.col("code")))), F.lit(S.NS))
+    rest = runs.where(F.col("code") > _WAITS).join(contigs.select("chrom_ix", "length"), "chrom_ix").where("run_start < length").withColumn("run_end", F.least("run_end", "length"))
+    return rest.select(runs.columns).unionByName(met.withColumn("code", code).select(runs.columns))
 
 
 def joined(runs: list[Run]) -> list[Run]:
@@ -186,39 +201,64 @@ def header(reference_path: str, ref_token: int) -> bytes:
     return MAGIC + b"\3" + reference_path.encode() + b"\0" + struct.pack("<I", ref_token)
 
 
-def parse(data: bytes, reference: list[str] | None = None, ref_token: int | None = None, check: bool = True, swap_ac: bool = False) -> tuple[str | None, list[list[Run]]]:
-    """(reference path, runs by chromosome) of a file of any version; reference: the texts, for the older ones."""
-    data = decompressed(data)
+def kind_of(data: bytes) -> tuple[int, str | None, int | None]:
+    """(version, reference path, reference token) of a file's first bytes; the older versions 0 and 1 have neither."""
     if data[:4] == MAGIC + b"\3":
         end = data.index(b"\0", 4)
-        if check and ref_token is not None and struct.unpack("<I", data[end + 1 : end + 5])[0] != ref_token:
-            raise ValueError("incompatible reference genome")
-        return data[4:end].decode(), list(decode(data, end + 5))
-    old = data[:4] in (MAGIC + b"\0", MAGIC + b"\1")
-    if not old and data[:3] not in _BARE:
-        raise ValueError("file format not recognised")
-    if reference is None:
-        raise ValueError("this file can't be read without its reference")
-    hap = data[:4] == MAGIC + b"\1"
-    chroms = decode_old(data, hap, 4 if old else 0)
-    return None, [modernised(c, r, hap, swap_ac) for c, r in zip(chroms, reference, strict=False)]
-
-
-def read_runs(spark: SparkSession, paths: list[str], ref_token: int | None = None, check: bool = True) -> DataFrame:
-    """(sample_ix, chrom_ix, run_start, run_end, code, ins) of run files; sample_ix is the order of paths, one task a file."""
-    order = {p: i for i, p in enumerate(paths)}
-    files = None
-    for p in paths:
-        f = spark.read.format("binaryFile").load(p).select(F.lit(order[p]).alias("sample_ix"), "content")
-        files = f if files is None else files.unionByName(f)
+        return 3, data[4:end].decode(), struct.unpack("<I", data[end + 1 : end + 5])[0]
+    if data[:4] in (MAGIC + b"\0", MAGIC + b"\1"):
+        return data[3], None, None
+    if data[:3] in _BARE:
+        return 0, None, None
+    raise ValueError("file format not recognised")
+
+
+def parse(data: bytes, swap_ac: bool = False) -> Iterator[Iterator[tuple[int, int, int, str | None]]]:
+    """Runs (start, end, code, inserted bases), chromosome by chromosome, of a file of any version."""
+    data = decompressed(data)
+    version, path, _ = kind_of(data)
+    if version == 3:
+        yield from map(positioned, decode(data, 4 + len(path.encode()) + 5))
+    else:
+        chroms = decode_old(data, version == 1, 4 if data[:3] == MAGIC else 0)
+        yield from (old_runs(c, version == 1, swap_ac) for c in chroms)
+
+
+def headers(spark: SparkSession, paths: list[str]) -> list[tuple[int, str | None, int | None]]:
+    """kind_of() each file; only the beginnings of files come to the driver."""
+    begins = opened(spark, paths).select("file", F.substring("content", 1, 8192).alias("begin")).orderBy("file").collect()
+    out = []
+    for r in begins:
+        begin = bytes(r["begin"])
+        out.append(kind_of(zlib.decompressobj(31).decompress(begin, 8192) if begin[:2] == b"\x1f\x8b" else begin))
+    return out
+
+
+def read_runs(spark: SparkSession, paths: list[str], reference: tuple[DataFrame, DataFrame] | None = None, check: bool = True, swap_ac: bool = False) -> DataFrame:
+    """(sample_ix, chrom_ix, run_start, run_end, code, ins) of run files; sample_ix is the order of paths, one task a file.
+
+    reference: its (contigs, chunks). With it, files that were written against another one are an error unless check is
+    False; old files can't be read without it.
+    """
+    kinds = headers(spark, paths)
+    old = any(version != 3 for version, _, _ in kinds)
+    if old and reference is None:
+        raise ValueError("an old file can't be read without its reference")
+    if reference is not None and check:
+        c = reference[0].orderBy("chrom_ix").collect()  # one row for each chromosome
+        own = token([r["name"] for r in c], [r["length"] for r in c])
+        for p, (_, _, its) in zip(paths, kinds, strict=True):
+            if its not in (None, own):
+                raise ValueError(f"incompatible reference genome: {p}")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for ix, content in zip(frame["sample_ix"], frame["content"], strict=True):
-                for c, runs in enumerate(parse(bytes(content), ref_token=ref_token, check=check)[1]):
-                    yield pd.DataFrame([(ix, c, *x) for x in positioned(runs)], columns=["sample_ix", "chrom_ix", "run_start", "run_end", "code", "ins"])
+            for ix, content in zip(frame["file"], frame["content"], strict=True):
+                for c, runs in enumerate(parse(bytes(content), swap_ac)):
+                    yield pd.DataFrame([(ix, c, *x) for x in runs], columns=["sample_ix", "chrom_ix", "run_start", "run_end", "code", "ins"])
 
-    return files.mapInPandas(run, S.RUNS_INS)
+    runs = opened(spark, paths).mapInPandas(run, S.RUNS_INS)
+    return modernised(runs, *reference) if old else runs
 
 
 def encoded(runs: DataFrame) -> DataFrame:

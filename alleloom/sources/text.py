@@ -85,12 +85,13 @@ def _genotyped(g: DataFrame) -> DataFrame:
 def import_vcf(raw: DataFrame, contigs: DataFrame, gap: str | DataFrame = "dense", sample_ix: int = 0, low: bool = False, inside_good: bool = True) -> DataFrame:
     """Runs of raw VCF or BCF records. gap: "dense" (uncalled), "sparse" (as the reference) or regions.
 
-    inside_good: what lies in the regions is as the reference and the rest uncalled; else the other way round.
+    inside_good: what lies in the regions is as the reference and the rest uncalled; else the other way round. A chromosome
+    that reappears after another one is an error.
     """
     from alleloom import schema as S
     from alleloom.operators import runs as R
 
-    calls = R.call_codes(R.dedup(R.clean(raw))).withColumn("sample_ix", F.lit(sample_ix)).select("sample_ix", "chrom_ix", "pos", "code")
+    calls = R.call_codes(R.dedup(R.contiguous(R.clean(raw)))).withColumn("sample_ix", F.lit(sample_ix)).select("sample_ix", "chrom_ix", "pos", "code")
     if isinstance(gap, str):
         filled = R.gap_fill(calls, contigs, {"dense": S.NS, "sparse": S.EQS2}[gap])
     else:

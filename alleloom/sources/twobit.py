@@ -115,15 +115,13 @@ def read(spark: SparkSession, path: str, size: int = 65536) -> tuple[DataFrame,
 
 def fasta_lines(chunks: DataFrame, contigs: DataFrame, region: str | None = None, width: int = 50) -> DataFrame:
     """(ord, line): FASTA of all, of "name", or of "name:start-end" (1-based, both ends in)."""
-    c = contigs
-    lo, hi = 0, None
+    from alleloom.sinks.wrap import region as part_of
+    from alleloom.sinks.wrap import wrapped
+
     if region:
         name, _, span = region.partition(":")
-        c = contigs.where(F.col("name") == name)
+        contigs = contigs.where(F.col("name") == name)
         if span:
-            a, b = span.split("-")
-            lo, hi = int(a) - 1, int(b)
-    whole = chunks.join(c, "chrom_ix").groupBy("chrom_ix", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "seq"))), lambda x: x["seq"]), "").alias("s"))
-    part = F.expr(f"substring(s, {lo + 1}, {hi - lo})") if hi is not None else F.col("s")
-    cut = F.concat(F.array(F.concat(F.lit(">"), F.col("name"))), F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length("p") - 1) / width), F.lit(0))), lambda i: F.substring(F.col("p"), (i * width + 1).cast("int"), F.lit(width))))
-    return whole.withColumn("p", part).select("chrom_ix", F.posexplode(cut).alias("ord", "line")).orderBy("chrom_ix", "ord").select("chrom_ix", "ord", "line")
+            a, b = map(int, span.split("-"))
+            chunks = part_of(chunks, a - 1, b)
+    return wrapped(chunks.join(contigs.select("chrom_ix", "name"), "chrom_ix"), ["chrom_ix"], width)

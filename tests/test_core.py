@@ -50,7 +50,7 @@ def test_example_merge(runs, chunks):
     ]
     assert Q.informative(v, 1).count() == 5
     assert [r["pos"] for r in Q.transversions(v).collect()] == [11]
-    assert {r["pos"] for r in Q.drop_cpg(v, M.bases_of(chunks)).collect()} == {0, 1, 2, 11}
+    assert {r["pos"] for r in Q.drop_cpg(v, chunks, 8).collect()} == {0, 1, 2, 11}
     assert sorted((r["block"], r["pos"]) for r in A.greedy_blocks(v, 4).collect()) == [(0, 0), (0, 1), (0, 2), (8, 8), (8, 11)]
 
 
@@ -65,14 +65,82 @@ def test_example_dense_and_ref(runs, chunks):
 def test_example_statistics(runs):
     combos = A.patterson_combos(1, 2, ["s0", "s1", "s2", "s3"])
     index = [c for c, _ in combos]
-    one = A.totals(A.block_sums(A.scores(M.merge_sparse(runs, 4, 1), index, A.PATTERSON), 4)).first()
+    one = A.totals(A.block_sums(M.merge_sparse(runs, 4, 1), index, A.PATTERSON, 4)).first()
     assert (one["k"], one["n"], one["t"]) == (1, 1, 4)
     dense = A.totals(A.dense_blocks(M.merge_sparse(runs, 4, 0), runs, 4, index, A.PATTERSON, 1000, 64)).first()
     assert dense["t"] == 8 and (2 * dense["k"] - dense["n"]) / dense["t"] == 0.125
-    slow = A.totals(A.block_sums(A.scores(M.merge_dense(runs, 4), index, A.PATTERSON), 1000, grid=True)).first()
+    slow = A.totals(A.block_sums(M.merge_dense(runs, 4), index, A.PATTERSON, 1000, grid=True)).first()
     assert (slow["k"], slow["n"], slow["t"]) == (dense["k"], dense["n"], dense["t"])
 
 
+def _random_runs(seed, samples, length=400):
+    """Runs of random codes and lengths over two chromosomes, with gaps."""
+    rng, rows = random.Random(seed), []
+    for i in range(samples):
+        for c in (0, 1):
+            at = rng.randrange(30)
+            while at < length:
+                code = rng.choice([S.NS, S.EQS1, S.EQS2, S.EQS2, S.EQS2, S.TRANS2, S.REFCOMPL, S.TCOMPL1, S.TRANSCOMPL])
+                n = rng.randrange(1, 60) if code in S.STRETCHES else 1
+                rows.append((i, c, at, min(at + n, length), code))
+                at += n + (rng.randrange(40) if rng.random() < 0.1 else 0)
+    return rows
+
+
+def test_statistics_against_brute_force(spark):
+    """More samples than one packed number holds; every combination of a small panel, by position and in blocks of both kinds."""
+    n, size = 17, 90
+    rows = _random_runs(4, n)
+    runs = spark.createDataFrame(rows, S.RUNS).repartition(3).cache()
+    at = {(i, c, p): code for i, c, s, e, code in rows for p in range(s, e)}
+    sites = {(c, p) for (_, c, p), code in at.items() if code != S.NS}
+    dense, sparse = [], []
+    for c, p in sorted(sites):
+        alts = [a for a in (1, 2, 3) if any(S.counts(at.get((i, c, p), 0), a)[1] for i in range(n))]
+        for a in alts or [S.PSEUDO]:
+            calls = [S.counts(at.get((i, c, p), 0), 1 if a == S.PSEUDO else a) for i in range(n)]
+            dense.append((c, p, a, [x if a != S.PSEUDO else (x[0], 0) for x in calls]))
+            if a != S.PSEUDO:
+                sparse.append(dense[-1])
+    rows_of = lambda df: sorted((r["chrom_ix"], r["pos"], r["alt"], [tuple(c) for c in r["calls"]]) for r in df.collect())
+    assert rows_of(M.merge_sparse(runs, n, 0, 64)) == sorted(sparse) and rows_of(M.merge_dense(runs, n, 64)) == sorted(dense)
+
+    def blocks_of(records, grid):
+        out, start = {}, {}
+        for c, p, _, calls in records:
+            if c not in start or p >= start[c] + size:
+                start[c] = p
+            key = (c, p // size if grid else start[c])
+            for k, (x, o, g, h) in enumerate(combos):
+                (u1, v1), (u2, v2), (u3, v3), (u4, v4) = (calls[j] for j in (x, o, g, h))
+                nn = (u1 + v1) * (u2 + v2) * (u3 + v3) * (u4 + v4)
+                baba, abba = v1 * u2 * v3 * u4 + u1 * v2 * u3 * v4, u1 * v2 * v3 * u4 + v1 * u2 * u3 * v4
+                t = out.setdefault((*key, k), [0, 0, 0])
+                if nn:
+                    t[0] += baba / nn
+                    t[1] += (abba + baba) / nn
+                    t[2] += 1
+        return out
+
+    combos = [c for c, _ in A.patterson_combos(1, 2, [f"s{i}" for i in range(n)])] + [(16, 3, 7, 9)]
+    got = lambda df: {(r["chrom_ix"], r["block"], r["combo"]): [r["k"], r["n"], r["t"]] for r in df.collect()}
+    v = M.merge_sparse(runs, n, 0, 64)
+    for grid in (True, False):
+        assert got(A.block_sums(v, combos, A.PATTERSON, size, grid)) == blocks_of(sparse, grid)
+        assert got(A.dense_blocks(v, runs, n, combos, A.PATTERSON, size, 64, grid)) == blocks_of(dense, grid)
+    assert A.block_sums(v, [], A.PATTERSON, size).count() == 0 and A.block_sums(v.limit(0), combos, A.PATTERSON, size).count() == 0
+
+
+def test_cpg_across_chunks(spark):
+    """CG pairs within and across chunks, at the ends and beside N, for sites inside and beyond the reference."""
+    seq = "CGTCCGNCGACGGTNGCGC"
+    chunks = spark.createDataFrame([(0, i, seq[i : i + 4]) for i in range(0, len(seq), 4)], S.CHUNKS)
+    sites = spark.createDataFrame([(c, p, 1) for c in (0, 1) for p in range(25)], "chrom_ix int, pos int, alt int")
+    gone = {p for p in range(len(seq)) if seq[p : p + 2] == "CG" or p and seq[p - 1 : p + 1] == "CG"}
+    kept = sorted((r["chrom_ix"], r["pos"]) for r in Q.drop_cpg(sites, chunks, 4).collect())
+    assert kept == [(c, p) for c in (0, 1) for p in range(25) if c or p not in gone]
+
+
 def test_patch_is_the_inverse_of_diff(runs, chunks):
     got = {(r["sample_ix"], r["start"]): r["seq"] for r in M.patch(runs, chunks, 8).collect()}
     for i, t in enumerate(TEXTS):
@@ -93,7 +161,7 @@ def test_jackknife_of_one_block_is_undefined(spark):
 
 def test_beta():
     assert incomplete_beta(0.3, 2, 2) == pytest.approx(0.216) and incomplete_beta(0.4, 1, 1) == pytest.approx(0.4)
-    assert p_value(0.5, 0.01, 3) == pytest.approx(0.5) and p_value(1.0, 0.01, 3) == 0 and p_value(0.5, 0.3, 3) is None
+    assert p_value(0.5, 0.01, 3) == pytest.approx(0.5) and p_value(1.0, 0.01, 3) == 0 == p_value(0.0, None, 3) and p_value(0.5, 0.3, 3) is None
 
 
 def test_snp_names(spark):
@@ -125,25 +193,53 @@ def test_codec_refuses():
         runfile.encode([(S.DEL1, 256, None)])
 
 
-def test_old_formats():
+def test_old_formats(spark, tmp_path):
     # T and C as one pair, 3 * 2 matches, a two-byte stretch of 2 * 100 uncalled, the end
     body = bytes([4 + 11 * 2, 0xC0 + 3, 0xA0 | (100 & 15), 100 >> 4, 0x80])
-    _, runs = runfile.parse(runfile.MAGIC + b"\0" + body, ["TT" + "A" * 300])
-    assert runs == [[(S.EQS2, 1, None), (S.TRANS2, 1, None), (S.EQS2, 6, None), (S.NS, 200, None)]]
-    _, runs = runfile.parse(runfile.MAGIC + b"\1" + body, ["TT" + "A" * 300])
-    assert runs == [[(S.EQS1, 1, None), (S.TRANS1, 1, None), (S.EQS1, 6, None), (S.NS, 200, None)]]
+    files = [("a", runfile.MAGIC + b"\0" + body), ("b", runfile.MAGIC + b"\1" + body), ("c", gzip.compress(runfile.MAGIC + b"\0" + bytes([3 + 11 * 9]))), ("d", b"\xb0\x71\x02")]
+    for name, data in files:
+        (tmp_path / name).write_bytes(data)
+    paths = [str(tmp_path / name) for name, _ in files]
+    contigs = spark.createDataFrame([(0, "1", 180)], S.CONTIGS)
+    chunks = spark.createDataFrame([(0, 0, "TT" + "A" * 98), (0, 100, "A" * 80)], S.CHUNKS)
+    got = sorted(tuple(r)[:5] for r in runfile.read_runs(spark, paths, (contigs, chunks)).collect())
+    assert got[:8] == [(0, 0, 0, 1, S.EQS2), (0, 0, 1, 2, S.TRANS2), (0, 0, 2, 8, S.EQS2), (0, 0, 8, 180, S.NS), (1, 0, 0, 1, S.EQS1), (1, 0, 1, 2, S.TRANS1), (1, 0, 2, 8, S.EQS1), (1, 0, 8, 180, S.NS)]
+    assert got[8:10] == [(2, 0, 0, 1, S.code_of(0, 3, 3)), (2, 0, 1, 2, S.code_of(0, 0, 1))] and {r[0] for r in got} == {0, 1, 2, 3}
+    with pytest.raises(ValueError, match="without its reference"):
+        runfile.read_runs(spark, paths)
+    (tmp_path / "e").write_bytes(b"something else")
+    with pytest.raises(ValueError, match="not recognised"):
+        runfile.read_runs(spark, [str(tmp_path / "e")])
 
 
 def test_run_file(spark, runs, tmp_path):
     from alleloom.sinks.text import write_runfile
 
     contigs = spark.createDataFrame([(0, "1", 12), (1, "2", 5)], S.CONTIGS)
+    chunks = spark.createDataFrame([(0, 0, REF)], S.CHUNKS)
     write_runfile(runs.where("sample_ix = 1"), str(tmp_path / "a.run"), "ref.2bit", contigs)
-    back = runfile.read_runs(spark, [str(tmp_path / "a.run")], runfile.token(["1", "2"], [12, 5])).drop("ins").where("run_end > run_start")
+    path = [str(tmp_path / "a.run")]
+    assert [h[:2] for h in runfile.headers(spark, path)] == [(3, "ref.2bit")]
+    back = runfile.read_runs(spark, path, (contigs, chunks)).drop("ins").where("run_end > run_start")
     want = runs.where("sample_ix = 1").select(F.lit(0).alias("sample_ix"), "chrom_ix", "run_start", "run_end", "code")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, want.collect()))
-    with pytest.raises(ValueError):
-        runfile.parse((tmp_path / "a.run").read_bytes(), ref_token=1)
+    other = contigs.where("chrom_ix = 0")
+    with pytest.raises(ValueError, match="incompatible"):
+        runfile.read_runs(spark, path, (other, chunks))
+    assert runfile.read_runs(spark, path, (other, chunks), check=False).count() == back.count() + 0
+
+
+def test_a_chromosome_must_not_reappear(spark, tmp_path):
+    from alleloom.sources.text import import_vcf, read_vcf
+
+    contigs = spark.createDataFrame([(0, "1", 6), (1, "2", 3)], S.CONTIGS)
+    head = "##x\n#CHROM\tPOS\n"
+    line = lambda c, p: f"{c}\t{p}\t.\tC\tT\t.\t.\t.\tGT\t0/1\n"
+    for name, text in (("good", line("1", 1) + line("1", 2) + line("2", 1)), ("more", line("9", 1)), ("bad", line("1", 1) + line("2", 1) + line("1", 2))):
+        (tmp_path / name).write_text(head + text)
+    assert import_vcf(read_vcf(spark, [str(tmp_path / "good"), str(tmp_path / "more")], contigs), contigs).count() > 0
+    with pytest.raises(ValueError, match="reappears"):
+        import_vcf(read_vcf(spark, [str(tmp_path / "bad")], contigs), contigs)
 
 
 def test_gzip_members():
@@ -270,7 +366,10 @@ def test_errors_in_text(spark):
 
 def test_small_functions(spark):
     assert X.size_of("5M") == 5_000_000 and X.size_of("12k") == 12_000 and X.size_of("7") == 7
-    assert X.p_text(0.25) == "0.250" and X.p_text(0.0001) == "1.0e-04"
+    # the exponent form is that of the original's printer, without padding
+    assert X.p_text(0.25) == "0.250" and X.p_text(0.0001) == "1.0e-4" and X.p_text(None) == "NaN" and X.p_text(0.0) == "0.0e0"
+    assert X.fixed(2.5, 0) == "3" and X.fixed(-0.125, 2) == "-0.13" and X.scientific(0.125, 2) == "1.25e-1" and X.scientific(9.996, 2) == "1.00e1"
+    assert X.label_of("a/HG.1.hef") == "HG.1" and X.label_of("x") == "x"
     from alleloom.cli import command_of
 
     assert command_of("TREE") == "treemix" and command_of("vcfi") == "vcfin"
