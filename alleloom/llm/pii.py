@@ -256,10 +256,10 @@ def assigned(entities: DataFrame, key: bytes) -> DataFrame:
     for _ in range(ATTEMPTS):
         drawn = left.select("kind", "entity", "attempt").mapInArrow(draw, "kind string, entity string, attempt int, surrogate string").withColumn("low", F.lower("surrogate"))
         first = drawn.groupBy("low").agg(F.min(F.struct("kind", "entity")).alias("winner"))
-        judged = drawn.join(first, "low").join(real, "low", "left")
+        judged = drawn.hint("merge").join(first, "low").join(real.hint("merge"), "low", "left")
         taken = F.lit(True)
         if done is not None:
-            judged = judged.join(done.select(F.lower("surrogate").alias("low"), F.lit(True).alias("is_taken")), "low", "left")
+            judged = judged.join(done.select(F.lower("surrogate").alias("low"), F.lit(True).alias("is_taken")).hint("merge"), "low", "left")
             taken = F.col("is_taken").isNull()
         judged = written(judged.select("kind", "entity", "attempt", "surrogate", ((F.col("winner") == F.struct("kind", "entity")) & F.col("is_real").isNull() & taken).alias("ok")), "surrogates")
         fine = judged.where("ok").select("kind", "entity", "surrogate")
@@ -276,8 +276,8 @@ def pseudonymised(docs: DataFrame, key: bytes, id_column: str = "doc_id", text:
     known = keyed(docs.select(*(F.col(f"`{c}`") for c in keep)), id_column, text)
     spans = written(detected(known, text).distinct(), "spans")
     mapping = assigned(written(spans.select("kind", "entity").distinct(), "entities"), key)
-    # spans of one entity may be a third of all: a plain join, whose skewed side Spark splits
-    named = spans.join(mapping, ["kind", "entity"]).select("_doc", "_tag", "start", "end", "surrogate")
+    # spans of one entity may be a third of all: a join by sort and merge, whose skewed side Spark splits
+    named = spans.hint("merge").join(mapping, ["kind", "entity"]).select("_doc", "_tag", "start", "end", "surrogate")
     named = written(named, "named")
     listed = named.groupBy("_doc", "_tag").agg(F.sort_array(F.collect_list(F.struct("start", "end", "surrogate"))).alias("_new"))
     # by sort and merge at every size, so what is moved grows with the input
