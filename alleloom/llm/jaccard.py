@@ -9,14 +9,15 @@ empty is also filed under one key for such sets, so two sets that agree in empty
 only the smallest document is written down for each other one; the documents that have one smallest document in common,
 and that document, are a cluster. Every linked pair is in some cluster; a document in none is linked to nothing.
 
-Joining. Clusters are joined by signature trees: a node holds the OR of its sets' token bitmaps, the range of their sizes
-and the least number of set bits; two trees are traversed together, and a pair of nodes is dropped when its greatest
-possible overlap is too small for its least sizes, or when all its sets are already connected. A first traversal, over
-bitmaps alone, takes a cluster apart into groups of sets that may be linked. In a group all sets are compared with its
-hub; what is left is to find links of the sets that the hub does not link, with each other and with the linked ones that
-the triangle inequality of the Jaccard distance leaves in reach. A second traversal does that and verifies the pairs of
-leaves that survive on the whole sets. Clusters and groups beyond a block are cut into blocks, and pairs of blocks are
-joined by separate tasks, so no task holds more than two blocks. Equal sets are one throughout.
+Joining. In a cluster all sets are compared with its hub, the smallest document; a cluster of copies is done then. What is
+left is to find links of the sets that the hub does not link, with each other and with the linked ones that the triangle
+inequality of the Jaccard distance leaves in reach. These are joined by signature trees: a node holds the OR of its sets'
+token bitmaps, the range of their sizes and the least number of set bits; two trees are traversed together, and a pair of
+nodes is dropped when its greatest possible overlap is too small for its least sizes, or when all its sets are already
+connected. A first traversal, over bitmaps alone, takes what is left of a cluster apart into groups of sets that may be
+linked. In a group the same is done again, hub first, and a second traversal verifies the pairs of leaves that survive on
+the whole sets. What is left of a cluster beyond a block is cut into blocks, and pairs of blocks are joined by separate
+tasks, so no task holds more than two blocks. Equal sets are one throughout.
 
 Defined results: null, empty and white text make an empty set, linked with nothing; fewer words than a shingle make one
 shingle of all words; rows of one id are one vertex; rows without id are linked with nothing and have no component.
@@ -374,12 +375,33 @@ def _set_join(percent: int):
     return join
 
 
-def _dealt(members: DataFrame, block: int) -> DataFrame:
-    """Members (cluster, doc, ...) of every pair (i, j) of their cluster's blocks."""
-    parts = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    d = members.join(parts, "cluster").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
-    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return d.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("parts", "other")
+def _to_hubs(members: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """(cluster, doc, near, far) of members (cluster, doc, hub) against their hub: whether linked, and the distance.
+
+    The hub is one set; other sets of its id, in rows of other texts, are members like any other.
+    """
+    sets = whole.select("doc", "set")
+    hubs = members.select("cluster", "hub").distinct().join(sets.withColumnRenamed("doc", "hub"), "hub").groupBy("cluster").agg(F.min("set").alias("hub_set"))
+    others = members.hint("merge").join(sets, "doc").join(hubs.hint("merge"), "cluster").where("doc <> hub or set <> hub_set")
+    return written(others.select("cluster", "doc", "set", "hub_set").mapInArrow(_compare_with_hub(percent), "cluster long, doc long, near boolean, far double"), "near")
+
+
+def _left_over(near: DataFrame, percent: int, block: int) -> DataFrame:
+    """(cluster, doc, block, i, j): of what the hub doesn't link, and of the linked sets in its reach, every pair of blocks.
+
+    Blocks of leftovers (even) meet all blocks, blocks of linked sets (odd) meet leftovers only, so a member is copied once
+    for each block of leftovers of its cluster, and a cluster that its hub links in whole is not dealt at all.
+    """
+    over = near.where("not near").groupBy("cluster").agg(F.min("far").alias("least"), F.max("far").alias("most"))
+    reach = (100 - percent) / 100 + 1e-9
+    rest = near.join(over, "cluster").where(f"not near or (far >= least - {reach} and far <= most + {reach})").select("cluster", "doc", F.col("near").cast("int").alias("side"))
+    count = rest.groupBy("cluster").agg(F.ceil(F.sum(1 - F.col("side")) / block).cast("int").alias("p0"), F.ceil(F.sum("side") / block).cast("int").alias("p1"))
+    part = F.pmod(F.xxhash64("doc"), F.when(F.col("side") == 0, F.col("p0")).otherwise(F.col("p1"))).cast("int")
+    dealt = rest.join(count, "cluster").withColumn("block", part * 2 + F.col("side"))
+    evens = F.transform(F.sequence(F.lit(0), F.col("p0") - 1), lambda x: x * 2)
+    odds = F.when(F.col("p1") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("p1") - 1, F.lit(0))), lambda x: x * 2 + 1)).otherwise(F.array().cast("array<int>"))
+    met = dealt.withColumn("other", F.explode(F.when(F.col("side") == 0, F.concat(evens, odds)).otherwise(evens)))
+    return met.select("cluster", "doc", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 
 _EDGES = "a long, b long"
@@ -402,33 +424,19 @@ def links(docs: DataFrame, sets: DataFrame, shingle: int, percent: int, block: i
     # texts and sets meet by sort and merge at every size, so what is moved grows with the input
     wanted = member.select("doc").distinct()
     whole = written(docs.join(wanted.hint("merge"), "doc").select("doc", "text").mapInArrow(take, "doc long, n long, bits binary, set binary"), "sets")
-    sketches = _dealt(member, SKETCH_BLOCK).hint("merge").join(whole.select("doc", "n", "bits"), "doc").select("cluster", "i", "j", "block", "doc", "n", "bits")
-    alike = sketches.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc").mapInArrow(_pairs_of_blocks(_sketch_join(percent), "bits"), _EDGES)
+    # most members are copies of their cluster's smallest document: what it links needs no further comparison
+    near = _to_hubs(member.withColumn("hub", F.col("cluster")), whole, percent)
+    to_first = near.where("near").select(F.col("doc").alias("a"), F.col("cluster").alias("b"))
+    order = ["cluster", "i", "j"]
+    sketches = _left_over(near, percent, SKETCH_BLOCK).hint("merge").join(whole.select("doc", "n", "bits"), "doc").select(*order, "block", "doc", "n", "bits")
+    alike = sketches.repartition(*order).sortWithinPartitions(*order, "doc").mapInArrow(_pairs_of_blocks(_sketch_join(percent), "bits"), _EDGES)
     groups = written(components(alike).select(F.col("id").alias("doc"), F.col("component").alias("cluster")), "groups")
-    size = groups.groupBy("cluster").agg(F.min("doc").alias("hub"))
-    whole = whole.select("doc", "n", "set").join(groups.hint("merge"), "doc").join(size, "cluster")
-    whole = written(whole, "grouped")
-    # the hub is one set; other sets of its id, in rows of other texts, are members like any other
-    hubs = whole.where("doc = hub").groupBy("cluster").agg(F.min("set").alias("hub_set"))
-    others = whole.select("cluster", "doc", "hub", "set").join(hubs.hint("merge"), "cluster").where("doc <> hub or set <> hub_set")
-    near = others.select("cluster", "doc", "set", "hub_set").mapInArrow(_compare_with_hub(percent), "cluster long, doc long, near boolean, far double")
-    near = written(near, "near")
-    to_hub = near.where("near").join(size, "cluster").select(F.col("doc").alias("a"), F.col("hub").alias("b"))
-    # what the hub leaves over, and which linked sets are in its reach
-    over = near.where("not near").groupBy("cluster").agg(F.min("far").alias("least"), F.max("far").alias("most"))
-    reach = (100 - percent) / 100 + 1e-9
-    rest = near.join(over, "cluster").where(f"not near or (far >= least - {reach} and far <= most + {reach})").select("cluster", "doc", F.col("near").cast("int").alias("side"))
-    count = rest.groupBy("cluster").agg(F.ceil(F.sum(1 - F.col("side")) / block).cast("int").alias("p0"), F.ceil(F.sum("side") / block).cast("int").alias("p1"))
-    # blocks of leftovers (even) meet all blocks; blocks of linked sets (odd) meet leftovers only
-    part = F.pmod(F.xxhash64("doc"), F.when(F.col("side") == 0, F.col("p0")).otherwise(F.col("p1"))).cast("int")
-    dealt = rest.join(count, "cluster").withColumn("block", part * 2 + F.col("side"))
-    evens = F.transform(F.sequence(F.lit(0), F.col("p0") - 1), lambda x: x * 2)
-    odds = F.when(F.col("p1") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("p1") - 1, F.lit(0))), lambda x: x * 2 + 1)).otherwise(F.array().cast("array<int>"))
-    met = dealt.withColumn("other", F.explode(F.when(F.col("side") == 0, F.concat(evens, odds)).otherwise(evens)))
-    met = met.select("cluster", "doc", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    with_sets = met.hint("merge").join(whole.select("doc", "n", "set"), "doc").select("cluster", "i", "j", "block", "doc", "n", "set")
-    found = with_sets.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc").mapInArrow(_pairs_of_blocks(_set_join(percent), "set"), _EDGES)
-    return equal.unionByName(to_hub).unionByName(found).where("a <> b")
+    again = _to_hubs(groups.join(groups.groupBy("cluster").agg(F.min("doc").alias("hub")), "cluster"), whole, percent)
+    hub = groups.groupBy("cluster").agg(F.min("doc").alias("hub"))
+    to_hub = again.where("near").join(hub, "cluster").select(F.col("doc").alias("a"), F.col("hub").alias("b"))
+    with_sets = _left_over(again, percent, block).hint("merge").join(whole.select("doc", "n", "set"), "doc").select(*order, "block", "doc", "n", "set")
+    found = with_sets.repartition(*order).sortWithinPartitions(*order, "doc").mapInArrow(_pairs_of_blocks(_set_join(percent), "set"), _EDGES)
+    return equal.unionByName(to_first).unionByName(to_hub).unionByName(found).where("a <> b")
 
 
 def joined(docs: DataFrame, shingle: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -66,6 +66,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_written_tables(spark):
+    from alleloom.llm import common
+
+    before = spark.conf.get(common._CLEANUP, None)
+    kept = common.written(spark.range(100).repartition(3))
+    assert kept.count() == 100 and spark.conf.get(common._CLEANUP, None) == before
+    assert all(spark.sparkContext.applicationId in f for f in kept.inputFiles())
+    common.clear(spark)
+    with pytest.raises(Exception):
+        kept.collect()
+
+
 # --- op 1 -----------------------------------------------------------------------------------
 
 
