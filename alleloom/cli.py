@@ -19,7 +19,7 @@ from alleloom.operators import pileup as U
 from alleloom.operators import runs as R
 from alleloom.operators import stats as A
 from alleloom.sinks import text as T
-from alleloom.sources import alignments, bcf, runfile, twobit
+from alleloom.sources import alignments, bam, bcf, runfile, twobit
 from alleloom.sources import text as read
 
 CHUNK = 65536
@@ -224,7 +224,8 @@ class Job:
                     print(f"overlap at {w['chrom_ix']}:{w['start']}", file=sys.stderr)
                 self.save(runs)
             case "bamin":
-                bases = U.known_contigs(spark.read.parquet(*a.files), self.contigs)
+                tables = all(f.rstrip("/").endswith(".parquet") for f in a.files)
+                bases = U.known_contigs(spark.read.parquet(*a.files) if tables else bam.read_bases(spark, a.files), self.contigs)
                 for name in bases.skipped:
                     print(f"skipping {name}, which the reference doesn't have", file=sys.stderr)
                 piles = U.deaminate(U.collate(bases.reads, a.min_mapq, a.min_qual, a.snip, a.snap))

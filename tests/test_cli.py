@@ -1,6 +1,7 @@
 """Every command on the worked example, against golden text."""
 
 import gzip
+import struct
 
 import pytest
 
@@ -108,11 +109,42 @@ def test_imports(spark, at, capsys):
     main(["patch", str(at / "m.hef")])
     assert capsys.readouterr().out == ">1\nNTAGNNNNNNNN\n"
     bases = [("1", 0, "C", "+", 30, 60, 3), ("zz", 0, "C", "+", 30, 60, 3), ("1", 1, "C", "-", 30, 60, 3)]
-    spark.createDataFrame(bases, "chrom string, pos int, base string, strand string, baseq int, mapq int, read_pos int").write.parquet(str(at / "bases"))
-    main(["bamin", *ref, str(at / "bases"), "-o", str(at / "b.hef")])
+    spark.createDataFrame(bases, "chrom string, pos int, base string, strand string, baseq int, mapq int, read_pos int").write.parquet(str(at / "bases.parquet"))
+    main(["bamin", *ref, str(at / "bases.parquet"), "-o", str(at / "b.hef")])
     main(["patch", str(at / "b.hef")])
     said = capsys.readouterr()
     assert said.out == ">1\nCCNNNNNNNNNN\n" and "skipping zz" in said.err
+    (at / "x.bam").write_bytes(gzip.compress(_bam([("1", 0), ("zz", 0)], [(0, 3, 20, 0, [(1, 0), (2, 3), (2, 0)], "GTC"), (1, 0, 20, 0, [(2, 0)], "AA"), (0, 0, 5, 0, [(2, 0)], "TT")])))
+    main(["bamin", *ref, "--min-mapq", "10", str(at / "x.bam"), "-o", str(at / "x.hef")])
+    main(["patch", str(at / "x.hef")])
+    assert capsys.readouterr().out == ">1\nNNNGNNTCNNNN\n"
+
+
+def _bam(refs, reads):
+    """A BAM file of (reference, position, mapq, flag, CIGAR as (length, operation), bases)."""
+    out = b"BAM\1" + struct.pack("<ii", 0, len(refs))
+    for name, _ in refs:
+        out += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", 1000)
+    for ref, pos, mapq, flag, cigar, bases in reads:
+        codes = ["=ACMGRSVTWYHKDBN".index(b) for b in bases] + [0] * (len(bases) % 2)
+        body = struct.pack("<iiBBHHHiiii", ref, pos, 2, mapq, 0, len(cigar), flag, len(bases), -1, -1, 0) + b"r\0"
+        body += b"".join(struct.pack("<I", n << 4 | op) for n, op in cigar)
+        body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + bytes(range(30, 30 + len(bases)))
+        out += struct.pack("<i", len(body)) + body
+    return out
+
+
+def test_bam(spark, tmp_path):
+    """Soft clips, deletions, insertions, both strands and both ends; unmapped and secondary alignments are left out."""
+    from alleloom.sources.bam import read_bases
+
+    reads = [(0, 3, 20, 0, [(3, 4), (2, 0), (1, 2), (2, 7)], "NNNGCTC"), (0, 1, 9, 0x10, [(1, 0), (1, 1), (2, 0)], "CAGT"), (-1, -1, 0, 4, [], "AC"), (0, 8, 20, 0x100, [(1, 0)], "A")]
+    (tmp_path / "a.bam").write_bytes(gzip.compress(_bam([("1", 0)], reads)))
+    got = sorted(tuple(r) for r in read_bases(spark, [str(tmp_path / "a.bam")]).collect())
+    assert got == sorted([
+        ("1", 3, "G", "+", 33, 20, 3), ("1", 4, "C", "+", 34, 20, -3), ("1", 6, "T", "+", 35, 20, -2), ("1", 7, "C", "+", 36, 20, -1),
+        ("1", 1, "C", "-", 30, 9, -1), ("1", 2, "G", "-", 32, 9, 1), ("1", 3, "T", "-", 33, 9, 0),
+    ])
 
 
 def test_a_wrong_reference_is_noticed(spark, at, files):
