@@ -208,7 +208,7 @@ class Job:
             case "vcfin" | "bcfin":
                 raw = read.read_vcf(spark, a.files, self.contigs) if self.command == "vcfin" else bcf.read_bcf(spark, a.files, self.contigs)
                 patches = a.good_patches or a.poor_patches
-                gap = read.read_bed(spark, [patches], self.contigs) if patches else a.gap or R.detect_density(raw, M.bases_of(self.chunks).where("ref is not null"))
+                gap = read.read_bed(spark, [patches], self.contigs) if patches else a.gap or R.detect_density(raw, self.chunks)
                 if gap is None:
                     raise SystemExit("can't tell dense from sparse input; use -D or -S")
                 self.save(read.import_vcf(raw, self.contigs, gap, low=a.low, inside_good=bool(a.good_patches)))

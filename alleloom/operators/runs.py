@@ -108,17 +108,21 @@ def call_codes(raw: DataFrame) -> DataFrame:
     return raw.select("chrom_ix", (F.col("pos") - 1).alias("pos"), F.coalesce(code, F.lit(S.NS)).cast("int").alias("code"))
 
 
-def detect_density(raw: DataFrame, ref_bases: DataFrame, sample: int = 2048, dense: int = 128, sparse: int = 32) -> str | None:
+def detect_density(raw: DataFrame, chunks: DataFrame, sample: int = 2048, dense: int = 128, sparse: int = 32) -> str | None:
     """"dense", "sparse" or None from the first records: long stretches of consecutive positions, or known bases without one.
 
-    ref_bases: (chrom_ix, pos 0-based) of known reference bases.
+    Of the reference chunks (chrom_ix, start, seq) only those that the first records lie in are looked into.
     """
     head = raw.where("chrom_ix >= 0").orderBy("ord").limit(sample).select("chrom_ix", "pos", "ord")
     w = Window.partitionBy("chrom_ix").orderBy("pos")
     one = head.select("chrom_ix", F.col("pos") - 1).toDF("chrom_ix", "pos").distinct()
     streak = one.withColumn("g", F.col("pos") - F.row_number().over(w)).groupBy("chrom_ix", "g").agg(F.count("*").alias("n"), F.min("pos").alias("at"))
-    span = one.groupBy("chrom_ix").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    gaps = ref_bases.join(F.broadcast(span), "chrom_ix").where("pos between lo and hi").join(F.broadcast(one), ["chrom_ix", "pos"], "left_anti")
+    # the head and its extent have `sample` rows at most
+    span = F.broadcast(one.groupBy("chrom_ix").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")))
+    near = chunks.join(span, "chrom_ix").where((F.col("start") <= F.col("hi")) & (F.col("start") + F.length("seq") > F.col("lo")))
+    base = near.select("chrom_ix", "lo", "hi", "start", F.posexplode(F.split("seq", "")).alias("i", "c")).where(X.base_code(F.col("c")).isNotNull())
+    known = base.select("chrom_ix", "lo", "hi", (F.col("start") + F.col("i")).alias("pos")).where("pos between lo and hi")
+    gaps = known.join(F.broadcast(one), ["chrom_ix", "pos"], "left_anti")
     before = gaps.withColumn("g", F.col("pos") - F.row_number().over(w)).groupBy("chrom_ix", "g").agg(F.count("*").alias("n"), F.min("pos").alias("at")).where(F.col("n") >= sparse).agg(F.min(F.struct("chrom_ix", "at"))).first()[0]
     first = streak.where(F.col("n") >= dense).agg(F.min(F.struct("chrom_ix", "at"))).first()[0]
     if first and (not before or tuple(first) < tuple(before)):

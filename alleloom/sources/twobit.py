@@ -21,16 +21,25 @@ for _i, _c in enumerate(S.BASES):
 _LETTER = np.frombuffer(S.BASES.encode(), np.uint8)
 
 
-def pack(seq: str) -> bytes:
-    """One sequence's record: length, N blocks, no masks, four bases to a byte from the high bits, the last byte padded low."""
+def coded(seq: str) -> tuple[int, np.ndarray, np.ndarray, bytes]:
+    """A text's length, where its blocks of N start and how long they are, and its bases, four to a byte from the high
+    bits, the last byte padded low."""
     raw = np.frombuffer(seq.upper().encode(), np.uint8)
     none = ~np.isin(raw, _LETTER)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], none.astype(np.int8), [0]])))
-    starts, sizes = edge[::2], edge[1::2] - edge[::2]
     code = np.where(none, 0, _CODE[raw]).astype(np.uint8)
     code = np.concatenate([code, np.zeros(-len(code) % 4, np.uint8)]).reshape(-1, 4)
     body = (code[:, 0] << 6 | code[:, 1] << 4 | code[:, 2] << 2 | code[:, 3]).astype(np.uint8)
-    return struct.pack("<II", len(raw), len(starts)) + starts.astype("<u4").tobytes() + sizes.astype("<u4").tobytes() + struct.pack("<II", 0, 0) + body.tobytes()
+    return len(raw), edge[::2], edge[1::2] - edge[::2], body.tobytes()
+
+
+def record(length: int, starts: np.ndarray, sizes: np.ndarray, body: bytes) -> bytes:
+    """One sequence's record: length, N blocks, no masks, bases."""
+    return struct.pack("<II", length, len(starts)) + starts.astype("<u4").tobytes() + sizes.astype("<u4").tobytes() + struct.pack("<II", 0, 0) + body
+
+
+def pack(seq: str) -> bytes:
+    return record(*coded(seq))
 
 
 def unpack(data: bytes, at: int = 0) -> str:
@@ -72,13 +81,26 @@ def index(data: bytes) -> list[tuple[str, int, int]]:
 
 
 def packed(chunks: DataFrame, contigs: DataFrame) -> DataFrame:
-    """(chrom_ix, name, record): each chromosome's record, put together from chunks in order."""
+    """(chrom_ix, name, record): each chromosome's record. Chunks are coded where they are, so a quarter of a chromosome's
+    bytes come together; all chunks but a chromosome's last must hold a multiple of four bases."""
+
+    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(c, s, n, (a + s).astype("<i8").tobytes(), k.astype("<i8").tobytes(), body) for c, s, (n, a, k, body) in zip(f["chrom_ix"], f["start"], map(coded, f["seq"]), strict=True)]
+            yield pd.DataFrame(rows, columns=["chrom_ix", "start", "n", "starts", "sizes", "body"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("start")
-        return pd.DataFrame({"chrom_ix": pdf["chrom_ix"].iloc[:1], "name": pdf["name"].iloc[:1], "record": [pack("".join(pdf["seq"]))]})
-
-    return chunks.join(contigs.select("chrom_ix", "name"), "chrom_ix").groupBy("chrom_ix").applyInPandas(one, "chrom_ix int, name string, record binary")
+        if (pdf["n"].to_numpy()[:-1] % 4).any():
+            raise ValueError("chunks must hold a multiple of four bases")
+        at = np.frombuffer(b"".join(pdf["starts"]), "<i8")
+        end = at + np.frombuffer(b"".join(pdf["sizes"]), "<i8")
+        new = np.append(True, at[1:] != end[:-1])[: len(at)]  # a block may go on in the next chunk
+        last = np.append(new[1:], True)[: len(at)]
+        return pd.DataFrame({"chrom_ix": pdf["chrom_ix"].iloc[:1], "name": pdf["name"].iloc[:1], "record": [record(int(pdf["n"].sum()), at[new], end[last] - at[new], b"".join(pdf["body"]))]})
+
+    parts = chunks.select("chrom_ix", "start", "seq").mapInPandas(code, "chrom_ix int, start int, n int, starts binary, sizes binary, body binary")
+    return parts.join(contigs.select("chrom_ix", "name"), "chrom_ix").groupBy("chrom_ix").applyInPandas(one, "chrom_ix int, name string, record binary")
 
 
 def chunks_of(records: DataFrame, size: int) -> DataFrame:

@@ -254,6 +254,15 @@ def test_twobit(seq):
     assert n == len(seq) and twobit.unpack(data, at) == seq
 
 
+def test_twobit_of_chunks(spark):
+    """Records of chunks are those of whole texts, also where blocks of N cross chunks."""
+    rng = random.Random(2)
+    texts = {i: "".join(rng.choice("TCAGNNNN") for _ in range(n)) + "N" * 9 + "TC" for i, n in enumerate((0, 5, 40, 41))}
+    chunks = spark.createDataFrame([(c, i, t[i : i + 8]) for c, t in texts.items() for i in range(0, len(t), 8)], S.CHUNKS).repartition(5)
+    contigs = spark.createDataFrame([(c, f"c{c}", len(t)) for c, t in texts.items()], S.CONTIGS)
+    assert {r["chrom_ix"]: bytes(r["record"]) for r in twobit.packed(chunks, contigs).collect()} == {c: twobit.pack(t) for c, t in texts.items()}
+
+
 def test_bcf(spark):
     from alleloom.sources.bcf import records
 
@@ -351,11 +360,13 @@ def test_assemble(spark):
 
 
 def test_density(spark):
-    bases = spark.range(4000).select(F.lit(0).alias("chrom_ix"), F.col("id").cast("int").alias("pos"))
+    bases = spark.createDataFrame([(0, i, "TCAG" * 250) for i in range(0, 4000, 1000)], S.CHUNKS)
     raw = lambda p: spark.createDataFrame([(i, 0, x + 1) for i, x in enumerate(p)], "ord long, chrom_ix int, pos int")
     assert R.detect_density(raw(range(200)), bases) == "dense"
     assert R.detect_density(raw(range(0, 4000, 50)), bases) == "sparse"
     assert R.detect_density(raw(range(0, 40, 2)), bases) is None
+    none = spark.createDataFrame([(0, 0, "N" * 4000)], S.CHUNKS)
+    assert R.detect_density(raw(range(0, 4000, 50)), none) is None
 
 
 def test_errors_in_text(spark):
