@@ -713,3 +713,34 @@ def test_pipeline(spark, tmp_path):
     assert "a.b@c" not in frames["personal_data"][506]["text"]
     packed = P.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == set(frames["personal_data"])
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null ids, repeated rows, nulls in every column and columns that operators name too: what stays has its own values."""
+    import corpus_pipeline as P
+
+    docs = [(i, t, k) for i, t, k in _languages(60)]
+    docs += [docs[3], docs[3], (None, "scho icht ung ver token=abcdefghijkl1", "bb"), (None, "ba ka ta na " * 60, None), (None, None, None), (70, None, "aa"), (71, "", None), (72, "ba ka ta na " * 20_000, "aa")]
+    own = "score double, lang_pred string, held_out boolean, n_words long, n_removed long, kept_words string, kept_text string, n_entities int, component_id long, _doc string, _tag string, row string, shard string"
+    names = [x.split()[0] for x in own.split(", ")]
+    values = (0.125, "x", None, -7, -8, "kw", "kt", -9, -10, "d", "t", "r", "s")
+    rows = [(*d, None if i % 5 == 0 else "s", None if i % 7 == 0 else len(d[1] or ""), *values) for i, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {own}")
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, kept, str(tmp_path))
+        assert out.columns == kept.columns
+        out.write.parquet(str(tmp_path / name))
+        kept = spark.read.parquet(str(tmp_path / name))
+        found = kept.collect()
+        assert found and {tuple(r[c] for c in names) for r in found} == {values}
+    # of the two documents without id that have a known language, one is nothing but passages of another document
+    assert sum(r["doc_id"] is None for r in found) == 1 and not any("abcdefghijkl1" in r["text"] for r in found)
+    assert sum(r["doc_id"] == docs[3][0] for r in found) == 3
+    packed = P.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
+    assert sum(r["length"] for r in packed) == sum(len(WORD.findall(r["text"])) for r in found)
+
+    (tmp_path / "none").mkdir()
+    df.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert P.run(spark, str(tmp_path / "none")).count() == 0
