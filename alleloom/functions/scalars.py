@@ -107,13 +107,6 @@ def vcf_gt(ref: Column, alt: Column) -> Column:
     return F.when((ref == 0) & (alt == 0), "./.").when((ref == 1) & (alt == 0), "0").when((ref == 0) & (alt == 1), "1").when(alt == 0, "0/0").when(ref == 0, "1/1").otherwise("0/1")
 
 
-def smashed(ref_base: Column, alt: Column, ref: Column, n_alt_: Column) -> tuple[Column, Column]:
-    """The two haplotype bases of a call; N where it is missing."""
-    r, v = base_char(ref_base), base_char(apply_change(ref_base, alt))
-    none = (ref == 0) & (n_alt_ == 0)
-    return F.when(none, "N").when(ref == 0, v).otherwise(r), F.when(none, "N").when(n_alt_ == 0, r).otherwise(v)
-
-
 def label_of(path: str) -> str:
     """A file's base name without its last extension."""
     name = path.rsplit("/", 1)[-1]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alleloom.functions import scalars as X
+from alleloom import schema as S
 
 
 def tumbling_blocks(variants: DataFrame, size: int) -> DataFrame:
@@ -13,18 +17,42 @@ def tumbling_blocks(variants: DataFrame, size: int) -> DataFrame:
     return variants.withColumn("block", F.floor(F.col("pos") / size).cast("int"))
 
 
+_LETTERS = np.frombuffer(f"{S.BASES}N".encode(), np.uint8)
+_SMASHED = "chrom_ix int, block int, pos int, alt int, bases string, known boolean"
+
+
+def _smashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chrom_ix, block, pos, alt, ref, calls) with each sample's two bases, N where it is missing, and whether all are called."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        alt = b.column(3).to_numpy(zero_copy_only=False).astype(int)
+        ref = b.column(4).fill_null(4).to_numpy(zero_copy_only=False).astype(int)
+        ref = np.where((ref >= 0) & (ref < 4), ref, 4)
+        other = np.where((ref < 4) & (alt < 4), ref ^ np.minimum(alt, 3), 4)
+        r, v = _LETTERS[ref][:, None], _LETTERS[other][:, None]
+        flat = b.column(5).flatten()
+        n_ref, n_alt = (flat.field(k).to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for k in ("n_ref", "n_alt"))
+        none = (n_ref == 0) & (n_alt == 0)
+        first = np.where(none, ord("N"), np.where(n_ref == 0, v, r))
+        second = np.where(none, ord("N"), np.where(n_alt == 0, r, v))
+        both = np.stack([first, second], 2).astype(np.uint8).reshape(b.num_rows, -1)
+        bases = [row.tobytes().decode() for row in both]
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(bases, pa.string()), pa.array(~none.any(1) & (ref < 4))], names=["chrom_ix", "block", "pos", "alt", "bases", "known"])
+
+
 def haplotypes(variants: DataFrame, n_samples: int, min_informative: float = 90.0) -> DataFrame:
     """(chrom_ix, block, enough, lines): two lines a sample, of one base a variant in order, from wide variants with ref.
 
     enough: at least min_informative percent of the block's variants are called in every sample.
     """
-    def pair(i: int):
-        c = F.col("calls")[i]
-        return X.smashed(F.col("ref"), F.col("alt"), c["n_ref"], c["n_alt"])
-
-    pairs = [pair(i) for i in range(n_samples)]
-    known = F.forall("calls", lambda c: c["n_ref"] + c["n_alt"] > 0) & F.col("ref").isNotNull()
-    row = F.struct("pos", "alt", F.array(*(x for p in pairs for x in p)).alias("b"))
-    g = variants.groupBy("chrom_ix", "block").agg(F.array_sort(F.collect_list(row)).alias("v"), F.avg(known.cast("int")).alias("share"))
-    lines = F.transform(F.sequence(F.lit(0), F.lit(2 * n_samples - 1)), lambda i: F.array_join(F.transform("v", lambda v: F.get(v["b"], i)), ""))
-    return g.select("chrom_ix", "block", (F.col("share") * 100 >= min_informative).alias("enough"), lines.alias("lines"))
+    rows = variants.select("chrom_ix", F.col("block").cast("int").alias("block"), F.col("pos").cast("int").alias("pos"), F.col("alt").cast("int").alias("alt"), F.col("ref").cast("int").alias("ref"), "calls").mapInArrow(_smashed, _SMASHED)
+    g = rows.groupBy("chrom_ix", "block").agg(F.sort_array(F.collect_list(F.struct("pos", "alt", "bases"))).alias("v"), F.avg(F.col("known").cast("int")).alias("share"))
+    joined = g.select("chrom_ix", "block", (F.col("share") * 100 >= min_informative).alias("enough"), F.array_join("v.bases", "").alias("bases"))
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = [[x.tobytes().decode() for x in np.frombuffer(t.encode(), np.uint8).reshape(-1, 2 * n_samples).T] for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(lines, pa.list_(pa.string()))], names=["chrom_ix", "block", "enough", "lines"])
+
+    return joined.mapInArrow(turned, "chrom_ix int, block int, enough boolean, lines array<string>")
