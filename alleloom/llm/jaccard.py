@@ -306,7 +306,9 @@ def _clusters(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return stars.select(F.col("b").alias("cluster"), F.col("a").alias("doc")).unionByName(stars.select(F.col("b").alias("cluster"), F.col("b").alias("doc")).distinct())
 
 
-def _compare_with_hub(percent: int):
+def _exact_with_hub(percent: int):
+    """(cluster, doc, near, far) of rows (cluster, doc, set, hub_set): whether they link, and their Jaccard distance."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             link, far = [], []
@@ -320,6 +322,25 @@ def _compare_with_hub(percent: int):
     return run
 
 
+def _sketch_with_hub(percent: int):
+    """For rows that end in n, bits, hub_n, hub_bits: whether they may link by their bitmaps, and the least distance they have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            may, low = [], []
+            for n, x, m, y in zip(*(c.to_pylist() for c in b.columns[-4:]), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                narrow = min(len(x), len(y))
+                x, y = folded(x, narrow), folded(y, narrow)
+                common = int(_bits(x & y))
+                most = min(n - max(int(_bits(x)) - common, 0), m - max(int(_bits(y)) - common, 0))
+                may.append(linked(most, n, m, percent))
+                low.append(1 - most / (n + m - most))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-4], pa.array(may, pa.bool_()), pa.array(low, pa.float64())], names=[*b.schema.names[:-4], "may", "low"])
+
+    return run
+
+
 def _groups(t: pa.Table, names: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of rows with equal values of the names, in a table sorted by them."""
     new = np.ones(t.num_rows, bool)
@@ -376,14 +397,24 @@ def _set_join(percent: int):
 
 
 def _to_hubs(members: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """(cluster, doc, near, far) of members (cluster, doc, hub) against their hub: whether linked, and the distance.
+    """(cluster, doc, near, far) of members (cluster, doc, hub) against their hub: whether linked, and the distance, of which
+    there may be just a lower bound if they are not linked.
 
-    The hub is one set; other sets of its id, in rows of other texts, are members like any other.
+    The hub is one set, by its digest; other sets of its id, in rows of other texts, are members like any other. Bitmaps
+    meet first, so whole sets move only for pairs that may be linked.
     """
-    sets = whole.select("doc", "set")
-    hubs = members.select("cluster", "hub").distinct().join(sets.withColumnRenamed("doc", "hub"), "hub").groupBy("cluster").agg(F.min("set").alias("hub_set"))
-    others = members.hint("merge").join(sets, "doc").join(hubs.hint("merge"), "cluster").where("doc <> hub or set <> hub_set")
-    return written(others.select("cluster", "doc", "set", "hub_set").mapInArrow(_compare_with_hub(percent), "cluster long, doc long, near boolean, far double"), "near")
+    light = whole.select("doc", "digest", "n", "bits")
+    hubs = members.select("hub").distinct().join(light.withColumnRenamed("doc", "hub"), "hub").groupBy("hub").agg(F.min(F.struct("digest", "n", "bits")).alias("h"))
+    met = members.hint("merge").join(light, "doc").join(hubs.hint("merge"), "hub").where("doc <> hub or digest <> h.digest")
+    pair = ["cluster", "doc", "digest", "hub"]
+    rows = met.select(*pair, F.col("h.digest").alias("hub_digest"), "n", "bits", F.col("h.n").alias("hub_n"), F.col("h.bits").alias("hub_bits"))
+    kinds = "cluster long, doc long, digest long, hub long, hub_digest long, may boolean, low double"
+    sketched = written(rows.mapInArrow(_sketch_with_hub(percent), kinds), "sketched")
+    sets = whole.select("doc", "digest", "set")
+    hub_sets = sets.select(F.col("doc").alias("hub"), F.col("digest").alias("hub_digest"), F.col("set").alias("hub_set"))
+    both = sketched.where("may").hint("merge").join(sets, ["doc", "digest"]).join(hub_sets.hint("merge"), ["hub", "hub_digest"])
+    exact = both.select("cluster", "doc", "set", "hub_set").mapInArrow(_exact_with_hub(percent), "cluster long, doc long, near boolean, far double")
+    return written(exact.unionByName(sketched.where("not may").select("cluster", "doc", F.lit(False).alias("near"), F.col("low").alias("far"))), "near")
 
 
 def _left_over(near: DataFrame, percent: int, block: int) -> DataFrame:
@@ -419,11 +450,12 @@ def links(docs: DataFrame, sets: DataFrame, shingle: int, percent: int, block: i
             for i, x in sets_of(b.column(1), shingle):
                 if len(x):
                     bits = bitmap(x, sketch_width(len(x)))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([len(x)], pa.int64()), binaries(bits, np.array([len(bits)])), binaries(x, np.array([len(x)]))], names=["doc", "n", "bits", "set"])
+                    digest = np.array([mix(x).sum()], np.uint64)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([len(x)], pa.int64()), pa.array(signed(digest)), binaries(bits, np.array([len(bits)])), binaries(x, np.array([len(x)]))], names=["doc", "n", "digest", "bits", "set"])
 
     # texts and sets meet by sort and merge at every size, so what is moved grows with the input
     wanted = member.select("doc").distinct()
-    whole = written(docs.join(wanted.hint("merge"), "doc").select("doc", "text").mapInArrow(take, "doc long, n long, bits binary, set binary"), "sets")
+    whole = written(docs.join(wanted.hint("merge"), "doc").select("doc", "text").mapInArrow(take, "doc long, n long, digest long, bits binary, set binary"), "sets")
     # most members are copies of their cluster's smallest document: what it links needs no further comparison
     near = _to_hubs(member.withColumn("hub", F.col("cluster")), whole, percent)
     to_first = near.where("near").select(F.col("doc").alias("a"), F.col("cluster").alias("b"))
