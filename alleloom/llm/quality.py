@@ -60,7 +60,7 @@ def _bag(parts, i: int) -> np.ndarray:
     return np.concatenate([slots[lo[i] : max(lo[i], hi[i])] for slots, lo, hi in parts])
 
 
-def sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 10, rate: float = 0.5, vector_rate: float = 300.0, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 10, rate: float = 0.5, vector_rate: float = 1000.0, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Vectors (ALL x DIMENSION) and softmax rows (DIMENSION + 1 x 2) from (slots, shares) bags; rates fall to zero."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (ALL, DIMENSION))
