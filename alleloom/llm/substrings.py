@@ -75,6 +75,16 @@ _TEXTS = "shard int, kind int, _doc long, _tag long, block binary"
 _MARKS = "shard int, later boolean, block binary"
 
 
+#: Shards or buckets for a task at most; beyond the session's shuffle partitions, their number follows that of the parts.
+PARTS_A_TASK = 8
+
+
+def _dealt(rows: DataFrame, by: str, parts: int) -> DataFrame:
+    """rows by their part, in tasks as large as the session has them, or of PARTS_A_TASK parts if these are smaller."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(by) if parts <= PARTS_A_TASK * tasks else rows.repartition(-(-parts // PARTS_A_TASK), by)
+
+
 class Shards:
     """Texts dealt into shards, and how many buckets there are."""
 
@@ -100,7 +110,7 @@ class Shards:
         if marks is not None:
             later = F.when(F.col("later"), 1).otherwise(0).cast("long").alias("_doc")
             out = out.unionByName(marks.select("shard", F.lit(0).alias("kind"), later, F.lit(None).cast("long").alias("_tag"), "block"), allowMissingColumns=True)
-        return out.repartition("shard").sortWithinPartitions("shard", "kind", "_doc", "_tag")
+        return _dealt(out, "shard", self.shards).sortWithinPartitions("shard", "kind", "_doc", "_tag")
 
     def rest(self) -> DataFrame:
         """rows() of the texts that are too short for a window."""
@@ -277,7 +287,7 @@ def _answers(exact: bool, firsts: bool):
 def _level(texts: Shards, marks: DataFrame | None, length: int, before: int | None, exact: bool, firsts: bool = False) -> DataFrame:
     """Marks of the windows of `length` words; exact: repeated by a smaller document (and, with firsts, what these repeat)."""
     asked = texts.rows(marks).mapInArrow(_questions(length, before, texts.buckets, exact, firsts), _ASKED)
-    return written(asked.repartition("to").sortWithinPartitions("to", "shard").mapInArrow(_answers(exact, firsts), _MARKS), f"windows-{length}")
+    return written(_dealt(asked, "to", texts.buckets + texts.shards).sortWithinPartitions("to", "shard").mapInArrow(_answers(exact, firsts), _MARKS), f"windows-{length}")
 
 
 def repeated(texts: Shards, window: int, least: int = LEAST, firsts: bool = False) -> DataFrame:
