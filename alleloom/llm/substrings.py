@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from alleloom.llm.common import LAST, mix, runs_of, spans, text_slices, windows, words, written
 
 #: Bytes of text in a shard, windows in a bucket, and the fewest words of a first level.
-SHARD_BYTES = 16 << 20
-BUCKET = 1 << 22
+SHARD_BYTES = 6 << 20
+BUCKET = 1 << 21
 LEAST = 7
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -94,12 +94,12 @@ class Shards:
         tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         parts = lambda size: -(-total // size)
         # of tables smaller than that, as many parts as tasks can take, if there is anything to do for each
-        self.shards = max(1, parts(shard_bytes), min(tasks, parts(shard_bytes >> 6)))
+        self.shards = max(1, parts(shard_bytes), min(tasks, parts(shard_bytes >> 5)))
         # a word and the space after it take two bytes at least; most take more, so buckets are rather small than large
-        self.buckets = max(1, parts(4 * bucket), min(tasks, parts(bucket >> 2)))
+        self.buckets = max(1, parts(4 * bucket), min(tasks, parts(bucket >> 1)))
         long = F.coalesce(size >= 2 * window - 1, F.lit(False))
         doc, tag = F.coalesce(F.col(key).cast("long"), F.lit(LAST)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-        known = docs.select(doc.alias("_doc"), tag.alias("_tag"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), long.alias("long"))
+        known = docs.select(doc.alias("_doc"), tag.alias("_tag"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row"), long.alias("long"))
         self.long, self.short = known.where("long"), known.where("not long")
 
     def rows(self, marks: DataFrame | None, whole: bool = False) -> DataFrame:
@@ -310,11 +310,11 @@ def deduplicated(docs: DataFrame, window: int = 13, key: str = "doc_id", text: s
     schema = docs.select([F.col(f"`{c}`") for c in keep]).schema
     for c in new:
         schema = schema.add(c, "long" if c[:2] == "n_" else "string")
-    cut = _cut(window, keep, new)
+    cut = _cut(window, keep, new, text)
     return texts.rows(repeated(texts, window, least), True).mapInArrow(cut, schema).unionByName(texts.rest().mapInArrow(cut, schema))
 
 
-def _cut(window: int, keep: list[str], new: tuple[str, ...]):
+def _cut(window: int, keep: list[str], new: tuple[str, ...], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in itertools.groupby(_parts(batches), key=lambda p: p[0]):
             blocks, marks, n, start, before = [], None, 0, 0, None
@@ -344,7 +344,7 @@ def _cut(window: int, keep: list[str], new: tuple[str, ...]):
                             np.add.at(step, np.minimum(at + window, count), -1)
                             stays = np.cumsum(step[:-1]) == 0
                         _left(got, raw, count, stays, begin[edge[i] : edge[i + 1]] - offsets[i])
-                cols = [b.column(6).field(k) for k in keep]
+                cols = [b.column(5) if k == text else b.column(6).field(k) for k in keep]
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array(got[c], pa.int64()) if c[:2] == "n_" else pa.array(got[c], pa.binary()).cast(pa.string()) for c in new)], names=[*keep, *new])
 
     return run
