@@ -30,6 +30,7 @@ UNIT = 1 << 30
 SIZES = (3, 4)
 DIMENSION = 12
 SAMPLE = 1500
+VECTOR_RATE = 300.0
 THRESHOLD = 0.3
 
 
@@ -60,7 +61,7 @@ def _bag(parts, i: int) -> np.ndarray:
     return np.concatenate([slots[lo[i] : max(lo[i], hi[i])] for slots, lo, hi in parts])
 
 
-def sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 10, rate: float = 0.5, vector_rate: float = 1000.0, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 10, rate: float = 0.5, vector_rate: float = VECTOR_RATE, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Vectors (ALL x DIMENSION) and softmax rows (DIMENSION + 1 x 2) from (slots, shares) bags; rates fall to zero."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (ALL, DIMENSION))
@@ -83,6 +84,15 @@ def sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int =
     return vectors, out
 
 
+def fits(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, vectors: np.ndarray, out: np.ndarray) -> bool:
+    """Whether what has been learned says more about the sample than its labels' shares do; if steps were too large, it doesn't."""
+    way = vectors @ (out[:-1, 1] - out[:-1, 0])
+    s = np.array([share @ way[at] for at, share in bags]) + out[-1, 1] - out[-1, 0]
+    share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
+    loss = float(np.logaddexp(0, np.where(y == 1, -s, s)).mean())
+    return bool(np.isfinite(loss)) and loss < -(share * np.log(share) + (1 - share) * np.log(1 - share))
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Model:
     """labels holds just the rows that may be learned from."""
     one = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(label).alias("y"))
@@ -108,7 +118,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     if not got or share is None:
         return Model(np.zeros(ALL, np.int64), 0.0, 0.5)
     y = np.array([r[0] for r in got])
-    vectors, out = sgd([(np.frombuffer(a, "<i4"), np.frombuffer(n, "<f4").astype(float)) for _, a, n in got], y)
+    learned = [(np.frombuffer(a, "<i4"), np.frombuffer(n, "<f4").astype(float)) for _, a, n in got]
+    rate = VECTOR_RATE
+    vectors, out = sgd(learned, y, vector_rate=rate)
+    while rate > 1 and not fits(learned, y, vectors, out):
+        rate /= 2
+        vectors, out = sgd(learned, y, vector_rate=rate)
     way = out[:, 1] - out[:, 0]
     # the sample is balanced by label; the intercept moves to the labels' own share
     prior = min(max(float(share), 1e-3), 1 - 1e-3)

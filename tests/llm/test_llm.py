@@ -496,7 +496,7 @@ def test_ftrl_is_sparse():
     assert np.count_nonzero(w.any(1)) == 2  # features without signal stay at zero
 
 
-def test_quality(spark):
+def test_quality(spark, monkeypatch):
     good = [(i, t, 1) for i, t, _ in _languages(160)]
     rng = random.Random(6)
     bad = [(1000 + i, " ".join(rng.choice(["$$$", "###", "buy!!", "FREE!!"]) for _ in range(rng.randrange(5, 60))), 0) for i in range(80)]
@@ -512,6 +512,10 @@ def test_quality(spark):
     copies = spark.createDataFrame([(i, t) for i in range(7) for _, t, _ in good[: 20 + i]], "doc_id long, text string").repartition(3)
     model = quality.train(docs, labels)
     assert quality.score(copies, model).groupBy("text").agg({"score": "min", "*": "count"}).count() == quality.score(copies, model).select("text", "score").distinct().count()
+    monkeypatch.setattr(quality, "VECTOR_RATE", 1e5)  # steps that are too large are halved until something is learned
+    rows = {r["doc_id"]: r for r in quality.judged(docs, labels).collect()}
+    assert np.mean([rows[d[0]]["predicted"] == d[2] for d in held]) > 0.95
+    monkeypatch.undo()
     # a label that comes twice counts as the smaller one, whatever the order
     twice = quality.train(docs, labels.unionByName(labels.where("quality = 1").selectExpr("doc_id", "0 quality")))
     assert twice.prior == pytest.approx(0.001)
