@@ -80,12 +80,24 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", *(F.col("payload").getField(c).alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")), "position", "caption")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alleloom.llm.vector_codes import digests
+
+    return digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alleloom.llm.periodic import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op2_pii, op3_substrings, op4_jaccard, op5_url_filter, op6_language_id, op7_quality, op8_embeddings, op9_byte_bpe, op10_media)
+    own = (op1_packing, op2_pii, op3_substrings, op4_jaccard, op5_url_filter, op6_language_id, op7_quality, op8_embeddings, op9_byte_bpe, op10_media, op12_vector_codes, op13_periodic_runs)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    from alleloom.llm import jaccard, substrings, url_filter
+    from alleloom.llm import jaccard, substrings, url_filter, vector_codes
 
-    return {"op3_substrings": substrings.SQL, "op4_jaccard": jaccard.SQL, "op5_url_filter": url_filter.SQL}
+    return {"op3_substrings": substrings.SQL, "op4_jaccard": jaccard.SQL, "op5_url_filter": url_filter.SQL, "op12_vector_codes": vector_codes.SQL}
