@@ -80,6 +80,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", *(F.col("payload").getField(c).alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")), "position", "caption")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alleloom.llm.toxicity import judged
+
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alleloom.llm.vector_codes import digests
 
@@ -93,7 +99,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op2_pii, op3_substrings, op4_jaccard, op5_url_filter, op6_language_id, op7_quality, op8_embeddings, op9_byte_bpe, op10_media, op12_vector_codes, op13_periodic_runs)
+    own = (op1_packing, op2_pii, op3_substrings, op4_jaccard, op5_url_filter, op6_language_id, op7_quality, op8_embeddings, op9_byte_bpe, op10_media, op11_toxicity, op12_vector_codes, op13_periodic_runs)
     return {f.__name__: f for f in own}
 
 
