@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from alleloom import schema as S
 from alleloom import ship
+from alleloom.functions import scalars as X
 from alleloom.functions.scalars import label_of, size_of
 from alleloom.operators import filters as Q
 from alleloom.operators import merge as M
@@ -182,12 +183,13 @@ class Job:
                 print(f"Need at least {want} {what}, got only {got}.\nNothing to do.", file=sys.stderr)
                 return
         index = [c for c, _ in combos]
-        plain = not (a.regions or a.transversions or getattr(a, "ignore_cpg", False))
-        if self.command == "f4statistics" and plain:  # nothing looks at single sites between variants
-            runs = self.runs()
-            blocks = A.dense_blocks(M.merge_sparse(runs, n), runs, n, index, patterns, a.blocksize, M.WIDTH, grid=False)
+        if self.command == "f4statistics":
+            regions = [read.read_bed(self.spark, [a.regions], self.contigs)] if a.regions else []
+            pairs = [Q.cpg_sites(self.chunks, CHUNK)] if a.ignore_cpg else []
+            only = X.is_transversion(F.col("alt")) if a.transversions else None
+            blocks = A.dense_blocks(None, self.runs(), n, index, patterns, a.blocksize, M.WIDTH, grid=False, within=regions, without=pairs, sites=only)
         else:
-            blocks = A.block_sums(self.filtered(self.variants(nout, self.command == "f4statistics")), index, patterns, a.blocksize)
+            blocks = A.block_sums(self.filtered(self.variants(nout)), index, patterns, a.blocksize)
         _emit(T.report_text(A.report(self.spark, blocks, combos, A.NAMES[self.command]), self.command) + "\n", a.output)
 
     def labels(self) -> list[str]:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alleloom.functions import scalars as X
@@ -13,11 +17,16 @@ AUTOSOMES, X_CHROMOSOME, Y_CHROMOSOME = r"^(chr)?[0-9]+[a-z]?$", r"^(chr)?X$", r
 
 
 def restrict_to_regions(df: DataFrame, bed: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Rows whose position lies in a region: a left semi join, so overlapping regions repeat nothing."""
-    r = bed.where("e > s").select(F.col("chrom_ix"), "s", "e", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width))).alias("bin"))
-    d = df.withColumn("bin", F.floor(F.col("pos") / width)).alias("d")
-    on = (F.col("d.chrom_ix") == F.col("r.chrom_ix")) & (F.col("d.bin") == F.col("r.bin")) & (F.col("d.pos") >= F.col("r.s")) & (F.col("d.pos") < F.col("r.e"))
-    return d.join(r.alias("r"), on, "left_semi").drop("bin")
+    """Rows whose position lies in a region, by a sweep: within a bin, rows and beginnings of regions in order of position,
+    a row stays if a region that has begun reaches beyond it. So overlapping regions repeat nothing, and the work of a bin
+    is that of sorting its rows and regions."""
+    bins = F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width))
+    r = bed.where("e > s").select("chrom_ix", "s", "e", F.explode(bins).alias("_bin"))
+    begun = r.select("chrom_ix", "_bin", F.greatest(F.col("s").cast("long"), F.col("_bin") * width).alias("_at"), F.col("e").cast("long").alias("_e"), F.lit(False).alias("_row"))
+    rows = df.select("*", F.floor(F.col("pos") / width).alias("_bin"), F.col("pos").cast("long").alias("_at"), F.lit(None).cast("long").alias("_e"), F.lit(True).alias("_row"))
+    # rows of equal place count as begun together, whichever comes first
+    reach = F.max("_e").over(Window.partitionBy("chrom_ix", "_bin").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.unionByName(begun, allowMissingColumns=True).withColumn("_reach", reach).where("_row and _at < _reach").select(df.columns)
 
 
 def transversions(variants: DataFrame) -> DataFrame:
@@ -36,18 +45,35 @@ def informative(variants: DataFrame, nout: int = 0) -> DataFrame:
     return variants.where((total("n_ref") != 0) & (total("n_alt") != 0))
 
 
+def _lent(chunks: DataFrame, size: int) -> DataFrame:
+    """(chrom_ix, start, seq): reference chunks of `size` bases with a base from each side, N at the ends, in capitals."""
+    own = chunks.select("chrom_ix", "start", "seq")
+    before = chunks.select("chrom_ix", (F.col("start") + size).alias("start"), F.expr(f"substring(seq, {size}, 1)").alias("last"))
+    after = chunks.select("chrom_ix", (F.col("start") - size).alias("start"), F.substring("seq", 1, 1).alias("first"))
+    lent = own.join(before, ["chrom_ix", "start"], "left").join(after, ["chrom_ix", "start"], "left")
+    return lent.select("chrom_ix", "start", F.upper(F.concat(F.coalesce("last", F.lit("N")), "seq", F.coalesce("first", F.lit("N")))).alias("seq"))
+
+
+def cpg_sites(chunks: DataFrame, size: int) -> DataFrame:
+    """(chrom_ix, s, e) of every CG of the reference: a pair belongs to the chunk of its C."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chrom, start, seq in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                t = np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)
+                c = np.flatnonzero((t[1:-1] == ord("C")) & (t[2:] == ord("G"))).astype(np.int32) + start
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), chrom, np.int32)), pa.array(c), pa.array(c + 2)], names=["chrom_ix", "s", "e"])
+
+    return _lent(chunks, size).select(F.col("chrom_ix").cast("int").alias("chrom_ix"), F.col("start").cast("int").alias("start"), "seq").mapInArrow(run, "chrom_ix int, s int, e int")
+
+
 def drop_cpg(variants: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
     """Without sites whose reference base is the C or the G of a CG; sites at chromosome ends and on N stay.
 
     Sites look at their neighbours in the reference chunk (of `size` bases) that they lie in, which is lent a base from
     each side. Sites beyond the reference stay.
     """
-    own = chunks.select("chrom_ix", "start", "seq")
-    before = chunks.select("chrom_ix", (F.col("start") + size).alias("start"), F.expr(f"substring(seq, {size}, 1)").alias("last"))
-    after = chunks.select("chrom_ix", (F.col("start") - size).alias("start"), F.substring("seq", 1, 1).alias("first"))
-    lent = own.join(before, ["chrom_ix", "start"], "left").join(after, ["chrom_ix", "start"], "left")
-    wider = lent.select("chrom_ix", "start", F.upper(F.concat(F.coalesce("last", F.lit("N")), "seq", F.coalesce("first", F.lit("N")))).alias("seq"))
-    at = variants.withColumn("start", (F.floor(F.col("pos") / size) * size).cast("int")).join(wider, ["chrom_ix", "start"], "left")
+    at = variants.withColumn("start", (F.floor(F.col("pos") / size) * size).cast("int")).join(_lent(chunks, size), ["chrom_ix", "start"], "left")
     return at.where(F.expr("seq is null or not contains(substring(seq, pos - start + 1, 3), 'CG')")).select(variants.columns)
 
 

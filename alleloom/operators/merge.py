@@ -1,31 +1,19 @@
-"""Merging samples into biallelic variants: interval joins of sites with the runs that cover them.
+"""Merging samples into biallelic variants by a sweep over their runs (operators/sweep.py).
 
 Long form: (chrom_ix, pos, alt, sample_ix, n_ref, n_alt), one row per sample. Wide form: `calls`, an array of
-(n_ref, n_alt) by sample. A long run is filed under every bin it touches, so the range join is a hash join on
-(chromosome, bin) whose partitions are even however long the runs are.
+(n_ref, n_alt) by sample. Bins of a chromosome are dealt out, so partitions are even however long runs are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alleloom import schema as S
 from alleloom.functions import scalars as X
-
-#: Bin width for genomes; the test projection has runs of a few positions.
-WIDTH = 65536
-
-
-def binned(runs: DataFrame, width: int) -> DataFrame:
-    return runs.where("run_end > run_start").withColumn("bin", F.explode(F.sequence(F.floor(F.col("run_start") / width), F.floor((F.col("run_end") - 1) / width))))
-
-
-def covering(sites: DataFrame, runs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Sites (chrom_ix, pos, ...) with each run that covers them: sample_ix and code."""
-    s = sites.withColumn("bin", F.floor(F.col("pos") / width))
-    r = binned(runs, width).select("chrom_ix", "bin", "sample_ix", "run_start", "run_end", "code")
-    return s.join(r, ["chrom_ix", "bin"]).where("pos >= run_start and pos < run_end").drop("bin", "run_start", "run_end")
+from alleloom.operators.sweep import WIDTH, swept
 
 
 def point_calls(runs: DataFrame) -> DataFrame:
@@ -43,25 +31,6 @@ def sites_of(runs: DataFrame, nout: int = 0) -> DataFrame:
     return points.select("chrom_ix", F.col("run_start").alias("pos"), F.explode(alts).alias("alt")).distinct()
 
 
-#: Samples to a 64-bit number: two bits of each count.
-_PACK = 15
-
-
-def wide(met: DataFrame, n_samples: int, key: tuple[str, ...] = ("chrom_ix", "pos", "alt")) -> DataFrame:
-    """Joined rows (key, sample_ix, n_ref, n_alt) as `calls`; samples without a row are (0, 0).
-
-    A sample has one row a key, so counts add up in bits of their own: the aggregation combines before the shuffle, and the
-    plan has one sum for every _PACK samples.
-    """
-    place = F.expr(f"shiftleft(cast(n_ref * 4 + n_alt as bigint), cast((sample_ix % {_PACK}) * 4 as int))")
-    parts = [F.sum(F.when(F.floor(F.col("sample_ix") / _PACK) == p, place)).alias(f"_p{p}") for p in range(-(-n_samples // _PACK))]
-    packed = met.groupBy(*key).agg(*parts)
-    bits = F.array(*(F.coalesce(F.col(f"_p{p}"), F.lit(0).cast("long")) for p in range(len(parts))))
-    one = lambda i, at: f"cast(shiftrightunsigned(_bits[cast({i} div {_PACK} as int)], cast(({i} % {_PACK}) * 4 + {at} as int)) & 3 as int)"
-    calls = F.expr(f"transform(sequence(0, {n_samples - 1}), i -> named_struct('n_ref', {one('i', 2)}, 'n_alt', {one('i', 0)}))")
-    return packed.select(*key, bits.alias("_bits")).select(*key, calls.alias("calls"))
-
-
 def long(variants: DataFrame) -> DataFrame:
     """Wide variants, one row per sample."""
     rest = [c for c in variants.columns if c != "calls"]
@@ -70,41 +39,20 @@ def long(variants: DataFrame) -> DataFrame:
 
 def merge_sparse(runs: DataFrame, n_samples: int, nout: int = 0, width: int = WIDTH) -> DataFrame:
     """Wide variants at which a non-outgroup differs; outgroups contribute calls but define no site."""
-    met = covering(sites_of(runs, nout), runs, width)
-    met = met.withColumn("n_ref", X.n_ref(F.col("code"), F.col("alt"))).withColumn("n_alt", X.n_alt(F.col("code"), F.col("alt")))
-    return wide(met, n_samples)
+    return swept(runs, n_samples, nout, width).select("chrom_ix", F.col("s").alias("pos"), "alt", "calls")
 
 
-def intervals(runs: DataFrame, n_samples: int, width: int = WIDTH, grid: int | None = None) -> DataFrame:
+def intervals(runs: DataFrame, n_samples: int, width: int = WIDTH, grid: int | None = None, within: Sequence[DataFrame] = (), without: Sequence[DataFrame] = ()) -> DataFrame:
     """(chrom_ix, s, e, calls) of stretches over which every sample's call stays the same, somebody is called, and nobody
-    differs; calls are reference counts. Stretches end with bins of `width` and, if given, windows of `grid`.
-
-    Runs are cut at bins, so the window that finds neighbouring borders sees one bin of a chromosome.
-    """
-    lo, hi = F.greatest("run_start", (F.col("bin") * width).cast("int")), F.least("run_end", ((F.col("bin") + 1) * width).cast("int"))
-    called = binned(runs.where((F.col("code") != S.NS) & (F.col("code") < 15)), width)
-    pieces = called.select("sample_ix", "chrom_ix", "bin", lo.alias("lo"), hi.alias("hi"), "code")
-    inner = F.expr(f"filter(sequence(cast((lo div {grid} + 1) * {grid} as int), cast(hi as int), {grid}), x -> x < hi)") if grid else None
-    if grid:
-        inner = F.when((F.floor(F.col("lo") / grid) + 1) * grid < F.col("hi"), inner).otherwise(F.array().cast("array<int>"))
-    edges = pieces.select("chrom_ix", "bin", F.explode(F.concat(F.array("lo", "hi"), inner) if grid else F.array("lo", "hi")).alias("s")).distinct()
-    spans = edges.withColumn("e", F.lead("s").over(Window.partitionBy("chrom_ix", "bin").orderBy("s"))).where("e is not null")
-    code = F.col("code")
-    met = spans.join(pieces, ["chrom_ix", "bin"]).where("lo <= s and s < hi").select("chrom_ix", "s", "e", "sample_ix", X.n_ref(code, 1).alias("n_ref"), F.greatest(*(X.n_alt(code, a) for a in (1, 2, 3))).alias("differs"))
-    # a sample that differs marks the stretch by an alternative allele, which only point calls have
-    seen = wide(met.withColumnRenamed("differs", "n_alt"), n_samples, ("chrom_ix", "s", "e"))
-    return seen.where(~F.exists("calls", lambda c: c["n_alt"] > 0))
-
-
-def _no_variant(runs: DataFrame, n_samples: int, width: int) -> DataFrame:
-    """Wide pseudo-variants at every position that is called in some sample and at which nobody differs."""
-    at = intervals(runs, n_samples, width).select("chrom_ix", F.explode(F.expr("sequence(s, e - 1)")).alias("pos"), "calls")
-    return at.select("chrom_ix", "pos", F.lit(S.PSEUDO).alias("alt"), "calls")
+    differs; calls are reference counts. Stretches end with bins of `width` and, if given, windows of `grid`; they lie within
+    all of some regions and without others."""
+    return swept(runs, n_samples, 0, width, sites=False, stretches=True, grid=grid, within=within, without=without).drop("alt")
 
 
 def merge_dense(runs: DataFrame, n_samples: int, width: int = WIDTH) -> DataFrame:
     """All variants of any sample, and a pseudo-variant at every other position that is called in some sample."""
-    return merge_sparse(runs, n_samples, 0, width).unionByName(_no_variant(runs, n_samples, width))
+    both = swept(runs, n_samples, 0, width, stretches=True)
+    return both.select("chrom_ix", F.explode(F.expr("sequence(s, e - 1)")).alias("pos"), "alt", "calls")
 
 
 def merge_ref(runs: DataFrame, ref_bases: DataFrame, n_samples: int, width: int = WIDTH) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from alleloom import schema as S
 from alleloom.functions import scalars as X
+from alleloom.operators.sweep import merged_regions
 
 KEY = ("sample_ix", "chrom_ix")
 _JOINABLE = (*S.STRETCHES, *S.INDELS)
@@ -43,14 +44,6 @@ def gap_fill(points: DataFrame, contigs: DataFrame, gap: int, key: tuple[str, ..
     return calls.unionByName(after).unionByName(first).where("run_end > run_start")
 
 
-def merged_regions(bed: DataFrame) -> DataFrame:
-    """Regions without overlap."""
-    w = Window.partitionBy("chrom_ix").orderBy("s", "e")
-    top = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.col("s") <= top, 0).otherwise(1)
-    return bed.where("e > s").withColumn("_n", new).withColumn("_i", F.sum("_n").over(w)).groupBy("chrom_ix", "_i").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_i")
-
-
 def gap_fill_patches(points: DataFrame, contigs: DataFrame, bed: DataFrame, inside: int = S.EQS2, outside: int = S.NS, width: int = 1024, key: tuple[str, ...] = KEY) -> DataFrame:
     """Gap filling by region: `inside` of the merged regions, `outside` elsewhere. poor patches: swap the two codes."""
     filled = gap_fill(points, contigs, -2, key)

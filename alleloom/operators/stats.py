@@ -14,11 +14,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alleloom.functions.beta import p_value_udf
 from alleloom.operators import merge as M
+from alleloom.operators.sweep import swept
+from alleloom.schema import PSEUDO
 
 #: Fixed value: the default block, in bases.
 BLOCK = 5_000_000
@@ -248,19 +250,26 @@ def dense_starts(spans: DataFrame, size: int) -> DataFrame:
     return spans.select("chrom_ix", "s", "e").repartition("chrom_ix").sortWithinPartitions("chrom_ix", "s").mapInArrow(run, "chrom_ix int, block int")
 
 
-def dense_blocks(variants: DataFrame, runs: DataFrame, n_samples: int, combos: Sequence[tuple[int, ...]], patterns: dict[str, tuple[str, ...]], size: int, width: int, grid: bool = True) -> DataFrame:
+def dense_blocks(variants: DataFrame | None, runs: DataFrame, n_samples: int, combos: Sequence[tuple[int, ...]], patterns: dict[str, tuple[str, ...]], size: int, width: int, grid: bool = True, within: Sequence[DataFrame] = (), without: Sequence[DataFrame] = (), sites: Column | None = None) -> DataFrame:
     """Block sums over dense sites: scores of real variants (merged without outgroups), plus those of the stretches between.
 
     Where nobody differs every position scores alike, so a stretch counts once, weighted by its length; greedy blocks cut
-    stretches where they start.
+    stretches where they start. Without variants, they come from the same sweep as the stretches. within, without: regions
+    that all sites lie in, or not, as interval algebra on stretches; sites: a condition on variants.
     """
+    if variants is None:
+        both = swept(runs, n_samples, 0, width, stretches=True, grid=size if grid else None, within=within, without=without)
+        rest = both.where(F.col("alt") == PSEUDO).drop("alt")
+        variants = both.where(F.col("alt") != PSEUDO).select("chrom_ix", F.col("s").alias("pos"), "alt", "calls")
+    else:
+        rest = M.intervals(runs, n_samples, width, size if grid else None, within, without)
+    if sites is not None:
+        variants = variants.where(sites)
     if grid:
-        rest = M.intervals(runs, n_samples, width, size)
         placed = rest.withColumn("block", F.floor(F.col("s") / size).cast("long")).withColumn("weight", F.col("e") - F.col("s"))
         return summed(grid_blocks(variants, size).withColumn("weight", F.lit(1)).unionByName(placed.drop("s", "e"), allowMissingColumns=True), combos, patterns)
-    rest = M.intervals(runs, n_samples, width)
-    sites = variants.select("chrom_ix", F.col("pos").alias("s"), (F.col("pos") + 1).alias("e")).distinct()
-    starts = dense_starts(rest.select("chrom_ix", "s", "e").unionByName(sites), size)
+    single = variants.select("chrom_ix", F.col("pos").alias("s"), (F.col("pos") + 1).alias("e")).distinct()
+    starts = dense_starts(rest.select("chrom_ix", "s", "e").unionByName(single), size)
     real = placed_in(variants, starts, size).withColumn("weight", F.lit(1))
     # a stretch is cut at every block that starts in it; one that starts before it takes its beginning
     near = starts.select("chrom_ix", F.col("block").alias("cut"), F.floor(F.col("block") / width).alias("bin"))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from alleloom import schema as S
 
 N_SAMPLES, N_CHROMS = 6, 3
-#: Bin width of range joins: the projection's runs are a few positions long.
-WIDTH = 64
-CHUNK = 4096
+#: Bin width of range joins and letters of a reference chunk, as in use.
+WIDTH = 65536
+CHUNK = 65536
 POPULATIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "AFRICA")
 
 
@@ -32,7 +32,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").select((F.col("o_custkey") % 3).cast("int").alias("chrom_ix"), F.col("o_orderkey").cast("int").alias("s"), (F.col("o_orderkey") + 50).cast("int").alias("e"))
+    """A region for every order: some overlap, some touch."""
+    o = table(spark, sf_dir, "orders")
+    return o.select((F.col("o_custkey") % 3).cast("int").alias("chrom_ix"), F.col("o_orderkey").cast("int").alias("s"), (F.col("o_orderkey") + 1 + F.col("o_custkey") % 5).cast("int").alias("e"))
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,7 @@ def count_sql(which: int, code: str, alt: str) -> str:
 
 P_SQL = "p as (select cast(l_suppkey % 6 as int) sample_ix, cast(l_partkey % 3 as int) chrom_ix, cast(l_orderkey as int) pos, min(cast((l_partkey + l_linenumber * 7) % 15 as int)) code from lineitem group by 1, 2, 3)"
 R_SQL = P_SQL + ", r as (select sample_ix, chrom_ix, pos run_start, case when code in (0, 4, 14) then coalesce(nxt, pos + 1) else pos + 1 end run_end, code from (select *, lead(pos) over (partition by sample_ix, chrom_ix order by pos) nxt from p) x)"
-BED_SQL = "bed as (select cast(o_custkey % 3 as int) chrom_ix, cast(o_orderkey as int) s, cast(o_orderkey + 50 as int) e from orders where o_orderkey % 97 = 0)"
+BED_SQL = "bed as (select cast(o_custkey % 3 as int) chrom_ix, cast(o_orderkey as int) s, cast(o_orderkey + 1 + o_custkey % 5 as int) e from orders)"
 CONTIG_SQL = "ctg as (select i chrom_ix, ['1', 'chr2', 'X'][i + 1] name, cast(m + 10 + i as int) length from (select max(l_orderkey) m from lineitem), (values (0), (1), (2)) v(i))"
 REF_SQL = CONTIG_SQL + ", ref as (select chrom_ix, cast(pos as int) pos, nullif((pos * 7 + chrom_ix * 3) % 5, 4) ref from (select chrom_ix, unnest(range(length)) pos from ctg))"
 

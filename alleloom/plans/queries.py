@@ -171,7 +171,7 @@ def assemble_blocks(spark, d):
 # --- filters ----------------------------------------------------------------------------------
 
 
-@query(f"with {P.P_SQL}, {P.BED_SQL} select sample_ix, chrom_ix, pos, code from p where exists (select 1 from bed where bed.chrom_ix = p.chrom_ix and pos >= s and pos < e)")
+@query(f"with {P.P_SQL}, {P.BED_SQL} select sample_ix, chrom_ix, pos, code from p semi join (select distinct chrom_ix, unnest(range(s, e)) pos from bed) b using (chrom_ix, pos)")
 def region_filter(spark, d):
     return Q.restrict_to_regions(P.points(spark, d), P.regions(spark, d), P.WIDTH)
 
@@ -258,7 +258,7 @@ def d_statistic(spark, d):
 
 @query(_stat_sql(P.DENSE_SQL, "dw", _D, A.PATTERSON, _GRID_SQL))
 def f4_statistic(spark, d):
-    return _rounded(A.dense_blocks(_sparse(spark, d, 0), P.runs(spark, d), P.N_SAMPLES, [c for c, _ in _D], A.PATTERSON, GRID, P.WIDTH))
+    return _rounded(A.dense_blocks(None, P.runs(spark, d), P.N_SAMPLES, [c for c, _ in _D], A.PATTERSON, GRID, P.WIDTH))
 
 
 @query(_stat_sql(P.sparse_sql(0), "w", _K, A.KAY, _GRID_SQL))
@@ -292,7 +292,28 @@ def d_statistic_greedy(spark, d):
 
 @query(_stat_sql(P.DENSE_SQL, "dw", _D, A.PATTERSON, _GREEDY_SQL))
 def f4_statistic_greedy(spark, d):
-    return _rounded(A.dense_blocks(_sparse(spark, d, 0), P.runs(spark, d), P.N_SAMPLES, [c for c, _ in _D], A.PATTERSON, GRID, P.WIDTH, grid=False))
+    return _rounded(A.dense_blocks(None, P.runs(spark, d), P.N_SAMPLES, [c for c, _ in _D], A.PATTERSON, GRID, P.WIDTH, grid=False))
+
+
+_F4_ONLY = """cg as (select x.chrom_ix, unnest([x.pos, y.pos]) pos from ref x join ref y on x.chrom_ix = y.chrom_ix and y.pos = x.pos + 1 where x.ref = 1 and y.ref = 3),
+fw as (select * from dw semi join (select distinct chrom_ix, unnest(range(s, e)) pos from bed) b using (chrom_ix, pos) where (alt = 255 or alt >= 2)
+  and not exists (select 1 from cg where cg.chrom_ix = dw.chrom_ix and cg.pos = dw.pos))"""
+
+
+def _f4_only(spark, d, grid: bool) -> DataFrame:
+    """F4 over transversions and sites without variant, within regions and outside CG pairs."""
+    masks = {"within": [P.regions(spark, d)], "without": [Q.cpg_sites(P.chunks(spark, d), P.CHUNK)]}
+    return _rounded(A.dense_blocks(None, P.runs(spark, d), P.N_SAMPLES, [c for c, _ in _D], A.PATTERSON, GRID, P.WIDTH, grid=grid, sites=X.is_transversion(F.col("alt")), **masks))
+
+
+@query(_stat_sql(f"{P.DENSE_SQL}, {P.BED_SQL}, {P.REF_SQL}, {_F4_ONLY}", "fw", _D, A.PATTERSON, _GRID_SQL))
+def f4_regions(spark, d):
+    return _f4_only(spark, d, grid=True)
+
+
+@query(_stat_sql(f"{P.DENSE_SQL}, {P.BED_SQL}, {P.REF_SQL}, {_F4_ONLY}", "fw", _D, A.PATTERSON, _GREEDY_SQL))
+def f4_regions_greedy(spark, d):
+    return _f4_only(spark, d, grid=False)
 
 
 @query()
