@@ -261,8 +261,8 @@ class Job:
                 c, _ = twobit.read(spark, a.files[0])
                 _emit("".join(f"{r['name']}\t{r['length']}\n" for r in c.orderBy("chrom_ix").collect()), a.output)
             case "twobittofa":
-                c, ch = twobit.read(spark, a.files[0], CHUNK)
                 for region in a.files[1:] or [None]:
+                    c, ch = twobit.read(spark, a.files[0], CHUNK, region)
                     T.ordered_lines(twobit.fasta_lines(ch, c, region, a.width), ["chrom_ix", "ord"], a.output)
             case "fatotwobit":
                 fa = read.read_fasta(spark, a.files)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alleloom.functions import scalars as X
-from alleloom.operators.merge import WIDTH, per_site
+from alleloom.operators.merge import WIDTH, in_pieces, per_site
 
 #: Chromosome patterns of the command line.
 AUTOSOMES, X_CHROMOSOME, Y_CHROMOSOME = r"^(chr)?[0-9]+[a-z]?$", r"^(chr)?X$", r"^(chr)?Y$"
@@ -70,11 +70,12 @@ def cpg_sites(chunks: DataFrame, size: int) -> DataFrame:
 def drop_cpg(variants: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
     """Without sites whose reference base is the C or the G of a CG; sites at chromosome ends and on N stay.
 
-    Sites look at their neighbours in the reference chunk (of `size` bases) that they lie in, which is lent a base from
-    each side. Sites beyond the reference stay.
+    Sites look at their neighbours in the piece of the reference chunk (of `size` bases) that they lie in; pieces share two
+    bases, and chunks are lent one from each side. Sites beyond the reference stay.
     """
-    at = variants.withColumn("start", (F.floor(F.col("pos") / size) * size).cast("int")).join(_lent(chunks, size), ["chrom_ix", "start"], "left")
-    return at.where(F.expr("seq is null or not contains(substring(seq, pos - start + 1, 3), 'CG')")).select(variants.columns)
+    near = in_pieces(variants, _lent(chunks, size), size, more=2, how="left")
+    pair = F.expr("cast(substring(_bytes, pos - _start + 1, 3) as string)")
+    return near.where(F.coalesce(~F.contains(pair, F.lit("CG")), F.lit(True))).select(variants.columns)
 
 
 def select_chroms(df: DataFrame, contigs: DataFrame, pattern: str) -> DataFrame:

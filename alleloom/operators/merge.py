@@ -6,8 +6,11 @@ Long form: (chrom_ix, pos, alt, sample_ix, n_ref, n_alt), one row per sample. Wi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,12 +66,30 @@ def merge_ref(runs: DataFrame, ref_bases: DataFrame, n_samples: int, width: int
     return met.select("chrom_ix", "pos", F.coalesce("alt", F.lit(S.PSEUDO)).alias("alt"), F.coalesce("calls", none).alias("calls"), "ref")
 
 
+#: Bases in a piece of a reference chunk that is looked into: a lookup moves a piece, not a chunk.
+PIECE = 1024
+
+
+def pieces_of(chunks: DataFrame, size: int, more: int = 0) -> tuple[DataFrame, int]:
+    """(chrom_ix, _start, _bytes) pieces of reference chunks of `size` bases, as bytes, so any base is found at once, and the
+    number of bases by which pieces start; a piece ends `more` bases later."""
+    piece = PIECE if size % PIECE == 0 else size
+    whole = chunks.select("chrom_ix", "start", F.col("seq").cast("binary").alias("b"))
+    each = whole.where(F.octet_length("b") > more).select("*", F.explode(F.sequence(F.lit(0), F.octet_length("b") - 1 - more, F.lit(piece))).alias("k"))
+    return each.select("chrom_ix", (F.col("start") + F.col("k")).cast("int").alias("_start"), F.expr(f"substring(b, k + 1, {piece + more})").alias("_bytes")), piece
+
+
+def in_pieces(variants: DataFrame, chunks: DataFrame, size: int, more: int = 0, how: str = "inner") -> DataFrame:
+    """Variants with the piece of the reference that they lie in: _start and _bytes."""
+    pieces, piece = pieces_of(chunks, size, more)
+    return variants.withColumn("_start", (F.floor(F.col("pos") / piece) * piece).cast("int")).join(pieces, ["chrom_ix", "_start"], how)
+
+
 def add_ref(variants: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
     """Variants with `ref` (0..3, null for N) looked up in reference chunks of `size` bases; sites past the end go."""
-    at = variants.withColumn("start", (F.floor(F.col("pos") / size) * size).cast("int"))
-    met = at.join(chunks.select("chrom_ix", "start", "seq"), ["chrom_ix", "start"])
-    letter = F.expr("substring(seq, pos - start + 1, 1)")
-    return met.where(F.expr("pos - start < length(seq)")).withColumn("ref", X.base_code(letter)).drop("seq", "start")
+    met = in_pieces(variants, chunks, size).where("pos - _start < octet_length(_bytes)")
+    letter = F.expr("cast(substring(_bytes, pos - _start + 1, 1) as string)")
+    return met.withColumn("ref", X.base_code(letter)).drop("_start", "_bytes")
 
 
 def bases_of(chunks: DataFrame) -> DataFrame:
@@ -76,24 +97,50 @@ def bases_of(chunks: DataFrame) -> DataFrame:
     return chunks.select("chrom_ix", "start", F.posexplode(F.split("seq", "")).alias("i", "c")).where("c <> ''").select("chrom_ix", (F.col("start") + F.col("i")).alias("pos"), X.base_code(F.col("c")).alias("ref"))
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """The letter of every (reference byte, run code): the reference's own where a sample is as it, two bases as one letter."""
+    out = np.full((256, 64), ord("N"), np.uint8)
+    for code in (S.EQS1, S.EQS2, S.DELH):
+        out[:, code] = np.arange(256)
+    out[:, [S.DEL1, S.DEL2]] = ord("-")
+    for base, letter in enumerate(S.BASES):
+        for code, alleles in S.ALLELES.items():
+            if code not in S.STRETCHES:
+                pair = "".join(sorted(S.BASES[base ^ a] for a in (alleles * 2)[:2]))
+                out[[ord(letter), ord(letter.lower())], code] = ord(S.LETTER_OF[pair])
+    return out
+
+
 def patch(runs: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
     """The samples' texts: runs applied to the reference, chunk by chunk: (sample_ix, chrom_ix, start, seq).
 
-    Uncovered positions are N. A chunk's text is put together from the pieces of the runs that touch it; stretches are
-    substrings of the reference, so only point calls are looked up base by base.
+    Uncovered positions are N. A chunk's runs are painted over its bases, all positions of a chunk at once, by a table of
+    reference letter and code.
     """
     r = runs.where("run_end > run_start").withColumn("start", F.explode(F.sequence(F.floor(F.col("run_start") / size), F.floor((F.col("run_end") - 1) / size))))
     r = r.withColumn("start", (F.col("start") * size).cast("int"))
-    met = r.join(chunks.select("chrom_ix", "start", "seq"), ["chrom_ix", "start"])
-    lo = F.greatest("run_start", "start")
-    hi = F.least(F.col("run_end"), F.col("start") + F.length("seq"))
-    piece = met.withColumn("lo", lo).withColumn("hi", hi).where("hi > lo").withColumn("part", F.expr("substring(seq, lo - start + 1, hi - lo)"))
-    text = F.when(F.col("code").isin(S.EQS1, S.EQS2, S.DELH), F.col("part")).when(F.col("code") == S.NS, F.expr("repeat('N', hi - lo)")).when(F.col("code").isin(S.DEL1, S.DEL2), F.expr("repeat('-', hi - lo)")).otherwise(X.patched_char(X.base_code(F.col("part")), F.col("code")))
-    texts = piece.select("sample_ix", "chrom_ix", "start", "lo", "hi", text.alias("text"), F.length("seq").alias("n"))
-    whole = texts.groupBy("sample_ix", "chrom_ix", "start").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "text"))).alias("x"), F.first("n").alias("n"))
-    begin = F.struct(F.col("start").alias("at"), F.lit("").alias("text"))
-    joined = F.aggregate("x", begin, lambda acc, x: F.struct(x["hi"].alias("at"), F.concat(acc["text"], F.repeat(F.lit("N"), (x["lo"] - acc["at"]).cast("int")), x["text"]).alias("text")), lambda acc: acc["text"])
-    have = whole.select("sample_ix", "chrom_ix", "start", F.rpad(joined, F.col("n"), F.lit("N")).alias("seq"))
+    lo, hi = F.greatest("run_start", "start") - F.col("start"), F.least(F.col("run_end"), F.col("start") + size) - F.col("start")
+    # a chunk's runs of a sample: at most one for each of its bases
+    own = r.groupBy("sample_ix", "chrom_ix", "start").agg(F.collect_list(F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), F.col("code").cast("int").alias("code"))).alias("x"))
+    met = own.join(chunks.select("chrom_ix", "start", F.col("seq").cast("binary").alias("seq")), ["chrom_ix", "start"])
+
+    def painted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _letters()
+        for b in batches:
+            out = []
+            for x, seq in zip(b.column(3), b.column(4), strict=True):
+                ref = np.frombuffer(seq.as_buffer(), np.uint8)
+                text = np.full(len(ref), ord("N"), np.uint8)
+                lo, hi, code = (x.values.field(i).to_numpy() for i in range(3))
+                hi = np.minimum(hi, len(ref))
+                n = np.maximum(hi - lo, 0)
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                text[at] = table[ref[at], np.repeat(code, n)]
+                out.append(text.tobytes().decode())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.string())], names=["sample_ix", "chrom_ix", "start", "seq"])
+
+    have = met.select(*(F.col(c).cast("int").alias(c) for c in ("sample_ix", "chrom_ix", "start")), "x", "seq").mapInArrow(painted, f"sample_ix int, {S.CHUNKS}")
     # chunks that no run touches
     ids = runs.agg(F.collect_set("sample_ix").alias("ids")).first()["ids"]  # one number per sample
     every = chunks.select(F.explode(F.array(*(F.lit(i) for i in sorted(ids)))).alias("sample_ix"), "chrom_ix", "start", F.length("seq").alias("n"))
