@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +57,15 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
                     yield pd.DataFrame({"file": file, "path": path, "ord": range(i, i + len(part)), "line": part})
 
     return opened(spark, paths).mapInPandas(run, "file int, path string, ord long, line string")
+
+
+def split_lines(spark: SparkSession, paths: list[str], step: int | None = None) -> DataFrame:
+    """(file, path, ord, line) as lines(), but plain files and those in blocks are read in parts; ord rises over all files
+    and says nothing else."""
+    from alleloom.sources import blocks
+
+    split, whole = blocks.parted(paths)
+    parts = [blocks.load(spark, blocks.Lines, split, step or blocks.STEP)] if split else []
+    for i, p in whole:
+        parts.append(lines(spark, [p]).select(F.lit(i).alias("file"), "path", (F.lit(i << blocks.FILE_BITS) + F.col("ord")).alias("ord"), "line"))
+    return reduce(DataFrame.unionByName, parts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alleloom.sources.files import lines
+from alleloom.sources.files import lines, split_lines
 
 
 def _named(df: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -62,13 +62,13 @@ def import_hetfa(fasta: DataFrame, contigs: DataFrame, chunks: DataFrame, sample
     return diff_chunks(cut_texts(texts, size), chunks)
 
 
-def read_vcf(spark: SparkSession, paths: list[str], contigs: DataFrame) -> DataFrame:
+def read_vcf(spark: SparkSession, paths: list[str], contigs: DataFrame, step: int | None = None) -> DataFrame:
     """(ord, chrom_ix, pos 1-based, ref, alts, a1, a2, phased) of single-sample VCF files, in the order of paths.
 
     The genotype is the first field of the sample column; -1 is a missing allele, a null a2 a haploid call. Files with
-    another number of samples are an error.
+    another number of samples are an error. Plain files and those in blocks are read in parts of `step` compressed bytes.
     """
-    t = lines(spark, paths).withColumn("ord", F.col("file") * F.lit(1 << 40) + F.col("ord"))
+    t = split_lines(spark, paths, step)
     w = F.split("line", "\t")
     rows = t.where("not startswith(line, '#') and line <> ''").select("ord", w.alias("w"))
     one = F.when(F.size("w") != 10, F.raise_error(F.lit("exactly one sample is expected"))).otherwise(F.split(F.get("w", 9), ":")[0])
