@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from alleloom.functions.beta import p_value_udf
 from alleloom.operators import merge as M
+from alleloom.operators.greedy import greedy_starts_of
 from alleloom.operators.sweep import swept
 from alleloom.schema import PSEUDO
 
@@ -145,31 +146,10 @@ def grid_blocks(df: DataFrame, size: int) -> DataFrame:
     return df.withColumn("block", F.floor(F.col("pos") / size).cast("long"))
 
 
-def greedy_starts(df: DataFrame, size: int) -> DataFrame:
-    """(chrom_ix, block): starts of greedy blocks. A block starts at the first position left and takes what lies within size.
-
-    Each start depends on the one before, so a chromosome's positions are walked in order; they stream through, sorted by
-    Spark, and a task keeps the last start only.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chrom, free = None, 0  # the chromosome at hand, and where its next block may start
-        for b in batches:
-            c, p = b.column(0).to_numpy(), b.column(1).to_numpy()
-            got: list[tuple[int, int]] = []
-            i = 0
-            while i < len(c):
-                if c[i] != chrom:
-                    chrom, free = c[i], p[i]
-                i += int(np.searchsorted(p[i : i + int(np.searchsorted(c[i:], chrom, "right"))], free, "left"))
-                if i < len(c) and c[i] == chrom:
-                    got.append((chrom, p[i]))
-                    free = p[i] + size
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got, strict=True), (pa.int32(), pa.int32()), strict=True)], names=["chrom_ix", "block"])
-
-    at = df.select(F.col("chrom_ix").cast("int").alias("chrom_ix"), F.col("pos").cast("int").alias("pos")).distinct()
-    return at.repartition("chrom_ix").sortWithinPartitions("chrom_ix", "pos").mapInArrow(run, "chrom_ix int, block int")
+def greedy_starts(df: DataFrame, size: int, part: int | None = None) -> DataFrame:
+    """(chrom_ix, block): starts of greedy blocks. A block starts at the first position left and takes what lies within size;
+    parts of a chromosome find theirs at the same time (operators/greedy.py)."""
+    return greedy_starts_of(df.select("chrom_ix", F.col("pos").alias("s"), (F.col("pos") + 1).alias("e")).distinct(), size, part)
 
 
 def placed_in(df: DataFrame, starts: DataFrame, size: int) -> DataFrame:
@@ -229,25 +209,42 @@ def report(spark, blocks: DataFrame, combos: Sequence[tuple[tuple[int, ...], tup
 # --- dense sites without a row for each base -------------------------------------------------
 
 
-def dense_starts(spans: DataFrame, size: int) -> DataFrame:
-    """(chrom_ix, block): greedy_starts() of all positions of stretches (chrom_ix, s, e), without a row for each."""
+def placed_spans(rows: DataFrame, starts: DataFrame, size: int, width: int) -> DataFrame:
+    """(chrom_ix, block, calls, weight) of sites and stretches (chrom_ix, s, e, calls; none crosses a bin of `width`), cut where
+    blocks start; weight is a piece's length. A bin's rows meet the starts of the blocks that touch it, in order of place."""
+    bins = F.sequence(F.floor(F.col("block") / width), F.floor((F.col("block").cast("long") + size - 1) / width))
+    near = starts.select("chrom_ix", F.explode(bins).alias("bin"), F.lit(0).alias("kind"), F.col("block").alias("s"), F.col("block").alias("e"), F.lit(None).cast(rows.schema["calls"].dataType).alias("calls"))
+    both = near.unionByName(rows.select("chrom_ix", F.floor(F.col("s") / width).alias("bin"), F.lit(1).alias("kind"), "s", "e", "calls"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chrom, free = None, 0
+        key, at = None, np.zeros(0, np.int64)  # the bin at hand and its starts, which come first
         for b in batches:
-            starts, of = [], []
-            for c, s, e in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if c != chrom:
-                    chrom, free = c, s
-                if (at := max(s, free)) < e:
-                    mine = np.arange(at, e, size, dtype=np.int32)
-                    starts.append(mine)
-                    of.append(np.full(len(mine), c, np.int32))
-                    free = int(mine[-1]) + size
-            if starts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(of)), pa.array(np.concatenate(starts))], names=["chrom_ix", "block"])
-
-    return spans.select("chrom_ix", "s", "e").repartition("chrom_ix").sortWithinPartitions("chrom_ix", "s").mapInArrow(run, "chrom_ix int, block int")
+            if not b.num_rows:
+                continue
+            chrom, bin_, kind, s, e = (b.column(i).to_numpy().astype(np.int64) for i in range(5))
+            edge = np.append(np.flatnonzero(np.append(True, (chrom[1:] != chrom[:-1]) | (bin_[1:] != bin_[:-1]))), len(s))
+            block, weight, take = [], [], []
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if key != (chrom[lo], bin_[lo]):
+                    key, at = (chrom[lo], bin_[lo]), np.zeros(0, np.int64)
+                mid = lo + int((kind[lo:hi] == 0).sum())
+                at = np.append(at, s[lo:mid])
+                if mid == hi:
+                    continue
+                first = np.searchsorted(at, s[mid:hi], "right") - 1
+                n = np.searchsorted(at, e[mid:hi], "left") - first  # a piece for the block at hand and each that starts inside
+                row = np.repeat(np.arange(mid, hi), n)
+                k = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                stop = np.append(at, 1 << 40)[k + 1]
+                block.append(at[k])
+                weight.append(np.minimum(stop, e[row]) - np.maximum(at[k], s[row]))
+                take.append(row)
+            if take:
+                i = np.concatenate(take)
+                yield pa.RecordBatch.from_arrays([pa.array(chrom[i].astype(np.int32)), pa.array(np.concatenate(block)), b.column(5).take(pa.array(i)), pa.array(np.concatenate(weight).astype(np.int32))], names=["chrom_ix", "block", "calls", "weight"])
+
+    schema = "chrom_ix int, block long, calls array<struct<n_ref:int,n_alt:int>>, weight int"
+    return both.repartition("chrom_ix", "bin").sortWithinPartitions("chrom_ix", "bin", "kind", "s").mapInArrow(run, schema)
 
 
 def dense_blocks(variants: DataFrame | None, runs: DataFrame, n_samples: int, combos: Sequence[tuple[int, ...]], patterns: dict[str, tuple[str, ...]], size: int, width: int, grid: bool = True, within: Sequence[DataFrame] = (), without: Sequence[DataFrame] = (), sites: Column | None = None) -> DataFrame:
@@ -259,25 +256,13 @@ def dense_blocks(variants: DataFrame | None, runs: DataFrame, n_samples: int, co
     """
     if variants is None:
         both = swept(runs, n_samples, 0, width, stretches=True, grid=size if grid else None, within=within, without=without)
-        rest = both.where(F.col("alt") == PSEUDO).drop("alt")
-        variants = both.where(F.col("alt") != PSEUDO).select("chrom_ix", F.col("s").alias("pos"), "alt", "calls")
     else:
-        rest = M.intervals(runs, n_samples, width, size if grid else None, within, without)
+        real = variants.select("chrom_ix", F.col("pos").alias("s"), (F.col("pos") + 1).alias("e"), "alt", "calls")
+        both = real.unionByName(M.intervals(runs, n_samples, width, size if grid else None, within, without).withColumn("alt", F.lit(PSEUDO)))
     if sites is not None:
-        variants = variants.where(sites)
+        both = both.where((F.col("alt") == PSEUDO) | sites)
     if grid:
-        placed = rest.withColumn("block", F.floor(F.col("s") / size).cast("long")).withColumn("weight", F.col("e") - F.col("s"))
-        return summed(grid_blocks(variants, size).withColumn("weight", F.lit(1)).unionByName(placed.drop("s", "e"), allowMissingColumns=True), combos, patterns)
-    single = variants.select("chrom_ix", F.col("pos").alias("s"), (F.col("pos") + 1).alias("e")).distinct()
-    starts = dense_starts(rest.select("chrom_ix", "s", "e").unionByName(single), size)
-    real = placed_in(variants, starts, size).withColumn("weight", F.lit(1))
-    # a stretch is cut at every block that starts in it; one that starts before it takes its beginning
-    near = starts.select("chrom_ix", F.col("block").alias("cut"), F.floor(F.col("block") / width).alias("bin"))
-    own = rest.withColumn("bin", F.floor(F.col("s") / width)).join(near, ["chrom_ix", "bin"], "left")
-    inside = F.array_sort(F.collect_list(F.when((F.col("cut") > F.col("s")) & (F.col("cut") < F.col("e")), F.col("cut"))))
-    cut = own.groupBy("chrom_ix", "s", "e").agg(F.first("calls").alias("calls"), inside.alias("cuts"))
-    ends = F.concat(F.array("s"), "cuts")
-    parts = F.arrays_zip(ends.alias("lo"), F.concat("cuts", F.array("e")).alias("hi"))
-    pieces = cut.select("chrom_ix", "calls", F.explode(parts).alias("x")).select("chrom_ix", "calls", F.col("x.lo").alias("pos"), (F.col("x.hi") - F.col("x.lo")).alias("weight"))
-    free = placed_in(pieces, starts, size)
-    return summed(real.select("chrom_ix", "block", "calls", "weight").unionByName(free.select("chrom_ix", "block", "calls", "weight")), combos, patterns)
+        placed = both.select("chrom_ix", F.floor(F.col("s") / size).cast("long").alias("block"), "calls", (F.col("e") - F.col("s")).alias("weight"))
+    else:
+        placed = placed_spans(both, greedy_starts_of(both.select("chrom_ix", "s", "e"), size), size, width)
+    return summed(placed, combos, patterns)
