@@ -11,7 +11,8 @@ what goes up is bounded by the positions of one block out of FAN parts, not by a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -121,45 +122,84 @@ _PACKED = pa.schema([("chrom_ix", pa.int32()), ("part", pa.int32()), ("lo", pa.b
 _ENTRY = pa.schema([("chrom_ix", pa.int32()), ("part", pa.int32()), ("free", pa.int64())])
 
 
+def cut_at_parts(stretches: DataFrame, width: int) -> DataFrame:
+    """(chrom_ix, part, s, e): stretches cut where parts of `width` begin, dealt out by part, in order."""
+    cut = stretches.where("e > s").select("chrom_ix", "s", "e", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width))).alias("part"))
+    lo, hi = F.greatest(F.col("s").cast("long"), F.col("part") * width), F.least(F.col("e").cast("long"), (F.col("part") + 1) * width)
+    return _dealt(cut.select(F.col("chrom_ix").cast("int").alias("chrom_ix"), F.col("part").cast("int").alias("part"), lo.alias("s"), hi.alias("e")))
+
+
+def _dealt(parts: DataFrame) -> DataFrame:
+    return parts.repartition("chrom_ix", "part").sortWithinPartitions("chrom_ix", "part", "s")
+
+
 def greedy_starts_of(stretches: DataFrame, size: int, part: int | None = None) -> DataFrame:
     """(chrom_ix, block): the starts of greedy blocks of `size` over the positions of stretches (chrom_ix, s, e)."""
     width = max(part or PART, size)
-    cut = stretches.where("e > s").select("chrom_ix", "s", "e", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width))).alias("part"))
-    lo, hi = F.greatest(F.col("s").cast("long"), F.col("part") * width), F.least(F.col("e").cast("long"), (F.col("part") + 1) * width)
-    parts = cut.select(F.col("chrom_ix").cast("int").alias("chrom_ix"), F.col("part").cast("int").alias("part"), lo.alias("s"), hi.alias("e")).repartition("chrom_ix", "part").sortWithinPartitions("chrom_ix", "part", "s")
-
-    def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-        """The number columns of each group."""
-        for t in whole_groups(batches, keys, 1 << 16):
-            columns = [t.column(i).to_numpy() for i in range(t.num_columns)]
-            new = np.ones(t.num_rows, bool)
-            new[1:] = np.logical_or.reduce([columns[i][1:] != columns[i][:-1] for i in range(keys)])
-            edge = np.append(np.flatnonzero(new), t.num_rows)
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                yield [c[a:b] for c in columns]
+
+    def walk(t: pa.Table, free: int) -> pa.RecordBatch:
+        at = starts_of(t["s"].to_numpy(), t["e"].to_numpy(), size, free)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t["chrom_ix"][0].as_py(), np.int32)), pa.array(at.astype(np.int32))], names=["chrom_ix", "block"])
+
+    # what can come into a part lies less than `size` in it
+    return stepped(cut_at_parts(stretches, width), lambda s, e, k: function_of(s, e, size, k * width), walk, "chrom_ix int, block int", lambda group: group * FAN * width + size)
+
+
+def kept_blocks(blocks: DataFrame, part: int | None = None) -> DataFrame:
+    """Of blocks (chrom_ix, s, e, ...; no two of one start) those that start at or after the end of the last kept one."""
+    width = part or PART
+
+    def function(s: np.ndarray, e: np.ndarray, _: int) -> Steps:
+        after = np.maximum(np.searchsorted(s, e, "left"), np.arange(len(s)) + 1)
+        out = np.append(e, 0)
+        for i in range(len(s) - 1, -1, -1):
+            if after[i] < len(s):
+                out[i] = out[after[i]]
+        slope = np.append(np.zeros(len(s), np.int64), 1)
+        return _plain(np.concatenate([[_LOW], s + 1]), slope, out)
+
+    def walk(t: pa.Table, free: int) -> pa.RecordBatch:
+        stays = []
+        for s, e in zip(t["s"].to_pylist(), t["e"].to_pylist(), strict=True):
+            stays.append(s >= free)
+            free = e if s >= free else free
+        return pa.RecordBatch.from_struct_array(t.drop_columns(["part", "free"]).filter(pa.array(stays, pa.bool_())).to_struct_array().combine_chunks())
+
+    parts = blocks.withColumn("part", F.floor(F.col("s") / width).cast("int")).withColumns({c: F.col(c).cast("long") for c in ("s", "e")})
+    order = ["chrom_ix", "part", "s", "e", *(c for c in blocks.columns if c not in ("chrom_ix", "s", "e"))]
+    parts = _dealt(parts.select(*order))
+    return stepped(parts, function, walk, parts.drop("part").schema, lambda _: 1 << 62)
+
+
+def stepped(parts: DataFrame, function: Callable[[np.ndarray, np.ndarray, int], Steps], walk: Callable[[pa.Table, int], pa.RecordBatch], schema, top: Callable[[int], int]) -> DataFrame:
+    """walk() of every part (chrom_ix, part, s, e, ...), given the first free place that function() of the parts before it
+    leads to; of a group's function the places below top(group) count."""
+    columns = parts.columns
+
+    def groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[pa.Table]:
+        """The rows of each part."""
+        for t in whole_groups(batches, 2, least):
+            chrom, part = t.column(0).to_numpy(), t.column(1).to_numpy()
+            edge = np.append(np.flatnonzero(np.append(True, (chrom[1:] != chrom[:-1]) | (part[1:] != part[:-1]))), t.num_rows)
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                yield t.slice(a, b - a)
 
     def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chrom, number, s, e in groups(batches, 2):
-            f = function_of(s, e, size, int(number[0]) * width)
-            yield pa.RecordBatch.from_pylist([_packed(int(chrom[0]), int(number[0]), f)], _PACKED)
+        for t in groups(batches):
+            chrom, part = t.column(0)[0].as_py(), t.column(1)[0].as_py()
+            yield pa.RecordBatch.from_pylist([_packed(chrom, part, function(t.column(2).to_numpy(), t.column(3).to_numpy(), part))], _PACKED)
 
     def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[dict]]:
         for t in whole_groups(batches, keys, 1):
-            rows, at = t.to_pylist(), None
-            names = t.column_names[:keys]
-            for r in rows:
-                if (key := [r[n] for n in names]) != at:
-                    if at is not None:
-                        yield own
-                    at, own = key, []
-                own.append(r)
-            yield own
+            key = lambda r: tuple(r[n] for n in t.column_names[:keys])  # noqa: B023, E731
+            for _, own in groupby(t.to_pylist(), key):
+                yield list(own)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in grouped(batches, 2):
-            f, top = IDENTITY, own[0]["group"] * FAN * width + size
+            f = IDENTITY
             for r in own:
-                f = composed(f, _unpacked(r), top)
+                f = composed(f, _unpacked(r), top(r["group"]))
             yield pa.RecordBatch.from_pylist([_packed(own[0]["chrom_ix"], own[0]["group"], f)], _PACKED)
 
     def down(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -174,20 +214,19 @@ def greedy_starts_of(stretches: DataFrame, size: int, part: int | None = None) -
                 free = value(_unpacked(r), free)
             yield pa.RecordBatch.from_pylist(out, _ENTRY)
 
-    leaf = parts.mapInArrow(functions, _FUNCTION).withColumn("group", F.floor(F.col("part") / FAN).cast("int"))
+    entry = "chrom_ix int, part int, free long"
     order = ("chrom_ix", "group", "part")
-    by_group = leaf.select(*order, "lo", "slope", "add")
-    nodes = by_group.repartition("chrom_ix", "group").sortWithinPartitions(*order).mapInArrow(together, _FUNCTION)
+    leaf = parts.select(*columns[:4]).mapInArrow(functions, _FUNCTION).withColumn("group", F.floor(F.col("part") / FAN).cast("int")).select(*order, "lo", "slope", "add")
+    nodes = leaf.repartition("chrom_ix", "group").sortWithinPartitions(*order).mapInArrow(together, _FUNCTION)
     # a chromosome's groups: one function for each, of which one place is looked up
-    tops = nodes.repartition("chrom_ix").sortWithinPartitions("chrom_ix", "part").mapInArrow(lambda b: down(b, 1), "chrom_ix int, part int, free long")
+    tops = nodes.repartition("chrom_ix").sortWithinPartitions("chrom_ix", "part").mapInArrow(lambda b: down(b, 1), entry)
     handed = tops.select("chrom_ix", F.col("part").alias("group"), F.lit(-1).alias("part"), *(F.lit(None).cast("binary").alias(c) for c in ("lo", "slope", "add")), "free")
-    both = by_group.withColumn("free", F.lit(None).cast("long")).unionByName(handed)
-    entries = both.repartition("chrom_ix", "group").sortWithinPartitions(*order).mapInArrow(lambda b: down(b, 2), "chrom_ix int, part int, free long")
+    both = leaf.withColumn("free", F.lit(None).cast("long")).unionByName(handed)
+    entries = both.repartition("chrom_ix", "group").sortWithinPartitions(*order).mapInArrow(lambda b: down(b, 2), entry)
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chrom, _, s, e, free in groups(batches, 2):
-            at = starts_of(s, e, size, int(free[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), chrom[0], np.int32)), pa.array(at.astype(np.int32))], names=["chrom_ix", "block"])
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches):
+            yield walk(t, t["free"][0].as_py())
 
-    met = parts.join(entries, ["chrom_ix", "part"]).select("chrom_ix", "part", "s", "e", "free")
-    return met.sortWithinPartitions("chrom_ix", "part", "s").mapInArrow(walk, "chrom_ix int, block int")
+    met = parts.join(entries, ["chrom_ix", "part"]).select(*columns, "free")
+    return met.sortWithinPartitions("chrom_ix", "part", "s").mapInArrow(walked, schema)

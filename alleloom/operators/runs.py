@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from alleloom import schema as S
 from alleloom.functions import scalars as X
-from alleloom.operators.sweep import merged_regions
+from alleloom.operators.greedy import kept_blocks
+from alleloom.operators.sweep import WIDTH, merged_regions
 
 KEY = ("sample_ix", "chrom_ix")
 _JOINABLE = (*S.STRETCHES, *S.INDELS)
@@ -21,24 +22,46 @@ _JOINABLE = (*S.STRETCHES, *S.INDELS)
 CHUNK = 65536
 
 
-def normalize(runs: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Drops empty runs and joins adjacent stretches (and indels) of equal code: gaps and islands by one window."""
-    r = runs.where("run_end > run_start")
-    w = Window.partitionBy(*key).orderBy("run_start", "run_end")
+def _islands(r: DataFrame, part: tuple[str, ...], key: tuple[str, ...]) -> DataFrame:
+    """Adjacent stretches (and indels) of equal code within a part as one: gaps and islands by one window."""
+    w = Window.partitionBy(*part).orderBy("run_start", "run_end")
     joins = F.col("code").isin(*_JOINABLE) & (F.col("code") == F.lag("code").over(w)) & (F.lag("run_end").over(w) == F.col("run_start"))
     island = F.sum(F.when(joins, 0).otherwise(1)).over(w)
-    return r.withColumn("_island", island).groupBy(*key, "_island").agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.first("code").alias("code")).drop("_island")
+    out = r.withColumn("_island", island).groupBy(*part, "_island").agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.first("code").alias("code"))
+    return out.select(*part, "run_start", "run_end", "code")
+
+
+def normalize(runs: DataFrame, key: tuple[str, ...] = KEY, width: int = WIDTH) -> DataFrame:
+    """Drops empty runs and joins adjacent stretches (and indels) of equal code, bin by bin: of a bin's joined runs only the
+    first and the last can go on in another bin, so just these two of every bin are looked at along a chromosome."""
+    columns = (*key, "run_start", "run_end", "code")
+    r = runs.where("run_end > run_start").select(*columns, F.floor(F.col("run_start") / width).alias("_bin"))
+    own = _islands(r, (*key, "_bin"), key)
+    w = Window.partitionBy(*key, "_bin")
+    edge = (F.col("run_start") == F.min("run_start").over(w)) | (F.col("run_start") == F.max("run_start").over(w))
+    own = own.withColumn("_edge", edge)
+    return own.where("not _edge").select(*columns).unionByName(_islands(own.where("_edge").select(*columns), key, key))
+
+
+def following(spans: DataFrame, key: tuple[str, ...], width: int = WIDTH) -> DataFrame:
+    """(key, run_start, run_end) of what follows each span (key, lo, hi) up to the next one's beginning, null after the last:
+    within bins by a window, between bins from one row for each."""
+    b = spans.select(*key, "lo", "hi", F.floor(F.col("lo") / width).alias("_bin"))
+    inner = b.withColumn("to", F.lead("lo").over(Window.partitionBy(*key, "_bin").orderBy("lo", "hi"))).where("to is not null")
+    ends = b.groupBy(*key, "_bin").agg(F.min("lo").alias("first"), F.max_by("hi", F.struct("lo", "hi")).alias("hi"))
+    between = ends.withColumn("to", F.lead("first").over(Window.partitionBy(*key).orderBy("_bin")))
+    return inner.select(*key, F.col("hi").alias("run_start"), F.col("to").alias("run_end")).unionByName(between.select(*key, F.col("hi").alias("run_start"), F.col("to").alias("run_end")))
 
 
 def make_hap(runs: DataFrame) -> DataFrame:
     return runs.withColumn("code", X.make_hap(F.col("code")))
 
 
-def gap_fill(points: DataFrame, contigs: DataFrame, gap: int, key: tuple[str, ...] = KEY) -> DataFrame:
+def gap_fill(points: DataFrame, contigs: DataFrame, gap: int, key: tuple[str, ...] = KEY, width: int = WIDTH) -> DataFrame:
     """Point calls (key, pos, code) as runs over whole contigs; what lies between is of code `gap` (NS or EQS2)."""
-    w = Window.partitionBy(*key).orderBy("pos")
-    p = points.join(contigs.select("chrom_ix", "length"), "chrom_ix")
-    after = p.select(*key, (F.col("pos") + 1).alias("run_start"), F.coalesce(F.lead("pos").over(w), F.col("length")).alias("run_end"), F.lit(gap).alias("code"))
+    p = points.join(contigs.select("chrom_ix"), "chrom_ix", "left_semi")
+    open_ = following(p.select(*key, F.col("pos").alias("lo"), (F.col("pos") + 1).alias("hi")), key, width).join(contigs.select("chrom_ix", "length"), "chrom_ix")
+    after = open_.select(*key, "run_start", F.coalesce("run_end", "length").alias("run_end"), F.lit(gap).alias("code"))
     first = p.groupBy(*key).agg(F.min("pos").alias("run_end")).select(*key, F.lit(0).alias("run_start"), "run_end", F.lit(gap).alias("code"))
     calls = p.select(*key, F.col("pos").alias("run_start"), (F.col("pos") + 1).alias("run_end"), "code")
     return calls.unionByName(after).unionByName(first).where("run_end > run_start")
@@ -54,10 +77,11 @@ def gap_fill_patches(points: DataFrame, contigs: DataFrame, bed: DataFrame, insi
     cut = g.join(r, ["chrom_ix", "bin"]).where((lo < hi) & (F.col("bin") == F.floor(lo / width))).select(*key, "run_start", "run_end", lo.alias("lo"), hi.alias("hi"))
     good = cut.select(*key, F.col("lo").alias("run_start"), F.col("hi").alias("run_end"), F.lit(inside).alias("code"))
     # what is left of each gap: from its start, and from each cut's end, to the next cut
-    edge = gaps.select(*key, "run_start", "run_end", F.col("run_start").alias("at"), F.col("run_start").alias("lo")).unionByName(cut.select(*key, "run_start", "run_end", F.col("hi").alias("at"), "lo"))
-    w = Window.partitionBy(*key, "run_start").orderBy("lo", "at")
-    rest = edge.select(*key, F.col("at"), F.coalesce(F.lead("lo").over(w), F.col("run_end")).alias("to")).where("to > at")
-    bad = rest.select(*key, F.col("at").alias("run_start"), F.col("to").alias("run_end"), F.lit(outside).alias("code"))
+    whole = (*key, "gap_start", "gap_end")
+    named = lambda df: df.withColumnsRenamed({"run_start": "gap_start", "run_end": "gap_end"})
+    begin = named(gaps).withColumns({"lo": F.col("gap_start"), "hi": F.col("gap_start")})
+    rest = following(begin.unionByName(named(cut)), whole).withColumn("run_end", F.coalesce("run_end", "gap_end")).where("run_end > run_start")
+    bad = rest.select(*key, "run_start", "run_end", F.lit(outside).alias("code"))
     return calls.unionByName(good).unionByName(bad)
 
 
@@ -199,44 +223,36 @@ def coded(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, S.RUNS)
 
 
-def block_overlaps(blocks: DataFrame) -> DataFrame:
+def block_overlaps(blocks: DataFrame, width: int = WIDTH) -> DataFrame:
     """Blocks (chrom_ix, start, len, ord) with what is wrong: replaced by a later one of the same start, or overlapping the last kept end."""
-    w = Window.partitionBy("chrom_ix", "start").orderBy(F.desc("ord"))
-    one = blocks.withColumn("_r", F.row_number().over(w))
-    kept = one.where("_r = 1").drop("_r")
-    v = Window.partitionBy("chrom_ix").orderBy("start")
-    before = F.max(F.col("start") + F.col("len")).over(v.rowsBetween(Window.unboundedPreceding, -1))
-    return kept.withColumn("overlaps_before", F.coalesce(before > F.col("start"), F.lit(False))).withColumn("overlaps_after", F.coalesce(F.lead("start").over(v) < F.col("start") + F.col("len"), F.lit(False)))
-
-
-def assemble(blocks: DataFrame, contigs: DataFrame) -> DataFrame:
+    others = [c for c in blocks.columns if c not in ("chrom_ix", "start", "ord")]
+    last = blocks.groupBy("chrom_ix", "start").agg(F.max_by(F.struct(*others), "ord").alias("_x"), F.max("ord").alias("ord"))
+    kept = last.select("chrom_ix", "start", "ord", *(F.col(f"_x.{c}").alias(c) for c in others)).select(blocks.columns)
+    end = F.col("start") + F.col("len")
+    binned_ = kept.withColumn("_bin", F.floor(F.col("start") / width))
+    # a bin knows of the others how far those before reach and where the next one begins
+    along = Window.partitionBy("chrom_ix").orderBy("_bin")
+    bins = binned_.groupBy("chrom_ix", "_bin").agg(F.max(end).alias("reach"), F.min("start").alias("first"))
+    known = bins.select("chrom_ix", "_bin", F.max("reach").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_reach"), F.lead("first").over(along).alias("_next"))
+    v = Window.partitionBy("chrom_ix", "_bin").orderBy("start")
+    met = binned_.withColumn("_own", F.max(end).over(v.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_after", F.lead("start").over(v)).join(known, ["chrom_ix", "_bin"])
+    before = F.greatest("_own", "_reach")  # nulls don't count
+    out = met.withColumn("overlaps_before", F.coalesce(before > F.col("start"), F.lit(False))).withColumn("overlaps_after", F.coalesce(F.coalesce("_after", "_next") < end, F.lit(False)))
+    return out.select(*blocks.columns, "overlaps_before", "overlaps_after")
+
+
+def assemble(blocks: DataFrame, contigs: DataFrame, width: int = WIDTH, part: int | None = None) -> DataFrame:
     """Block extents on whole contigs: (chrom_ix, run_start, run_end, ord); a block that starts before the last kept end is skipped, gaps have a null ord.
 
-    Which blocks are kept depends on those kept before, so each chromosome's blocks are walked in order.
+    Which blocks are kept depends on those kept before; parts of a chromosome find out at the same time (operators/greedy.py).
     """
-    kept = block_overlaps(blocks).select(F.col("chrom_ix").cast("int").alias("chrom_ix"), F.col("start").cast("int").alias("start"), F.col("len").cast("int").alias("len"), "ord")
+    kept = block_overlaps(blocks).select(F.col("chrom_ix").cast("int").alias("chrom_ix"), F.col("start").alias("s"), (F.col("start") + F.col("len")).alias("e"), "ord")
+    used = kept_blocks(kept, part).select("chrom_ix", F.col("s").cast("int").alias("run_start"), F.col("e").cast("int").alias("run_end"), "ord")
     kind = blocks.schema["ord"].dataType
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chrom, end = None, 0
-        for b in batches:
-            stays = []
-            for c, s, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if c != chrom:
-                    chrom, end = c, 0
-                stays.append(s >= end)
-                end = s + n if s >= end else end
-            yield b.filter(pa.array(stays, pa.bool_()))
-
-    # blocks stream through in order; a task keeps the last end only
-    fits = kept.repartition("chrom_ix").sortWithinPartitions("chrom_ix", "start").mapInArrow(fold, kept.schema)
-    used = fits.select("chrom_ix", F.col("start").alias("run_start"), (F.col("start") + F.col("len")).alias("run_end"), "ord")
-    w = Window.partitionBy("chrom_ix").orderBy("run_start")
-    ends = used.join(contigs.select("chrom_ix", "length"), "chrom_ix")
-    after = ends.select("chrom_ix", F.col("run_end").alias("run_start"), F.coalesce(F.lead("run_start").over(w), F.col("length")).alias("run_end"))
+    after = following(used.select("chrom_ix", F.col("run_start").alias("lo"), F.col("run_end").alias("hi")), ("chrom_ix",), width).join(contigs.select("chrom_ix", "length"), "chrom_ix")
     first = used.groupBy("chrom_ix").agg(F.min("run_start").alias("run_end")).select("chrom_ix", F.lit(0).alias("run_start"), "run_end")
     bare = contigs.join(used.select("chrom_ix").distinct(), "chrom_ix", "left_anti").select("chrom_ix", F.lit(0).alias("run_start"), F.col("length").alias("run_end"))
-    gaps = after.unionByName(first).unionByName(bare).where("run_end > run_start").withColumn("ord", F.lit(None).cast(kind))
+    gaps = after.select("chrom_ix", "run_start", F.coalesce("run_end", "length").alias("run_end")).unionByName(first).unionByName(bare).where("run_end > run_start").withColumn("ord", F.lit(None).cast(kind))
     return used.unionByName(gaps)
 
 

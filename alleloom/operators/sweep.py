@@ -35,12 +35,23 @@ def binned(runs: DataFrame, width: int) -> DataFrame:
     return runs.where("run_end > run_start").withColumn("bin", F.explode(F.sequence(F.floor(F.col("run_start") / width), F.floor((F.col("run_end") - 1) / width))))
 
 
-def merged_regions(bed: DataFrame) -> DataFrame:
-    """Regions without overlap."""
-    w = Window.partitionBy("chrom_ix").orderBy("s", "e")
+def _joined(pieces: DataFrame, part: tuple[str, ...]) -> DataFrame:
+    """Regions of a part that overlap or touch as one."""
+    w = Window.partitionBy(*part).orderBy("s", "e")
     top = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col("s") <= top, 0).otherwise(1)
-    return bed.where("e > s").withColumn("_n", new).withColumn("_i", F.sum("_n").over(w)).groupBy("chrom_ix", "_i").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_i")
+    return pieces.withColumn("_n", new).withColumn("_i", F.sum("_n").over(w)).groupBy(*part, "_i").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_i")
+
+
+def merged_regions(bed: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Regions without overlap: cut at bins and joined there; of a bin's regions only those that touch its ends go on in
+    another bin, so just these are looked at along a chromosome."""
+    cut = binned(bed.select("chrom_ix", F.col("s").alias("run_start"), F.col("e").alias("run_end")), width)
+    begin, end = F.col("bin") * width, (F.col("bin") + 1) * width
+    own = _joined(cut.select("chrom_ix", "bin", F.greatest("run_start", begin).alias("s"), F.least("run_end", end).alias("e")), ("chrom_ix", "bin"))
+    edge = (F.col("s") == begin) | (F.col("e") == end)
+    out = own.where(~edge).drop("bin").unionByName(_joined(own.where(edge).drop("bin"), ("chrom_ix",)))
+    return out.select("chrom_ix", F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least: int) -> Iterator[pa.Table]:
