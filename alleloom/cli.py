@@ -64,10 +64,12 @@ def parser(command: str) -> argparse.ArgumentParser:
         p.add_argument("-S", "--sample-species")
         p.add_argument("-A", "--ancestor-of", default="pan,troglodytes")
     elif command == "bamin":
-        for o in ("min-mapq", "min-qual", "snip", "snap"):
-            p.add_argument(f"--{o}", type=int, default=0)
+        for names, what in ((("-q", "--min-qual"), "discard bases below this quality"), (("-m", "--min-mapq"), "discard reads below this mapping quality"), (("--snip",), "ignore so many bases at a read's beginning"), (("--snap",), "ignore so many bases at a read's end")):
+            p.add_argument(*names, type=int, default=0, help=what)
         p.add_argument("--deaminate", action="store_true")
         p.add_argument("--pick", choices=U.SCHEMES, default="ostrich")
+        for scheme in U.SCHEMES[1:]:  # of several, the last one counts
+            p.add_argument(f"--{scheme.replace('_', '-')}", action="store_const", const=scheme, dest="pick", help=f"the same as --pick {scheme}")
         p.add_argument("--seed", type=int, default=0)
     elif command in COUNTED:
         for short, long, dest, default in COUNTED[command]:

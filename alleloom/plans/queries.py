@@ -377,7 +377,7 @@ select s.chrom_ix, cast(s.block as int) block, enough, cast(2 * (i - 1) + hap as
 )
 def pseudo_ms_blocks(spark, d):
     v = B.tumbling_blocks(_with_ref(spark, d, _sparse(spark, d)).where("ref is not null"), 500)
-    return B.haplotypes(v, P.N_SAMPLES, 20.0).select("chrom_ix", "block", "enough", F.posexplode("lines").alias("line_no", "line"))
+    return B.haplotype_lines(v, P.N_SAMPLES, 20.0)
 
 
 # --- pileups ----------------------------------------------------------------------------------

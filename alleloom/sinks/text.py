@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alleloom.functions import scalars as X
-from alleloom.operators.blocks import haplotypes, tumbling_blocks
+from alleloom.operators.blocks import haplotype_lines, tumbling_blocks
 from alleloom.sinks.wrap import wrapped
 from alleloom.sources import runfile, twobit
 
@@ -67,10 +67,12 @@ def treemix_header(populations: Sequence[str]) -> str:
 def pseudo_ms_lines(variants: DataFrame, n_samples: int, size: int | None, min_informative: float = 90.0) -> DataFrame:
     """Block lines of wide variants with ref; without a size, one block a chromosome and no block heads."""
     b = tumbling_blocks(variants, size) if size else variants.withColumn("block", F.lit(0))
-    h = haplotypes(b, n_samples, min_informative)
-    body = F.when(F.col("enough"), F.col("lines")).otherwise(F.array(F.lit("# Not enough of info in this block")))
-    head = F.array(F.lit(""), F.lit("//"), F.lit(f"blockSize_{size}")) if size else F.array().cast("array<string>")
-    return h.select("chrom_ix", "block", F.posexplode(F.concat(head, body)).alias("ord", "line"))
+    h = haplotype_lines(b, n_samples, min_informative)
+    head = [F.lit(""), F.lit("//"), F.lit(f"blockSize_{size}")] if size else []
+    first = F.array(*head, F.when(F.col("enough"), F.col("line")).otherwise(F.lit("# Not enough of info in this block")))
+    more = F.when(F.col("enough"), F.array("line")).otherwise(F.array().cast("array<string>"))
+    each = h.select("chrom_ix", "block", "line_no", F.posexplode(F.when(F.col("line_no") == 0, first).otherwise(more)).alias("k", "line"))
+    return each.select("chrom_ix", "block", F.when(F.col("line_no") == 0, F.col("k")).otherwise(len(head) + F.col("line_no")).alias("ord"), "line")
 
 
 def fasta_lines(patched: DataFrame, contigs: DataFrame, width: int = 50) -> DataFrame:

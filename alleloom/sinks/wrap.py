@@ -5,46 +5,42 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def wrapped(texts: DataFrame, keys: list[str], width: int = 50) -> DataFrame:
     """(keys, ord, line) of texts (keys, name, start, seq): a header for each, then lines of `width` letters.
 
-    The chunks of a text stream through one task in order; it keeps less than a line of them.
+    Chunks wrap alone: what precedes a chunk is a sum over the lengths of a text's chunks, so each knows its line and column.
+    Lines within a chunk come out whole; of those that cross chunks, the parts are put together.
     """
-    by = texts.select(*keys, "name", "start", "seq")
     n = len(keys)
-    schema = by.select(*keys).schema.add("ord", "integer").add("line", "string")
+    lengths = texts.select(*keys, "start", F.length("seq").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    at = lengths.select(*keys, "start", F.coalesce(before, F.lit(0)).cast("long").alias("offset"))  # a number for each chunk
+    placed = texts.select(*keys, "start", "seq").join(at, [*keys, "start"]).select(*keys, "offset", "seq")
+    schema = placed.select(*keys).schema.add("ord", "integer").add("column", "integer").add("line", "string").add("whole", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rest, ord_ = None, "", 0
-        out: list[tuple] = []
         for b in batches:
-            for *key, name, _, seq in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if key != at:
-                    if rest:
-                        out.append((*at, ord_, rest))
-                    at, rest, ord_ = key, "", 1
-                    out.append((*key, 0, f">{name}"))
-                rest += seq
-                whole = len(rest) - len(rest) % width
-                out += [(*key, ord_ + i // width, rest[i : i + width]) for i in range(0, whole, width)]
-                ord_ += whole // width
-                rest = rest[whole:]
-            yield from _batch(out, b, n)
-            out = []
-        if rest:
-            yield from _batch([(*at, ord_, rest)], b, n)
-
-    return by.repartition(*keys).sortWithinPartitions(*keys, "start").mapInArrow(run, schema)
-
-
-def _batch(rows: list[tuple], like: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
-    if rows:
-        kinds = [*(like.schema.field(i).type for i in range(n)), pa.int32(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*like.schema.names[:n], "ord", "line"])
+            for i, (offset, seq) in enumerate(zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)):
+                column = offset % width
+                cuts = [0, *range(width - column, len(seq), width)]
+                lines = [seq[x:y] for x, y in zip(cuts, [*cuts[1:], len(seq)], strict=True) if y > x]
+                if not lines:
+                    continue
+                m = len(lines)
+                columns = pa.array([column] + [0] * (m - 1), pa.int32())
+                own = [pa.array([b.column(k)[i].as_py()] * m, b.schema.field(k).type) for k in range(n)]
+                ords = pa.array(range(offset // width + 1, offset // width + 1 + m), pa.int32())
+                yield pa.RecordBatch.from_arrays([*own, ords, columns, pa.array(lines, pa.string()), pa.array([len(x) == width for x in lines])], names=[*b.schema.names[:n], "ord", "column", "line", "whole"])
+
+    pieces = placed.mapInArrow(run, schema)
+    parts = F.sort_array(F.collect_list(F.struct("column", "line")))
+    crossing = pieces.where("not whole").groupBy(*keys, "ord").agg(F.array_join(parts["line"], "").alias("line"))
+    heads = texts.groupBy(*keys).agg(F.concat(F.lit(">"), F.first("name")).alias("line")).select(*keys, F.lit(0).alias("ord"), "line")
+    return heads.unionByName(pieces.where("whole").select(*keys, "ord", "line")).unionByName(crossing)
 
 
 def region(chunks: DataFrame, lo: int, hi: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +27,19 @@ def decompressed(data: bytes) -> bytes:
     return decompressed(b"".join(out))
 
 
+@lru_cache(maxsize=1)
+def stdin() -> bytes:
+    """All of standard input, which can be read once: a command looks at a file's head before its body."""
+    return sys.stdin.buffer.read()
+
+
 def opened(spark: SparkSession, paths: list[str], glob: str | None = None) -> DataFrame:
     """(file, path, content): whole files; file is the place of its path among those given. The path - is standard input."""
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    stdin = lambda: spark.createDataFrame([("-", bytearray(sys.stdin.buffer.read()))], "path string, content binary")
-    files = [(stdin() if p == "-" else reader.load(p)).select(F.lit(i).alias("file"), "path", "content") for i, p in enumerate(paths)]
+    piped = lambda: spark.createDataFrame([("-", bytearray(stdin()))], "path string, content binary")
+    files = [(piped() if p == "-" else reader.load(p)).select(F.lit(i).alias("file"), "path", "content") for i, p in enumerate(paths)]
     out = files[0]
     for f in files[1:]:
         out = out.unionByName(f)
