@@ -27,8 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from alleloom.llm.common import written
 
@@ -45,14 +47,24 @@ def bound(size: int) -> int:
     return int((2.0**62 / max(size, 1)) ** 0.5 / 2)
 
 
-def whole(vector: str, scale: int = SCALE) -> Column:
-    """A vector's components as whole numbers; null where it can't be used."""
-    x = F.col(vector).cast("array<double>")
-    large = F.lit(2.0**53) / scale
-    usable = (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= large))
-    n = F.transform(x, lambda v: F.floor(v * scale))
-    limit = F.sqrt(F.lit(2.0**62) / F.size(x)) / 2
-    return F.when(F.coalesce(usable, F.lit(False)), F.when(F.forall(n, lambda v: F.abs(v) <= limit), n))
+def whole(column: pa.Array, scale: int = SCALE, size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their components as whole numbers) of the vectors in a list column that can be used, those of each length
+    together, or those of one length only."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    begin, n = column.offsets.to_numpy()[:-1].astype(np.int64), np.diff(column.offsets.to_numpy())
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    values = column.values
+    known = values.is_valid().to_numpy(zero_copy_only=False)
+    x = values.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(np.float64)
+    for k in np.unique(n[there]) if size is None else [size]:
+        rows = np.flatnonzero(there & (n == k)) if k else np.zeros(0, np.int64)
+        if len(rows):
+            at = begin[rows][:, None] + np.arange(k)
+            v = np.floor(scale * x[at])
+            ok = known[at].all(1) & (np.abs(v) <= bound(int(k))).all(1)  # not of nan and infinity
+            if ok.any():
+                yield rows[ok], v[ok].astype(np.int64)
 
 
 @dataclass
@@ -99,10 +111,8 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return entry[first], least, len(row)
 
 
-def _parts(column: pa.Array, book_size: int, parts: int) -> np.ndarray:
-    """Vectors (lists of equal length) as parts x vectors x components; zeros fill the last part."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    x = flat.reshape(len(column), -1)
+def _parts(x: np.ndarray, book_size: int, parts: int) -> np.ndarray:
+    """Vectors as parts x vectors x components; zeros fill the last part."""
     x = np.pad(x, ((0, 0), (0, parts * book_size - x.shape[1])))
     return np.ascontiguousarray(x.reshape(len(x), parts, book_size).transpose(1, 0, 2))
 
@@ -110,45 +120,47 @@ def _parts(column: pa.Array, book_size: int, parts: int) -> np.ndarray:
 # --- codebooks --------------------------------------------------------------------------------
 
 
-def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vectors with their whole numbers (_x), without those that can't be used."""
-    known = vectors.withColumn("_x", whole(vector, scale)).where("_x is not null")
-    first = known.select(F.col(key).alias("id"), "_x").orderBy(F.asc_nulls_last("id"), "_x").select(F.size("_x").alias("n")).first()
-    return known.where(F.size("_x") == (first["n"] if first else 0))
+def smallest(vectors: DataFrame, key: str, vector: str, count: int, scale: int = SCALE, size: int | None = None) -> list[list[int]]:
+    """The first `count` vectors that can be used, by id, then by their numbers. Every batch names its own first ones, and
+    those that share the last one's id; `count` of them reach the driver."""
 
-
-def started(known: DataFrame, key: str = "vec_id", parts: int = PARTS, entries: int = ENTRIES) -> Book:
-    """The parts of the first vectors by id (of one id, by the vector): at most `entries` rows reach the driver."""
-    rows = known.select(F.col(key).alias("id"), "_x").orderBy(F.asc_nulls_last("id"), "_x").limit(entries).collect()
-    if not rows:
-        return Book(np.zeros((parts, 0, 1), np.int64))
-    x = np.array([r["_x"] for r in rows], np.int64)
-    size = -(-x.shape[1] // parts)
-    x = np.pad(x, ((0, 0), (0, parts * size - x.shape[1])))
-    return Book(np.ascontiguousarray(x.reshape(len(rows), parts, size).transpose(1, 0, 2)))
-
-
-def refined(known: DataFrame, book: Book) -> Book:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, x in whole(b.column(1), scale, size):
+                ids = b.column(0).take(pa.array(rows))
+                order = pc.sort_indices(ids, null_placement="at_end").to_numpy().astype(np.int64)
+                if len(order) > count:
+                    last = ids[int(order[count - 1])]
+                    more = ids.is_null() if not last.is_valid else pc.equal(ids, last).fill_null(False)
+                    order = np.union1d(order[:count], np.flatnonzero(more.to_numpy(zero_copy_only=False)))
+                lists = pa.ListArray.from_arrays(np.arange(len(order) + 1, dtype=np.int32) * x.shape[1], pa.array(x[order].ravel()))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(order)), lists], names=["id", "x"])
+
+    two = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    told = two.mapInArrow(run, two.select("id").schema.add("x", T.ArrayType(T.LongType())))
+    return [r["x"] for r in told.orderBy(F.asc_nulls_last("id"), "x").limit(count).collect()]
+
+
+def refined(vectors: DataFrame, vector: str, book: Book, length: int, scale: int = SCALE) -> Book:
     """The codebooks after one round."""
     parts, entries, size = book.entries.shape
-    if not entries:
-        return book
-    sent = known.sparkSession.sparkContext.broadcast(book.entries)
+    sent = vectors.sparkSession.sparkContext.broadcast(book.entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = sent.value
         total, count = np.zeros((parts, entries, size), np.int64), np.zeros((parts, entries), np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, _ROWS):
-                for p, x in enumerate(_parts(b.column(0).slice(at, _ROWS), size, parts)):
-                    code, _, _ = nearest(x, c[p])
-                    np.add.at(total[p], code, x)
-                    count[p] += np.bincount(code, minlength=entries)
+            for _, whole_ in whole(b.column(0), scale, length):
+                for at in range(0, len(whole_), _ROWS):
+                    for p, x in enumerate(_parts(whole_[at : at + _ROWS], size, parts)):
+                        code, _, _ = nearest(x, c[p])
+                        np.add.at(total[p], code, x)
+                        count[p] += np.bincount(code, minlength=entries)
         p, e = np.nonzero(count)
         sums = pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * size, pa.array(total[p, e].ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(count[p, e]), sums], names=["part", "entry", "n", "sums"])
 
-    told = known.select("_x").mapInArrow(run, "part int, entry int, n long, sums array<long>")
+    told = vectors.select(vector).mapInArrow(run, "part int, entry int, n long, sums array<long>")
     each = told.groupBy("part", "entry").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("sums")[i]) for i in range(size))).alias("sums"))
     new = book.entries.copy()
     for r in each.collect():  # one row for each entry of the codebooks at most
@@ -156,39 +168,43 @@ def refined(known: DataFrame, book: Book) -> Book:
     return Book(new)
 
 
-def coded(known: DataFrame, book: Book) -> DataFrame:
-    """known with `code` (two hex digits for each part) and `error` (squared distances, summed over the parts)."""
-    keep = [c for c in known.columns if c not in ("_x", "code", "error")]
-    schema = known.select([F.col(f"`{c}`") for c in keep]).schema.add("code", "string").add("error", "long")
-    parts, entries, size = book.entries.shape
-    sent = known.sparkSession.sparkContext.broadcast(book.entries)
+def coded(vectors: DataFrame, vector: str, book: Book, length: int, scale: int = SCALE) -> DataFrame:
+    """The vectors that can be used with `code` (two hex digits for each part) and `error` (squared distances, summed over the parts)."""
+    keep = [c for c in vectors.columns if c not in ("code", "error")]
+    schema = vectors.select([F.col(f"`{c}`") for c in keep]).schema.add("code", "string").add("error", "long")
+    parts, _, size = book.entries.shape
+    sent = vectors.sparkSession.sparkContext.broadcast(book.entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = sent.value
         for b in batches:
-            whole_ = b.column(b.schema.get_field_index("_x"))
-            for at in range(0, b.num_rows, _ROWS):
-                part = b.slice(at, _ROWS)
-                codes, error = np.zeros((part.num_rows, parts), np.uint8), np.zeros(part.num_rows, np.int64)
-                for p, x in enumerate(_parts(whole_.slice(at, _ROWS), size, parts)):
-                    codes[:, p], d, _ = nearest(x, c[p])
-                    error += d
-                text = codes.tobytes().hex()
-                width = 2 * parts
-                yield pa.RecordBatch.from_arrays([*(part.column(b.schema.get_field_index(k)) for k in keep), pa.array([text[i : i + width] for i in range(0, len(text), width)], pa.string()), pa.array(error)], names=[*keep, "code", "error"])
+            for rows, whole_ in whole(b.column(b.schema.get_field_index(vector)), scale, length):
+                for at in range(0, len(rows), _ROWS):
+                    own = pa.array(rows[at : at + _ROWS])
+                    codes, error = np.zeros((len(own), parts), np.uint8), np.zeros(len(own), np.int64)
+                    for p, x in enumerate(_parts(whole_[at : at + _ROWS], size, parts)):
+                        codes[:, p], d, _ = nearest(x, c[p])
+                        error += d
+                    text, width = codes.tobytes().hex(), 2 * parts
+                    yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)).take(own) for k in keep), pa.array([text[i : i + width] for i in range(0, len(text), width)], pa.string()), pa.array(error)], names=[*keep, "code", "error"])
 
-    return known.mapInArrow(run, schema)
+    return vectors.mapInArrow(run, schema)
 
 
 def compressed(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> tuple[DataFrame, Book]:
     """vectors that can be used, with code and error, and the codebooks; at most 256 entries, as a code has two digits."""
     if not 0 < entries <= 256:
         raise ValueError("codebooks hold 1 to 256 entries")
-    known = usable(vectors, key, vector, scale)
-    book = started(known, key, parts, entries)
-    for _ in range(rounds):
-        book = refined(known, book)
-    return coded(known, book), book
+    first = smallest(vectors, key, vector, 1, scale)
+    if not first:
+        book, length = Book(np.zeros((parts, 0, 1), np.int64)), 0
+    else:
+        length = len(first[0])
+        x = np.array(smallest(vectors, key, vector, entries, scale, length), np.int64)
+        book = Book(_parts(x, -(-length // parts), parts))
+        for _ in range(rounds):
+            book = refined(vectors, vector, book, length, scale)
+    return coded(vectors, vector, book, length, scale), book
 
 
 # --- the query --------------------------------------------------------------------------------
