@@ -1,7 +1,9 @@
 """Personal data: surrogate generation.
 
 Entities are found in whole texts: mail and network addresses, phone numbers, card and account numbers with valid check
-digits, social security numbers in use, secrets, names after a title. Each distinct entity, in canonical form, gets one
+digits, social security numbers in use, secrets, names after a title, and these names wherever else the document writes
+them as words of their own, with capitals: a person stays one with and without the title, and no clear name stays beside
+its surrogate. A document's untitled names that never have a title in it are not found. Each distinct entity, in canonical form, gets one
 surrogate for the whole corpus, made from a keyed digest of (kind, entity, attempt), so equal entities stay equal
 (coreference, across layouts and, but for secrets, case) and nothing can be undone without the key. A surrogate has its
 entity's kind, script and format: digits of the script for digits, letters of the script for letters, in a secret upper
@@ -40,13 +42,15 @@ _MARK = "\u0300-\u036f\u0591-\u05bd\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0981
 _NAME = rf"[^\W\d_a-zß-öø-ÿа-яёα-ω](?:[^\W\d_]|[{_MARK}])*(?:[-'’](?:[^\W\d_]|[{_MARK}])+)*"
 #: Titles and the gender that they tell.
 TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Господин": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "Srta": "f", "Госпожа": "f", "Dr": "n", "Prof": "n"}
+_WORD = re.compile(rf"(?<![\w-]){_NAME}(?![\w@])")
+_POSSESSIVE = re.compile(r"['’][sS]?$")
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 KINDS: tuple[tuple[str, re.Pattern], ...] = (
     ("secret", re.compile(r"(?i)\b(?:token|api[_-]?key|access[_-]?key|secret|passw(?:or)?d)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_\-]{12,})")),
     ("mail", re.compile(r"[\w.%+-]*\w[\w%+-]*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")),
     ("ip", re.compile(rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
-    ("phone", re.compile(r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\d-])")),
+    ("phone", re.compile(r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}([ .-])\d{3}\1\d{4}(?![\w-])(?!\.\d)|(?<![\w.-])0\d{1,4}[ /-]\d{5,8}(?![\w-])(?!\.\d)")),
     ("card", re.compile(r"(?<![\w.-])(?:\d{4}[ -]){3}\d{4}(?![\w-])|(?<![\w.])\d{13,19}(?!\w)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("name", re.compile(rf"\b({_TITLE})\.?[  ]({_NAME})(?:[  ]({_NAME}))?")),
@@ -93,6 +97,33 @@ def _in_use(ssn: str) -> bool:
 CHECKED = {"card": luhn, "iban": lambda x: _iban_number(x) % 97 == 1, "ssn": _in_use}
 
 
+def _again(text: str, got: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Words that are written as names and are names that got has after a title: the same persons without it.
+
+    A word that is a given and a family name is given before a word that is a family name, else family; of several kinds
+    of one role the first in the text counts. A word that a name joins by a hyphen is a name of its own.
+    """
+    given: dict[str, str] = {}
+    family: dict[str, str] = {}
+    for _, _, kind, entity in got:
+        if kind.startswith(("given-", "family-")):
+            (given if kind.startswith("given-") else family).setdefault(entity, kind)
+    if not family:
+        return []
+    words = []
+    for m in _WORD.finditer(text):
+        said = _POSSESSIVE.sub("", m[0])
+        low = said.casefold()
+        if low in given or low in family:
+            words.append((m.start(), m.start() + len(said), low))
+    found = []
+    for i, (start, end, low) in enumerate(words):
+        before_family = i + 1 < len(words) and words[i + 1][2] in family and text[end : words[i + 1][0]] in (" ", "\u00a0")
+        kind = given[low] if low in given and (before_family or low not in family) else family[low]
+        found.append((start, end, kind, low))
+    return found
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical entity), in order and without overlap."""
     got: list[tuple[int, int, str, str]] = []
@@ -112,14 +143,16 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 parts = [2, 3] if m[3] else [2]
                 for g in parts:
                     role = "family" if g == parts[-1] else f"given-{gender}"
-                    got.append((*m.span(g), f"{role}-{script_of(m[g])}", m[g].casefold()))
+                    said = _POSSESSIVE.sub("", m[g])
+                    got.append((m.start(g), m.start(g) + len(said), f"{role}-{script_of(said)}", said.casefold()))
             else:
                 got.append((*m.span(), kind, m[0] if kind == "ip" else _solid(m[0])))
+    got += _again(text, got)
     rank = {k: i for i, (k, _) in enumerate(KINDS)}
     taken: list[tuple[int, int, str, str]] = []
     if len(got) > 1:
         used = bytearray(len(text))
-        for g in sorted(got, key=lambda g: (rank.get(g[2], len(rank)), g[0])):
+        for g in sorted(got, key=lambda g: rank.get(g[2], len(rank))):  # stable: names after a title come before the same words again
             if not any(used[g[0] : g[1]]):
                 used[g[0] : g[1]] = b"\1" * (g[1] - g[0])
                 taken.append(g)
@@ -183,8 +216,8 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         return next(x for x in (out[:-1] + chr(zero + d) for d in range(10)) if luhn(x))
     if kind == "ssn":  # no number in use begins with 9; all digits once these have been tried often
         return ("9" if attempt < 16 else "") + _shape(entity[attempt < 16 :], r)
-    if kind == "phone":
-        keep = max(0, len(entity) - 10)
+    if kind == "phone":  # a country's code stays, and the 0 before an area's
+        keep = max(0, len(entity) - 10, entity.startswith("0"))
         return entity[:keep] + _shape(entity[keep:], r)
     if kind == "iban":
         out = entity[:2] + "00" + _shape(entity[4:], r)
