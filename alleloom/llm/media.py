@@ -29,21 +29,27 @@ from alleloom.llm.common import written
 ROW = 64
 SEQUENCE = "array<struct<position:int,kind:string,text:string,media:string,caption:string>>"
 _ARROW_SEQUENCE = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("media", pa.string()), ("caption", pa.string())]))
-_SKIP = {"script", "style", "template", "noscript", "head"}
+_SKIP = {"script", "style", "template", "title"}
 _BLOCK = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "td", "th", "blockquote", "pre", "br", "hr", "nav", "header", "footer", "main", "aside", "figure", "body"}
 _MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "source", "embed": "embed"}
 
 
 class _Reader(HTMLParser):
-    """Text between block borders becomes one segment; a media element becomes one reference where it stands."""
+    """Text between block borders becomes one segment; a media element becomes one reference where it stands.
+
+    A head ends with its end tag or, where that is left out, with the first block, media element or text outside a title.
+    What stands in `noscript` counts, as for a reader without scripts. A caption is for the media of its own figure, before
+    it and after it, and for those of figures within that have no caption; without any it is text at the figure's end.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[dict] = []
         self.words: list[str] = []
         self.skip = 0
+        self.head = False
         self.caption: list[str] | None = None
-        self.figure: list[int] = []
+        self.figures: list[tuple[list[int], list[str]]] = []  # open figures: places of media, captions
 
     def _flush(self):
         text = " ".join("".join(self.words).split())
@@ -51,23 +57,62 @@ class _Reader(HTMLParser):
         if text:
             self.out.append({"position": len(self.out), "kind": "text", "text": text, "media": None, "caption": None})
 
+    def _end_caption(self):
+        said = " ".join("".join(self.caption or []).split())
+        self.caption = None
+        if said and self.figures:
+            self.figures[-1][1].append(said)
+        elif said:
+            self.words.append(said)
+            self._flush()
+
+    def _end_figure(self):
+        self._end_caption()
+        self._flush()
+        media, captions = self.figures.pop()
+        said = " ".join(captions)
+        if said and not media:
+            self.words.append(said)
+            self._flush()
+        elif said:
+            for k in media:
+                self.out[k]["caption"] = said
+        elif self.figures:
+            self.figures[-1][0].extend(media)
+
+    def finish(self):
+        """Ends what the page leaves open."""
+        while self.figures:
+            self._end_figure()
+        self._end_caption()
+        self._flush()
+
     def handle_starttag(self, tag, attrs):
         if tag in _SKIP:
             self.skip += 1
-        if self.skip:
+        elif tag == "head":
+            self.head = True
+        if tag == "body" or not self.skip and (tag in _BLOCK or tag in _MEDIA or tag == "figcaption"):
+            self.head = False
+        if self.skip or self.head:
             return
-        if tag in _BLOCK:
+        if tag in _BLOCK and self.caption is None:
             self._flush()
+        elif tag in _BLOCK:
+            self.caption.append(" ")
         if tag == "figure":
-            self.figure = []
+            self._end_caption()
+            self.figures.append(([], []))
         elif tag == "figcaption":
             self._flush()
+            self._end_caption()
             self.caption = []
         elif tag in _MEDIA:
             at = dict(attrs)
             if src := at.get("src"):
                 self._flush()
-                self.figure.append(len(self.out))
+                if self.figures:
+                    self.figures[-1][0].append(len(self.out))
                 self.out.append({"position": len(self.out), "kind": _MEDIA[tag], "text": None, "media": src, "caption": at.get("alt") or None})
 
     def handle_startendtag(self, tag, attrs):
@@ -77,23 +122,24 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _SKIP:
             self.skip = max(0, self.skip - 1)
-        elif self.skip:
+        elif tag == "head":
+            self.head = False
+        elif self.skip or self.head:
             return
         elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            self.caption = None
-            for k in self.figure:
-                self.out[k]["caption"] = said or self.out[k]["caption"]
-            if said and not self.figure:
-                self.words.append(said)
-        elif tag == "figure":
+            self._end_caption()
+        elif tag == "figure" and self.figures:
+            self._end_figure()
+        elif tag in _BLOCK and self.caption is None:
             self._flush()
-            self.figure = []
         elif tag in _BLOCK:
-            self._flush()
+            self.caption.append(" ")
 
     def handle_data(self, data):
-        if not self.skip:
+        if self.skip:
+            return
+        self.head = self.head and not data.strip()
+        if not self.head:
             (self.words if self.caption is None else self.caption).append(data)
 
 
@@ -101,7 +147,7 @@ def parsed(page: str | None) -> list[dict]:
     r = _Reader()
     r.feed(page or "")
     r.close()
-    r._flush()
+    r.finish()
     return r.out
 
 
