@@ -124,6 +124,22 @@ def calibrated(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+def smallest(rows: DataFrame, n: int, group: str, h: str, tag: str) -> DataFrame:
+    """Rows of each group among which are its n distinct smallest by hash h, and in expectation no more than 4 n others.
+
+    A hash's level is the length of its distance from the smallest hash in bits: the rows up to one level are half those
+    up to the next. Distinct rows of a level are counted with map-side sketches, 63 small rows for each group, and the
+    level at which there are twice as many as wanted (the sketches err by 5 %) is the group's threshold, so no group is
+    sorted whole and nothing else is shuffled. The groups are the model's labels, for which the driver has room.
+    """
+    level = F.length(F.bin(F.shiftrightunsigned(F.col(h).bitwiseXOR(F.lit(-(1 << 63))), 1)))
+    marked = rows.withColumn("_level", level)
+    counted = marked.groupBy(group, "_level").agg(F.approx_count_distinct(F.xxhash64(h, tag)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(group).orderBy("_level"))
+    enough = counted.withColumn("upto", upto).groupBy(group).agg(F.coalesce(F.min(F.when(F.col("upto") >= 2 * n, F.col("_level"))), F.lit(64)).alias("_last"))
+    return marked.join(F.broadcast(enough), group).where("_level <= _last").drop("_level", "_last")
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """A model of docs' non-null languages; docs holds just the rows that may be learned from."""
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("id"))
@@ -131,9 +147,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     idf = np.log((1 + n) / (1 + df)) + 1
     # the sample's features are made where the texts are; the driver gets `sample` sparse vectors at most
     # which rows is settled without their texts, and language by language in turn, so rare languages are learned too
-    known = usable.withColumn("h", F.xxhash64("id")).withColumn("th", F.xxhash64("text"))
+    # a row without id has its text's hash, so such rows spread as well
+    known = usable.withColumn("th", F.xxhash64("text")).withColumn("h", F.when(F.col("id").isNull(), F.col("th")).otherwise(F.xxhash64("id")))
     order = ["h", "id", "th"]
-    turn = known.select("lang", *order).distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= sample)
+    few = smallest(known, sample, "lang", "h", "th")
+    turn = few.select("lang", *order).distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= sample)
     ids = turn.orderBy("r", *order, "lang").limit(sample).select("h", "th", "lang")
     chosen = known.join(F.broadcast(ids), ["h", "th", "lang"]).dropDuplicates(["h", "th", "lang"])
 
