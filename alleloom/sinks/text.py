@@ -1,36 +1,36 @@
-"""Text and file sinks. Ordered single files come from a range-partitioned sort, read back part by part in order."""
+"""Text and file sinks. Ordered single files come from a range-partitioned sort, whose tasks write parts of the file (committed.py)."""
 
 from __future__ import annotations
 
-import contextlib
-import gzip
 import sys
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alleloom.functions import scalars as X
 from alleloom.operators.blocks import haplotype_lines, tumbling_blocks
+from alleloom.sinks.committed import write_joined
 from alleloom.sinks.wrap import wrapped
 from alleloom.sources import runfile, twobit
 
 
 def ordered_lines(lines: DataFrame, order: Sequence[str], path: str, header: str = "", compress: bool = False) -> None:
-    """Writes column `line` of lines in order: to standard output (-), to a folder of ordered part files that the executors
-    write (a path that ends in a slash; its header, if any, is the file _header), or to one file on the driver, to which
-    rows stream partition by partition."""
+    """Writes column `line` of lines in order: to one file, whose parts tasks write (compressed: one gzip member each), to
+    a folder of ordered part files (a path that ends in a slash; its header, if any, is the file _header), or to standard
+    output (-), to which rows stream partition by partition."""
+    if path != "-" and not path.endswith("/"):
+        write_joined(lines.select(*order, F.encode(F.concat("line", F.lit("\n")), "utf-8").alias("data")), path, header.encode(), compress=compress)
+        return
     rows = lines.orderBy(*order).select("line")
     if path.endswith("/"):
         rows.write.mode("overwrite").option("compression", "gzip" if compress else "none").text(path)
         if header:
             lines.sparkSession.createDataFrame([(header.rstrip("\n"),)], "line string").coalesce(1).write.mode("overwrite").text(f"{path}_header")
         return
-    with contextlib.nullcontext(sys.stdout) if path == "-" else gzip.open(path, "wt") if compress else open(path, "w") as out:
-        out.write(header)
-        for r in rows.toLocalIterator(prefetchPartitions=True):
-            out.write(r["line"] + "\n")
+    sys.stdout.write(header)
+    for r in rows.toLocalIterator(prefetchPartitions=True):
+        sys.stdout.write(r["line"] + "\n")
 
 
 def _per_call(calls: Column, one, sep: str) -> Column:
@@ -86,21 +86,18 @@ def write_runs(runs: DataFrame, path: str) -> None:
 
 
 def write_runfile(runs: DataFrame, path: str, reference_path: str, contigs: DataFrame) -> None:
-    """One sample's runs as a run file, moved into place when complete."""
+    """One sample's runs as a run file; tasks write its chromosomes, and it is moved into place when complete."""
     c = contigs.orderBy("chrom_ix").collect()  # one row for each chromosome
-    data = {r["chrom_ix"]: bytes(r["data"]) for r in runfile.encoded(runs).toLocalIterator()}
-    to = Path(path)
-    part = to.with_name(to.name + ".part")
-    with part.open("wb") as out:
-        out.write(runfile.header(reference_path, runfile.token([r["name"] for r in c], [r["length"] for r in c])))
-        for r in c:
-            out.write(data.get(r["chrom_ix"], b"\0"))
-    part.rename(to)
+    head = runfile.header(reference_path, runfile.token([r["name"] for r in c], [r["length"] for r in c]))
+    data = runfile.encoded(runs).select("chrom_ix", "data")
+    every = contigs.select("chrom_ix").join(data, "chrom_ix", "left").select("chrom_ix", F.coalesce("data", F.lit(b"\0")).alias("data"))
+    write_joined(every, path, head)
 
 
 def write_twobit(chunks: DataFrame, contigs: DataFrame, path: str) -> None:
-    rows = twobit.packed(chunks, contigs).orderBy("chrom_ix").collect()  # a reference genome's chromosomes
-    Path(path).write_bytes(twobit.write([r["name"] for r in rows], [bytes(r["record"]) for r in rows]))
+    """A 2bit file; tasks write heads of records and coded chunks, the file's head is made of what they report."""
+    names = [r["name"] for r in contigs.orderBy("chrom_ix").collect()]  # one for each chromosome
+    write_joined(twobit.pieces(chunks, contigs), path, names=names)
 
 
 def aligned(rows: Sequence[Sequence[tuple[bool, str]]]) -> str:

@@ -22,6 +22,7 @@ MAGIC = 0x1A412743
 _CODE = np.zeros(256, np.uint8)
 for _i, _c in enumerate(S.BASES):
     _CODE[ord(_c)] = _CODE[ord(_c.lower())] = _i
+CODED = pa.schema([("chrom_ix", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("starts", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary())])
 _LETTER = np.frombuffer(S.BASES.encode(), np.uint8)
 
 
@@ -84,27 +85,42 @@ def index(data: bytes) -> list[tuple[str, int, int]]:
     return out
 
 
-def packed(chunks: DataFrame, contigs: DataFrame) -> DataFrame:
-    """(chrom_ix, name, record): each chromosome's record. Chunks are coded where they are, so a quarter of a chromosome's
-    bytes come together; all chunks but a chromosome's last must hold a multiple of four bases."""
+def record_head(pdf: pd.DataFrame) -> bytes:
+    """What comes before the bases in a record, from the lengths and N blocks of a chromosome's coded chunks."""
+    pdf = pdf.sort_values("start")
+    if (pdf["n"].to_numpy()[:-1] % 4).any():
+        raise ValueError("chunks must hold a multiple of four bases")
+    at = np.frombuffer(b"".join(pdf["starts"]), "<i8")
+    end = at + np.frombuffer(b"".join(pdf["sizes"]), "<i8")
+    new = np.append(True, at[1:] != end[:-1])[: len(at)]  # a block may go on in the next chunk
+    last = np.append(new[1:], True)[: len(at)]
+    return record(int(pdf["n"].sum()), at[new], end[last] - at[new], b"")
 
-    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(c, s, n, (a + s).astype("<i8").tobytes(), k.astype("<i8").tobytes(), body) for c, s, (n, a, k, body) in zip(f["chrom_ix"], f["start"], map(coded, f["seq"]), strict=True)]
-            yield pd.DataFrame(rows, columns=["chrom_ix", "start", "n", "starts", "sizes", "body"])
+
+def pieces(chunks: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(chrom_ix, start, data): records in pieces, to be put together by chromosome and start: a head (start -1) and each
+    chunk's bases. Only lengths and N blocks of a chromosome come together. A chromosome without chunks has an empty record;
+    all chunks but a chromosome's last must hold a multiple of four bases."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c, s, seq in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                n, a, k, body = coded(seq)
+                yield pa.RecordBatch.from_pylist([{"chrom_ix": c, "start": s, "n": n, "starts": (a + s).astype("<i8").tobytes(), "sizes": k.astype("<i8").tobytes(), "body": body}], CODED)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start")
-        if (pdf["n"].to_numpy()[:-1] % 4).any():
-            raise ValueError("chunks must hold a multiple of four bases")
-        at = np.frombuffer(b"".join(pdf["starts"]), "<i8")
-        end = at + np.frombuffer(b"".join(pdf["sizes"]), "<i8")
-        new = np.append(True, at[1:] != end[:-1])[: len(at)]  # a block may go on in the next chunk
-        last = np.append(new[1:], True)[: len(at)]
-        return pd.DataFrame({"chrom_ix": pdf["chrom_ix"].iloc[:1], "name": pdf["name"].iloc[:1], "record": [record(int(pdf["n"].sum()), at[new], end[last] - at[new], b"".join(pdf["body"]))]})
-
-    parts = chunks.select("chrom_ix", "start", "seq").mapInPandas(code, "chrom_ix int, start int, n int, starts binary, sizes binary, body binary")
-    return parts.join(contigs.select("chrom_ix", "name"), "chrom_ix").groupBy("chrom_ix").applyInPandas(one, "chrom_ix int, name string, record binary")
+        return pd.DataFrame({"chrom_ix": pdf["chrom_ix"].iloc[:1], "start": pdf["start"].iloc[:1] * 0 - 1, "data": [record_head(pdf)]})
+
+    parts = chunks.select("chrom_ix", "start", "seq").mapInArrow(code, "chrom_ix int, start int, n int, starts binary, sizes binary, body binary")
+    none = contigs.join(chunks, "chrom_ix", "left_anti").select("chrom_ix", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(b"").alias("starts"), F.lit(b"").alias("sizes"))
+    heads = parts.drop("body").unionByName(none).groupBy("chrom_ix").applyInPandas(one, "chrom_ix int, start int, data binary")
+    return heads.unionByName(parts.select("chrom_ix", "start", F.col("body").alias("data")))
+
+
+def packed(chunks: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(chrom_ix, name, record): each chromosome's record as one row."""
+    whole = pieces(chunks, contigs).groupBy("chrom_ix").agg(F.array_sort(F.collect_list(F.struct("start", "data"))).alias("p"))
+    return whole.join(contigs.select("chrom_ix", "name"), "chrom_ix").select("chrom_ix", "name", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("record"))
 
 
 def chunks_of(records: DataFrame, size: int) -> DataFrame:
