@@ -11,6 +11,11 @@ of several documents only those of the shard's smallest one are still asked abou
 about `BUCKET` windows, one row per bucket and shard, and so do not grow with the number of documents that share a window:
 a passage that a third of all documents have is one question of each shard. A bucket answers with places, by shard.
 
+Rows per bucket and shard would be the square of the corpus. Beyond `DIRECT` buckets, questions go by way of a cell, which
+is a group of shards and a group of buckets, each about the square root of their number: a shard has a row for each group
+of buckets, a cell settles what its shards can tell each other (of a window that all have, one question goes on) and has a
+row for each of its buckets. Answers return by way of such cells. A row so holds hundreds of windows at any size.
+
 Short levels only have to lose nothing: their questions are 32 bits within a bucket, and the number of buckets grows with
 the number of words. From `window` words on, windows are told apart by 128 bits.
 
@@ -25,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +39,8 @@ from alleloom.llm.common import LAST, mix, runs_of, spans, text_slices, windows,
 #: Bytes of text in a shard, windows in a bucket, and the fewest words of a first level.
 SHARD_BYTES = 6 << 20
 BUCKET = 1 << 21
+#: Buckets up to which shards have a row for each: with more, a row would have less than about a hundred windows.
+DIRECT = 1 << 13
 LEAST = 7
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -71,8 +79,6 @@ def _risen(data: pa.BinaryScalar, kind: str) -> np.ndarray:
 # --- shards -----------------------------------------------------------------------------------
 
 _TEXTS = "shard int, kind int, _doc long, _tag long, block binary"
-#: What a level says of a shard's windows: places that are repeated; `later`: by a document above the smallest.
-_MARKS = "shard int, later boolean, block binary"
 
 
 #: Shards or buckets for a task at most; beyond the session's shuffle partitions, their number follows that of the parts.
@@ -88,7 +94,7 @@ def _dealt(rows: DataFrame, by: str, parts: int) -> DataFrame:
 class Shards:
     """Texts dealt into shards, and how many buckets there are."""
 
-    def __init__(self, docs: DataFrame, window: int, key: str, text: str, shard_bytes: int, bucket: int):
+    def __init__(self, docs: DataFrame, window: int, key: str, text: str, shard_bytes: int, bucket: int, direct: int = DIRECT):
         size = F.octet_length(text)
         total = docs.agg(F.sum(size)).first()[0] or 0
         tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -97,6 +103,7 @@ class Shards:
         self.shards = max(1, parts(shard_bytes), min(tasks, parts(shard_bytes >> 5)))
         # a word and the space after it take two bytes at least; most take more, so buckets are rather small than large
         self.buckets = max(1, parts(4 * bucket), min(tasks, parts(bucket >> 1)))
+        self.route = Route(self.shards, self.buckets, direct)
         long = F.coalesce(size >= 2 * window - 1, F.lit(False))
         doc, tag = F.coalesce(F.col(key).cast("long"), F.lit(LAST)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
         known = docs.select(doc.alias("_doc"), tag.alias("_tag"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row"), long.alias("long"))
@@ -157,14 +164,63 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.nd
 
 # --- a level ------------------------------------------------------------------------------------
 
-#: Questions of a shard to a bucket (to >= 0), or what a shard settles itself (to < 0).
-_ASKED = "to long, shard int, later boolean, block binary, h binary, h2 binary, doc binary, known binary"
-_ARROW = pa.schema([("to", pa.int64()), ("shard", pa.int32()), ("later", pa.bool_()), ("block", pa.binary()), ("h", pa.binary()), ("h2", pa.binary()), ("doc", pa.binary()), ("known", pa.binary())])
-
-
-def _row(to: int, shard: int, later: bool, *binaries: bytes | None) -> pa.RecordBatch:
-    values = [to, shard, later, *binaries, *[None] * (5 - len(binaries))]
-    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _ARROW, strict=True)], schema=_ARROW)
+#: Questions (to >= 0: a cell or bucket) or what is settled (to < 0: a shard). `of`: the shard of each place, where a row has
+#: places of several shards; else all are of `shard`.
+_ASKED = "to long, shard int, later boolean, of binary, block binary, h binary, h2 binary, doc binary"
+_ARROW = pa.schema([("to", pa.int64()), ("shard", pa.int32()), ("later", pa.bool_()), ("of", pa.binary()), ("block", pa.binary()), ("h", pa.binary()), ("h2", pa.binary()), ("doc", pa.binary())])
+#: The place of a window that is known to be repeated, and asked about only for others.
+_KNOWN = np.uint32(0xFFFFFFFF)
+#: Rows and bytes of a batch of questions at most, but for its last row.
+_ROWS, _BYTES = 512, 1 << 23
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows (to, shard, later, of, block, h, h2, doc), of which the last ones may be left out, as batches."""
+    held, size = [], 0
+    for r in itertools.chain(rows, [None]):
+        if r is not None:
+            held.append(r + (None,) * (len(_ARROW) - len(r)))
+            size += sum(len(x) for x in r[3:] if x)
+        if held and (r is None or len(held) == _ROWS or size >= _BYTES):
+            cols = zip(*held, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
+            held, size = [], 0
+
+
+class Route:
+    """Where questions and answers go: straight, or by way of cells if there are more than `direct` buckets."""
+
+    def __init__(self, shards: int, buckets: int, direct: int):
+        self.buckets, self.cells = buckets, buckets > direct
+        # shards and buckets of a group, and the number of groups of buckets
+        self.wide, self.deep = max(1, round(shards**0.5)), max(1, round(buckets**0.5))
+        self.across = -(-buckets // self.deep)
+        self.parts = -(-shards // self.wide) * self.across
+
+    def bucket(self, h: np.ndarray) -> np.ndarray:
+        return (((h >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).astype(np.int64)
+
+    def cell(self, shard: int | np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        return shard // self.wide * self.across + bucket // self.deep
+
+
+def _settled(shard: np.ndarray, at: np.ndarray, later: bool) -> Iterator[tuple]:
+    """Rows of places that are settled, one for each shard."""
+    order = np.lexsort((at, shard))
+    shard, at = shard[order], at[order]
+    for lo, hi in itertools.pairwise([*_groups(shard)[0].tolist(), len(at)]):
+        yield -1 - int(shard[lo]), int(shard[lo]), later, None, _rising(at[lo:hi], "<u4")
+
+
+def _asked(to: np.ndarray, shard: int | np.ndarray, at: np.ndarray, h: np.ndarray, h2: np.ndarray | None, doc: np.ndarray | None, whole: bool) -> Iterator[tuple]:
+    """Rows of questions, one for each `to`, which rises with h; whole: with all of a hash, not with what buckets need."""
+    kind = "<u8" if whole or h2 is not None else "<u4"
+    h, at = h.astype(kind), at.astype("<u4")
+    one = not isinstance(shard, np.ndarray)
+    for lo, hi in itertools.pairwise([*_groups(to)[0].tolist(), len(to)]):
+        of = None if one else _planes(shard[lo:hi].astype("<i4"))
+        more = () if h2 is None else (_planes(h2[lo:hi]), _planes(doc[lo:hi]))
+        yield int(to[lo]), shard if one else -1, False, of, _planes(at[lo:hi]), _rising(h[lo:hi], kind), *more
 
 
 def _candidates(marks: list[np.ndarray], n: int, step: int) -> np.ndarray | slice:
@@ -184,10 +240,10 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(head), np.cumsum(head) - 1
 
 
-def _questions(length: int, before: int | None, buckets: int, exact: bool, firsts: bool):
+def _questions(length: int, before: int | None, route: Route, exact: bool, firsts: bool):
     """What the shards settle and ask about windows of `length` words; before: the length of the level before."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for shard, marks, docs, row, hashes in _shards(batches):
             h, ok = windows(row, hashes, length)
             at = np.flatnonzero(ok)
@@ -196,7 +252,7 @@ def _questions(length: int, before: int | None, buckets: int, exact: bool, first
                 at = c[ok[c]]
             if not len(at):
                 continue
-            h = h[at]
+            h, h2 = h[at], None
             if exact:
                 h2 = windows(row, mix(hashes ^ _OTHER), length)[0][at]
                 order = np.lexsort((h2, h))
@@ -208,86 +264,137 @@ def _questions(length: int, before: int | None, buckets: int, exact: bool, first
                 begin, group = _groups(h)
             # within a group places rise, and so do documents
             doc = docs[row[at]]
-            least = doc[begin][group]
             shared = (doc[np.append(begin[1:], len(doc)) - 1] != doc[begin])[group]
-            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            edge = np.append(_groups(bucket)[0], len(bucket))
-            if not exact:
-                if shared.any():
-                    yield _row(-1 - shard, shard, False, _rising(np.sort(at[shared]), "<u4"))
-                known = np.zeros(len(at), bool)
-                known[begin] = shared[begin]
-                for lo, hi in itertools.pairwise(edge.tolist()):
-                    part = slice(lo, hi)
-                    ask, low = ~shared[part], h[part].astype("<u4")
-                    yield _row(int(bucket[lo]), shard, False, _planes(at[part][ask].astype("<u4")), _rising(low[ask], "<u4"), None, None, _rising(low[known[part]], "<u4"))
+            if exact:
+                later = doc > doc[begin][group]
+                yield from _settled(np.full(int(later.sum()), shard), at[later], True)
+                if firsts:
+                    own = shared & ~later
+                    yield from _settled(np.full(int(own.sum()), shard), at[own], False)
+                ask = ~later
+                h2, doc = h2[ask], doc[ask]
+            else:
+                yield from _settled(np.full(int(shared.sum()), shard), at[shared], False)
+                ask = ~shared
+                ask[begin], at[begin] = True, np.where(shared[begin], _KNOWN, at[begin])
+                doc = None
+            h, to = h[ask], route.bucket(h[ask])
+            yield from _asked(route.cell(shard, to) if route.cells else to, shard, at[ask], h, h2, doc, route.cells)
+
+    return lambda batches: _batches(rows(batches))
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Rows by `to`: (to, all of its rows), or of what is settled (-1, rows of several shards)."""
+    for t in runs_of(batches, ["to"]):
+        t = t.combine_chunks()
+        to = t.column("to").to_numpy()
+        if settled := int(np.searchsorted(to, 0)):
+            yield -1, t.slice(0, settled)
+        edges = [settled + x for x in _groups(to[settled:])[0].tolist()] if settled < len(to) else []
+        for lo, hi in itertools.pairwise([*edges, len(to)]):
+            yield int(to[lo]), t.slice(lo, hi - lo)
+
+
+def _places(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, place) of a table's rows, one after another."""
+    at = [_numbers(x, "<u4") for x in t.column("block")]
+    of = zip(t.column("shard").to_pylist(), t.column("of"), at, strict=True)
+    return np.concatenate([_numbers(o, "<i4") if o.is_valid else np.full(len(a), s, np.int32) for s, o, a in of]), np.concatenate(at)
+
+
+def _met(t: pa.Table, exact: bool, firsts: bool, whole: bool) -> tuple[list[tuple[np.ndarray, np.ndarray, bool]], tuple]:
+    """What the questions of several shards say of each other: settled (shards, places, later), and what is still to be
+    asked (shard, place, h, h2, doc), by h."""
+    shard, at = _places(t)
+    column = lambda name, read, kind: np.concatenate([read(x, kind) for x in t.column(name)])
+    if exact:
+        h, h2, doc = column("h", _risen, "<u8"), column("h2", _numbers, "<u8"), column("doc", _numbers, "<i8")
+        order = np.lexsort((doc, h2, h))
+        h, h2, doc, shard, at = h[order], h2[order], doc[order], shard[order], at[order]
+        start, group = _groups(h, h2)
+        later = doc > doc[start][group]
+        out = [(shard[later], at[later], True)]
+        if firsts:
+            several = (doc[np.append(start[1:], len(doc)) - 1] != doc[start])[group] & ~later
+            out.append((shard[several], at[several], False))
+        return out, (shard[~later], at[~later], h[~later], h2[~later], doc[~later])
+    h = column("h", _risen, "<u8" if whole else "<u4")
+    order = np.lexsort((shard, h))
+    h, shard, at = h[order], shard[order], at[order]
+    start, group = _groups(h)
+    several = (shard[np.append(start[1:], len(h)) - 1] != shard[start])[group]
+    hit = several & (at != _KNOWN)
+    ask, places = ~several, at.copy()
+    # of a window that is settled here one question goes on, for the others of its kind
+    ask[start], places[start] = True, np.where(several[start], _KNOWN, at[start])
+    return [(shard[hit], at[hit], False)], (shard[ask], places[ask], h[ask], None, None)
+
+
+def _relayed(route: Route, exact: bool, firsts: bool):
+    """Questions of cells: what their shards settle among themselves, and the rest by bucket."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for to, t in _tables(batches):
+            if to < 0:
+                yield from zip(*(t.column(c).to_pylist() for c in t.column_names), strict=True)
                 continue
-            later = doc > least
-            if later.any():
-                yield _row(-1 - shard, shard, True, _rising(np.sort(at[later]), "<u4"))
-            if firsts and (own := shared & ~later).any():
-                yield _row(-1 - shard, shard, False, _rising(np.sort(at[own]), "<u4"))
-            for lo, hi in itertools.pairwise(edge.tolist()):
-                part = lo + np.flatnonzero(~later[lo:hi])
-                yield _row(int(bucket[lo]), shard, False, _planes(at[part].astype("<u4")), _rising(h[part], "<u8"), _planes(h2[part]), _planes(doc[part]))
-
-    return run
+            settled, (shard, at, h, h2, doc) = _met(t, exact, firsts, True)
+            for of, places, later in settled:
+                yield from _settled(of, places, later)
+            yield from _asked(route.bucket(h), shard, at, h, h2, doc, False)
 
+    return lambda batches: _batches(rows(batches))
 
-def _answers(exact: bool, firsts: bool):
-    """Answers to the questions of all shards, bucket by bucket; what shards settled passes through."""
 
-    def said(shard: np.ndarray, at: np.ndarray, later: bool) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((at, shard))
-        shard, at = shard[order], at[order]
-        begin, _ = _groups(shard)
-        blocks = [_rising(at[lo:hi], "<u4") for lo, hi in itertools.pairwise([*begin.tolist(), len(at)])]
-        yield pa.RecordBatch.from_arrays([pa.array(shard[begin].astype(np.int32)), pa.array([later] * len(begin), pa.bool_()), pa.array(blocks, pa.binary())], names=["shard", "later", "block"])
+def _answers(route: Route, exact: bool, firsts: bool):
+    """Answers to the questions of all shards, bucket by bucket; what was settled before passes through."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs_of(batches, ["to"]):
-            t = t.combine_chunks()
-            own = t.filter(pa.array(t.column("to").to_numpy() < 0)).select(["shard", "later", "block"])
-            yield from own.to_batches()
-            to = t.column("to").to_numpy()
-            begin, _ = _groups(to)
-            for lo, hi in itertools.pairwise([*begin.tolist(), len(to)]):
-                if to[lo] < 0:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for to, t in _tables(batches):
+            if to < 0:
+                yield from zip(*(t.column(c).to_pylist() for c in t.column_names), strict=True)
+                continue
+            for shard, at, later in _met(t, exact, firsts, False)[0]:
+                if not route.cells:
+                    yield from _settled(shard, at, later)
                     continue
-                part = t.slice(lo, hi - lo)
-                column = lambda name, read, kind: [read(x, kind) for x in part.column(name) if x.is_valid]  # noqa: B023, E731
-                places = column("block", _numbers, "<u4")
-                shard = np.repeat(part.column("shard").to_numpy(), [len(x) for x in places])
-                at = np.concatenate(places)
-                if exact:
-                    h, h2, doc = np.concatenate(column("h", _risen, "<u8")), np.concatenate(column("h2", _numbers, "<u8")), np.concatenate(column("doc", _numbers, "<i8"))
-                    order = np.lexsort((doc, h2, h))
-                    h, h2, doc, shard, at = h[order], h2[order], doc[order], shard[order], at[order]
-                    start, group = _groups(h, h2)
-                    later = doc > doc[start][group]
-                    yield from said(shard[later], at[later], True)
-                    if firsts:
-                        several = (doc[np.append(start[1:], len(doc)) - 1] != doc[start])[group] & ~later
-                        yield from said(shard[several], at[several], False)
-                else:
-                    known = column("known", _risen, "<u4")
-                    of = np.repeat(part.column("shard").to_numpy(), [len(x) for x in known])
-                    # windows that were settled at home take part, without a place
-                    h = np.concatenate([*column("h", _risen, "<u4"), *known])
-                    shard, at = np.concatenate([shard, of]), np.concatenate([at.astype(np.int64), np.full(len(of), -1)])
-                    order = np.lexsort((shard, h))
-                    h, shard, at = h[order], shard[order], at[order]
-                    start, group = _groups(h)
-                    hit = (shard[np.append(start[1:], len(h)) - 1] != shard[start])[group] & (at >= 0)
-                    yield from said(shard[hit], at[hit], False)
+                cell = route.cell(shard, np.full(len(shard), to))
+                order = np.lexsort((at, shard, cell))
+                cell, shard, at = cell[order], shard[order], at[order]
+                for lo, hi in itertools.pairwise([*_groups(cell)[0].tolist(), len(cell)]):
+                    yield int(cell[lo]), -1, later, _planes(shard[lo:hi].astype("<i4")), _planes(at[lo:hi].astype("<u4"))
 
-    return run
+    return lambda batches: _batches(rows(batches))
+
+
+def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers that came by way of cells, by shard."""
+
+    def rows() -> Iterator[tuple]:
+        for to, t in _tables(batches):
+            if to < 0:
+                yield from zip(*(t.column(c).to_pylist() for c in t.column_names), strict=True)
+                continue
+            for later in (False, True):
+                part = t.filter(pc.equal(t.column("later"), later))
+                if part.num_rows:
+                    yield from _settled(*_places(part), later)
+
+    return _batches(rows())
 
 
 def _level(texts: Shards, marks: DataFrame | None, length: int, before: int | None, exact: bool, firsts: bool = False) -> DataFrame:
     """Marks of the windows of `length` words; exact: repeated by a smaller document (and, with firsts, what these repeat)."""
-    asked = texts.rows(marks).mapInArrow(_questions(length, before, texts.buckets, exact, firsts), _ASKED)
-    return written(_dealt(asked, "to", texts.buckets + texts.shards).sortWithinPartitions("to", "shard").mapInArrow(_answers(exact, firsts), _MARKS), f"windows-{length}")
+    route = texts.route
+    by = lambda rows, parts: _dealt(rows, "to", parts + texts.shards).sortWithinPartitions("to", "shard")
+    out = texts.rows(marks).mapInArrow(_questions(length, before, route, exact, firsts), _ASKED)
+    if route.cells:
+        out = by(out, route.parts).mapInArrow(_relayed(route, exact, firsts), _ASKED)
+    out = by(out, texts.buckets).mapInArrow(_answers(route, exact, firsts), _ASKED)
+    if route.cells:
+        out = by(out, route.parts).mapInArrow(_returned, _ASKED)
+    return written(out.select("shard", "later", "block"), f"windows-{length}")
 
 
 def repeated(texts: Shards, window: int, least: int = LEAST, firsts: bool = False) -> DataFrame:
@@ -302,10 +409,10 @@ def repeated(texts: Shards, window: int, least: int = LEAST, firsts: bool = Fals
 # --- results ------------------------------------------------------------------------------------
 
 
-def deduplicated(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", least: int = LEAST, new: tuple[str, ...] = ("n_words", "n_removed", "kept_words", "kept_text"), shard_bytes: int = SHARD_BYTES, bucket: int = BUCKET) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", least: int = LEAST, new: tuple[str, ...] = ("n_words", "n_removed", "kept_words", "kept_text"), shard_bytes: int = SHARD_BYTES, bucket: int = BUCKET, direct: int = DIRECT) -> DataFrame:
     """docs with `new`, some of n_words, n_removed, kept_words (joined by a space) and kept_text (layout kept): what is left
     without repeated windows. Columns of docs of these names are replaced."""
-    texts = Shards(docs, window, key, text, shard_bytes, bucket)
+    texts = Shards(docs, window, key, text, shard_bytes, bucket, direct)
     keep = [c for c in docs.columns if c not in new]
     schema = docs.select([F.col(f"`{c}`") for c in keep]).schema
     for c in new:
@@ -379,10 +486,10 @@ def digests(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str =
     return out.select(key, "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
 
 
-def passages(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", least: int = LEAST, shard_bytes: int = SHARD_BYTES, bucket: int = BUCKET) -> DataFrame:
+def passages(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", least: int = LEAST, shard_bytes: int = SHARD_BYTES, bucket: int = BUCKET, direct: int = DIRECT) -> DataFrame:
     """(_doc, _tag, start, n, length): runs of n repeated windows of window, 2 * window, 4 * window, ... words, from word
     `start` on; lengths double until no candidate survives."""
-    texts = Shards(docs, window, key, text, shard_bytes, bucket)
+    texts = Shards(docs, window, key, text, shard_bytes, bucket, direct)
     marks, length, found = repeated(texts, window, least, True), window, []
     while not marks.isEmpty():
         runs = texts.rows(marks).mapInArrow(_runs, "_doc long, _tag long, start int, n int")

@@ -291,7 +291,7 @@ def test_substrings(spark, window):
             if first[tuple(w[p : p + window])] < order(d):
                 gone[p : p + window] = [True] * window
         want.append((d, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
-    for sizes in ({}, {"shard_bytes": 5000, "bucket": 500}):
+    for sizes in ({}, {"shard_bytes": 5000, "bucket": 500}, {"shard_bytes": 1000, "bucket": 100, "direct": 3}):
         got = [tuple(r) for r in substrings.digests(frame(spark, docs), window, **sizes).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     for r in substrings.deduplicated(frame(spark, docs), window).collect():
@@ -316,6 +316,33 @@ def test_windows_grow_only_where_repeated(spark):
     assert sorted((r["_doc"], r["start"], r["n"], r["length"]) for r in rows) == [(i, 3, 1, 7) for i in range(1, 3000)]
 
 
+def test_cells(spark):
+    """By way of cells a passage that all documents have is few questions at its bucket, and rows follow the windows, not
+    shards times buckets; marks are those of the straight way."""
+    same = " ".join("abcdefghijklmnop")
+    df = spark.createDataFrame([(i, f"x{i} y{i} {same} u{i} v{i}") for i in range(600)], "doc_id long, text string").repartition(4)
+    sizes = {"shard_bytes": 600, "bucket": 40}
+    ways = [substrings.Shards(df, 13, "doc_id", "text", **sizes, direct=d) for d in (1, 1 << 20)]
+    assert [t.route.cells for t in ways] == [True, False] and ways[0].buckets > 100 and ways[0].shards > 40
+    marks = []
+    for t in ways:
+        seven = substrings._level(t, None, 7, None, False)
+        thirteen = substrings._level(t, seven, 13, 7, True, True)
+        marks.append([{(r["shard"], r["later"], x) for r in m.collect() for x in substrings._risen(pa.scalar(bytes(r["block"])), "<u4").tolist()} for m in (seven, thirteen)])
+    assert marks[0] == marks[1] and all(marks[0])
+    t = ways[0]
+    asked = t.rows(None).mapInArrow(substrings._questions(13, None, t.route, True, False), substrings._ASKED)
+    windows = 600 * (20 - 12)
+    assert asked.where("to >= 0").count() <= windows
+    relayed = asked.repartition("to").sortWithinPartitions("to", "shard").mapInArrow(substrings._relayed(t.route, True, False), substrings._ASKED)
+    asks = lambda d: sum(len(r["block"]) // 4 for r in d.where("to >= 0").collect())
+    # four windows of the passage: one question of each shard, then one of each group of shards
+    own = 600 * 4
+    assert asks(asked) <= own + 4 * t.shards and asks(relayed) <= own + 4 * (-(-t.shards // t.route.wide))
+    rows = substrings.passages(df, 7, least=4, **sizes, direct=1)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, substrings.passages(df, 7, least=4, **sizes).collect()))
+
+
 def test_unlike_rows_without_id(spark):
     docs = [(None, f"n{i} " + " ".join(f"w{k}" for k in range(20))) for i in range(40)] + [(5, " ".join(f"w{k}" for k in range(20)))] * 3
     got = substrings.digests(spark.createDataFrame(docs, "doc_id long, text string"), 13, shard_bytes=500, bucket=50).collect()
