@@ -62,17 +62,38 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
 
     What the query that fills the table has shuffled is not needed once the table is there, so Spark drops it then.
     """
+    return _written(df, _path(df.sparkSession, name))
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     with _cleaned_up(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(df: DataFrame, name: str = "t") -> Iterator[DataFrame]:
+    """written() of df, deleted at the end: for a table that is read several times, by what is written before then."""
+    path = _path(df.sparkSession, name)
+    try:
+        yield _written(df, path)
+    finally:
+        _deleted(df.sparkSession, path)
+
+
+def _deleted(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes the tables that this application has written in the shared folder; results that still read them are lost."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _deleted(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alleloom.llm.common import binaries, components, mix, runs_of, signed, text_slices, windows, words, written
+from alleloom.llm.common import binaries, components, mix, passing, runs_of, signed, text_slices, windows, words, written
 
 BLOCK = 256
 #: Sets in a block of the traversal of bitmaps alone, which are small.
@@ -115,22 +115,14 @@ def keys_of(x: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, doc) sorted by both: the edge of each document to the smallest one under the same key."""
-    held: tuple[int, int] | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key, doc = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-        head = np.append(True, key[1:] != key[:-1])
-        low = doc[head][np.cumsum(head) - 1]
-        if held and held[0] == key[0]:
-            low[key == key[0]] = held[1]
-        held = (key[-1], low[-1])
-        far = doc != low
-        pairs = np.unique(np.stack([doc[far], low[far]], 1), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+def _stars(filed: DataFrame) -> DataFrame:
+    """(a, b): each document of (key, doc), and the smallest one under the same key, where that is another.
+
+    The smallest is found with a map-side combine and joined back to the keys that several have, so Spark splits the
+    rows of a key that a large part of all documents share. It does so where both sides are read straight from a shuffle;
+    the smallest are written for that, too."""
+    least = filed.groupBy("key").agg(F.min("doc").alias("b"), F.max("doc").alias("most")).where("b < most").drop("most")
+    return filed.join(written(least, "least").hint("merge"), "key").where("doc > b").select(F.col("doc").alias("a"), "b").distinct()
 
 
 # --- signature trees ------------------------------------------------------------------------
@@ -300,9 +292,8 @@ def _clusters(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(held))), pa.array(np.concatenate(who))], names=["key", "doc"])
 
-    filed = docs.mapInArrow(file, "key long, doc long")
-    stars = filed.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_stars, "a long, b long")
-    stars = written(stars.distinct(), "stars")
+    with passing(docs.mapInArrow(file, "key long, doc long"), "filed") as filed:
+        stars = written(_stars(filed), "stars")
     return stars.select(F.col("b").alias("cluster"), F.col("a").alias("doc")).unionByName(stars.select(F.col("b").alias("cluster"), F.col("b").alias("doc")).distinct())
 
 

@@ -73,6 +73,10 @@ def test_written_tables(spark):
     kept = common.written(spark.range(100).repartition(3))
     assert kept.count() == 100 and spark.conf.get(common._CLEANUP, None) == before
     assert all(spark.sparkContext.applicationId in f for f in kept.inputFiles())
+    with common.passing(spark.range(10).where("id < 0")) as none, common.passing(spark.range(10)) as some:
+        assert none.count() == 0 and some.count() == 10
+    with pytest.raises(Exception):
+        some.collect()
     common.clear(spark)
     with pytest.raises(Exception):
         kept.collect()
@@ -453,6 +457,28 @@ def test_the_smallest_id_may_have_several_texts(spark):
         assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, None: None, 6: 1, 7: 1} and len(got) == len(docs)
 
 
+def test_stars_of_a_hot_key(spark):
+    """A key that a third of all rows have: its rows are dealt to several tasks, none is lost."""
+    n = 60_000
+    filed = spark.range(n).selectExpr("case when id % 3 = 0 then -1L else xxhash64(id div 6) end key", "id doc").repartition(8)
+    sizes = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        stars = jaccard._stars(filed)
+        got = {tuple(r) for r in stars.collect()}
+        plan = stars._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    first: dict = {}
+    for i in range(n):
+        first.setdefault(-1 if i % 3 == 0 else i // 6, i)
+    assert got == {(i, first[k]) for i in range(n) if first[k := -1 if i % 3 == 0 else i // 6] < i}
+    assert "SortMergeJoin(skew=true)" in plan
+
+
 def test_every_linked_pair_shares_a_key():
     rng = np.random.default_rng(3)
     for n in (1, 2, 6, 7, 9, 13, 20, 40, 90, 300):
