@@ -85,15 +85,18 @@ def select_chroms(df: DataFrame, contigs: DataFrame, pattern: str) -> DataFrame:
 def assign_populations(samples: DataFrame, individuals: DataFrame) -> DataFrame:
     """Samples (sample_ix, label) with the population of the individual whose name is their longest prefix.
 
-    None, or two of equal length, is an error. Prefixes are looked up by equality: every prefix of a label is a key.
+    None, or two of equal length, is an error. Prefixes are looked up by equality: every prefix of a label is a key. Both sides
+    grow with the samples, so they are sorted and merged, and a label's finds are settled by one grouping.
     """
-    prefix = samples.select("sample_ix", "label", F.explode(F.transform(F.sequence(F.lit(1), F.length("label")), lambda n: F.substring(F.col("label"), F.lit(1), n))).alias("name"))
-    met = prefix.join(individuals.select("name", "pop"), "name")
-    best = met.groupBy("sample_ix", "label").agg(F.max(F.struct(F.length("name").alias("n"), "name")).alias("b"), F.max(F.length("name")).alias("n"))
-    named = met.join(best.select("sample_ix", "b.name"), ["sample_ix", "name"]).groupBy("sample_ix", "label").agg(F.min("pop").alias("pop"), F.count("*").alias("k"))
-    out = samples.join(named.drop("label"), "sample_ix", "left")
-    problem = F.when(F.col("k").isNull(), F.raise_error(F.concat(F.lit("no individual for "), "label"))).when(F.col("k") > 1, F.raise_error(F.concat(F.lit("several individuals for "), "label")))
-    return out.select("sample_ix", "label", F.coalesce(problem.cast("string"), F.col("pop")).alias("pop"))
+    label, n = F.col("label"), F.length("name").alias("n")
+    prefix = samples.select("sample_ix", "label", F.explode(F.transform(F.sequence(F.lit(1), F.length("label")), lambda k: F.substring(label, F.lit(1), k))).alias("name"))
+    met = prefix.join(individuals.select("name", "pop").hint("merge"), "name").select("sample_ix", "label", n, "pop")
+    # a row of length -1 for every sample: what is left where nothing is found
+    every = met.unionByName(samples.select("sample_ix", "label", F.lit(-1).alias("n"), F.lit(None).cast("string").alias("pop")))
+    by_length = every.repartition("sample_ix", "label").groupBy("sample_ix", "label", "n").agg(F.min("pop").alias("pop"), F.count("*").alias("k"))
+    out = by_length.groupBy("sample_ix", "label").agg(F.max(F.struct("n", "pop", "k")).alias("b"))
+    problem = F.when(F.col("b.n") < 0, F.raise_error(F.concat(F.lit("no individual for "), "label"))).when(F.col("b.k") > 1, F.raise_error(F.concat(F.lit("several individuals for "), "label")))
+    return out.select("sample_ix", "label", F.coalesce(problem.cast("string"), F.col("b.pop")).alias("pop"))
 
 
 def population_counts(variants: DataFrame, populations: list[str]) -> DataFrame:
