@@ -23,12 +23,15 @@ CHUNK = 65536
 
 
 def _islands(r: DataFrame, part: tuple[str, ...], key: tuple[str, ...]) -> DataFrame:
-    """Adjacent stretches (and indels) of equal code within a part as one: gaps and islands by one window."""
+    """Adjacent stretches (and indels) of equal code within a part as one: runs that begin one stay, and end where the run
+    before the next beginning ends. One sort serves all windows, and nothing is grouped."""
     w = Window.partitionBy(*part).orderBy("run_start", "run_end")
-    joins = F.col("code").isin(*_JOINABLE) & (F.col("code") == F.lag("code").over(w)) & (F.lag("run_end").over(w) == F.col("run_start"))
-    island = F.sum(F.when(joins, 0).otherwise(1)).over(w)
-    out = r.withColumn("_island", island).groupBy(*part, "_island").agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.first("code").alias("code"))
-    return out.select(*part, "run_start", "run_end", "code")
+    before = F.lag("run_end").over(w)
+    joins = F.col("code").isin(*_JOINABLE) & (F.col("code") == F.lag("code").over(w)) & (before == F.col("run_start"))
+    last = F.last("run_end").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    begins = r.withColumns({"_joins": F.coalesce(joins, F.lit(False)), "_before": before, "_last": last}).where("not _joins")
+    end = F.coalesce(F.lead("_before").over(w), F.col("_last"))
+    return begins.select(*part, "run_start", end.alias("run_end"), "code")
 
 
 def normalize(runs: DataFrame, key: tuple[str, ...] = KEY, width: int = WIDTH) -> DataFrame:
@@ -173,7 +176,8 @@ def diff(sample: DataFrame, reference: DataFrame, size: int = CHUNK) -> DataFram
 
 def diff_chunks(sample: DataFrame, reference: DataFrame) -> DataFrame:
     """diff() of texts that are already in chunks: (sample_ix, chrom_ix, start, seq) and (chrom_ix, start, seq)."""
-    both = sample.withColumnRenamed("seq", "smp_seq").join(reference.select("chrom_ix", "start", F.col("seq").alias("ref_seq")), ["chrom_ix", "start"])
+    # texts are as large as the input, whatever their estimate says
+    both = sample.withColumnRenamed("seq", "smp_seq").join(reference.select("chrom_ix", "start", F.col("seq").alias("ref_seq")).hint("merge"), ["chrom_ix", "start"])
     return normalize(coded(both.select("sample_ix", "chrom_ix", "start", "ref_seq", "smp_seq")))
 
 

@@ -45,7 +45,9 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str, size: int = CHUNK) -> DataFrame:
     """The reference in chunks: base (pos * 7 + chrom_ix * 3) % 5, 4 meaning N."""
     start = F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size))).alias("k")
-    c = contigs(spark, sf_dir).select("chrom_ix", "length", start).withColumn("start", (F.col("k") * size).cast("int"))
+    # few rows make all letters: they are dealt out before, by a number, as rows without letters would be put together again
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    c = contigs(spark, sf_dir).select("chrom_ix", "length", start).withColumn("start", (F.col("k") * size).cast("int")).repartition(n, "chrom_ix", "start")
     letters = F.transform(F.sequence(F.col("start"), F.least(F.col("start") + size, F.col("length")) - 1), lambda p: F.substring(F.lit("TCAGN"), ((p.cast("long") * 7 + F.col("chrom_ix") * 3) % 5 + 1).cast("int"), F.lit(1)))
     return c.select("chrom_ix", "start", F.array_join(letters, "").alias("seq"))
 

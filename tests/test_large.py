@@ -3,7 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from alleloom import schema as S
 from alleloom.operators import filters as Q
+from alleloom.operators import runs as R
+from alleloom.plans import projections as P
 
 
 def plan(df):
@@ -20,3 +23,26 @@ def test_populations_are_merged_not_broadcast(spark):
         Q.assign_populations(who.unionByName(who.limit(1).withColumn("label", F.lit("x"))), people).collect()
     with pytest.raises(Exception, match="several individuals for b"):
         Q.assign_populations(who, people.unionByName(people.where("name = 'b'"))).collect()
+
+
+@pytest.fixture
+def long_genome(spark, tmp_path):
+    """A folder whose lineitem has calls up to position 400,000: seven chunks of each chromosome."""
+    spark.range(4000).select((F.col("id") * 100 + F.col("id") % 7).alias("l_orderkey"), (F.col("id") * 7919 % 1009).alias("l_partkey"), (F.col("id") * 104729 % 97).alias("l_suppkey"), F.lit(1).alias("l_linenumber")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+def test_texts_are_made_and_compared_by_many_tasks(spark, long_genome):
+    chunks = P.chunks(spark, long_genome)
+    assert len({r["p"] for r in chunks.select(F.spark_partition_id().alias("p")).collect()}) > 1
+    got = R.diff_chunks(chunks.withColumn("sample_ix", F.lit(0)), chunks)
+    assert "Broadcast" not in plan(got)
+    known = got.where(F.col("code") == S.EQS2).agg(F.sum(F.col("run_end") - F.col("run_start"))).first()[0]
+    assert known == chunks.agg(F.sum(F.length(F.translate("seq", "N", "")))).first()[0]
+
+
+def test_runs_are_joined_without_grouping(spark):
+    rows = [(0, 0, i * 10, i * 10 + 10, S.EQS2) for i in range(40)] + [(0, 0, 400, 401, S.TRANS2), (0, 0, 401, 405, S.NS), (0, 0, 409, 410, S.NS)]
+    got = R._islands(spark.createDataFrame(rows, S.RUNS), R.KEY, R.KEY)
+    assert "Aggregate" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [(0, 0, 0, 400, S.EQS2), *rows[40:]]
