@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from alleloom import schema as S
 from alleloom.functions import scalars as X
 from alleloom.operators.greedy import kept_blocks
-from alleloom.operators.sweep import WIDTH, merged_regions
+from alleloom.operators.sweep import WIDTH, dealt, merged_regions
 
 KEY = ("sample_ix", "chrom_ix")
 _JOINABLE = (*S.STRETCHES, *S.INDELS)
@@ -39,7 +39,7 @@ def normalize(runs: DataFrame, key: tuple[str, ...] = KEY, width: int = WIDTH) -
     first and the last can go on in another bin, so just these two of every bin are looked at along a chromosome."""
     columns = (*key, "run_start", "run_end", "code")
     r = runs.where("run_end > run_start").select(*columns, F.floor(F.col("run_start") / width).alias("_bin"))
-    own = _islands(r, (*key, "_bin"), key)
+    own = _islands(dealt(r, *key, "_bin"), (*key, "_bin"), key)
     w = Window.partitionBy(*key, "_bin")
     edge = (F.col("run_start") == F.min("run_start").over(w)) | (F.col("run_start") == F.max("run_start").over(w))
     own = own.withColumn("_edge", edge)

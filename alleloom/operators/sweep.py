@@ -30,6 +30,12 @@ _N_REF[:, 0] = _N_ALT[:, 0] = 0
 _DIFFERS = _N_ALT.max(1) > 0
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by hashes of its keys, in as many partitions as a shuffle has. Given as a number they stay as many: adaptive execution
+    puts partitions together by their compressed size, and runs compress so well that one of these took a GB to sort."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def binned(runs: DataFrame, width: int) -> DataFrame:
     """Runs, once for each bin that they touch."""
     return runs.where("run_end > run_start").withColumn("bin", F.explode(F.sequence(F.floor(F.col("run_start") / width), F.floor((F.col("run_end") - 1) / width))))
@@ -48,7 +54,7 @@ def merged_regions(bed: DataFrame, width: int = WIDTH) -> DataFrame:
     another bin, so just these are looked at along a chromosome."""
     cut = binned(bed.select("chrom_ix", F.col("s").alias("run_start"), F.col("e").alias("run_end")), width)
     begin, end = F.col("bin") * width, (F.col("bin") + 1) * width
-    own = _joined(cut.select("chrom_ix", "bin", F.greatest("run_start", begin).alias("s"), F.least("run_end", end).alias("e")), ("chrom_ix", "bin"))
+    own = _joined(dealt(cut.select("chrom_ix", "bin", F.greatest("run_start", begin).alias("s"), F.least("run_end", end).alias("e")), "chrom_ix", "bin"), ("chrom_ix", "bin"))
     edge = (F.col("s") == begin) | (F.col("e") == end)
     out = own.where(~edge).drop("bin").unionByName(_joined(own.where(edge).drop("bin"), ("chrom_ix",)))
     return out.select("chrom_ix", F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"))
@@ -168,4 +174,4 @@ def swept(runs: DataFrame, n_samples: int, nout: int = 0, width: int = WIDTH, si
                         s, e, c = s[keep], e[keep], c[keep, :n_samples]
                         yield rows(s, e, np.full(len(s), S.PSEUDO), _N_REF[c, 1], np.zeros_like(c))
 
-    return pieces.repartition("chrom_ix", "bin").sortWithinPartitions("chrom_ix", "bin").mapInArrow(run, SWEPT)
+    return dealt(pieces, "chrom_ix", "bin").sortWithinPartitions("chrom_ix", "bin").mapInArrow(run, SWEPT)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alleloom import schema as S
+from alleloom.operators.sweep import dealt
 
 N_SAMPLES, N_CHROMS = 6, 3
 #: Bin width of range joins and letters of a reference chunk, as in use.
@@ -18,17 +19,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample_ix, chrom_ix, pos, code), several for one position."""
+    code = ((F.col("l_partkey") + F.col("l_linenumber") * 7) % 15).cast("int").alias("code")
+    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 6).cast("int").alias("sample_ix"), (F.col("l_partkey") % 3).cast("int").alias("chrom_ix"), F.col("l_orderkey").cast("int").alias("pos"), code)
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P: (sample_ix, chrom_ix, pos, code)."""
-    key = [(F.col("l_suppkey") % 6).cast("int").alias("sample_ix"), (F.col("l_partkey") % 3).cast("int").alias("chrom_ix"), F.col("l_orderkey").cast("int").alias("pos")]
-    return table(spark, sf_dir, "lineitem").groupBy(*key).agg(F.min(((F.col("l_partkey") + F.col("l_linenumber") * 7) % 15).cast("int")).alias("code"))
+    return _calls(spark, sf_dir).groupBy("sample_ix", "chrom_ix", "pos").agg(F.min("code").alias("code"))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R: stretches reach to the sample's next call, point calls have length 1, the rest is uncalled."""
-    w = Window.partitionBy("sample_ix", "chrom_ix").orderBy("pos")
-    end = F.when(F.col("code").isin(*S.STRETCHES), F.coalesce(F.lead("pos").over(w), F.col("pos") + 1)).otherwise(F.col("pos") + 1)
-    return points(spark, sf_dir).select("sample_ix", "chrom_ix", F.col("pos").alias("run_start"), end.alias("run_end"), "code")
+    """R: stretches reach to the sample's next call, point calls have length 1, the rest is uncalled. Calls are dealt out by bin
+    once, and the next call is looked for there; only that of a bin's last call lies in another one, whose first call is known
+    from a row for each bin."""
+    key = ("sample_ix", "chrom_ix")
+    p = dealt(_calls(spark, sf_dir).withColumn("_bin", F.floor(F.col("pos") / WIDTH)), *key, "_bin").groupBy(*key, "_bin", "pos").agg(F.min("code").alias("code"))
+    inner = p.withColumn("_next", F.lead("pos").over(Window.partitionBy(*key, "_bin").orderBy("pos"))).where("_next is not null")
+    bins = p.groupBy(*key, "_bin").agg(F.min("pos").alias("first"), F.max(F.struct("pos", "code")).alias("last"))
+    last = bins.select(*key, "last.pos", "last.code", F.lead("first").over(Window.partitionBy(*key).orderBy("_bin")).alias("_next"))
+    every = inner.select(*key, "pos", "code", "_next").unionByName(last)
+    end = F.when(F.col("code").isin(*S.STRETCHES), F.coalesce("_next", F.col("pos") + 1)).otherwise(F.col("pos") + 1)
+    return every.select(*key, F.col("pos").alias("run_start"), end.alias("run_end"), "code")
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,9 +58,8 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str, size: int = CHUNK) -> DataFrame:
     """The reference in chunks: base (pos * 7 + chrom_ix * 3) % 5, 4 meaning N."""
     start = F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size))).alias("k")
-    # few rows make all letters: they are dealt out before, by a number, as rows without letters would be put together again
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    c = contigs(spark, sf_dir).select("chrom_ix", "length", start).withColumn("start", (F.col("k") * size).cast("int")).repartition(n, "chrom_ix", "start")
+    # few rows make all letters, so they are dealt out before
+    c = dealt(contigs(spark, sf_dir).select("chrom_ix", "length", start).withColumn("start", (F.col("k") * size).cast("int")), "chrom_ix", "start")
     letters = F.transform(F.sequence(F.col("start"), F.least(F.col("start") + size, F.col("length")) - 1), lambda p: F.substring(F.lit("TCAGN"), ((p.cast("long") * 7 + F.col("chrom_ix") * 3) % 5 + 1).cast("int"), F.lit(1)))
     return c.select("chrom_ix", "start", F.array_join(letters, "").alias("seq"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from alleloom import schema as S
 from alleloom.operators import filters as Q
 from alleloom.operators import runs as R
+from alleloom.operators.sweep import swept
 from alleloom.plans import projections as P
 
 
@@ -46,3 +47,25 @@ def test_runs_are_joined_without_grouping(spark):
     got = R._islands(spark.createDataFrame(rows, S.RUNS), R.KEY, R.KEY)
     assert "Aggregate" not in plan(got)
     assert sorted(map(tuple, got.collect())) == [(0, 0, 0, 400, S.EQS2), *rows[40:]]
+
+
+def test_no_call_is_looked_for_along_a_whole_chromosome(spark, long_genome):
+    """Windows over (sample, chromosome) see a row for each bin, not the calls."""
+    runs = P.runs(spark, long_genome)
+    calls = sorted(map(tuple, P.points(spark, long_genome).select("sample_ix", "chrom_ix", "pos", "code").collect()))
+    after = {a[:3]: b[2] for a, b in zip(calls, calls[1:], strict=False) if a[:2] == b[:2]}
+    assert sorted(map(tuple, runs.collect())) == [(i, c, p, after.get((i, c, p), p + 1) if code in S.STRETCHES else p + 1, code) for i, c, p, code in calls]
+    assert len({p // P.WIDTH for _, _, p, _ in calls}) == 7
+    long = [x for x in plan(runs).splitlines() if "windowspecdefinition" in x and "_bin" not in x]
+    assert not long, long
+    for x in plan(runs).splitlines():
+        if "lead(pos" in x:
+            assert "_bin" in x.split("windowspecdefinition(")[1].split(" ASC")[0]
+
+
+def test_partitions_of_runs_stay_as_many(spark, long_genome):
+    """Adaptive execution doesn't put partitions of runs together, whose compressed size says little."""
+    runs = P.runs(spark, long_genome)
+    for df in (R.normalize(runs), swept(runs, P.N_SAMPLES, within=[runs.select("chrom_ix", F.col("run_start").alias("s"), F.col("run_end").alias("e"))])):
+        sizes = [x for x in plan(df).splitlines() if "Exchange hashpartitioning" in x and ("_bin" in x or "bin#" in x)]
+        assert sizes and all("REPARTITION_BY_NUM" in x for x in sizes)
