@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alleloom.operators.sweep import whole_groups
+from alleloom.operators.sweep import dealt, whole_groups
 
 #: Bases of a part at least, and parts whose functions are composed at once.
 PART, FAN = 1 << 20, 16
@@ -130,7 +130,7 @@ def cut_at_parts(stretches: DataFrame, width: int) -> DataFrame:
 
 
 def _dealt(parts: DataFrame) -> DataFrame:
-    return parts.repartition("chrom_ix", "part").sortWithinPartitions("chrom_ix", "part", "s")
+    return dealt(parts, "chrom_ix", "part").sortWithinPartitions("chrom_ix", "part", "s")
 
 
 def greedy_starts_of(stretches: DataFrame, size: int, part: int | None = None) -> DataFrame:

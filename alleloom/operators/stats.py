@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from alleloom.functions.beta import p_value_udf
 from alleloom.operators import merge as M
 from alleloom.operators.greedy import greedy_starts_of
-from alleloom.operators.sweep import swept
+from alleloom.operators.sweep import dealt, swept
 from alleloom.schema import PSEUDO
 
 #: Fixed value: the default block, in bases.
@@ -244,7 +244,7 @@ def placed_spans(rows: DataFrame, starts: DataFrame, size: int, width: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(chrom[i].astype(np.int32)), pa.array(np.concatenate(block)), b.column(5).take(pa.array(i)), pa.array(np.concatenate(weight).astype(np.int32))], names=["chrom_ix", "block", "calls", "weight"])
 
     schema = "chrom_ix int, block long, calls array<struct<n_ref:int,n_alt:int>>, weight int"
-    return both.repartition("chrom_ix", "bin").sortWithinPartitions("chrom_ix", "bin", "kind", "s").mapInArrow(run, schema)
+    return dealt(both, "chrom_ix", "bin").sortWithinPartitions("chrom_ix", "bin", "kind", "s").mapInArrow(run, schema)
 
 
 def dense_blocks(variants: DataFrame | None, runs: DataFrame, n_samples: int, combos: Sequence[tuple[int, ...]], patterns: dict[str, tuple[str, ...]], size: int, width: int, grid: bool = True, within: Sequence[DataFrame] = (), without: Sequence[DataFrame] = (), sites: Column | None = None) -> DataFrame:
