@@ -8,26 +8,34 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alleloom import schema as S
 from alleloom.functions import scalars as X
 from alleloom.operators.greedy import kept_blocks
-from alleloom.operators.sweep import WIDTH, dealt, merged_regions
+from alleloom.operators.sweep import WIDTH, binned, dealt, merged_regions, whole_groups
 
 KEY = ("sample_ix", "chrom_ix")
 _JOINABLE = (*S.STRETCHES, *S.INDELS)
+#: What is not known yet of a gap: no code.
+_GAP = -2
 #: Letters in a piece of a text.
 CHUNK = 65536
 
 
 def _islands(r: DataFrame, part: tuple[str, ...], key: tuple[str, ...]) -> DataFrame:
-    """Adjacent stretches (and indels) of equal code within a part as one: runs that begin one stay, and end where the run
+    """Adjacent stretches (and indels) of equal code within a part as one."""
+    return _touching(r, part, F.col("code").isin(*_JOINABLE))
+
+
+def _touching(r: DataFrame, part: tuple[str, ...], which: Column | None = None) -> DataFrame:
+    """Adjacent runs of equal code (`which`: of these) within a part as one: runs that begin one stay, and end where the run
     before the next beginning ends. One sort serves all windows, and nothing is grouped."""
     w = Window.partitionBy(*part).orderBy("run_start", "run_end")
     before = F.lag("run_end").over(w)
-    joins = F.col("code").isin(*_JOINABLE) & (F.col("code") == F.lag("code").over(w)) & (before == F.col("run_start"))
+    joins = (F.col("code") == F.lag("code").over(w)) & (before == F.col("run_start"))
+    joins = joins if which is None else which & joins
     last = F.last("run_end").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     begins = r.withColumns({"_joins": F.coalesce(joins, F.lit(False)), "_before": before, "_last": last}).where("not _joins")
     end = F.coalesce(F.lead("_before").over(w), F.col("_last"))
@@ -70,22 +78,60 @@ def gap_fill(points: DataFrame, contigs: DataFrame, gap: int, key: tuple[str, ..
     return calls.unionByName(after).unionByName(first).where("run_end > run_start")
 
 
+def _cut_by_regions(gaps: DataFrame, regions: DataFrame, inside: int, outside: int, width: int, key: tuple[str, ...]) -> DataFrame:
+    """(key, gap_start, run_start, run_end, code, edge): gaps (key, run_start, run_end), cut at bins and where merged regions
+    begin and end; edge: a bin's border cuts the piece off.
+
+    A bin's regions come first, and each of its gaps meets only those between its ends, which a search in their order finds.
+    """
+    others = [c for c in key if c != "chrom_ix"]
+    lo, hi = F.greatest(F.col("run_start").cast("long"), F.col("bin") * width), F.least(F.col("run_end").cast("long"), (F.col("bin") + 1) * width)
+    kinds = {f.name: f.dataType for f in gaps.schema.fields}
+    r = binned(regions.select("chrom_ix", F.col("s").alias("run_start"), F.col("e").alias("run_end")), width).select("chrom_ix", "bin", F.lit(0).alias("kind"), lo.alias("lo"), hi.alias("hi"), *(F.lit(None).cast("int").alias(c) for c in ("gap_start", "gap_end")), *(F.lit(None).cast(kinds[c]).alias(c) for c in others))
+    g = binned(gaps, width).select("chrom_ix", "bin", F.lit(1).alias("kind"), lo.alias("lo"), hi.alias("hi"), F.col("run_start").cast("int").alias("gap_start"), F.col("run_end").cast("int").alias("gap_end"), *others)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 2, 1 << 17):
+            chrom, bin_, kind, lo, hi = (t.column(i).to_numpy().astype(np.int64) for i in range(5))
+            group = np.cumsum(np.append(True, (chrom[1:] != chrom[:-1]) | (bin_[1:] != bin_[:-1]))) - 1
+            # places of one bin after those of the others, with room between
+            shift = group * (width + 1) - bin_ * width
+            gap = np.flatnonzero(kind == 1)
+            s, e = (lo + shift)[kind == 0], (hi + shift)[kind == 0]
+            a, z = (lo + shift)[gap], (hi + shift)[gap]
+            first, last = np.searchsorted(e, a, "right"), np.searchsorted(s, z, "left")
+            # a gap with n regions has n pieces inside, and n + 1 between and around them, some of them empty
+            n = 2 * np.maximum(last - first, 0) + 1
+            i = np.repeat(np.arange(len(gap)), n)
+            k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            at, good = first[i] + k // 2, k % 2 == 1
+            s, e = np.append(s, 0), np.append(e, 0)
+            begin = np.where(good, np.maximum(s[at], a[i]), np.where(k == 0, a[i], e[at - 1]))
+            end = np.where(good, np.minimum(e[at], z[i]), np.where(k == n[i] - 1, z[i], s[at]))
+            keep = end > begin
+            i, begin, end, good = gap[i[keep]], begin[keep] - shift[gap[i[keep]]], end[keep] - shift[gap[i[keep]]], good[keep]
+            own = t.take(pa.array(i))
+            bin_ = bin_[i]
+            edge = ((begin == bin_ * width) & (begin > own["gap_start"].to_numpy())) | ((end == (bin_ + 1) * width) & (end < own["gap_end"].to_numpy()))
+            out = {"chrom_ix": own["chrom_ix"], **{c: own[c] for c in others}, "gap_start": own["gap_start"], "run_start": pa.array(begin.astype(np.int32)), "run_end": pa.array(end.astype(np.int32)), "code": pa.array(np.where(good, inside, outside).astype(np.int32)), "edge": pa.array(edge)}
+            yield from pa.table({c: out[c] for c in (*key, "gap_start", "run_start", "run_end", "code", "edge")}).to_batches(1 << 16)
+
+    schema = gaps.select(*key).schema.add("gap_start", "integer").add("run_start", "integer").add("run_end", "integer").add("code", "integer").add("edge", "boolean")
+    return dealt(r.unionByName(g), "chrom_ix", "bin").sortWithinPartitions("chrom_ix", "bin", "kind", "lo").mapInArrow(run, schema)
+
+
 def gap_fill_patches(points: DataFrame, contigs: DataFrame, bed: DataFrame, inside: int = S.EQS2, outside: int = S.NS, width: int = 1024, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Gap filling by region: `inside` of the merged regions, `outside` elsewhere. poor patches: swap the two codes."""
-    filled = gap_fill(points, contigs, -2, key)
-    gaps, calls = filled.where("code = -2").drop("code"), filled.where("code <> -2")
-    r = merged_regions(bed).withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width))))
-    g = gaps.withColumn("bin", F.explode(F.sequence(F.floor(F.col("run_start") / width), F.floor((F.col("run_end") - 1) / width))))
-    lo, hi = F.greatest("run_start", "s"), F.least("run_end", "e")
-    cut = g.join(r, ["chrom_ix", "bin"]).where((lo < hi) & (F.col("bin") == F.floor(lo / width))).select(*key, "run_start", "run_end", lo.alias("lo"), hi.alias("hi"))
-    good = cut.select(*key, F.col("lo").alias("run_start"), F.col("hi").alias("run_end"), F.lit(inside).alias("code"))
-    # what is left of each gap: from its start, and from each cut's end, to the next cut
-    whole = (*key, "gap_start", "gap_end")
-    named = lambda df: df.withColumnsRenamed({"run_start": "gap_start", "run_end": "gap_end"})
-    begin = named(gaps).withColumns({"lo": F.col("gap_start"), "hi": F.col("gap_start")})
-    rest = following(begin.unionByName(named(cut)), whole).withColumn("run_end", F.coalesce("run_end", "gap_end")).where("run_end > run_start")
-    bad = rest.select(*key, "run_start", "run_end", F.lit(outside).alias("code"))
-    return calls.unionByName(good).unionByName(bad)
+    """Gap filling by region: `inside` of the merged regions, `outside` elsewhere. poor patches: swap the two codes.
+
+    Gaps are cut bin by bin; of their pieces only those that a bin's border cuts off are looked at along a gap.
+    """
+    own = points.join(contigs.select("chrom_ix"), "chrom_ix", "left_semi")
+    calls = own.select(*key, F.col("pos").alias("run_start"), (F.col("pos") + 1).alias("run_end"), "code")
+    gaps = gap_fill(points, contigs, _GAP, key).where(F.col("code") == _GAP).drop("code")
+    cut = _cut_by_regions(gaps, merged_regions(bed), inside, outside, max(width, WIDTH // 4), key)
+    columns = (*key, "run_start", "run_end", "code")
+    across = _touching(cut.where("edge").drop("edge"), (*key, "gap_start"))
+    return calls.unionByName(cut.where("not edge").select(*columns)).unionByName(across.select(*columns))
 
 
 def clean(raw: DataFrame) -> DataFrame:

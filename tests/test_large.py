@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from alleloom import schema as S
 from alleloom.operators import filters as Q
+from alleloom.operators import merge as M
 from alleloom.operators import runs as R
 from alleloom.operators.sweep import swept
 from alleloom.plans import projections as P
+from alleloom.sources import runfile
 
 
 def plan(df):
@@ -69,3 +71,15 @@ def test_partitions_of_runs_stay_as_many(spark, long_genome):
     for df in (R.normalize(runs), swept(runs, P.N_SAMPLES, within=[runs.select("chrom_ix", F.col("run_start").alias("s"), F.col("run_end").alias("e"))])):
         sizes = [x for x in plan(df).splitlines() if "Exchange hashpartitioning" in x and ("_bin" in x or "bin#" in x)]
         assert sizes and all("REPARTITION_BY_NUM" in x for x in sizes)
+
+
+def test_gaps_meet_only_their_own_regions(spark):
+    """No join of all gaps of a bin with all its regions; a gap over many bins and regions is whole again."""
+    points = spark.createDataFrame([(0, 0, 5, S.TRANS2), (0, 0, 90000, S.TRANS2), (1, 0, 39999, S.TRANS2)], "sample_ix int, chrom_ix int, pos int, code int")
+    contigs, bed = spark.createDataFrame([(0, "1", 100000)], S.CONTIGS), [(0, 0, 3), (0, 10, 20), (0, 15, 40000), (0, 40002, 95000)]
+    got = R.gap_fill_patches(points, contigs, spark.createDataFrame(bed, S.BED))
+    assert not [x for x in plan(got).splitlines() if "Join" in x and "bin" in x]
+    g, b = S.EQS2, S.NS
+    want = [(0, 0, 3, g), (0, 3, 5, b), (0, 5, 6, S.TRANS2), (0, 6, 10, b), (0, 10, 40000, g), (0, 40000, 40002, b), (0, 40002, 90000, g), (0, 90000, 90001, S.TRANS2), (0, 90001, 95000, g), (0, 95000, 100000, b)]
+    want += [(1, 0, 3, g), (1, 3, 10, b), (1, 10, 39999, g), (1, 39999, 40000, S.TRANS2), (1, 40000, 40002, b), (1, 40002, 95000, g), (1, 95000, 100000, b)]
+    assert sorted((r["sample_ix"], r["run_start"], r["run_end"], r["code"]) for r in got.collect()) == want
