@@ -89,8 +89,8 @@ def write_runfile(runs: DataFrame, path: str, reference_path: str, contigs: Data
     """One sample's runs as a run file; tasks write its chromosomes, and it is moved into place when complete."""
     c = contigs.orderBy("chrom_ix").collect()  # one row for each chromosome
     head = runfile.header(reference_path, runfile.token([r["name"] for r in c], [r["length"] for r in c]))
-    data = runfile.encoded(runs).select("chrom_ix", "data")
-    every = contigs.select("chrom_ix").join(data, "chrom_ix", "left").select("chrom_ix", F.coalesce("data", F.lit(b"\0")).alias("data"))
+    data = runfile.encoded(runs).select("chrom_ix", "start", "data")
+    every = contigs.select("chrom_ix").join(data, "chrom_ix", "left").select("chrom_ix", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("data", F.lit(b"\0")).alias("data"))
     write_joined(every, path, head)
 
 

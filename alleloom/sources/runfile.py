@@ -13,10 +13,12 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alleloom import schema as S
+from alleloom.operators.sweep import WIDTH, dealt, whole_groups
 from alleloom.sources.files import decompressed, opened
 
 Run = tuple[int, int, str | None]  # code, length, inserted bases
@@ -34,8 +36,8 @@ def token(names: list[str], lengths: list[int]) -> int:
     return zlib.crc32("\n".join(f"{n}\t{x}" for n, x in zip(names, lengths, strict=True)).encode())
 
 
-def encode(runs: list[Run]) -> bytes:
-    """The runs of one chromosome, with the closing byte."""
+def encode(runs: list[Run], close: bool = True) -> bytes:
+    """The runs of one chromosome, with the closing byte, or of a piece of one that isn't its last, without."""
     out = bytearray()
     for code, length, ins in runs:
         if code in _STRETCH_BYTE:
@@ -61,7 +63,8 @@ def encode(runs: list[Run]) -> bytes:
             out += bytes([code]) * length
         else:
             raise ValueError(f"no such code: {code}")
-    out.append(0)
+    if close:
+        out.append(0)
     return bytes(out)
 
 
@@ -261,31 +264,72 @@ def read_runs(spark: SparkSession, paths: list[str], reference: tuple[DataFrame,
     return modernised(runs, *reference) if old else runs
 
 
-def encoded(runs: DataFrame) -> DataFrame:
-    """(sample_ix, chrom_ix, data): the bytes of each sample's chromosomes; positions without a run are uncalled."""
+def _filled(runs: DataFrame, width: int) -> DataFrame:
+    """Runs with uncalled ones before them where something is left out: how far the runs before reach is known within a bin,
+    and of the bins before from a row for each."""
+    key = ("sample_ix", "chrom_ix")
+    r = dealt(runs.withColumn("_bin", F.floor(F.col("run_start") / width)), *key, "_bin")
+    own = Window.partitionBy(*key, "_bin").orderBy("run_start", "run_end").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = r.groupBy(*key, "_bin").agg(F.max("run_end").alias("_end")).select(*key, "_bin", F.max("_end").over(along).alias("_reach"))
+    # nulls don't count
+    met = r.withColumn("_own", F.max("run_end").over(own)).join(before, [*key, "_bin"]).withColumn("_at", F.greatest("_own", "_reach", F.lit(0)))
+    gap = met.where("run_start > _at").select(*key, F.col("_at").alias("run_start"), F.col("run_start").alias("run_end"), F.lit(S.NS).alias("code"), F.lit(None).cast("string").alias("ins"), F.lit(0).alias("_order"))
+    return gap.unionByName(met.select(*key, "run_start", "run_end", "code", "ins", F.lit(1).alias("_order")))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[Run] = []
-        at = 0
-        pdf = pdf.sort_values(["run_start", "run_end"])
-        ins = pdf["ins"] if "ins" in pdf else [None] * len(pdf)
-        for s, e, code, i in zip(pdf["run_start"], pdf["run_end"], pdf["code"], ins, strict=True):
-            if s > at:
-                out.append((S.NS, int(s - at), None))
-            out.append((int(code), int(e - s), i))
-            at = max(at, e)
-        return pd.DataFrame({"sample_ix": pdf["sample_ix"].iloc[:1], "chrom_ix": pdf["chrom_ix"].iloc[:1], "data": [encode(joined(out))]})
 
-    return runs.groupBy("sample_ix", "chrom_ix").applyInPandas(one, "sample_ix int, chrom_ix int, data binary")
+def encoded(runs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(sample_ix, chrom_ix, start, data): the bytes of each sample's chromosomes; positions without a run are uncalled.
+
+    A chromosome comes in pieces, one for each bin of `width` in which a run begins that isn't joined to one before it; in
+    order of start they are its bytes. No task holds a chromosome's runs: of a bin's joined runs only those at its ends can go
+    on in other bins.
+    """
+    key = ("sample_ix", "chrom_ix")
+    every = runs if "ins" in runs.columns else runs.withColumn("ins", F.lit(None).cast("string"))
+    bin_ = F.floor(F.col("run_start") / width).cast("int").alias("_bin")
+    each = _filled(every.select(*(F.col(c).cast("int").alias(c) for c in (*key, "run_start", "run_end", "code")), "ins"), width).where((F.col("run_end") > F.col("run_start")) | F.col("ins").isNotNull())
+    own = _joined_in(dealt(each.select("*", bin_), *key, "_bin"), (*key, "_bin"))
+    w = Window.partitionBy(*key, "_bin")
+    edge = (F.col("run_start") == F.min("run_start").over(w)) | (F.col("run_start") == F.max("run_start").over(w))
+    own = own.withColumn("_edge", edge)
+    across = _joined_in(own.where("_edge").drop("_edge", "_bin"), key)
+    whole = own.where("not _edge").drop("_edge", "_bin").unionByName(across)
+    # the last piece of a chromosome closes it
+    top = across.groupBy(*key).agg(F.max(F.floor(F.col("run_start") / width)).cast("int").alias("_top"))
+    pieces = whole.select("*", bin_).join(F.broadcast(top), [*key])  # a row for each chromosome of a sample
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 3, 1 << 15):
+            rows = t.to_pydict()
+            n = t.num_rows
+            at = [i for i in range(n) if not i or any(rows[c][i] != rows[c][i - 1] for c in (*key, "_bin"))]
+            data = [encode([(rows["code"][i], rows["run_end"][i] - rows["run_start"][i], rows["ins"][i]) for i in range(a, b)], rows["_bin"][a] == rows["_top"][a]) for a, b in zip(at, [*at[1:], n], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([rows[c][a] for a in at], pa.int32()) for c in (*key, "run_start")), pa.array(data, pa.binary())], names=[*key, "start", "data"])
+
+    order = (*key, "_bin", "run_start", "_order", "run_end")
+    ready = dealt(pieces, *key, "_bin").sortWithinPartitions(*order).select(*key, "_bin", "run_start", "run_end", "code", "ins", "_top")
+    return ready.mapInArrow(run, "sample_ix int, chrom_ix int, start int, data binary")
+
+
+def _joined_in(runs: DataFrame, part: tuple[str, ...]) -> DataFrame:
+    """Adjacent stretches of one code within a part as one; an insertion between them keeps them apart."""
+    w = Window.partitionBy(*part).orderBy("run_start", "_order", "run_end")
+    before = F.lag("run_end").over(w)
+    joins = F.col("code").isin(*S.STRETCHES) & (F.col("code") == F.lag("code").over(w)) & (before == F.col("run_start"))
+    last = F.last("run_end").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    begins = runs.withColumns({"_joins": F.coalesce(joins, F.lit(False)), "_before": before, "_last": last}).where("not _joins")
+    end = F.coalesce(F.lead("_before").over(w), F.col("_last"))
+    return begins.select(*part, "run_start", F.when(F.col("code").isin(*S.STRETCHES), end).otherwise(F.col("run_end")).alias("run_end"), "code", "ins", "_order")
 
 
 def decoded(data: DataFrame) -> DataFrame:
-    """Runs of encoded chromosomes."""
+    """Runs of encoded chromosomes, or of their pieces, which begin at `start`."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for s, c, d in zip(f["sample_ix"], f["chrom_ix"], f["data"], strict=True):
+            for s, c, at, d in zip(f["sample_ix"], f["chrom_ix"], f["start"] if "start" in f else [0] * len(f), f["data"], strict=True):
                 for runs in decode(bytes(d)):
-                    yield pd.DataFrame([(s, c, *x) for x in positioned(runs)], columns=["sample_ix", "chrom_ix", "run_start", "run_end", "code", "ins"])
+                    yield pd.DataFrame([(s, c, at + a, at + z, *x) for a, z, *x in positioned(runs)], columns=["sample_ix", "chrom_ix", "run_start", "run_end", "code", "ins"])
 
     return data.mapInPandas(run, S.RUNS_INS)

@@ -83,3 +83,19 @@ def test_gaps_meet_only_their_own_regions(spark):
     want = [(0, 0, 3, g), (0, 3, 5, b), (0, 5, 6, S.TRANS2), (0, 6, 10, b), (0, 10, 40000, g), (0, 40000, 40002, b), (0, 40002, 90000, g), (0, 90000, 90001, S.TRANS2), (0, 90001, 95000, g), (0, 95000, 100000, b)]
     want += [(1, 0, 3, g), (1, 3, 10, b), (1, 10, 39999, g), (1, 39999, 40000, S.TRANS2), (1, 40000, 40002, b), (1, 40002, 95000, g), (1, 95000, 100000, b)]
     assert sorted((r["sample_ix"], r["run_start"], r["run_end"], r["code"]) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("width", [4, 50, 65536])
+def test_run_files_are_made_in_pieces(spark, width):
+    """The pieces of a chromosome are its bytes, wherever bins end, and each can be decoded alone."""
+    one = [(S.NS, 3, None), (S.EQS2, 40, None), (S.INS1, 2, "AC"), (S.EQS2, 200, None), (S.TRANS2, 1, None), (S.DEL1, 2, None), (S.NS, 90, None), (S.EQS1, 7, None), (S.TRANS1, 1, None)]
+    rows = [(i, c, *x) for i, c in ((0, 0), (0, 2), (3, 1)) for x in runfile.positioned(one)]
+    # stretches in bits, and the uncalled ones left out
+    cut = [(*r[:2], a, min(a + 9, r[3]), *r[4:]) if r[4] in S.STRETCHES else r for r in rows if r[4] != S.NS for a in range(r[2], max(r[3], r[2] + 1), 9 if r[4] in S.STRETCHES else 1 << 20)]
+    got = runfile.encoded(spark.createDataFrame(cut, S.RUNS_INS).repartition(3), width)
+    pieces = sorted((r["sample_ix"], r["chrom_ix"], r["start"], bytes(r["data"])) for r in got.collect())
+    assert len(pieces) == len({p[:3] for p in pieces}) and (width > 100 or len(pieces) > 6)
+    for key in ((0, 0), (0, 2), (3, 1)):
+        assert b"".join(p[3] for p in pieces if p[:2] == key) == runfile.encode(one)
+    assert sorted(map(tuple, runfile.decoded(got).collect()), key=str) == sorted(rows, key=str)
+    assert "FlatMapGroups" not in plan(got)
