@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from alleloom import schema as S
 from alleloom.functions import scalars as X
-from alleloom.operators.sweep import WIDTH, swept
+from alleloom.operators.sweep import WIDTH, dealt, swept
 
 
 def point_calls(runs: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def merge_ref(runs: DataFrame, ref_bases: DataFrame, n_samples: int, width: int
     """At least one record at every known reference base (chrom_ix, pos, ref), called or not, with the base."""
     known = ref_bases.where(X.is_known(F.col("ref")))
     none = F.transform(F.sequence(F.lit(1), F.lit(n_samples)), lambda _: F.struct(F.lit(0).alias("n_ref"), F.lit(0).alias("n_alt")))
-    met = known.join(merge_dense(runs, n_samples, width), ["chrom_ix", "pos"], "left")
+    met = dealt(known, "chrom_ix", "pos").join(dealt(merge_dense(runs, n_samples, width), "chrom_ix", "pos").hint("merge"), ["chrom_ix", "pos"], "left")
     return met.select("chrom_ix", "pos", F.coalesce("alt", F.lit(S.PSEUDO)).alias("alt"), F.coalesce("calls", none).alias("calls"), "ref")
 
 

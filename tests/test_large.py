@@ -99,3 +99,9 @@ def test_run_files_are_made_in_pieces(spark, width):
         assert b"".join(p[3] for p in pieces if p[:2] == key) == runfile.encode(one)
     assert sorted(map(tuple, runfile.decoded(got).collect()), key=str) == sorted(rows, key=str)
     assert "FlatMapGroups" not in plan(got)
+
+
+def test_reference_bases_meet_calls_in_as_many_partitions(spark, long_genome):
+    m = M.merge_ref(P.runs(spark, long_genome), M.bases_of(P.chunks(spark, long_genome)), P.N_SAMPLES)
+    sides = [x for x in plan(m).splitlines() if "hashpartitioning(chrom_ix" in x and "pos#" in x]
+    assert len(sides) == 2 and all("REPARTITION_BY_NUM" in x for x in sides)
